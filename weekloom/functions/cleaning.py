@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(value: Column | str) -> Column:
@@ -41,44 +41,66 @@ def parse_timestamp(text: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding_tables() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decomposition without marks, split by length of the outcome.
+def _folding_tables() -> tuple[str, str, str]:
+    """Compatibility decomposition without marks, from the Unicode rule itself.
 
-    Built from the Unicode rule itself: characters that fold to one character go to a
-    ``translate`` pair, characters that fold to several go to a lookup.
+    Characters that fold to one character become a ``translate`` pair; those that fold to
+    several are listed as a regular expression class.
     """
-    one_from, one_to, several = [], [], {}
+    one_from, one_to, several = [], [], []
     for point in range(0x80, 0x10000):
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
-            continue  # Hangul keeps its letters; surrogates are not characters
+            continue  # Hangul syllables and surrogates take the exact path below
         ch = chr(point)
         if unicodedata.combining(ch):
             continue
-        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        folded = folded.upper()
+        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).upper()
         if folded == ch or not folded:
             continue
         if len(folded) == 1:
             one_from.append(ch)
             one_to.append(folded)
         else:
-            several[ch] = folded
-    return "".join(one_from), "".join(one_to), several
+            several.append(point)
+    several += range(0xAC00, 0xD7A4)
+    several += range(0x10000, 0x110000)
+    return "".join(one_from), "".join(one_to), _char_class(sorted(several))
+
+
+def _char_class(points: list[int]) -> str:
+    """Class of the given characters; the outer bound lets other characters fail at once."""
+    spans: list[list[int]] = []
+    for point in points:
+        if spans and spans[-1][1] == point - 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    inner = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+    return f"[\\x{{{points[0]:X}}}-\\x{{10FFFF}}&&[{inner}]]"
+
+
+@lru_cache(maxsize=1)
+def _mark_class() -> str:
+    """Regular expression class of all characters with a combining class."""
+    return _char_class([p for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))]) + "+"
+
+
+@F.pandas_udf(StringType())
+def _decompose(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKD")
 
 
 def fold_text(text: Column | str) -> Column:
-    """Upper case, no accents, single blanks; compatibility characters are spelled out."""
+    """Upper case, no accents, single blanks; compatibility characters are spelled out.
+
+    Expressions do all of it for ordinary text. Only texts with a character that unfolds to
+    several (a ligature, an ellipsis) are sent to Python for the full decomposition.
+    """
     one_from, one_to, several = _folding_tables()
-    # upper() first: it also turns sharp s into SS as the folding rule wants.
-    up = F.upper(_c(text))
-    plain = F.translate(up, one_from, one_to)
-    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    spelled = F.array_join(
-        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
-    )
-    rare = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in several) + "]"
-    whole = F.when(plain.rlike(rare), spelled).otherwise(plain)
-    unmarked = F.regexp_replace(whole, r"\p{Mn}+", "")
+    raw = _c(text)
+    whole = F.coalesce(_decompose(F.when(raw.rlike(several), raw)), raw)
+    plain = F.translate(F.upper(whole), one_from, one_to)
+    unmarked = F.regexp_replace(plain, _mark_class(), "")
     return F.trim(F.regexp_replace(unmarked, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}]+", " "))
 
 
@@ -86,6 +108,3 @@ def fold_name(text: str) -> str:
     """The same folding for one Python string, used for column headers."""
     bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return " ".join(bare.upper().split())
-
-
-assert sys.maxunicode > 0xFFFF

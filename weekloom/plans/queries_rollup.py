@@ -183,12 +183,12 @@ def _(spark, sf):
     "text_fold",
     r"""
 SELECT doc_id, CAST(length(f) AS BIGINT) AS folded_chars, md5(f) AS folded_md5 FROM (
- SELECT doc_id, trim(regexp_replace(strip_accents(upper(text)), '\s+', ' ', 'g')) AS f FROM documents)""",
+ SELECT doc_id, trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'SS'))), '\s+', ' ', 'g')) AS f FROM documents)""",
 )
 def _(spark, sf):
     d = V.table(spark, sf, "documents")
-    f = K.fold_text("text")
-    return d.select("doc_id", F.length(f).cast("bigint").alias("folded_chars"), F.md5(f).alias("folded_md5"))
+    folded = d.select("doc_id", K.fold_text("text").alias("f"))
+    return folded.select("doc_id", F.length("f").cast("bigint").alias("folded_chars"), F.md5("f").alias("folded_md5"))
 
 
 def case_rows(spark, sf):
