@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules fills the registry."""
 
-from weekloom.plans import queries_features, queries_policy, queries_rollup  # noqa: F401
+from weekloom.plans import queries_features, queries_io, queries_policy, queries_rollup  # noqa: F401
 from weekloom.plans.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
