@@ -156,7 +156,7 @@ def _calibration(raw: DataFrame, series: list[str], baseline: str | None, earlie
     pooled = raw.filter(F.col("year").isin(pool)) if pool else raw.filter(F.lit(False))
     median = F.greatest(F.lit(0.0), base + F.coalesce(F.col("scale_p50"), F.lit(1.0)) * F.col("_raw_p50"))
     errors = pooled.join(out, series).withColumn("_median", median)
-    out = out.join(P.upper_offsets(errors, series, "total_cases", "_median"), series, "left")
+    out = out.join(P.upper_offsets(errors, series, "total_cases", "_median", weekly_groups=True), series, "left")
     return out.fillna(1.0, [f"scale_{t}" for t in QUANTILES]).fillna(0.0, ["offset_p80", "offset_p90"])
 
 
@@ -179,7 +179,7 @@ def quantile_forecaster(
     Models for a year are always fitted on the years before it, whatever fold uses them, so
     each year is fitted once and scales, offsets and metrics follow relationally.
     """
-    rows = cut_lineage(frame.dropna(subset=[*features, "total_cases"]))
+    rows = cut_lineage(X.complete_rows(frame, [*features, "total_cases"]))
     labelled = ML.years_of(rows.filter(F.col("outbreak_label").isNotNull()))
     if len(labelled) < minimum_labelled_years:
         raise QualityError("not enough labelled years for case validation")
@@ -188,10 +188,16 @@ def quantile_forecaster(
     target = F.col("total_cases").cast("double") - (F.col(baseline).cast("double") if baseline else F.lit(0.0))
     rows = rows.withColumn("_target", target)
     sizes = {r["year"]: r["n"] for r in rows.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    needed = set(held_years)
+    # What each year's models are used for decides which quantiles it needs.
+    needed: dict[int, set[str]] = {y: set(QUANTILES) for y in held_years}
     for year in [*held_years, years[-1] + 1]:
         earlier = [y for y in years if y < year]
-        needed |= set(earlier[-min(3, max(len(earlier) - 2, 0)) :]) if len(earlier) >= 3 else set()
+        if len(earlier) < 3:
+            continue
+        for y in earlier[-min(3, len(earlier) - 2) :]:
+            needed.setdefault(y, set()).add("p50")
+        if baseline:
+            needed[earlier[-1]] |= set(QUANTILES)
     parts, usable = [], set()
     for year in sorted(needed):
         if sum(n for y, n in sizes.items() if y < year) < settings.minimum_train_rows:
@@ -199,8 +205,10 @@ def quantile_forecaster(
         train = rows.filter(F.col("year") < year)
         held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
         for tag, q in QUANTILES.items():
-            model = ML.quantile_regressor(train, features, "_target", q, settings, categories)
-            held = model.predict(held, f"_raw_{tag}")
+            if tag in needed[year]:
+                held = ML.quantile_regressor(train, features, "_target", q, settings, categories).predict(held, f"_raw_{tag}")
+            else:
+                held = held.withColumn(f"_raw_{tag}", F.lit(None).cast("double"))
         parts.append(held)
         usable.add(year)
     if not usable & set(held_years):
@@ -226,7 +234,7 @@ def quantile_forecaster(
     else:
         held_out = cut_lineage(held_out)
     report = (
-        M.mae_split(held_out, series, persistence=persistence)
+        M.mae_split(held_out, series, persistence=persistence, weekly_groups=True)
         .join(M.pinball_coverage(held_out, series), series)
         .join(M.threshold_signal(held_out, series), series)
         .withColumn(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weekloom import schemas as S
 from weekloom.functions.rules import freshness_level
 from weekloom.operators import metrics as M
+from weekloom.operators.ordered import exact_quantiles
 from weekloom.operators.policy import finalized
 
 
@@ -135,15 +136,37 @@ def attach_truth(ledger: DataFrame, cases: DataFrame, keys: list[str], as_of: Co
 
 
 def prediction_metrics(evaluated: DataFrame, keys: list[str]) -> DataFrame:
-    """Alert and case metrics of the evaluated ledger rows, per key."""
+    """Alert and case metrics of the evaluated ledger rows, per key.
+
+    Counts and means share one aggregate; the median error and the average precision need an
+    order and come from value ranges.
+    """
     rows = evaluated.filter(F.col("actual_outbreak").isNotNull())
-    alerts = M.confusion(rows, keys)
+    up, high = F.col("outbreak_alert"), F.col("actual_outbreak") == 1
+    actual, p50 = F.col("actual_cases"), F.col("predicted_cases_p50")
+    known = p50.isNotNull()
+    error = F.abs(actual - p50)
+    gap = F.col("outbreak_probability") - F.col("actual_outbreak")
+    aggs = [
+        F.count(F.lit(1)).alias("evaluated_rows"),
+        F.count_if(up & high).alias("true_positives"),
+        F.count_if(up & ~high).alias("false_positives"),
+        F.count_if(~up & ~high).alias("true_negatives"),
+        F.count_if(~up & high).alias("false_negatives"),
+        F.avg(gap * gap).alias("brier"),
+        F.count_if(known).alias("case_rows"),
+        F.avg(error).alias("mae"),
+        F.avg(F.when(~high, error)).alias("normal_week_mae"),
+        F.avg(F.when(high, error)).alias("outbreak_week_mae"),
+    ]
+    for q, tag in ((0.80, "p80"), (0.90, "p90")):
+        p = F.col(f"predicted_cases_{tag}")
+        aggs.append(F.avg(F.when(known, M.pinball(actual, p, q))).alias(f"{tag}_pinball_loss"))
+        aggs.append(F.avg(F.when(known, (actual <= p).cast("double"))).alias(f"{tag}_coverage"))
+    counted = rows.groupBy(*keys).agg(*aggs).select("*", *M.confusion_ratios())
     pr = M.average_precision(rows, keys, "outbreak_probability", "actual_outbreak")
-    br = M.brier(rows, keys, "outbreak_probability", "actual_outbreak")
-    cases = rows.filter(F.col("predicted_cases_p50").isNotNull())
-    split = M.mae_split(cases, keys, persistence=None).withColumnRenamed("held_out_rows", "case_rows")
-    pin = M.pinball_coverage(cases, keys)
-    return alerts.join(pr, keys).join(br, keys).join(split, keys, "left").join(pin, keys, "left")
+    middle = exact_quantiles(rows.select(*keys, error.alias("_e")), keys, "_e", {"median_absolute_error": 0.5})
+    return counted.join(pr, keys).join(middle, keys, "left")
 
 
 def reconcile_metrics(reconciled: DataFrame, keys: list[str]) -> DataFrame:

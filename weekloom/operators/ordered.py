@@ -12,8 +12,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.functions.rules import array_quantile
-
 DEFAULT_RANGES = 256
 
 
@@ -26,6 +24,8 @@ def range_splits(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES) -> lis
 
 def with_range(df: DataFrame, value: str, splits: list[float], name: str) -> DataFrame:
     """Add the index of the value range; a value on a cut belongs to the range it opens."""
+    if len(splits) < 3:  # one range: an empty table or a single value
+        return df.withColumn(name, F.lit(0.0))
     return Bucketizer(splits=splits, inputCol=value, outputCol=name).transform(df)
 
 
@@ -111,6 +111,3 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str, value
     """Long form of numeric columns."""
     wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     return wide.unpivot(keys, columns, name, value)
-
-
-__all__ = ["array_quantile", "exact_quantiles", "range_splits", "running_totals", "unpivot", "with_range"]

@@ -158,11 +158,21 @@ def residual_scales(
     return df.groupBy(*keys).agg(*aggs)
 
 
-def upper_offsets(df: DataFrame, keys: list[str], actual: str, median_prediction: str) -> DataFrame:
-    """Non-negative P80 and P90 of pooled errors above the median forecast."""
+def upper_offsets(
+    df: DataFrame, keys: list[str], actual: str, median_prediction: str, weekly_groups: bool = False
+) -> DataFrame:
+    """Non-negative P80 and P90 of pooled errors above the median forecast.
+
+    ``weekly_groups`` says that a group is the weeks of one series, so short that the built-in
+    exact percentile may hold it.
+    """
     errors = df.select(*keys, (F.col(actual).cast("double") - F.col(median_prediction)).alias("_e"))
-    found = exact_quantiles(errors, keys, "_e", {"offset_p80": 0.80, "offset_p90": 0.90})
-    return found.select(*keys, *[F.greatest(F.lit(0.0), F.col(c)).alias(c) for c in ("offset_p80", "offset_p90")])
+    points = {"offset_p80": 0.80, "offset_p90": 0.90}
+    if weekly_groups:
+        found = errors.groupBy(*keys).agg(*[F.percentile("_e", F.lit(q)).alias(n) for n, q in points.items()])
+    else:
+        found = exact_quantiles(errors, keys, "_e", points)
+    return found.select(*keys, *[F.greatest(F.lit(0.0), F.col(c)).alias(c) for c in points])
 
 
 def persistence_fallback(

@@ -53,12 +53,16 @@ def category_filter(
     return rows.filter(keep & y.isNotNull() & w.isNotNull())
 
 
+def _whole(column: str) -> Column:
+    return F.col(column).try_cast("double").try_cast("int")
+
+
 def case_level_weekly(
     cases: DataFrame, keys: list[str], year: str = "ano", week: str = "semana"
 ) -> DataFrame:
     """Case rows to weekly counts; a quiet week inside the span is a real zero."""
     counted = (
-        cases.groupBy(*keys, F.col(year).cast("int").alias("_y"), F.col(week).cast("int").alias("_w"))
+        cases.groupBy(*keys, _whole(year).alias("_y"), _whole(week).alias("_w"))
         .agg(F.count(F.lit(1)).alias("total_cases"))
         .select(*keys, iso_week_start("_y", "_w", strict=True).alias("week_start_date"), "total_cases")
     )
