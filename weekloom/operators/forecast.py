@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -341,7 +343,7 @@ def recursive_forecast(
     predict,
     histories: list[str],
     carry: list[str],
-    lineage_every: int = 6,
+    lineage_every: int = 4,
 ) -> DataFrame:
     """Week by week predictions that feed back into the case features.
 
@@ -411,44 +413,47 @@ def two_stage_fit(
     return TwoStage(single, classifier, calibrator, normal, outbreak, features, cut_lineage(gates))
 
 
-def _two_stage_predictor(fit: TwoStage, base: list[str], extra: list[str]):
-    """One step of the three predictions; a recall alert uses the MAE history's probability."""
+def _two_stage_predictor(fit: TwoStage, base: list[str]):
+    """One step of the three predictions; a recall alert uses the MAE history's probability.
+
+    Each history is assembled once and its vector serves all models that look at it.
+    """
+    views = {}
+    for h in ("_h_single", "_h_mae", "_h_recall"):
+        views[h] = VectorAssembler(inputCols=[*base, *[f"{c}{h}" for c in CASE_HISTORY]], outputCol=f"_x{h}")
+
+    def apply(rows: DataFrame, model, history: str, name: str) -> DataFrame:
+        return model.transform(rows, {model.featuresCol: f"_x{history}", model.predictionCol: name})
 
     def predict(now: DataFrame, histories: list[str]):
-        rows = now
-        made = {}
+        past = {h: _case_history_columns(h) for h in histories}
+        rows = now.select(
+            "*", *[F.coalesce(past[h][c], F.lit(0.0)).alias(f"{c}{h}") for h in histories for c in CASE_HISTORY]
+        )
         for h in histories:
-            own = _case_history_columns(h)
-            rows = rows.select(
-                *[c for c in rows.columns if c not in CASE_HISTORY],
-                *[F.coalesce(own[c], F.lit(0.0)).alias(c) for c in CASE_HISTORY],
-            )
-            if h == "_h_single":
-                rows = ML.predict_point(fit.single, rows, fit.features, "_single")
-                continue
-            if h == "_h_mae":
-                rows = ML.predict_probability(fit.classifier, rows, fit.features, "_rawp")
-                rows = rows.withColumn("_probability", fit.calibrator.apply(F.col("_rawp")))
-            rows = ML.predict_point(fit.normal, rows, fit.features, f"_n{h}")
-            rows = ML.predict_point(fit.outbreak, rows, fit.features, f"_o{h}")
-        p = F.col("_probability")
-        made["_next__h_single"] = F.col("_single")
-        made["_next__h_mae"] = two_stage_value(p, F.col("mae_gate"), F.col("_o_h_mae"), F.col("_n_h_mae"))
-        made["_next__h_recall"] = two_stage_value(p, F.col("recall_gate"), F.col("_o_h_recall"), F.col("_n_h_recall"))
-        rows = rows.select("*", *[c.alias(n) for n, c in made.items()])
+            rows = views[h].transform(rows)
+        rows = apply(rows, fit.single, "_h_single", "_single")
+        rows = apply(rows, fit.classifier, "_h_mae", "_class")
+        for h in ("_h_mae", "_h_recall"):
+            rows = apply(apply(rows, fit.normal, h, f"_n{h}"), fit.outbreak, h, f"_o{h}")
+        floor = lambda c: F.greatest(F.lit(0.0), F.col(c))
+        p = fit.calibrator.apply(vector_to_array("_prob")[1])
+        rows = rows.select(*now.columns, floor("_single").alias("_next__h_single"), p.alias("outbreak_probability"),
+                           *[floor(f"{k}{h}").alias(f"{k}{h}") for k in ("_n", "_o") for h in ("_h_mae", "_h_recall")])
+        p = F.col("outbreak_probability")
         rows = rows.select(
-            "*",
-            F.col("_next__h_single").alias("single_stage_prediction"),
-            F.col("_next__h_mae").alias("two_stage_mae_prediction"),
-            F.col("_next__h_recall").alias("two_stage_recall_prediction"),
-            p.alias("outbreak_probability"),
+            *now.columns,
+            "outbreak_probability",
             (p >= F.col("mae_gate")).alias("mae_policy_alert"),
             (p >= F.col("recall_gate")).alias("recall_policy_alert"),
+            "_next__h_single",
+            two_stage_value(p, F.col("mae_gate"), F.col("_o_h_mae"), F.col("_n_h_mae")).alias("_next__h_mae"),
+            two_stage_value(p, F.col("recall_gate"), F.col("_o_h_recall"), F.col("_n_h_recall")).alias("_next__h_recall"),
         )
         return rows, [
-            "single_stage_prediction",
-            "two_stage_mae_prediction",
-            "two_stage_recall_prediction",
+            F.col("_next__h_single").alias("single_stage_prediction"),
+            F.col("_next__h_mae").alias("two_stage_mae_prediction"),
+            F.col("_next__h_recall").alias("two_stage_recall_prediction"),
             "outbreak_probability",
             "mae_policy_alert",
             "recall_policy_alert",
@@ -485,7 +490,7 @@ def evaluate_expanding(
             rows,
             by,
             [*base, "mae_gate", "recall_gate"],
-            _two_stage_predictor(fit, base, extra),
+            _two_stage_predictor(fit, base),
             ["_h_single", "_h_mae", "_h_recall"],
             carry,
         )
