@@ -354,23 +354,23 @@ def recursive_forecast(
     state = _series_states(rows, by, base, carry)
     state = cut_lineage(state.select(*by, "_steps", *[F.col("_history").alias(h) for h in histories]))
     horizon = state.agg(F.max(F.size("_steps"))).first()[0] or 0
+    # Columns carry no data, so the same ones serve every step; only the step number differs.
+    alive = F.col("_now").isNotNull()
+    fed = [F.coalesce(F.col(f"_now.{c}"), F.lit(0.0)).alias(c) for c in base]
+    known = [F.col(f"_now.{c}").alias(c) for c in carry]
+    next_history = [F.when(alive, _grow(h, F.col(f"_next_{h}"))).otherwise(F.col(h)).alias(h) for h in histories]
+    keep = [*by, "_steps", *histories]
+    made = first = later = None
     for step in range(1, horizon + 1):
-        now = state.withColumn("_now", F.try_element_at("_steps", F.lit(step)))
-        now = now.select(*now.columns, *[F.coalesce(F.col(f"_now.{c}"), F.lit(0.0)).alias(c) for c in base])
+        kept = keep if step == 1 else [*keep, "_done"]
+        now = state.select(*kept, F.try_element_at("_steps", F.lit(step)).alias("_now")).select(*kept, "_now", *fed)
         scored, outputs = predict(now, histories)
-        alive = F.col("_now").isNotNull()
-        made = F.array(F.struct(*[F.col(f"_now.{c}").alias(c) for c in carry], *outputs))
-        if step == 1:
-            grown = F.when(alive, made)
-        else:
+        if made is None:
+            made = F.array(F.struct(*known, *outputs))
             done = F.col("_done")
-            grown = F.when(alive, F.when(done.isNull(), made).otherwise(F.concat(done, made))).otherwise(done)
-        state = scored.select(
-            *by,
-            "_steps",
-            *[F.when(alive, _grow(h, F.col(f"_next_{h}"))).otherwise(F.col(h)).alias(h) for h in histories],
-            grown.alias("_done"),
-        )
+            first = F.when(alive, made).alias("_done")
+            later = F.when(alive, F.when(done.isNull(), made).otherwise(F.concat(done, made))).otherwise(done).alias("_done")
+        state = scored.select(*by, "_steps", *next_history, first if step == 1 else later)
         if step % lineage_every == 0 or step == horizon:
             state = cut_lineage(state)
     return state.select(*by, F.explode("_done").alias("_d")).select(*by, "_d.*")
@@ -418,46 +418,47 @@ def _two_stage_predictor(fit: TwoStage, base: list[str]):
 
     Each history is assembled once and its vector serves all models that look at it.
     """
-    views = {}
-    for h in ("_h_single", "_h_mae", "_h_recall"):
-        views[h] = VectorAssembler(inputCols=[*base, *[f"{c}{h}" for c in CASE_HISTORY]], outputCol=f"_x{h}")
-
-    def apply(rows: DataFrame, model, history: str, name: str) -> DataFrame:
-        return model.transform(rows, {model.featuresCol: f"_x{history}", model.predictionCol: name})
+    names = ("_h_single", "_h_mae", "_h_recall")
+    views = {
+        h: VectorAssembler(inputCols=[*base, *[f"{c}{h}" for c in CASE_HISTORY]], outputCol=f"_x{h}") for h in names
+    }
+    past = [
+        F.coalesce(column, F.lit(0.0)).alias(f"{c}{h}") for h in names for c, column in _case_history_columns(h).items()
+    ]
+
+    def reading(model, history: str, name: str):
+        return model.copy({model.featuresCol: f"_x{history}", model.predictionCol: name})
+
+    scorers = [reading(fit.single, "_h_single", "_single"), reading(fit.classifier, "_h_mae", "_class")]
+    for h in ("_h_mae", "_h_recall"):
+        scorers += [reading(fit.normal, h, f"_n{h}"), reading(fit.outbreak, h, f"_o{h}")]
+    p = F.col("outbreak_probability")
+    floored = {c: F.greatest(F.lit(0.0), F.col(c)) for c in ("_single", "_n_h_mae", "_o_h_mae", "_n_h_recall", "_o_h_recall")}
+    probability = fit.calibrator.apply(vector_to_array("_prob")[1]).alias("outbreak_probability")
+    answers = [
+        p,
+        (p >= F.col("mae_gate")).alias("mae_policy_alert"),
+        (p >= F.col("recall_gate")).alias("recall_policy_alert"),
+        floored["_single"].alias("_next__h_single"),
+        two_stage_value(p, F.col("mae_gate"), floored["_o_h_mae"], floored["_n_h_mae"]).alias("_next__h_mae"),
+        two_stage_value(p, F.col("recall_gate"), floored["_o_h_recall"], floored["_n_h_recall"]).alias("_next__h_recall"),
+    ]
+    outputs = [
+        F.col("_next__h_single").alias("single_stage_prediction"),
+        F.col("_next__h_mae").alias("two_stage_mae_prediction"),
+        F.col("_next__h_recall").alias("two_stage_recall_prediction"),
+        "outbreak_probability",
+        "mae_policy_alert",
+        "recall_policy_alert",
+    ]
 
     def predict(now: DataFrame, histories: list[str]):
-        past = {h: _case_history_columns(h) for h in histories}
-        rows = now.select(
-            "*", *[F.coalesce(past[h][c], F.lit(0.0)).alias(f"{c}{h}") for h in histories for c in CASE_HISTORY]
-        )
-        for h in histories:
+        rows = now.select("*", *past)
+        for h in names:
             rows = views[h].transform(rows)
-        rows = apply(rows, fit.single, "_h_single", "_single")
-        rows = apply(rows, fit.classifier, "_h_mae", "_class")
-        for h in ("_h_mae", "_h_recall"):
-            rows = apply(apply(rows, fit.normal, h, f"_n{h}"), fit.outbreak, h, f"_o{h}")
-        floor = lambda c: F.greatest(F.lit(0.0), F.col(c))
-        p = fit.calibrator.apply(vector_to_array("_prob")[1])
-        rows = rows.select(*now.columns, floor("_single").alias("_next__h_single"), p.alias("outbreak_probability"),
-                           *[floor(f"{k}{h}").alias(f"{k}{h}") for k in ("_n", "_o") for h in ("_h_mae", "_h_recall")])
-        p = F.col("outbreak_probability")
-        rows = rows.select(
-            *now.columns,
-            "outbreak_probability",
-            (p >= F.col("mae_gate")).alias("mae_policy_alert"),
-            (p >= F.col("recall_gate")).alias("recall_policy_alert"),
-            "_next__h_single",
-            two_stage_value(p, F.col("mae_gate"), F.col("_o_h_mae"), F.col("_n_h_mae")).alias("_next__h_mae"),
-            two_stage_value(p, F.col("recall_gate"), F.col("_o_h_recall"), F.col("_n_h_recall")).alias("_next__h_recall"),
-        )
-        return rows, [
-            F.col("_next__h_single").alias("single_stage_prediction"),
-            F.col("_next__h_mae").alias("two_stage_mae_prediction"),
-            F.col("_next__h_recall").alias("two_stage_recall_prediction"),
-            "outbreak_probability",
-            "mae_policy_alert",
-            "recall_policy_alert",
-        ]
+        for model in scorers:
+            rows = model.transform(rows)
+        return rows.select("*", probability).select(*now.columns, *answers), outputs
 
     return predict
 
