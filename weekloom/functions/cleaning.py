@@ -98,9 +98,10 @@ def fold_text(text: Column | str) -> Column:
     """
     one_from, one_to, several = _folding_tables()
     raw = _c(text)
-    whole = F.coalesce(_decompose(F.when(raw.rlike(several), raw)), raw)
+    ascii_only = ~raw.rlike(r"[^\x00-\x7F]")
+    whole = F.coalesce(_decompose(F.when(~ascii_only & raw.rlike(several), raw)), raw)
     plain = F.translate(F.upper(whole), one_from, one_to)
-    unmarked = F.regexp_replace(plain, _mark_class(), "")
+    unmarked = F.when(ascii_only, F.upper(raw)).otherwise(F.regexp_replace(plain, _mark_class(), ""))
     return F.trim(F.regexp_replace(unmarked, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}]+", " "))
 
 

@@ -82,13 +82,3 @@ def route_reliability(variant: Column) -> Column:
     for name, text in RELIABILITY.items():
         out = F.when(variant == name, text).otherwise(out)
     return out
-
-
-def array_quantile(sorted_values: Column, q: float) -> Column:
-    """Linear-interpolation quantile of an already sorted array."""
-    pos = F.lit(float(q)) * (F.size(sorted_values) - 1)
-    low = F.floor(pos).cast("int")
-    high = F.ceil(pos).cast("int")
-    a = F.try_element_at(sorted_values, low + 1)
-    b = F.try_element_at(sorted_values, high + 1)
-    return F.when(F.size(sorted_values) > 0, a + (pos - low) * (b - a))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
+from weekloom.config import cut_lineage
 from weekloom.functions.rules import freshness_level
 from weekloom.operators import metrics as M
 from weekloom.operators.ordered import exact_quantiles
@@ -180,7 +181,13 @@ def reconcile_metrics(reconciled: DataFrame, keys: list[str]) -> DataFrame:
             ).otherwise(F.array(F.lit("all_versioned_predictions")))
         ).alias("evaluation_basis"),
     )
-    return prediction_metrics(rows, [*keys, "evaluation_basis"])
+    needed = ["outbreak_alert", "outbreak_probability", "actual_outbreak", "actual_cases"]
+    needed += [f"predicted_cases_{t}" for t in ("p50", "p80", "p90")]
+    # Several ordered passes follow; they read the narrow, evaluated rows and not the whole join.
+    evaluated = cut_lineage(
+        rows.filter(F.col("actual_outbreak").isNotNull()).select(*keys, "evaluation_basis", *needed)
+    )
+    return prediction_metrics(evaluated, [*keys, "evaluation_basis"])
 
 
 def latest_row(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -18,7 +18,7 @@ DEFAULT_RANGES = 256
 def range_splits(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES) -> list[float]:
     """At most ``ranges`` cut points (a bounded driver result) of about equal depth."""
     points = [i / ranges for i in range(1, ranges)]
-    found = df.approxQuantile(value, points, 0.5 / ranges)
+    found = df.approxQuantile(value, points, 1.0 / ranges)
     return [float("-inf"), *sorted(set(found)), float("inf")]
 
 

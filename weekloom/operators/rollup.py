@@ -57,13 +57,26 @@ def _whole(column: str) -> Column:
     return F.col(column).try_cast("double").try_cast("int")
 
 
+def count_case_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Case rows per distinct combination of raw values, as ``case_rows``.
+
+    Places and classes repeat endlessly, so text rules are applied to the combinations and
+    not to the rows.
+    """
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("case_rows"))
+
+
 def case_level_weekly(
-    cases: DataFrame, keys: list[str], year: str = "ano", week: str = "semana"
+    cases: DataFrame, keys: list[str], year: str = "ano", week: str = "semana", weight: str | None = None
 ) -> DataFrame:
-    """Case rows to weekly counts; a quiet week inside the span is a real zero."""
+    """Case rows to weekly counts; a quiet week inside the span is a real zero.
+
+    ``weight`` names a count column of rows that were counted before.
+    """
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (
         cases.groupBy(*keys, _whole(year).alias("_y"), _whole(week).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("total_cases"))
+        .agg(amount.alias("total_cases"))
         .select(*keys, iso_week_start("_y", "_w", strict=True).alias("week_start_date"), "total_cases")
     )
     full = spine(counted, keys, "week_start_date", "week", zero=["total_cases"])
@@ -132,18 +145,18 @@ def spatial_daily(points: DataFrame, keys: list[str], expected_points: int, day:
         *[_call(kind, F.col(c)).alias(c) for c, kind in S.AREA_AGGREGATE.items()],
         # The point set is small and fixed, so the set stays small too.
         F.size(F.collect_set(F.when(complete, F.col("weather_point")))).cast("bigint").alias("point_count"),
+        F.collect_set("weather_source").alias("_sources"),
     )
-    # Every source the area drew on, on all of its days.
-    sources = points.groupBy(*keys).agg(
-        F.concat_ws("+", F.array_sort(F.collect_set("weather_source"))).alias("weather_source")
-    )
+    # Every source the area drew on, on all of its days; an area is as long as the calendar.
+    drawn = F.collect_set("_sources").over(Window.partitionBy(*keys))
+    sources = F.concat_ws("+", F.array_sort(F.array_distinct(F.flatten(drawn))))
     whole = F.col("point_count") == expected_points
-    return area.join(sources, keys).select(
+    return area.select(
         *keys,
         day,
         *[F.when(whole, F.col(c)).alias(c) for c in S.DAILY_WEATHER],
         "point_count",
-        F.coalesce(F.nullif(F.col("weather_source"), F.lit("")), F.lit("missing")).alias("weather_source"),
+        F.coalesce(F.nullif(sources, F.lit("")), F.lit("missing")).alias("weather_source"),
     )
 
 

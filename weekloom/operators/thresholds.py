@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import CYCLE_WEEKS, neighbour_weeks
-from weekloom.functions.rules import array_quantile
 
 NEAR, OUTBREAK = 0.60, 0.75
 
@@ -47,55 +46,34 @@ def seasonal_thresholds(
     )
 
 
-def prior_year_pool(cases: DataFrame, keys: list[str], value: str = "total_cases") -> DataFrame:
-    """Per series and year: how many earlier years exist and the quantiles of all their rows.
-
-    At most 53 values per year and a few dozen years make up one group.
-    """
-    yearly = cases.groupBy(*keys, "year").agg(F.collect_list(F.col(value).cast("double")).alias("_v"))
-    before = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    pooled = yearly.select(
-        *keys,
-        "year",
-        F.count(F.lit(1)).over(before).alias("prior_years"),
-        F.array_sort(F.flatten(F.collect_list("_v").over(before))).alias("_pool"),
-    )
-    return pooled.select(
-        *keys,
-        "year",
-        "prior_years",
-        array_quantile(F.col("_pool"), NEAR).alias("_pool_near"),
-        array_quantile(F.col("_pool"), OUTBREAK).alias("_pool_outbreak"),
-    )
-
-
 def expanding_outbreak_labels(
     cases: DataFrame, keys: list[str], minimum_prior_years: int = 3, width: int = 2, value: str = "total_cases"
 ) -> DataFrame:
     """Label each week against the q75 of nearby weeks of strictly earlier years.
 
-    Every row is copied to its neighbour weeks; a range frame over the year then sees just
-    the earlier years of one (series, week). No year loop, no range join.
+    Range frames over the year see just the earlier years: one window over a series for the
+    overall quantiles and the count of earlier years, one over (series, week slot) after
+    copying every row to its neighbour weeks. No year loop, no join, one pass over ``cases``.
+    A group is at most a series, that is a few thousand weeks.
     """
-    w = (
-        Window.partitionBy(*keys, "_slot")
-        .orderBy("year")
-        .rangeBetween(Window.unboundedPreceding, -1)
+    v = F.col(value).cast("double")
+    points = F.array(F.lit(NEAR), F.lit(OUTBREAK))
+    years = Window.partitionBy(*keys).orderBy("year")
+    before = years.rangeBetween(Window.unboundedPreceding, -1)
+    known = cases.select(
+        "*", (F.dense_rank().over(years) - 1).alias("_prior_years"), F.percentile(v, points).over(before).alias("_all")
     )
+    slot = Window.partitionBy(*keys, "_slot").orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
     steps = F.array(*[F.lit(d) for d in range(-width, width + 1)])
-    copied = cases.select("*", F.explode(steps).alias("_step")).withColumn(
+    copied = known.select("*", F.explode(steps).alias("_step")).withColumn(
         "_slot", (F.pmod(F.col("weekofyear") + F.col("_step") - 1, F.lit(CYCLE_WEEKS)) + 1).cast("int")
     )
-    near = copied.select(
-        *cases.columns,
-        "_step",
-        F.percentile(F.col(value).cast("double"), F.array(F.lit(NEAR), F.lit(OUTBREAK))).over(w).alias("_near"),
-    ).filter("_step = 0")
-    pool = prior_year_pool(cases, keys, value).filter(F.col("prior_years") >= minimum_prior_years)
-    threshold = F.coalesce(F.col("_near")[1], F.col("_pool_outbreak"))
-    return near.join(pool, [*keys, "year"]).select(
+    near = copied.select("*", F.percentile(v, points).over(slot).alias("_near"))
+    own = near.filter((F.col("_step") == 0) & (F.col("_prior_years") >= minimum_prior_years))
+    threshold = F.coalesce(F.col("_near")[1], F.col("_all")[1])
+    return own.select(
         *[F.col(c) for c in cases.columns],
-        F.coalesce(F.col("_near")[0], F.col("_pool_near")).alias("near_outbreak_threshold"),
+        F.coalesce(F.col("_near")[0], F.col("_all")[0]).alias("near_outbreak_threshold"),
         threshold.alias("outbreak_threshold"),
         (F.col(value) >= threshold).cast("int").alias("outbreak_label"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weekloom.config import cut_lineage
 from weekloom.operators import ledger as L
 from weekloom.operators import metrics as M
 from weekloom.operators import policy as P
@@ -248,25 +249,29 @@ def _(spark, sf):
 
 # --- promotion and model versions ------------------------------------------------------
 
-def route_metrics(spark, sf, years):
+def route_metrics(f, years):
     """Metrics of two routes over the given years: a stand-in for a trained model's report."""
-    f = V.forecasts(spark, sf).filter(years)
-    parts = []
-    for route, p in (("weather_only", "predicted_cases_p50"), ("weather_plus_recent_cases", "cases_lag_1")):
-        up, high = F.col(p) >= F.col("outbreak_threshold"), F.col("actual_outbreak") == 1
+    high = F.col("actual_outbreak") == 1
+    aggs = []
+    names = ["precision", "recall", "brier", "case_mae", "outbreak_week_mae", "persistence_mae"]
+    routes = {"weather_only": "predicted_cases_p50", "weather_plus_recent_cases": "cases_lag_1"}
+    for route, p in routes.items():
+        up = F.col(p) >= F.col("outbreak_threshold")
         error = F.abs(F.col("actual_cases") - F.col(p))
         hit = F.count_if(up & high)
-        wide = f.groupBy(*G).agg(
-            F.coalesce(hit / F.nullif(F.count_if(up), F.lit(0)), F.lit(0.0)).alias("precision"),
-            F.coalesce(hit / F.nullif(F.count_if(high), F.lit(0)), F.lit(0.0)).alias("recall"),
-            F.avg(F.pow(F.col("probability") - F.col("actual_outbreak"), 2)).alias("brier"),
-            F.avg(error).alias("case_mae"),
-            F.avg(F.when(high, error)).alias("outbreak_week_mae"),
-            F.avg(F.abs(F.col("actual_cases") - F.col("cases_lag_1"))).alias("persistence_mae"),
-        )
-        names = ["precision", "recall", "brier", "case_mae", "outbreak_week_mae", "persistence_mae"]
-        parts.append(wide.unpivot(G, names, "metric", "value").withColumn("route", F.lit(route)))
-    return parts[0].unionByName(parts[1]).filter("value IS NOT NULL").withColumn("value", F.round("value", 6))
+        values = [
+            F.coalesce(hit / F.nullif(F.count_if(up), F.lit(0)), F.lit(0.0)),
+            F.coalesce(hit / F.nullif(F.count_if(high), F.lit(0)), F.lit(0.0)),
+            F.avg(F.pow(F.col("probability") - F.col("actual_outbreak"), 2)),
+            F.avg(error),
+            F.avg(F.when(high, error)),
+            F.avg(F.abs(F.col("actual_cases") - F.col("cases_lag_1"))),
+        ]
+        aggs += [v.alias(f"{route}:{n}") for n, v in zip(names, values)]
+    wide = f.filter(years).groupBy(*G).agg(*aggs)
+    long = wide.unpivot(G, [f"`{r}:{n}`" for r in routes for n in names], "_name", "value").filter("value IS NOT NULL")
+    both = F.split("_name", ":")
+    return long.select(*G, both[0].alias("route"), both[1].alias("metric"), F.round("value", 6).alias("value"))
 
 
 def _route_sql(where):
@@ -311,14 +316,14 @@ WITH n AS ({_route_sql('year >= 2000')}), o AS ({_route_sql("year < 2000 AND geo
 
 def _promotion(spark, sf):
     late, early = F.col("year") >= 2000, (F.col("year") < 2000) & (F.col("geography") != "5-LOW")
-    f = V.forecasts(spark, sf)
+    f = cut_lineage(V.forecasts(spark, sf))  # read by both reports and both model lists
     model = lambda rows: rows.groupBy(*G).agg(
         F.max(WEEK).alias("training_data_cutoff"),
         F.lit(5).alias("model_schema_version"),
         F.lit(6).alias("case_forecast_schema_version"),
     )
     return P.promotion_rules(
-        route_metrics(spark, sf, late), route_metrics(spark, sf, early), model(f), model(f.filter(early)), G
+        route_metrics(f, late), route_metrics(f, early), model(f), model(f.filter(early)), G
     )
 
 

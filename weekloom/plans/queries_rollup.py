@@ -234,9 +234,10 @@ LEFT JOIN {_CASES} c ON c.geography = b.geography AND c.week_start_date = b.week
 GROUP BY ALL""",
 )
 def _(spark, sf):
-    kept = U.category_filter(case_rows(spark, sf), PLACES, "tipo_dx")
-    rows = kept.select(K.fold_text("distrito").alias("geography"), "ano", "semana")
-    return U.case_level_weekly(rows, G).select(*G, WEEK, "total_cases", "complete_week")
+    counted = U.count_case_rows(case_rows(spark, sf), ["departamento", "distrito", "tipo_dx", "ano", "semana"])
+    kept = U.category_filter(counted, PLACES, "tipo_dx")
+    rows = kept.select(K.fold_text("distrito").alias("geography"), "ano", "semana", "case_rows")
+    return U.case_level_weekly(rows, G, weight="case_rows").select(*G, WEEK, "total_cases", "complete_week")
 
 
 @query(
