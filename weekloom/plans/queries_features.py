@@ -211,8 +211,8 @@ _TARGETS = """
  (SELECT geography, CAST(week_start_date + 35 AS DATE) AS week_start_date FROM v_sparse)"""
 
 
-def live_targets(spark, sf):
-    return V.sparse(spark, sf).select(*G, F.date_add(WEEK, 35).alias(WEEK))
+def live_targets(cases):
+    return cases.select(*G, F.date_add(WEEK, 35).alias(WEEK))
 
 
 @query(
@@ -225,7 +225,8 @@ WHERE (week_start_date - anchor) % 7 = 0 AND (week_start_date - anchor) / 7 BETW
     ("v_sparse",),
 )
 def _(spark, sf):
-    return X.asof_report(V.sparse(spark, sf), live_targets(spark, sf), G, 2, 12)
+    s = V.sparse(spark, sf)
+    return X.asof_report(s, live_targets(s), G, 2, 12)
 
 
 @query(
@@ -265,8 +266,9 @@ FROM v_ledger l LEFT JOIN v_weekly w USING (geography, week_start_date)""",
     ("v_ledger",),
 )
 def _(spark, sf):
-    truth = V.weekly(spark, sf).select(*KEY, F.col("total_cases").alias("actual_cases"))
-    return J.lookup(V.ledger(spark, sf).select(*KEY, "as_of_date", "lead_weeks"), truth, KEY)
+    w = V.weekly(spark, sf)
+    truth = w.select(*KEY, F.col("total_cases").alias("actual_cases"))
+    return J.lookup(V.ledger(spark, sf, w).select(*KEY, "as_of_date", "lead_weeks"), truth, KEY)
 
 
 # --- windows and features --------------------------------------------------------------
@@ -424,7 +426,8 @@ FROM p GROUP BY ALL HAVING count(*) = 8""",
     ("v_sparse",),
 )
 def _(spark, sf):
-    return doubles(X.live_exact_features(V.sparse(spark, sf), live_targets(spark, sf), G).select(*KEY, *S.EXACT_FEATURES))
+    s = V.sparse(spark, sf)
+    return doubles(X.live_exact_features(s, live_targets(s), G).select(*KEY, *S.EXACT_FEATURES))
 
 
 @query(
@@ -449,7 +452,8 @@ FROM p GROUP BY geography, week_start_date, anchor HAVING count(*) = 8""",
     ("v_sparse",),
 )
 def _(spark, sf):
-    return doubles(X.live_delayed_features(V.sparse(spark, sf), live_targets(spark, sf), G, 1, 12))
+    s = V.sparse(spark, sf)
+    return doubles(X.live_delayed_features(s, live_targets(s), G, 1, 12))
 
 
 @query(
@@ -477,7 +481,7 @@ def _(spark, sf):
     from weekloom.operators.routing import route_targets
 
     s = V.sparse(spark, sf)
-    targets = live_targets(spark, sf).distinct()
+    targets = live_targets(s).distinct()
     routed = route_targets(targets, s, G, 2, 12)
     return routed.select(
         *KEY, "model_variant", "case_forecast_reliability", "case_report_anchor_week", "case_report_age_weeks"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
-from weekloom.config import working_path
+from weekloom.config import cut_lineage, working_path
 from weekloom.functions.calendar import iso_week, iso_year
 from weekloom.functions.cleaning import fold_text
 from weekloom.operators import rollup as U
@@ -228,7 +228,7 @@ SELECT geography, as_of_date, week_start_date, lead_weeks, model_version,
 )
 def _(spark, sf):
     path = working_path(spark, "ledger")
-    rows = _full_ledger(spark, sf)
+    rows = cut_lineage(_full_ledger(spark, sf))
     sinks.upsert_ledger(rows, path)
     again = rows.filter(F.col("as_of_date") >= F.lit("2001-01-01").cast("date"))
     again = again.withColumn("predicted_cases_p50", F.col("predicted_cases_p50") + 1)
@@ -358,9 +358,9 @@ FROM v_ledger l LEFT JOIN (SELECT * FROM v_weekly WHERE week_start_date + 6 <= D
 )
 def _(spark, sf):
     base = working_path(spark, "stream-reconcile")
-    _full_ledger(spark, sf).write.parquet(base + "/landing")
-    landed = spark.readStream.schema(S.LEDGER).parquet(base + "/landing")
     truth = V.weekly(spark, sf)
+    _full_ledger(spark, sf, truth).write.parquet(base + "/landing")
+    landed = spark.readStream.schema(S.LEDGER).parquet(base + "/landing")
     joined = streams.reconcile(landed, truth, KEY, F.lit("2001-06-30").cast("date"))
     out = streams.run_to_table(spark, joined, base)
     return out.select(*LEDGER_ROW, "actual_cases", "actual_outbreak")

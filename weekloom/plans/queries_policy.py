@@ -39,7 +39,7 @@ SELECT geography, count(*) AS held_out_rows, round(avg(abs(actual_cases - predic
     ("v_forecast",),
 )
 def _(spark, sf):
-    return doubles(M.mae_split(V.forecasts(spark, sf), G))
+    return doubles(M.mae_split(cut_lineage(V.forecasts(spark, sf)), G))
 
 
 @query(
@@ -83,7 +83,8 @@ def _(spark, sf):
     ("v_ledger",),
 )
 def _(spark, sf):
-    rows = V.ledger(spark, sf).join(V.weekly(spark, sf).select(*KEY, "total_cases"), KEY)
+    w = V.weekly(spark, sf)
+    rows = V.ledger(spark, sf, w).join(w.select(*KEY, "total_cases"), KEY)
     tagged = rows.withColumn("actual_outbreak", F.col("total_cases") >= F.col("historical_outbreak_threshold_cases"))
     return doubles(M.confusion(tagged, [*G, "lead_weeks"]))
 
@@ -101,12 +102,12 @@ SELECT {k}CASE WHEN max(pos) > 0 AND max(pos) < max(tot) THEN round(sum(p * cp /
 
 @query("metric_average_precision", _ap_sql("v_scores", "geography", "probability", "label"), ("v_scores",))
 def _(spark, sf):
-    return doubles(M.average_precision(V.scores(spark, sf), G))
+    return doubles(M.average_precision(cut_lineage(V.scores(spark, sf)), G))
 
 
 @query("metric_average_precision_overall", _ap_sql("v_scores", "", "probability", "label"), ("v_scores",))
 def _(spark, sf):
-    return doubles(M.average_precision(V.scores(spark, sf), []))
+    return doubles(M.average_precision(cut_lineage(V.scores(spark, sf)), []))
 
 
 @query("metric_brier", "SELECT geography, round(avg(pow(probability - label, 2)), 6) AS brier FROM v_scores GROUP BY ALL", ("v_scores",))
@@ -175,7 +176,7 @@ JOIN (SELECT *, row_number() OVER (PARTITION BY geography ORDER BY recall >= 0.8
     ("v_forecast",),
 )
 def _(spark, sf):
-    f = V.forecasts(spark, sf)
+    f = cut_lineage(V.forecasts(spark, sf))
     return P.policy_gates(
         f, G, "probability", "actual_outbreak", "actual_cases", "predicted_cases_p90", "predicted_cases_p50"
     )
@@ -218,7 +219,7 @@ SELECT geography, round(greatest(0, quantile_cont(actual_cases - predicted_cases
     ("v_forecast",),
 )
 def _(spark, sf):
-    return doubles(P.upper_offsets(V.forecasts(spark, sf), G, "actual_cases", "predicted_cases_p50"))
+    return doubles(P.upper_offsets(cut_lineage(V.forecasts(spark, sf)), G, "actual_cases", "predicted_cases_p50"))
 
 
 @query(
@@ -434,7 +435,7 @@ FROM v_ledger l JOIN (SELECT geography, max(generated_at_utc) AS generated_at_ut
     ("v_ledger",),
 )
 def _(spark, sf):
-    return L.latest_complete_issue(V.ledger(spark, sf), G).select(*LEDGER_ROW)
+    return L.latest_complete_issue(cut_lineage(V.ledger(spark, sf)), G).select(*LEDGER_ROW)
 
 
 @query(
@@ -495,7 +496,8 @@ _RECONCILED = """
 
 def _reconciled(spark, sf):
     as_of = F.lit("2001-06-30").cast("date")
-    return L.attach_truth(V.ledger(spark, sf), V.weekly(spark, sf), KEY, as_of, 4)
+    w = V.weekly(spark, sf)
+    return L.attach_truth(V.ledger(spark, sf, w), w, KEY, as_of, 4)
 
 
 @query(
@@ -583,7 +585,8 @@ UNION ALL SELECT geography, 'estimate', week_start_date, NULL, NULL, round(predi
     ("v_ledger",),
 )
 def _(spark, sf):
-    return doubles(Z.reported_and_estimated(V.weekly(spark, sf), V.ledger(spark, sf), G))
+    w = V.weekly(spark, sf)
+    return doubles(Z.reported_and_estimated(w, V.ledger(spark, sf, w), G))
 
 
 @query(
@@ -609,20 +612,21 @@ def _(spark, sf):
     )
 
 
-def _full_ledger(spark, sf):
+def _full_ledger(spark, sf, cases=None):
     from weekloom import schemas as S
     from weekloom.operators.joins import conform
 
-    return conform(V.ledger(spark, sf), S.LEDGER)
+    return conform(V.ledger(spark, sf, cases), S.LEDGER)
 
 
 def snapshot(spark, sf):
     from weekloom import schemas as S
     from weekloom.operators.joins import conform
 
-    cases = conform(V.weekly(spark, sf).withColumn("complete_week", F.lit(True)), S.CASE_TABLE)
+    w = V.weekly(spark, sf)
+    cases = conform(w.withColumn("complete_week", F.lit(True)), S.CASE_TABLE)
     newest = cases.groupBy(*G).agg(F.max(WEEK).alias("latest"))
-    led = _full_ledger(spark, sf).join(newest, G)
+    led = cut_lineage(_full_ledger(spark, sf, w).join(newest, G))
     led = led.withColumn("latest_case_week", F.col("latest")).withColumn(
         "case_data_age_weeks", F.datediff(WEEK, "latest") / 7.0
     )

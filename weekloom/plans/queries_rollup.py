@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
+from weekloom.config import cut_lineage
 from weekloom.functions import calendar as C
 from weekloom.functions import cleaning as K
 from weekloom.functions import rules as R
@@ -476,7 +477,7 @@ def area_daily(spark, sf):
 
 
 def area_weekly(spark, sf):
-    return U.daily_to_weekly(area_daily(spark, sf), G, as_of=F.lit("2001-06-30").cast("date"))
+    return cut_lineage(U.daily_to_weekly(area_daily(spark, sf), G, as_of=F.lit("2001-06-30").cast("date")))
 
 
 def _round_list(columns):

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.config import cut_lineage
 from weekloom.functions.calendar import iso_week, iso_year, week_floor
 from weekloom.operators.features import case_lags
 from weekloom.operators.thresholds import expanding_outbreak_labels
@@ -48,9 +49,13 @@ def doubles(df: DataFrame) -> DataFrame:
 
 
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders per priority and week: a weekly case table of five series."""
+    """Orders per priority and week: a weekly case table of five series, stored as the pipeline stores it.
+
+    A reliable checkpoint stands for the stored table: raw rows are read once however often
+    a query looks at its weeks.
+    """
     o = table(spark, sf, "orders")
-    return (
+    return cut_lineage(
         o.groupBy(F.col("o_orderpriority").alias("geography"), week_floor("o_orderdate").alias("week_start_date"))
         .agg(
             F.count(F.lit(1)).alias("total_cases"),
@@ -70,7 +75,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
 def sparse(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per customer nation and week; many inner weeks are empty."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return (
+    return cut_lineage(
         o.join(c, o.o_custkey == c.c_custkey)
         .groupBy(F.col("c_nationkey").cast("string").alias("geography"), week_floor("o_orderdate").alias("week_start_date"))
         .agg(
@@ -161,17 +166,18 @@ def old_weekly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return expanding_outbreak_labels(weekly(spark, sf), G).withColumn(
+def labelled(spark: SparkSession, sf: str, cases: DataFrame | None = None) -> DataFrame:
+    return expanding_outbreak_labels(cases or weekly(spark, sf), G).withColumn(
         "outbreak_threshold", F.round("outbreak_threshold", 6)
     )
 
 
-def forecasts(spark: SparkSession, sf: str) -> DataFrame:
+def forecasts(spark: SparkSession, sf: str, cases: DataFrame | None = None) -> DataFrame:
     """Held-out rows of a plain model: the mean of the last four weeks and wider bands."""
-    past = case_lags(weekly(spark, sf), G).select("geography", "week_start_date", "cases_lag_1", "cases_mean_4")
+    cases = cases or weekly(spark, sf)
+    past = case_lags(cases, G).select("geography", "week_start_date", "cases_lag_1", "cases_mean_4")
     m = F.col("cases_mean_4")
-    return labelled(spark, sf).join(past, [*G, "week_start_date"]).select(
+    return labelled(spark, sf, cases).join(past, [*G, "week_start_date"]).select(
         "geography",
         "week_start_date",
         "year",
@@ -187,9 +193,9 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ledger(spark: SparkSession, sf: str) -> DataFrame:
+def ledger(spark: SparkSession, sf: str, cases: DataFrame | None = None) -> DataFrame:
     """A prediction ledger: every held-out week issued once in time and once a week ahead."""
-    f = forecasts(spark, sf)
+    f = forecasts(spark, sf, cases)
     both = f.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("lead_weeks"))
     as_of = F.date_sub("week_start_date", F.col("lead_weeks") * 7)
     p, t = F.col("predicted_cases_p50"), F.col("outbreak_threshold")
