@@ -244,10 +244,10 @@ def candidate_groups(docs: DataFrame) -> DataFrame:
     whole = by_sig.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = signed.select(
         "set", F.lag("set").over(by_sig).alias("before"), F.min("set").over(whole).alias("least"), F.max("set").over(whole).alias("most"),
-        F.sum(F.hash("set", F.lit(1)).cast("long") * F.hash("set").cast("long")).over(whole).alias("g"),
+        F.sum(F.hash("set").cast("long")).over(whole).alias("g1"), F.sum(F.hash("set", F.lit(1)).cast("long")).over(whole).alias("g2"),
     )
     rows = rows.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set"))))
-    return rows.select("g", "least", "most", "set").distinct()
+    return rows.select(F.xxhash64("g1", "g2", "least", "most").alias("g"), "set").distinct()
 
 
 def decide(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     classes = stored(classes, "classes")
-    groups = stored(candidate_groups(rows.where("doc_id IS NOT NULL")), "groups").withColumn("g", F.xxhash64("g", "least", "most"))
+    groups = stored(candidate_groups(rows.where("doc_id IS NOT NULL")), "groups")
 
     # Sketches and whole sets of the classes that are in any group, from one document of each.
     met = stored(groups.select("set").distinct().join(classes, "set"), "met")
