@@ -29,7 +29,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # No alias where the name is right: plans of both sides of a self-join then look alike and share an exchange.
+    key = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    return docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def partitions(spark: SparkSession) -> int:

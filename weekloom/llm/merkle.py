@@ -120,11 +120,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its quarter is cut off. Columns other than the two named are not read.
     """
     rows = id_text(docs, id_col, text_col)
-    placed = rows.join(neighbours(rows).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    heads = with_tree(placed.where("previous_id IS NOT NULL"), F.col("text"), "next_").select(
+    # Both joins deal the same rows by id, so that texts are shuffled once.
+    named = rows.where("doc_id IS NOT NULL")
+    placed = named.hint("merge").join(neighbours(rows).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    heads = with_tree(placed, F.col("text"), "next_").select(
         F.col("previous_id").alias("_id"), F.expr("substring(text, 1, take)").alias("head"), "next_root", "next_leaves"
     )
-    both = placed.select("doc_id", "text", F.length("text").alias("n_chars")).join(heads, F.col("doc_id") == F.col("_id"), "left")
+    both = named.hint("merge").join(heads, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    both = both.unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True)
+    both = both.withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     both = both.withColumn("cut", cut).withColumn(
         "edited", F.expr("concat(substring(text, 1, n_chars - cut), substring(coalesce(head, ''), 1, cut))")
