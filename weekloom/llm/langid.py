@@ -196,7 +196,7 @@ def fit(rows: DataFrame, settings: LangSettings = LangSettings()) -> LangModel:
     return LangModel(list(pieces), classes, [parse_table(v, classes) for v in pieces.values()])
 
 
-def _predictor(shared):
+def _predictor(shared, keep_text):
     model = LangModel(*shared.value)
 
     def of_batch(batch):
@@ -206,8 +206,8 @@ def _predictor(shared):
             a, b = model.predict(texts[lo : lo + 2048])
             langs += a
             scores += b
-        columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
+        names = [n for n in batch.schema.names if keep_text or n != "text"]
+        columns = [batch.column(n) for n in names]
         return pa.RecordBatch.from_arrays(
             [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
         )
@@ -215,11 +215,11 @@ def _predictor(shared):
     return of_batch
 
 
-def predict(docs: DataFrame, model: LangModel) -> DataFrame:
+def predict(docs: DataFrame, model: LangModel, keep_text: bool = False) -> DataFrame:
     """``docs``: text and further columns, which stay; adds lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.classes, model.tables))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", lang_pred string, score double"
-    return docs.mapInArrow(arrow_map(_predictor, shared), schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if keep_text or n != "text") + ", lang_pred string, score double"
+    return docs.mapInArrow(arrow_map(_predictor, shared, keep_text), schema)
 
 
 def identify(

@@ -126,6 +126,13 @@ def shared_line_hashes(docs: DataFrame, min_chars: int, min_docs: int, batches:
         runs.close()
 
 
+def kept_lines(text: str, gone, min_chars: int) -> str:
+    if not gone:
+        return text
+    out = set(gone)
+    return "\n".join(line for line in text.split("\n") if line_hash(line, min_chars) not in out)
+
+
 def _cutter(min_chars: int):
     def of_batch(batch):
         texts, n_lines, n_dropped = [], [], []
@@ -169,3 +176,25 @@ def line_dedup(
     return rows.join(gone.hint("merge"), "doc_id", "left").mapInArrow(
         arrow_map(_cutter, min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string"
     )
+
+
+def _text_cutter(min_chars: int):
+    def of_batch(batch):
+        names = [n for n in batch.schema.names if n != "gone"]
+        texts = [
+            kept_lines(text or "", gone, min_chars)
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)
+        ]
+        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return of_batch
+
+
+def deduplicated_documents(
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3
+) -> DataFrame:
+    """The documents, all columns as they are, with the lines that go cut out of ``text``."""
+    gone = shared_line_hashes(id_text(docs), min_chars, min_docs, batches, fanout)
+    joined = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, "gone")
+    return joined.mapInArrow(arrow_map(_text_cutter, min_chars), docs.schema)

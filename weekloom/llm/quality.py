@@ -170,3 +170,23 @@ def quality_rules(
     kind = dict(rows.dtypes)["doc_id"]
     schema = SCHEMA.replace("doc_id long", f"doc_id {kind}", 1) + (", clean_text string" if with_text else "")
     return rows.mapInArrow(arrow_map(_assessor, rules, with_text), schema)
+
+
+def _filter(rules: LineRules):
+    def of_batch(batch):
+        texts = batch.column("text").to_pylist()
+        kept, at = [], []
+        for i, text in enumerate(texts):
+            row = assess(text or "", rules)
+            if row[6]:
+                kept.append(row[9])
+                at.append(i)
+        batch = batch.take(pa.array(at, pa.int64()))
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
+
+    return of_batch
+
+
+def cleaned_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """Documents that pass, all columns as they are, with ``text`` cleaned."""
+    return docs.mapInArrow(arrow_map(_filter, rules), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import jaccard, langid, linededup, lm, merkle, packing, quality, warc
+from weekloom.llm import html_text, jaccard, langid, linededup, lm, merkle, packing, pieces, quality, warc
 from weekloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per chunk: ids by the vocabulary, and the text that decodes from them."""
+    path = vocabulary("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", "chunk", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -57,6 +68,14 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), lm.crc_share("doc_id", 7, 2))
 
 
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.page_texts(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
