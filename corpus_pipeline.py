@@ -1,8 +1,8 @@
 """Corpus pipeline over ``documents``: every stage is one of the operators in ``weekloom.llm``.
 
 Stages take (spark, docs, sf_dir) and work on all that the stage before kept. All but the last
-return the columns of ``documents``. Null texts are empty; columns beyond those of ``documents`` pass
-the first four stages by; an empty table stays empty. Rows that repeat an id each go their way, and
+return the columns of ``documents``. Null texts are empty; columns beyond those of ``documents`` are
+not read, whatever their names; an empty table stays empty. Rows that repeat an id each go their way, and
 rows with a null id are never taken for copies.
 """
 
@@ -16,37 +16,41 @@ from weekloom.llm.common import stored
 from weekloom.llm.lm import crc_share
 from weekloom.llm.queries import split_pattern, vocabulary
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts and texts without a letter) go; ``lang`` becomes the prediction.
 
     Where nothing can be learned, nothing is rejected.
     """
+    docs = docs.select(*COLUMNS)
     model = langid.fit(docs.select("doc_id", "text", "lang").where(~crc_share("doc_id", 5, 0)))
     if not model.languages:
         return docs
     found = langid.predict(docs, model, keep_text=True)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go, and documents that lose too much or fail the base counts."""
-    kept = quality.cleaned_documents(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = quality.cleaned_documents(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines shared by documents stay in one; documents left without a word go."""
-    kept = linededup.deduplicated_documents(docs)
+    kept = linededup.deduplicated_documents(docs.select(*COLUMNS))
     kept = kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest id stays."""
-    found = jaccard.similarity_components(docs.select("doc_id", "text"))
+    docs = docs.select(*COLUMNS)
+    found = jaccard.similarity_components(docs)
     gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
