@@ -265,8 +265,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_shingles, component_id (smallest id that links reach), n_links (of its class to other classes).
 
     A null or empty text, or one without words, has no shingle and links with nothing. Rows with
-    equal sets are one class; rows that repeat an id are in one component when equal. A row with a
-    null id is described but is no one's partner. Columns other than the two named are not read.
+    equal sets are one class. A row with a null id takes the component of a named row with the same set,
+    or none, and is no one's partner. Columns other than the two named are not read.
     """
     rows = id_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]

@@ -105,7 +105,7 @@ def shared_line_hashes(docs: DataFrame, min_chars: int, min_docs: int, batches:
     lines = stored(lines.distinct(), "lines")
     # Cut points only set the size of the batches, not the result.
     points = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(lines.approxQuantile("doc_id", points, 0.02)))
+    cuts = sorted(set(lines.approxQuantile("doc_id", points, 0.02))) if points else []
     bounds = [None, *cuts, None]
     runs = LineRuns(spark, fanout)
     try:
