@@ -36,22 +36,64 @@ class Policy:
     guardrails: Guardrails = field(default_factory=Guardrails)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+
+
+def on_shared_disk(folder: str, local: bool) -> str:
+    """``folder`` itself, if executors of several machines can share it."""
+    if not local and folder.startswith("file:"):
+        raise ValueError(f"{folder} is local to one machine; set spark.checkpoint.dir to a folder that all executors see")
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set."""
+    """Folder of working tables: the one the cluster names in spark.checkpoint.dir, as it is.
+
+    Where none is named, a folder below the home folder of the cluster's default file system; on
+    one machine a temporary one. A default file system that is local is refused on a cluster.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    made = tempfile.mkdtemp(prefix="weekloom-")
+    local = is_local(spark)
+    if local:
+        made = tempfile.mkdtemp(prefix="weekloom-")
+    else:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(hadoop)
+        made = on_shared_disk(f"{files.getHomeDirectory().toString()}/.weekloom-{uuid.uuid4().hex}", local)
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove the working tables of this session; results that still read them must be stored before."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+
+
+_MADE: dict[str, list[str]] = {}
+
+
 def working_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one run's tables."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored_small(df: DataFrame, name: str = "small") -> DataFrame:
+    """Stored as Parquet and read again, so that Spark knows the real size of a small side of a join."""
+    path = working_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
