@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def _c(value: Column | str) -> Column:
@@ -85,21 +83,37 @@ def _mark_class() -> str:
     return _char_class([p for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))]) + "+"
 
 
-@F.pandas_udf(StringType())
-def _decompose(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD")
+@lru_cache(maxsize=1)
+def _unfolded() -> str:
+    """Entries ``character, its letters`` for all characters that unfold to several, from the Unicode rule."""
+    entries = []
+    for point in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        ch = chr(point)
+        letters = unicodedata.normalize("NFKD", ch)
+        if letters != ch and (point > 0xFFFF or len(letters) > 1):
+            bare = "".join(c for c in letters if not unicodedata.combining(c)).upper()
+            if point > 0xFFFF or len(bare) > 1:
+                entries.append(f"{ch}\x02{bare}")
+    return "\x01".join(entries)
+
+
+def _decompose(text: Column) -> Column:
+    """Characters that unfold to several, spelled out; the table is a constant of the plan."""
+    letters = F.str_to_map(F.lit(_unfolded()), F.lit("\x01"), F.lit("\x02"))
+    several = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
+    return F.concat_ws("", F.transform(several, lambda c: F.coalesce(F.element_at(letters, c), c)))
 
 
 def fold_text(text: Column | str) -> Column:
     """Upper case, no accents, single blanks; compatibility characters are spelled out.
 
-    Expressions do all of it for ordinary text. Only texts with a character that unfolds to
-    several (a ligature, an ellipsis) are sent to Python for the full decomposition.
+    Expressions do all of it. Only texts with a character that unfolds to several (a ligature,
+    an ellipsis) are taken apart and looked up character by character.
     """
     one_from, one_to, several = _folding_tables()
     raw = _c(text)
     ascii_only = ~raw.rlike(r"[^\x00-\x7F]")
-    whole = F.coalesce(_decompose(F.when(~ascii_only & raw.rlike(several), raw)), raw)
+    whole = F.when(~ascii_only & raw.rlike(several), _decompose(raw)).otherwise(raw)
     plain = F.translate(F.upper(whole), one_from, one_to)
     unmarked = F.when(ascii_only, F.upper(raw)).otherwise(F.regexp_replace(plain, _mark_class(), ""))
     return F.trim(F.regexp_replace(unmarked, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}]+", " "))

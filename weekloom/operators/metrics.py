@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.config import stored_small
 from weekloom.functions.rules import safe_ratio
 from weekloom.operators.ordered import exact_quantiles, running_totals
 
@@ -163,8 +164,8 @@ def class_weights(df: DataFrame, keys: list[str], label: str = "outbreak_label",
 
     Counts are aggregated per key and joined back, so no group is gathered for a window.
     """
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label).cast("int") == 1).alias("_p")
+    counts = stored_small(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label).cast("int") == 1).alias("_p"))
     )
     joined = df.join(counts, keys) if keys else df.crossJoin(F.broadcast(counts))
     n, p = F.col("_n"), F.col("_p")

@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.functions.cleaning import finite
+
 DEFAULT_RANGES = 256
 
 
@@ -78,8 +80,11 @@ def exact_quantiles(
     points: dict[str, float],
     splits: list[float] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key; one output column per named point."""
-    present = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    """Exact linear-interpolation quantiles per key; one output column per named point.
+
+    NaN and infinities are no values.
+    """
+    present = df.select(*keys, finite(value).alias("_v")).filter(F.col("_v").isNotNull())
     counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     splits = splits or range_splits(present, "_v")
     placed = running_totals(counted, keys, "_v", ["_n"], splits=splits)

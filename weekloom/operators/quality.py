@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.config import stored_small
 from weekloom.operators.ordered import exact_quantiles, unpivot
 
 
@@ -24,12 +25,11 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def column_presence(df: DataFrame, required: list[str]) -> DataFrame:
-    """One row per required column and whether the table has it."""
-    have = F.array(*[F.lit(c) for c in df.columns])
-    return (
-        df.sparkSession.range(1)
-        .select(F.explode(F.array(*[F.lit(c) for c in required])).alias("column_name"))
-        .select("column_name", F.array_contains(have, F.col("column_name")).alias("present"))
+    """One row per required column: whether the table has it, and how many rows fill it."""
+    have = [c for c in required if c in df.columns]
+    filled = df.agg(*[F.count(c).alias(c) for c in have], *[F.lit(0).cast("bigint").alias(c) for c in required if c not in have])
+    return filled.unpivot([], required, "column_name", "value_count").select(
+        "column_name", F.col("column_name").isin(have).alias("present"), "value_count"
     )
 
 
@@ -188,8 +188,8 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -
 def outlier_counts(df: DataFrame, column: str, keys: list[str] | None = None, deviations: float = 2.0) -> DataFrame:
     """Rows above mean + ``deviations`` sample deviations."""
     keys = keys or []
-    limits = df.groupBy(*keys).agg(
-        (F.avg(column) + F.lit(deviations) * F.stddev_samp(column)).alias("upper_limit")
+    limits = stored_small(
+        df.groupBy(*keys).agg((F.avg(column) + F.lit(deviations) * F.stddev_samp(column)).alias("upper_limit"))
     )
     if keys:
         joined = df.select(*keys, column).join(limits, keys)

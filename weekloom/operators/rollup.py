@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.config import stored_small
 from weekloom import schemas as S
 from weekloom.functions.calendar import iso_week_start, week_floor
 from weekloom.functions.cleaning import fold_text
@@ -95,6 +96,23 @@ def _call(kind: str, column: Column) -> Column:
     return {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[kind](column)
 
 
+def hourly_aggregates(hours: str) -> list[Column]:
+    """Daily fields from hourly ones, and ``hours``: the readings of the field that has the fewest."""
+    return [
+        F.avg("temperature_2m").alias("temperature_2m_mean"),
+        F.max("temperature_2m").alias("temperature_2m_max"),
+        F.min("temperature_2m").alias("temperature_2m_min"),
+        F.sum("precipitation").alias("precipitation_sum"),
+        F.sum("rain").alias("rain_sum"),
+        F.count_if(F.col("precipitation") >= S.WET_DAY_MM).cast("double").alias("precipitation_hours"),
+        F.avg("relative_humidity_2m").alias("relative_humidity_2m_mean"),
+        F.avg("dew_point_2m").alias("dew_point_2m_mean"),
+        F.avg("soil_moisture_0_to_7cm").alias("soil_moisture_0_to_7cm_mean"),
+        F.sum("et0_fao_evapotranspiration").alias("et0_fao_evapotranspiration"),
+        F.least(*[F.count(c) for c in S.HOURLY_WEATHER]).alias(hours),
+    ]
+
+
 def hourly_to_daily(hourly: DataFrame, keys: list[str], time: str = "time", target: str | None = None) -> DataFrame:
     """Hourly fields to daily ones, kept only for weeks with 24 readings of every field on all 7 days.
 
@@ -106,19 +124,7 @@ def hourly_to_daily(hourly: DataFrame, keys: list[str], time: str = "time", targ
     if target:
         tagged = tagged.filter(F.col("date").between(F.col("_week"), F.date_add("_week", 6)))
     f = F.col
-    daily = tagged.groupBy(*keys, "_week", "date").agg(
-        F.avg("temperature_2m").alias("temperature_2m_mean"),
-        F.max("temperature_2m").alias("temperature_2m_max"),
-        F.min("temperature_2m").alias("temperature_2m_min"),
-        F.sum("precipitation").alias("precipitation_sum"),
-        F.sum("rain").alias("rain_sum"),
-        F.count_if(f("precipitation") >= S.WET_DAY_MM).cast("double").alias("precipitation_hours"),
-        F.avg("relative_humidity_2m").alias("relative_humidity_2m_mean"),
-        F.avg("dew_point_2m").alias("dew_point_2m_mean"),
-        F.avg("soil_moisture_0_to_7cm").alias("soil_moisture_0_to_7cm_mean"),
-        F.sum("et0_fao_evapotranspiration").alias("et0_fao_evapotranspiration"),
-        F.least(*[F.count(c) for c in S.HOURLY_WEATHER]).alias("_hours"),
-    )
+    daily = tagged.groupBy(*keys, "_week", "date").agg(*hourly_aggregates("_hours"))
     # Seven rows per window group at most.
     same_week = Window.partitionBy(*keys, "_week")
     checked = daily.select(
@@ -147,9 +153,13 @@ def spatial_daily(points: DataFrame, keys: list[str], expected_points: int, day:
         F.size(F.collect_set(F.when(complete, F.col("weather_point")))).cast("bigint").alias("point_count"),
         F.collect_set("weather_source").alias("_sources"),
     )
-    # Every source the area drew on, on all of its days; an area is as long as the calendar.
-    drawn = F.collect_set("_sources").over(Window.partitionBy(*keys))
-    sources = F.concat_ws("+", F.array_sort(F.array_distinct(F.flatten(drawn))))
+    # Every source the area drew on, on all of its days: a few names an area, from the stored days.
+    area = stored_small(area, "area-days")
+    drawn = stored_small(
+        area.select(*keys, F.explode("_sources").alias("_s")).groupBy(*keys).agg(F.array_sort(F.collect_set("_s")).alias("_drawn"))
+    )
+    area = area.join(drawn, keys, "left")
+    sources = F.concat_ws("+", "_drawn")
     whole = F.col("point_count") == expected_points
     return area.select(
         *keys,

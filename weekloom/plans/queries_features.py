@@ -27,8 +27,10 @@ KEY = [*G, WEEK]
 @query(
     "dq_required_columns",
     """
-SELECT column_name, column_name IN (SELECT column_name FROM (DESCRIBE orders)) AS present
-FROM (VALUES ('o_orderkey'), ('o_orderdate'), ('o_orderpriority'), ('hospitalized_cases')) AS t(column_name)""",
+SELECT 'o_orderkey' AS column_name, TRUE AS present, count(o_orderkey) AS value_count FROM orders
+UNION ALL SELECT 'o_orderdate', TRUE, count(o_orderdate) FROM orders
+UNION ALL SELECT 'o_orderpriority', TRUE, count(o_orderpriority) FROM orders
+UNION ALL SELECT 'hospitalized_cases', FALSE, 0""",
 )
 def _(spark, sf):
     return Q.column_presence(
@@ -80,16 +82,13 @@ def _(spark, sf):
 
 @query(
     "dq_null_counts",
-    """
-SELECT 'soil_moisture_0_to_7cm_mean' AS column_name, count(*) FILTER (WHERE soil_moisture_0_to_7cm_mean IS NULL) AS null_count FROM v_spatial
-UNION ALL SELECT 'temperature_2m_mean', count(*) FILTER (WHERE temperature_2m_mean IS NULL) FROM v_spatial
-UNION ALL SELECT 'date', count(*) FILTER (WHERE date IS NULL) FROM v_spatial""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM v_spatial" for c in ("date", *S.DAILY_WEATHER)
+    ),
     ("v_spatial",),
 )
 def _(spark, sf):
-    d = area_daily(spark, sf).select("soil_moisture_0_to_7cm_mean", "temperature_2m_mean", "date")
-    nulls = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in d.columns])
-    return nulls.unpivot([], d.columns, "column_name", "null_count")
+    return Q.null_counts(area_daily(spark, sf), ["date", *S.DAILY_WEATHER])
 
 
 @query(

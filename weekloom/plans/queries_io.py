@@ -169,14 +169,18 @@ def _(spark, sf):
     path = working_path(spark, "case-csv")
     o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
     klass = F.when(F.col("o_orderstatus") == "O", "C").when(F.col("o_orderstatus") == "P", "p ").otherwise("S")
-    o.join(c, o.o_custkey == c.c_custkey).select(
+    made = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey",
         iso_year("o_orderdate").alias("AÑO"),
         iso_week("o_orderdate").alias("Semana"),
         F.concat(F.lower("c_mktsegment"), F.lit("  São")).alias("Departamento"),
         F.lit("Añasco").alias("Provincia"),
         F.lit("x").alias("Distrito"),
         klass.alias("Tipo dx"),
-    ).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    )
+    for rest, encoding in enumerate(("ISO-8859-1", "UTF-8")):  # files of both encodings in one folder
+        part = made.where(F.col("o_orderkey") % 2 == rest).drop("o_orderkey")
+        part.write.mode("append").option("header", True).option("encoding", encoding).csv(path)
     rows = readers.read_case_level_csv(spark, path)
     kept = U.category_filter(rows, {"provincia": ["ANASCO"]}, "tipo_dx")
     return kept.groupBy(
@@ -312,9 +316,12 @@ def _(spark, sf):
     "stream_hourly_daily",
     """
 SELECT event_type AS geography, CAST(ts AS DATE) AS date, round(avg(value), 6) AS temperature_2m_mean, max(value) AS temperature_2m_max,
- min(value) AS temperature_2m_min, round(sum(value), 6) AS precipitation_sum,
- CAST(count(*) FILTER (WHERE value >= 0.1) AS DOUBLE) AS precipitation_hours, count(*) AS hours
-FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events) GROUP BY ALL""",
+ min(value) AS temperature_2m_min, round(sum(value), 6) AS precipitation_sum, round(sum(value / 2), 6) AS rain_sum,
+ CAST(count(*) FILTER (WHERE value >= 0.1) AS DOUBLE) AS precipitation_hours, round(avg(value + 1), 6) AS relative_humidity_2m_mean,
+ round(avg(value + 2), 6) AS dew_point_2m_mean, round(avg(value + 3), 6) AS soil_moisture_0_to_7cm_mean,
+ round(sum(value / 4), 6) AS et0_fao_evapotranspiration, count(value) AS hours
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)
+GROUP BY ALL HAVING count(value) >= 24""",
 )
 def _(spark, sf):
     e = _stream(spark, sf, "events").select(
@@ -322,15 +329,23 @@ def _(spark, sf):
         F.col("ts").cast("timestamp").alias("time"),
         F.col("value").alias("temperature_2m"),
         F.col("value").alias("precipitation"),
+        (F.col("value") / 2).alias("rain"),
+        (F.col("value") + 1).alias("relative_humidity_2m"),
+        (F.col("value") + 2).alias("dew_point_2m"),
+        (F.col("value") + 3).alias("soil_moisture_0_to_7cm"),
+        (F.col("value") / 4).alias("et0_fao_evapotranspiration"),
     )
     return doubles(streams.run_to_table(spark, streams.hourly_daily(e, G), working_path(spark, "stream-daily")))
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT DISTINCT * FROM events")
 def _(spark, sf):
-    e = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    once = streams.dedup(e, ["user_id", "event_type"], within="40 days")
-    return streams.run_to_table(spark, once, working_path(spark, "stream-dedup")).drop("ts")
+    base, names = working_path(spark, "stream-dedup"), V.table(spark, sf, "events").columns
+    e = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):  # the same rows land twice
+        e.write.mode("append").parquet(base + "/landing")
+    landed = spark.readStream.schema(e.schema).parquet(base + "/landing")
+    return streams.run_to_table(spark, streams.dedup(landed, names), base)
 
 
 @query(
@@ -359,8 +374,12 @@ FROM v_ledger l LEFT JOIN (SELECT * FROM v_weekly WHERE week_start_date + 6 <= D
 def _(spark, sf):
     base = working_path(spark, "stream-reconcile")
     truth = V.weekly(spark, sf)
-    _full_ledger(spark, sf, truth).write.parquet(base + "/landing")
-    landed = spark.readStream.schema(S.LEDGER).parquet(base + "/landing")
-    joined = streams.reconcile(landed, truth, KEY, F.lit("2001-06-30").cast("date"))
-    out = streams.run_to_table(spark, joined, base)
-    return out.select(*LEDGER_ROW, "actual_cases", "actual_outbreak")
+    sinks.upsert_ledger(_full_ledger(spark, sf, truth), base + "/ledger")
+    for late in (False, True):  # outcomes become known after the ledger rows, in two deliveries
+        part = truth.where((F.col(WEEK) >= "2001-01-01") == F.lit(late))
+        part.write.mode("append").parquet(base + "/landing")
+        landed = spark.readStream.schema(truth.schema).parquet(base + "/landing")
+        streams.reconcile(
+            landed, base + "/ledger", KEY, F.lit("2001-06-30").cast("date"), base + "/state"
+        ).awaitTermination()
+    return sinks.read_ledger(spark, base + "/ledger").select(*LEDGER_ROW, "actual_cases", "actual_outbreak")

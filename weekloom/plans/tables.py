@@ -103,7 +103,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     """
     li = table(spark, sf, "lineitem")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint"))
-    return li.groupBy(
+    summed = li.groupBy(
         F.col("l_linestatus").alias("geography"),
         F.col("l_returnflag").alias("weather_point"),
         F.col("l_shipdate").cast("date").alias("date"),
@@ -118,8 +118,9 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
         (cents("l_discount") / F.count(F.lit(1))).alias("dew_point_2m_mean"),
         F.when(F.max("l_discount") > 0, cents("l_tax") / F.count(F.lit(1))).alias("soil_moisture_0_to_7cm_mean"),
         (cents("l_tax") / F.lit(100.0)).alias("et0_fao_evapotranspiration"),
-        F.concat(F.lit("archive:"), F.first("l_returnflag")).alias("weather_source"),
     )
+    # The grouping column is used behind the aggregate: text in its buffer would make it sort raw rows.
+    return summed.withColumn("weather_source", F.concat(F.lit("archive:"), "weather_point"))
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:

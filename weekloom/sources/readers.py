@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,19 +183,20 @@ def read_recent_cases(spark: SparkSession, path: str, known: list[str]) -> DataF
     return Q.single_side(refuse_negative(rows, ["total_cases"]), ["city", "week_start_date"], "recent case")
 
 
-ENCODINGS = ("UTF-8", "ISO-8859-1")
-
-
 def read_case_level_csv(spark: SparkSession, path: str) -> DataFrame:
     """Case-level CSV of unknown encoding with folded lower-case column names.
 
-    A file with bytes that are not UTF-8 is read as Latin-1 instead. The test is a
-    distributed pass that stops at the first hit.
+    A line with bytes that are not UTF-8 is Latin-1, so files of both kinds can lie together. The
+    text is read once; every file starts with the same header line.
     """
-    lines = spark.read.text(path)
-    broken = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
-    encoding = ENCODINGS[1] if broken else ENCODINGS[0]
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    names = [fold_name(c.lstrip("﻿")).lower().replace(" ", "_") for c in raw.columns]
-    named = raw.toDF(*names)
-    return Q.require_columns(named, ["ano", "semana", "departamento", "provincia", "distrito", "tipo_dx"])
+    raw = spark.read.text(path)
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.regexp_replace(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(latin), "^\ufeff", "")
+    lines = raw.select(text.alias("line")).filter(F.length("line") > 0)
+    header = lines.first()
+    if header is None:
+        raise Q.QualityError("the case-level file is empty")
+    names = [fold_name(c).lower().replace(" ", "_") for c in next(csv.reader([header["line"]]))]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = lines.filter(F.col("line") != header["line"]).select(F.from_csv("line", schema).alias("r")).select("r.*")
+    return Q.require_columns(rows, ["ano", "semana", "departamento", "provincia", "distrito", "tipo_dx"])

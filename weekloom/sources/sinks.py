@@ -55,9 +55,12 @@ def write_canonical(
     if L.snapshot_equal(old, fresh, ["retrieved_at_utc"]):
         return {"replaced": False, "events": 0}
     events = cut_lineage(L.revision_events(old, fresh, KEY))
+    if revisions_path:  # first: a run that ends in between is repeated, and then finds its events stored
+        stamped = events.withColumn("snapshot_id", F.lit(snapshot_id))
+        stored = read_if_present(spark, revisions_path, stamped.schema).filter(F.col("snapshot_id") == snapshot_id)
+        if stored.isEmpty():
+            append_log(stamped, revisions_path)
     fresh.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(path)
-    if revisions_path:
-        append_log(events, revisions_path)
     return {"replaced": True, "events": events.count()}
 
 
@@ -68,7 +71,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 def upsert_ledger(new: DataFrame, path: str) -> None:
     """Append predictions; the last row of a key wins. Only touched issue dates are rewritten.
 
-    The merged rows are checkpointed first because they read the partitions they replace.
+    The merged rows are checkpointed first because they read the partitions they replace. Rows are
+    gathered by issue date, and the one large date of a weekly run is split over tasks.
     """
     spark = new.sparkSession
     fresh = cut_lineage(conform(new, S.LEDGER))
@@ -77,7 +81,7 @@ def upsert_ledger(new: DataFrame, path: str) -> None:
     tagged = existing.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
     merged = cut_lineage(L.keep_last(tagged, S.LEDGER_KEY, ["_new", "generated_at_utc"]).drop("_new"))
     (
-        merged.repartition("as_of_date")
+        merged.hint("rebalance", "as_of_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("as_of_date")

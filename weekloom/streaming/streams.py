@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weekloom.config import Policy
 from weekloom.operators.ledger import attach_truth
-from weekloom.schemas import WET_DAY_MM
+from weekloom.operators.rollup import hourly_aggregates
+from weekloom.schemas import DAILY_WEATHER
+from weekloom.sources.sinks import read_ledger, upsert_ledger
+
+STABILIZATION = f"{Policy.label_stabilization_weeks} weeks"
 
 MONDAY = "4 days"  # the epoch was a Thursday
 
@@ -31,35 +36,22 @@ def weekly_rollup(daily: DataFrame, keys: list[str], measures: dict[str, Column]
     )
 
 
-def hourly_daily(hourly: DataFrame, keys: list[str], time: str = "time", delay: str = "6 hours") -> DataFrame:
-    """Hourly weather rows to daily aggregates with the number of hours read."""
+def hourly_daily(hourly: DataFrame, keys: list[str], time: str = "time", delay: str = "6 hours", least_hours: int = 24) -> DataFrame:
+    """Hourly weather rows to daily aggregates of all fields; days with fewer readings of any field are left out."""
     return (
         hourly.withWatermark(time, delay)
         .groupBy(*keys, F.window(time, "1 day").alias("_w"))
-        .agg(
-            F.avg("temperature_2m").alias("temperature_2m_mean"),
-            F.max("temperature_2m").alias("temperature_2m_max"),
-            F.min("temperature_2m").alias("temperature_2m_min"),
-            F.sum("precipitation").alias("precipitation_sum"),
-            F.count_if(F.col("precipitation") >= WET_DAY_MM).cast("double").alias("precipitation_hours"),
-            F.count(F.lit(1)).alias("hours"),
-        )
-        .select(
-            *keys,
-            F.col("_w.start").cast("date").alias("date"),
-            "temperature_2m_mean",
-            "temperature_2m_max",
-            "temperature_2m_min",
-            "precipitation_sum",
-            "precipitation_hours",
-            "hours",
-        )
+        .agg(*hourly_aggregates("hours"))
+        .filter(F.col("hours") >= least_hours)
+        .select(*keys, F.col("_w.start").cast("date").alias("date"), *DAILY_WEATHER, "hours")
     )
 
 
-def dedup(rows: DataFrame, identity: list[str], time: str = "ts", within: str = "4 weeks") -> DataFrame:
-    """Drop repeats of a content identity that arrive within the watermark."""
-    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark(identity)
+def dedup(rows: DataFrame, content: list[str], time: str = "ts", within: str = STABILIZATION) -> DataFrame:
+    """Drop repeats of a row's content that arrive within the watermark. Equal rows are equal, so order does not show."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(content)), {"ignoreNullFields": "false"}), 256)
+    named = rows.withColumn("_digest", digest).withWatermark(time, within)
+    return named.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
 def upsert(rows: DataFrame, write: Callable[[DataFrame], object], checkpoint: str, **trigger) -> StreamingQuery:
@@ -72,9 +64,21 @@ def upsert(rows: DataFrame, write: Callable[[DataFrame], object], checkpoint: st
     )
 
 
-def reconcile(ledger: DataFrame, truth: DataFrame, keys: list[str], as_of: Column, weeks: int = 4) -> DataFrame:
-    """Stream of predictions joined with the finalized outcomes known now."""
-    return attach_truth(ledger, truth, keys, as_of, weeks)
+def reconcile(
+    outcomes: DataFrame, ledger_path: str, keys: list[str], as_of: Column, checkpoint: str, weeks: int = 4, **trigger
+) -> StreamingQuery:
+    """Stream of finalized weeks: each micro-batch fills the outcomes of the ledger rows it belongs to.
+
+    Rows written long before their outcome is known are filled when it arrives. A replayed batch
+    writes the same values again.
+    """
+
+    def fill(batch: DataFrame) -> None:
+        ledger = read_ledger(batch.sparkSession, ledger_path)
+        hit = ledger.join(batch.select(*keys).distinct(), keys, "left_semi")
+        upsert_ledger(attach_truth(hit, batch, keys, as_of, weeks).select(*ledger.columns), ledger_path)
+
+    return upsert(outcomes, fill, checkpoint, **trigger)
 
 
 def to_parquet(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
