@@ -58,9 +58,9 @@ def shingles(text: str, hashes: dict) -> np.ndarray:
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
     width = min(n, SHINGLE)
     key = np.full(n - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        key = mix((key + h[i : n - width + 1 + i]) * _P)
-    return np.unique(key)
+    for i in range(width):  # a polynomial of well-mixed word hashes, mixed once at the end
+        key = (key + h[i : n - width + 1 + i]) * _P
+    return np.unique(mix(key))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -285,11 +285,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     elements = texts.mapInArrow(arrow_map(_shingler), "set long, elements array<long>").dropDuplicates(["set"])
     elements = stored(elements, "elements")
 
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = groups.select("g", "set").join(sizes, "g").withColumn("block", F.pmod(F.hash("set"), F.col("blocks")))
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("a"), F.max("set").alias("b"))
+    sizes = stored(sizes, "sizes").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    pairs = sizes.where("n = 2").select("a", "b")  # most groups are one pair, and are decided at once
+    members = groups.join(sizes.where("n > 2").select("g", "blocks"), "g").withColumn("block", F.pmod(F.hash("set"), F.col("blocks")))
     members = stored(members.join(sketches, "set"), "members")
     leaders = members.groupBy("g", "block").applyInArrow(_leaders, "a long, b long")
-    links = stored(decide(leaders, elements), "links")
+    links = stored(decide(pairs.unionByName(leaders), elements), "links")
 
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
