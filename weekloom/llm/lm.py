@@ -122,14 +122,36 @@ class _BlockCounts:
         )
 
 
-def _gram_counter(shortlist: list[bytes], flush: int = 1_500_000):
+def _packer():
+    """Texts travel to their block compressed."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+
+    def of_batch(batch):
+        texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        columns = [*[batch.column(n) for n in ("block", "doc_id", "held_out")], pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "packed"])
+
+    return of_batch
+
+
+def unpacker():
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda packed: unpack(packed).lower().split()
+
+
+def _gram_counter(shortlist: list[bytes], flush: int = 6_000_000):
     ids = {w: i + FIRST_WORD for i, w in enumerate(shortlist)}
 
     def run(batches):
+        words_in = unpacker()
         blocks: dict[int, _BlockCounts] = {}
         for batch in batches:
-            for block, training, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = words_of(text)
+            for block, training, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = words_in(packed)
                 blocks.setdefault(block, _BlockCounts()).add(words, gram_keys(sequence(words, ids)), training)
             if sum(b.size + len(b.words) for b in blocks.values()) > flush:
                 for block, found in blocks.items():
@@ -280,9 +302,9 @@ def _scorer(shortlist, backoff, tokens, types, discount):
             if w is not None and c
         }
         unknown = math.log10(spare)
-        out = []
-        for text in docs.column("text").to_pylist():
-            found = words_of(text)
+        out, words_in = [], unpacker()
+        for packed in docs.column("packed").to_pylist():
+            found = words_in(packed)
             out.append((len(found) + 1, *machine.score(found, lexicon, unknown, -floor)))
         n, known, base, score = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table(
@@ -323,8 +345,12 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // settings.block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(max(blocks, partitions(spark)), "block")
-    grams = dealt.select("block", ~F.col("held_out"), "text").mapInArrow(
+    kind = dict(rows.dtypes)["doc_id"]
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).mapInArrow(
+        arrow_map(_packer), f"block long, doc_id {kind}, held_out boolean, packed binary"
+    )
+    dealt = packed.repartition(max(blocks, partitions(spark)), "block")
+    grams = dealt.select("block", ~F.col("held_out"), "packed").mapInArrow(
         _gram_counter(shortlist), "block long, word binary, gram long, c long"
     )
     grams = stored(grams, "grams")
@@ -334,15 +360,15 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     schema = "block long, word binary, c long, gram long, lp double, fail double"
     if tokens:
         have_words = spark.range(blocks).select(F.col("id").alias("block"), F.lit(END_WORD).alias("word")).unionByName(
-            grams.where("word IS NOT NULL").select("block", "word").distinct()
+            grams.where("word IS NOT NULL").select("block", "word")
         )
-        have_grams = grams.where("gram IS NOT NULL").select("block", "gram").distinct()
+        # A block may name a word or n-gram twice, where a task wrote its counts in parts; that does no harm.
+        have_grams = grams.where("gram IS NOT NULL").select("block", "gram")
         parts = have_words.join(words, "word").select("block", "word", "c").unionByName(
             have_grams.join(model.grams, "gram").select("block", "gram", "lp", "fail"), allowMissingColumns=True
         )
     else:
         parts = spark.createDataFrame([], schema)
-    kind = dict(rows.dtypes)["doc_id"]
     scorer = _scorer(shortlist, model.backoff, tokens, types, settings.discount)
     return (
         dealt.groupBy("block")
