@@ -136,3 +136,46 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert {r.forecast_variant for r in held.select("forecast_variant").distinct().collect()} == set(S.VARIANTS)
     snap = jobs.publish(spark, store).first()
     assert snap.freshness.level == "current" and len(snap.history) == 365
+
+
+def test_absolute_error_falls_with_rounds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), float(z), float(20 * x + 10 * (z > 0.5) + rng.exponential(2))) for x, z in rng.random((400, 2))]
+    df = spark.createDataFrame(rows, "x double, z double, y double").cache()
+    y = np.array([r[2] for r in rows])
+    errors = []
+    for rounds in (1, 12):
+        model = ML.point_regressor(df, ["x", "z"], "y", ML.TreeSettings(rounds=rounds, step=0.3, depth=3))
+        got = ML.predict_point(model, df, ["x", "z"], "p").select("y", "p").toPandas()
+        errors.append(float((got.y - got.p).abs().mean()))
+    assert errors[1] < 0.5 * errors[0] and errors[1] < 0.4 * np.abs(y - np.median(y)).mean()
+
+
+def test_weights_count_rows(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 1.0), (0.0, 2.0, 1.0), (0.0, 9.0, 3.0)], "x double, y double, w double")
+    assert ML.point_regressor(df, ["x"], "y", ML.TreeSettings(rounds=1, step=1.0), "w").start == 9.0
+
+
+def test_many_trees_are_one_projection(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 3))
+    tree = ML.Tree([0, 1, -1, -1, -1], [0.5, 0.3, 0, 0, 0], [1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [0, 0, 1.0, 2.0, 3.0])
+    model = ML.QuantileModel(0.5, 4.0, ["a", "b", "c"], [tree] * 270)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = model.predict(df, "p")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in got.collect():
+        leaf = (2.0 if r.b <= 0.3 else 3.0) if r.a <= 0.5 else 1.0
+        assert r.p == pytest.approx(4 + 270 * leaf)
+    again = ML.trees_from_rows([dict(zip(("tag", "tree", "node", "feature", "threshold", "left", "right", "value"), r)) for r in ML.node_rows({"p": model})])
+    assert again == {"p": model.trees}
+
+
+@pytest.mark.parametrize("series", [1, 300, 900, 5000])
+def test_any_number_of_series(spark, series):
+    rows = spark.range(series).selectExpr("CAST(id AS STRING) AS geography", "explode(sequence(0, 3)) AS k", "id % 50 AS level").selectExpr(
+        "geography", "date_add(date'2001-01-01', 7 * k) AS week_start_date", "level + k AS total_cases"
+    )
+    frame = ML.series_features(rows, G).filter("series_level > 0")
+    model = ML.point_regressor(frame, ML.SERIES_FEATURES, "total_cases", ML.TreeSettings(rounds=1, step=1.0))
+    assert model.predict(frame, "p").count() == frame.count()

@@ -63,7 +63,6 @@ def oof_detector(
     settings: ML.TreeSettings = ML.TreeSettings(),
     validation_filter: tuple[str, float] | None = None,
     overrides: DataFrame | None = None,
-    categories: int = 0,
     label: str = "outbreak_label",
 ) -> Detector:
     """Fit on earlier years, predict later ones, calibrate and gate on those, refit on all.
@@ -82,7 +81,7 @@ def oof_detector(
         if size < settings.minimum_train_rows or positives in (0, size):
             continue
         held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
-        model = ML.outbreak_classifier(ML.balanced(train, label), features, label, settings, "_weight", categories)
+        model = ML.outbreak_classifier(ML.balanced(train, label), features, label, settings, "_weight")
         parts.append(ML.predict_probability(model, held, features, "raw_probability"))
     if not parts:
         raise QualityError("no time-held-out predictions could be made")
@@ -100,7 +99,7 @@ def oof_detector(
             F.lit("finalized_historical_weather_proxy" if overrides is None else "archived_issue_time_weather"),
         )
     )
-    final = ML.outbreak_classifier(ML.balanced(rows, label), features, label, settings, "_weight", categories)
+    final = ML.outbreak_classifier(ML.balanced(rows, label), features, label, settings, "_weight")
     return Detector(final, calibrator, features, gates, held_out, report)
 
 
@@ -173,7 +172,6 @@ def quantile_forecaster(
     validation_filter: tuple[str, float] | None = None,
     fallback: bool = False,
     overrides: DataFrame | None = None,
-    categories: int = 0,
     minimum_labelled_years: int = 4,
 ) -> Forecaster:
     """Expanding P50/P80/P90 forecasts with calibrated residuals and persistence fallback.
@@ -208,7 +206,7 @@ def quantile_forecaster(
         held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
         for tag, q in QUANTILES.items():
             if tag in needed[year]:
-                held = ML.quantile_regressor(train, features, "_target", q, settings, categories).predict(held, f"_raw_{tag}")
+                held = ML.quantile_regressor(train, features, "_target", q, settings).predict(held, f"_raw_{tag}")
             else:
                 held = held.withColumn(f"_raw_{tag}", F.lit(None).cast("double"))
         parts.append(held)
@@ -255,7 +253,7 @@ def quantile_forecaster(
                 for c in final.columns
             ]
         )
-    models = {t: ML.quantile_regressor(rows, features, "_target", q, settings, categories) for t, q in QUANTILES.items()}
+    models = {t: ML.quantile_regressor(rows, features, "_target", q, settings) for t, q in QUANTILES.items()}
     return Forecaster(models, features, variant, baseline, cut_lineage(final), held_out, report, series)
 
 
@@ -390,7 +388,7 @@ class TwoStage:
 
 
 def two_stage_fit(
-    matrix: DataFrame, features: list[str], by: list[str], settings: ML.TreeSettings, categories: int = 0
+    matrix: DataFrame, features: list[str], by: list[str], settings: ML.TreeSettings
 ) -> TwoStage:
     """Single-stage model, outbreak classifier with calibration, two specialists and gates."""
     y = "total_cases"
@@ -399,13 +397,13 @@ def two_stage_fit(
             "_near", F.col(y) >= F.col("near_outbreak_threshold")
         )
     )
-    single = ML.point_regressor(rows, features, y, settings, None, categories)
-    classifier = ML.outbreak_classifier(rows, features, "_high", settings, None, categories)
+    single = ML.point_regressor(rows, features, y, settings)
+    classifier = ML.outbreak_classifier(rows, features, "_high", settings)
     scored = ML.predict_probability(classifier, rows, features, "_rawp")
     calibrator = ML.probability_calibrator(scored, "_rawp", "_high")
-    normal = ML.point_regressor(rows.filter("_high = 0"), features, y, settings, None, categories)
+    normal = ML.point_regressor(rows.filter("_high = 0"), features, y, settings)
     support = rows.filter("_near").withColumn("_w", F.when(F.col("_high") == 1, 2.0).otherwise(1.0))
-    outbreak = ML.point_regressor(support, features, y, settings, "_w", categories)
+    outbreak = ML.point_regressor(support, features, y, settings, "_w")
     scored = scored.withColumn("_probability", calibrator.apply(F.col("_rawp")))
     scored = ML.predict_point(normal, scored, features, "_normal", None)
     scored = ML.predict_point(outbreak, scored, features, "_outbreak", None)
@@ -416,22 +414,18 @@ def two_stage_fit(
 def _two_stage_predictor(fit: TwoStage, base: list[str]):
     """One step of the three predictions; a recall alert uses the MAE history's probability.
 
-    Each history is assembled once and its vector serves all models that look at it.
+    A step scores one row per series and fold, so trees are comparisons in the plan, not Python.
     """
     names = ("_h_single", "_h_mae", "_h_recall")
-    views = {
-        h: VectorAssembler(inputCols=[*base, *[f"{c}{h}" for c in CASE_HISTORY]], outputCol=f"_x{h}") for h in names
-    }
+    seen = {h: [*base, *[f"{c}{h}" for c in CASE_HISTORY]] for h in names}
+    view = VectorAssembler(inputCols=seen["_h_mae"], outputCol="_x_h_mae")
     past = [
         F.coalesce(column, F.lit(0.0)).alias(f"{c}{h}") for h in names for c, column in _case_history_columns(h).items()
     ]
-
-    def reading(model, history: str, name: str):
-        return model.copy({model.featuresCol: f"_x{history}", model.predictionCol: name})
-
-    scorers = [reading(fit.single, "_h_single", "_single"), reading(fit.classifier, "_h_mae", "_class")]
+    classifier = fit.classifier.copy({fit.classifier.featuresCol: "_x_h_mae", fit.classifier.predictionCol: "_class"})
+    points = [fit.single.expression(seen["_h_single"]).alias("_single")]
     for h in ("_h_mae", "_h_recall"):
-        scorers += [reading(fit.normal, h, f"_n{h}"), reading(fit.outbreak, h, f"_o{h}")]
+        points += [fit.normal.expression(seen[h]).alias(f"_n{h}"), fit.outbreak.expression(seen[h]).alias(f"_o{h}")]
     p = F.col("outbreak_probability")
     floored = {c: F.greatest(F.lit(0.0), F.col(c)) for c in ("_single", "_n_h_mae", "_o_h_mae", "_n_h_recall", "_o_h_recall")}
     probability = fit.calibrator.apply(vector_to_array("_prob")[1]).alias("outbreak_probability")
@@ -453,11 +447,8 @@ def _two_stage_predictor(fit: TwoStage, base: list[str]):
     ]
 
     def predict(now: DataFrame, histories: list[str]):
-        rows = now.select("*", *past)
-        for h in names:
-            rows = views[h].transform(rows)
-        for model in scorers:
-            rows = model.transform(rows)
+        rows = classifier.transform(view.transform(now.select("*", *past)))
+        rows = rows.select("*", *points)
         return rows.select("*", probability).select(*now.columns, *answers), outputs
 
     return predict
@@ -478,14 +469,15 @@ def evaluate_expanding(
     by = [*series, "validation_year"]
     table, base = fold_features(cases, series, weather, folds, minimum_weeks=minimum_weeks)
     table = cut_lineage(table)
-    indexed, extra, categories = ML.add_series_index(table, series[0])
-    base = [*base, *extra]
+    constants = ML.series_constants(table.filter("fold_role = 'train'"), by)
+    indexed = cut_lineage(table.join(constants, by))
+    base = [*base, *ML.SERIES_FEATURES]
     carry = [WEEK, "year", "weekofyear", "total_cases", "outbreak_threshold"]
     out = []
     for year in ML.years_of(indexed, "validation_year"):
         fold = indexed.filter(F.col("validation_year") == year)
         matrix = training_matrix(fold, by, base)
-        fit = two_stage_fit(matrix, [*base, *CASE_HISTORY], by, settings, categories)
+        fit = two_stage_fit(matrix, [*base, *CASE_HISTORY], by, settings)
         rows = fold.join(fit.gates, by)
         predicted = recursive_forecast(
             rows,
@@ -528,7 +520,6 @@ def surge_experiment(
     periods: dict[str, str],
     features: list[str] | None = None,
     settings: ML.TreeSettings = ML.TreeSettings(),
-    categories: int = 0,
     validation_years: int = 4,
 ) -> DataFrame:
     """The recent-case forecaster on several periods, each up to its last week, side by side."""
@@ -537,7 +528,7 @@ def surge_experiment(
     for label, last in periods.items():
         rows = frame.filter(F.col(WEEK) <= F.lit(last).cast("date"))
         fitted = quantile_forecaster(
-            rows, features, series, label, "cases_lag_1", validation_years, settings, fallback=True, categories=categories,
+            rows, features, series, label, "cases_lag_1", validation_years, settings, fallback=True,
             minimum_labelled_years=3,
         )
         reports.append(fitted.metrics.withColumn("period", F.lit(label)))

@@ -1,7 +1,7 @@
 """Spark ML learners with the settings of the weekly programs, fitted on pooled series.
 
-One model serves all series: a series index is a feature while there are few of them, and
-case levels carry the scale otherwise. The driver holds model parameters and year numbers
+One model serves all series, told apart by numbers from their own past. Regressors are boosted
+trees whose leaves hold residual quantiles. The driver holds model parameters and year numbers
 only, never rows.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import cut_lineage
@@ -33,57 +33,30 @@ class TreeSettings:
     lineage_every: int = 10
 
 
-SERIES_INDEX = "_series_index"
-MAX_INDEXED_SERIES = 1000
+SERIES_FEATURES = ["series_level", "series_spread", "series_zero_share"]
 
 
-def add_series_index(df: DataFrame, series: str = "geography") -> tuple[DataFrame, list[str], int]:
-    """Add a series index where the number of series is small enough to be a tree feature."""
-    count = df.agg(F.approx_count_distinct(series)).first()[0]
-    if count > MAX_INDEXED_SERIES:
-        return df, [], 0
-    indexer = StringIndexer(inputCol=series, outputCol=SERIES_INDEX, handleInvalid="keep").fit(df.select(series))
-    return indexer.transform(df), [SERIES_INDEX], int(count) + 2
+def series_features(df: DataFrame, series: list[str], value: str = "total_cases", week: str = "week_start_date") -> DataFrame:
+    """Level, spread and share of zero weeks of each series' earlier weeks: what tells series apart, for any number of them."""
+    past = Window.partitionBy(*series).orderBy(week).rowsBetween(Window.unboundedPreceding, -1)
+    v = F.col(value).cast("double")
+    made = (F.avg(v), F.stddev_samp(v), F.avg((v == 0).cast("double")))
+    return df.select("*", *[F.coalesce(m.over(past), F.lit(0.0)).alias(n) for n, m in zip(SERIES_FEATURES, made, strict=True)])
 
 
-def assemble(df: DataFrame, features: list[str], name: str = "_x") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=name, handleInvalid="error").transform(df)
-
-
-def _bins(settings: TreeSettings, categories: int) -> int:
-    return max(settings.bins, categories)
-
-
-def point_regressor(
-    train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None, categories: int = 0
-):
-    """Absolute-error boosted trees."""
-    gbt = GBTRegressor(
-        featuresCol="_x",
-        labelCol=label,
-        predictionCol="_prediction",
-        lossType="absolute",
-        stepSize=settings.step,
-        maxIter=settings.rounds,
-        maxDepth=settings.depth,
-        maxBins=_bins(settings, categories),
-        seed=settings.seed,
-    )
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return gbt.fit(assemble(train, features))
+def series_constants(train: DataFrame, by: list[str], value: str = "total_cases") -> DataFrame:
+    """The same three numbers over all training rows of each key of ``by``."""
+    v = F.col(value).cast("double")
+    made = (F.avg(v), F.stddev_samp(v), F.avg((v == 0).cast("double")))
+    return train.groupBy(*by).agg(*[F.coalesce(m, F.lit(0.0)).alias(n) for n, m in zip(SERIES_FEATURES, made, strict=True)])
 
 
-def predict_point(model, df: DataFrame, features: list[str], name: str, floor: float | None = 0.0) -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    value = F.col("_prediction")
-    if floor is not None:
-        value = F.greatest(F.lit(floor), value)
-    return scored.select(*df.columns, value.alias(name))
+def assemble(df: DataFrame, features: list[str], name: str = "_x") -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol=name, handleInvalid="error").transform(df)
 
 
 def outbreak_classifier(
-    train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None, categories: int = 0
+    train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None
 ) -> GBTClassificationModel:
     gbt = GBTClassifier(
         featuresCol="_x",
@@ -92,7 +65,7 @@ def outbreak_classifier(
         stepSize=settings.step,
         maxIter=settings.rounds,
         maxDepth=settings.depth,
-        maxBins=_bins(settings, categories),
+        maxBins=settings.bins,
         seed=settings.seed,
     )
     gbt = gbt.setProbabilityCol("_prob").setRawPredictionCol("_raw")
@@ -130,55 +103,153 @@ def probability_calibrator(df: DataFrame, raw: str, label: str) -> Calibrator:
     return Calibrator(float(fitted.coefficients[0]), float(fitted.intercept))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Nodes in arrays: at an inner node go left where the feature is at most the threshold; leaves have no feature."""
+
+    feature: list[int]
+    threshold: list[float]
+    left: list[int]
+    right: list[int]
+    value: list[float]
+
+
+def tree_of(model: DecisionTreeRegressionModel, leaf_values: dict[int, float]) -> Tree:
+    """Node arrays of a fitted tree; leaves are numbered from left to right as the learner numbers them."""
+    tree = Tree([], [], [], [], [])
+    leaves = 0
+    todo = [(model._call_java("rootNode"), None, None)]
+    while todo:
+        node, parent, side = todo.pop()
+        at = len(tree.feature)
+        if parent is not None:
+            (tree.left if side == "left" else tree.right)[parent] = at
+        inner = node.subtreeDepth() > 0
+        tree.feature.append(node.split().featureIndex() if inner else -1)
+        tree.threshold.append(node.split().threshold() if inner else 0.0)
+        tree.left.append(-1)
+        tree.right.append(-1)
+        tree.value.append(0.0 if inner else leaf_values.get(leaves, 0.0))
+        if inner:
+            todo += [(node.rightChild(), at, "right"), (node.leftChild(), at, "left")]
+        else:
+            leaves += 1
+    return tree
+
+
+def trees_value(trees: list[Tree], columns: list[str]) -> Column:
+    """Sum of the trees' leaf values: one Arrow function, however many trees."""
+    if not trees:
+        return F.lit(0.0)
+    tables = [(t.feature, t.threshold, t.left, t.right, t.value) for t in trees]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        own = [tuple(np.asarray(x) for x in t) for t in tables]
+        for rows in batches:
+            x = np.vstack(rows.to_numpy()) if len(rows) else np.empty((0, 1))
+            every, total = np.arange(len(x)), np.zeros(len(x))
+            for feature, threshold, left, right, value in own:
+                at = np.zeros(len(x), dtype=np.int64)
+                while (feature[at] >= 0).any():
+                    f = feature[at]
+                    onward = np.where(x[every, np.maximum(f, 0)] <= threshold[at], left[at], right[at])
+                    at = np.where(f >= 0, onward, at)
+                total += value[at]
+            yield pd.Series(total)
+
+    scorer = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return scorer(F.array(*[F.col(c).cast("double") for c in columns]))
+
+
+def tree_expression(tree: Tree, columns: list[str], node: int = 0) -> Column:
+    """One tree as comparisons of columns."""
+    if tree.feature[node] < 0:
+        return F.lit(tree.value[node])
+    goes_left = F.col(columns[tree.feature[node]]).cast("double") <= F.lit(tree.threshold[node])
+    return F.when(goes_left, tree_expression(tree, columns, tree.left[node])).otherwise(
+        tree_expression(tree, columns, tree.right[node])
+    )
+
+
 @dataclass
 class QuantileModel:
-    """Boosted trees for one quantile: a start value and, per tree, a value for each leaf."""
+    """Boosted trees for one quantile: a start value and trees whose leaves are already stepped."""
 
     quantile: float
     start: float
-    step: float
     features: list[str]
-    trees: list = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
+
+    def column(self, columns: list[str] | None = None) -> Column:
+        """The prediction over the features, or over other columns in their order."""
+        return F.lit(self.start) + trees_value(self.trees, columns or self.features)
+
+    def expression(self, columns: list[str]) -> Column:
+        """The same prediction without Python, for plans that score few rows in many steps."""
+        total = F.lit(self.start)
+        for tree in self.trees:
+            total = total + tree_expression(tree, columns)
+        return total
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
-        rows = assemble(df, self.features).withColumn("_f", F.lit(self.start))
-        for tree, values in self.trees:
-            rows = add_leaf_value(rows, tree, values, self.step)
-        return rows.select(*df.columns, F.col("_f").alias(name))
+        return df.select("*", self.column().alias(name))
 
 
-def add_leaf_value(rows: DataFrame, tree, values: dict[float, float], step: float) -> DataFrame:
-    table = F.create_map(*[F.lit(v) for pair in sorted(values.items()) for v in pair])
-    moved = tree.transform(rows.drop("_leaf", "_t"))
-    return moved.withColumn("_f", F.col("_f") + F.lit(step) * F.coalesce(F.element_at(table, F.col("_leaf")), F.lit(0.0))).drop(
-        "_leaf", "_t"
-    )
+NODE_SCHEMA = "tag string, tree int, node int, feature int, threshold double, left int, right int, value double"
+
+
+def node_rows(models: dict[str, QuantileModel]) -> list[tuple]:
+    """Rows of NODE_SCHEMA for all trees of several models."""
+    return [
+        (tag, k, i, t.feature[i], t.threshold[i], t.left[i], t.right[i], t.value[i])
+        for tag, model in models.items()
+        for k, t in enumerate(model.trees)
+        for i in range(len(t.feature))
+    ]
+
+
+def trees_from_rows(rows) -> dict[str, list[Tree]]:
+    found: dict[str, list[Tree]] = {}
+    for r in sorted(rows, key=lambda r: (r["tag"], r["tree"], r["node"])):
+        trees = found.setdefault(r["tag"], [])
+        if r["node"] == 0:
+            trees.append(Tree([], [], [], [], []))
+        for name in ("feature", "threshold", "left", "right", "value"):
+            getattr(trees[-1], name).append(r[name])
+    return found
 
 
 def quantile_regressor(
-    train: DataFrame, features: list[str], label: str, quantile: float, settings: TreeSettings, categories: int = 0
+    train: DataFrame, features: list[str], label: str, quantile: float, settings: TreeSettings, weight: str | None = None
 ) -> QuantileModel:
     """Pinball-loss boosting: trees on the loss gradient, leaves set to the residual quantile.
 
-    Leaf quantiles are mergeable sketches over at most 16 groups, so the rows of a leaf are
-    never gathered.
+    Start and leaf quantiles are mergeable sketches, exact up to 10,000 distinct values and within
+    one part in 10,000 of the rank beyond, so the rows of a leaf are never gathered. ``weight`` names
+    a column of whole numbers: a row counts that often. The running prediction is stored every
+    ``lineage_every`` rounds; in between, one projection adds the trees since.
     """
     q = F.lit(float(quantile))
-    rows = assemble(train, features).select("_x", F.col(label).cast("double").alias("_y"))
+    rows = assemble(train, features).select(
+        "_x", F.array(*[F.col(c).cast("double") for c in features]).alias("_a"), F.col(label).cast("double").alias("_y"),
+        *([F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))] if weight else []),
+    ).select("_x", "_a", "_y")
+    rows = cut_lineage(rows)
     start = rows.agg(F.percentile_approx("_y", q, 10000)).first()[0]
-    model = QuantileModel(quantile, float(start), settings.step, features)
-    rows = cut_lineage(rows.withColumn("_f", F.lit(model.start)))
+    model = QuantileModel(quantile, float(start), features)
+    rows = rows.withColumn("_f0", F.lit(model.start))
     learner = DecisionTreeRegressor(
-        featuresCol="_x",
-        labelCol="_g",
-        predictionCol="_t",
-        leafCol="_leaf",
-        maxDepth=settings.depth,
-        maxBins=_bins(settings, categories),
-        seed=settings.seed,
+        featuresCol="_x", labelCol="_g", predictionCol="_t", leafCol="_leaf", maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed
     )
+    parts = [f"_a{i}" for i in range(len(features))]
+    fresh: list[Tree] = []
     for turn in range(settings.rounds):
-        graded = rows.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), q).otherwise(q - 1.0))
+        spread = rows.select("*", *[F.col("_a")[i].alias(n) for i, n in enumerate(parts)]) if fresh else rows
+        now = spread.withColumn("_f", F.col("_f0") + trees_value(fresh, parts)).drop(*parts)
+        graded = now.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), q).otherwise(q - 1.0))
         tree = learner.fit(graded)
         leaves = (
             tree.transform(graded)
@@ -186,14 +257,27 @@ def quantile_regressor(
             .agg(F.percentile_approx(F.col("_y") - F.col("_f"), q, 10000).alias("v"))
             .collect()  # at most 2**depth rows
         )
-        values = {float(r["_leaf"]): float(r["v"]) for r in leaves}
-        model.trees.append((tree, values))
-        rows = add_leaf_value(rows, tree, values, settings.step)
+        fresh.append(tree_of(tree, {int(r["_leaf"]): settings.step * float(r["v"]) for r in leaves}))
+        model.trees.append(fresh[-1])
         if (turn + 1) % settings.lineage_every == 0:
-            rows = cut_lineage(rows)
+            spread = rows.select("*", *[F.col("_a")[i].alias(n) for i, n in enumerate(parts)])
+            rows = cut_lineage(spread.select("_x", "_a", "_y", (F.col("_f0") + trees_value(fresh, parts)).alias("_f0")))
+            fresh = []
     return model
 
 
+def point_regressor(
+    train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None
+) -> QuantileModel:
+    """Absolute-error boosted trees: the boosting above for the median."""
+    return quantile_regressor(train, features, label, 0.5, settings, weight)
+
+
+def predict_point(model: QuantileModel, df: DataFrame, features: list[str], name: str, floor: float | None = 0.0) -> DataFrame:
+    value = model.column(features)
+    return df.select("*", (value if floor is None else F.greatest(F.lit(floor), value)).alias(name))
+
+
 def balanced(train: DataFrame, label: str) -> DataFrame:
     return class_weights(train, [], label, "_weight")
 

@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -279,14 +278,9 @@ def save_candidate(candidate: Candidate, path: str) -> None:
         f.calibration.write.mode("overwrite").parquet(f"{path}/{route}/calibration")
         f.metrics.write.mode("overwrite").parquet(f"{path}/{route}/case_metrics")
         f.held_out.write.mode("overwrite").parquet(f"{path}/{route}/case_held_out")
-        quantiles = {}
-        for tag, model in f.models.items():
-            for i, (tree, _) in enumerate(model.trees):
-                tree.write().overwrite().save(f"{path}/{route}/{tag}/tree-{i:03d}")
-            quantiles[tag] = {
-                "quantile": model.quantile, "start": model.start, "step": model.step,
-                "leaves": [sorted(v.items()) for _, v in model.trees],
-            }
+        nodes = spark.createDataFrame(ML.node_rows(f.models), ML.NODE_SCHEMA)  # model parameters
+        nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/{route}/trees")
+        quantiles = {tag: {"quantile": m.quantile, "start": m.start} for tag, m in f.models.items()}
         facts.append(
             (route, json.dumps({
                 "alert_features": d.features, "slope": d.calibrator.slope, "intercept": d.calibrator.intercept,
@@ -317,13 +311,11 @@ def load_candidate(spark: SparkSession, path: str) -> Candidate:
             ML.Calibrator(facts["slope"], facts["intercept"]),
             facts["alert_features"], read("gates"), read("alert_held_out"), read("alert_metrics"),
         )
-        models = {}
-        for tag, q in facts["quantiles"].items():
-            trees = [
-                (DecisionTreeRegressionModel.load(f"{path}/{route}/{tag}/tree-{i:03d}"), {float(k): v for k, v in leaves})
-                for i, leaves in enumerate(q["leaves"])
-            ]
-            models[tag] = ML.QuantileModel(q["quantile"], q["start"], q["step"], facts["case_features"], trees)
+        trees = ML.trees_from_rows(read("trees").collect())
+        models = {
+            tag: ML.QuantileModel(q["quantile"], q["start"], facts["case_features"], trees.get(tag, []))
+            for tag, q in facts["quantiles"].items()
+        }
         forecasters[route] = W.Forecaster(
             models, facts["case_features"], route, facts["baseline"], read("calibration"), read("case_held_out"),
             read("case_metrics"), series,

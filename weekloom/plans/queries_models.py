@@ -18,6 +18,7 @@ from weekloom.plans.tables import G, query
 
 WEEK = "week_start_date"
 KEY = [*G, WEEK]
+FEATURES = [*S.EXACT_FEATURES, *ML.SERIES_FEATURES]
 SHORT = ML.TreeSettings(rounds=3, step=0.4)
 SHORTEST = ML.TreeSettings(rounds=1, step=1.0)
 
@@ -26,7 +27,8 @@ def training_frame(spark, sf):
     """Weekly series with exact case features and labels where earlier years allow them."""
     w = V.weekly(spark, sf)
     labels = H.expanding_outbreak_labels(w, G).select(*KEY, "outbreak_threshold", "outbreak_label")
-    return X.health_features(w, G).dropna(subset=S.EXACT_FEATURES).join(labels, KEY, "left")
+    frame = ML.series_features(X.health_features(w, G), G).dropna(subset=S.EXACT_FEATURES)
+    return frame.join(labels, KEY, "left")
 
 
 def history_frame(spark, sf):
@@ -44,18 +46,16 @@ def history_frame(spark, sf):
 
 @query("point_regressor")
 def _(spark, sf):
-    rows, extra, n = ML.add_series_index(training_frame(spark, sf))
-    features = [*S.EXACT_FEATURES, *extra]
-    model = ML.point_regressor(rows.filter("year < 2000"), features, "total_cases", SHORT, None, n)
+    rows, features = training_frame(spark, sf), FEATURES
+    model = ML.point_regressor(rows.filter("year < 2000"), features, "total_cases", SHORT)
     return ML.predict_point(model, rows.filter("year >= 2000"), features, "prediction").select(*KEY, "total_cases", "prediction")
 
 
 @query("outbreak_classifier")
 def _(spark, sf):
-    rows, extra, n = ML.add_series_index(training_frame(spark, sf).filter("outbreak_label IS NOT NULL"))
-    features = [*S.EXACT_FEATURES, *extra]
+    rows, features = training_frame(spark, sf).filter("outbreak_label IS NOT NULL"), FEATURES
     train = ML.balanced(rows.filter("year < 2000"), "outbreak_label")
-    model = ML.outbreak_classifier(train, features, "outbreak_label", SHORT, "_weight", n)
+    model = ML.outbreak_classifier(train, features, "outbreak_label", SHORT, "_weight")
     return ML.predict_probability(model, rows.filter("year >= 2000"), features, "probability").select(
         *KEY, "outbreak_label", "probability"
     )
@@ -71,21 +71,20 @@ def _(spark, sf):
 @query("quantile_regressor")
 def _(spark, sf):
     rows = training_frame(spark, sf)
-    model = ML.quantile_regressor(rows.filter("year < 2000"), S.EXACT_FEATURES, "total_cases", 0.8, SHORT)
+    model = ML.quantile_regressor(rows.filter("year < 2000"), FEATURES, "total_cases", 0.8, SHORT)
     return model.predict(rows.filter("year >= 2000"), "p80").select(*KEY, "total_cases", "p80")
 
 
 @query("oof_detector")
 def _(spark, sf):
-    rows, extra, n = ML.add_series_index(training_frame(spark, sf))
-    found = W.oof_detector(rows, [*S.EXACT_FEATURES, *extra], G, settings=SHORT, categories=n)
+    found = W.oof_detector(training_frame(spark, sf), FEATURES, G, settings=SHORT)
     return found.metrics.join(found.gates, G)
 
 
 @query("quantile_forecaster")
 def _(spark, sf):
     fitted = W.quantile_forecaster(
-        training_frame(spark, sf), S.EXACT_FEATURES, G, "weather_plus_recent_cases", "cases_lag_1", 1, SHORTEST, fallback=True
+        training_frame(spark, sf), FEATURES, G, "weather_plus_recent_cases", "cases_lag_1", 1, SHORTEST, fallback=True
     )
     return fitted.held_out.select(
         *KEY, "actual_cases", "predicted_cases_p50", "predicted_cases_p80", "predicted_cases_p90", "used_persistence_fallback"
@@ -95,7 +94,7 @@ def _(spark, sf):
 @query("surge_experiment")
 def _(spark, sf):
     periods = {"whole_series": "2001-12-31", "before_2001": "2000-12-31"}
-    found = W.surge_experiment(training_frame(spark, sf), G, periods, settings=SHORTEST, validation_years=1)
+    found = W.surge_experiment(training_frame(spark, sf), G, periods, FEATURES, settings=SHORTEST, validation_years=1)
     return found.select("geography", "period", "held_out_rows", "mae", "normal_week_mae", "outbreak_week_mae", "persistence_mae")
 
 
