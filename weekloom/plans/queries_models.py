@@ -1,6 +1,8 @@
-"""Queries: folds with fitted models. They have no SQL form; tests check them on small fixtures.
+"""Queries: folds with fitted models.
 
-Fewer boosting rounds than the default keep them short; all rows are used.
+SQL cannot fit trees, so the queries with an SQL form return which rows are scored, their actuals
+and what must hold of every prediction; tests hold the predictions themselves against constants.
+Fewer boosting rounds than the default keep the queries short; all rows are used.
 """
 
 from __future__ import annotations
@@ -44,20 +46,41 @@ def history_frame(spark, sf):
     return V.weekly(spark, sf).join(wide, WEEK, "left")
 
 
-@query("point_regressor")
+_SCORED = "FROM v_lags WHERE cases_mean_8 IS NOT NULL AND year >= 2000"
+
+
+@query(
+    "point_regressor",
+    f"""
+SELECT geography, week_start_date, total_cases, abs(total_cases - cases_lag_1) AS persistence_error, TRUE AS prediction_holds {_SCORED}""",
+    ("v_lags",),
+)
 def _(spark, sf):
     rows, features = training_frame(spark, sf), FEATURES
     model = ML.point_regressor(rows.filter("year < 2000"), features, "total_cases", SHORT)
-    return ML.predict_point(model, rows.filter("year >= 2000"), features, "prediction").select(*KEY, "total_cases", "prediction")
+    scored = ML.predict_point(model, rows.filter("year >= 2000"), features, "prediction")
+    return scored.select(
+        *KEY,
+        "total_cases",
+        F.abs(F.col("total_cases") - F.col("cases_lag_1")).alias("persistence_error"),
+        (~F.isnan("prediction") & (F.col("prediction") >= 0)).alias("prediction_holds"),
+    )
 
 
-@query("outbreak_classifier")
+@query(
+    "outbreak_classifier",
+    """
+SELECT geography, week_start_date, l.outbreak_label, TRUE AS probability_holds
+FROM v_labelled l JOIN v_lags g USING (geography, week_start_date)
+WHERE l.outbreak_label IS NOT NULL AND g.cases_mean_8 IS NOT NULL AND l.year >= 2000""",
+    ("v_labelled", "v_lags"),
+)
 def _(spark, sf):
     rows, features = training_frame(spark, sf).filter("outbreak_label IS NOT NULL"), FEATURES
     train = ML.balanced(rows.filter("year < 2000"), "outbreak_label")
     model = ML.outbreak_classifier(train, features, "outbreak_label", SHORT, "_weight")
     return ML.predict_probability(model, rows.filter("year >= 2000"), features, "probability").select(
-        *KEY, "outbreak_label", "probability"
+        *KEY, "outbreak_label", F.col("probability").between(0.0, 1.0).alias("probability_holds")
     )
 
 
@@ -68,11 +91,16 @@ def _(spark, sf):
     return rows.select(*KEY, "probability", curve.apply(F.col("probability")).alias("calibrated"))
 
 
-@query("quantile_regressor")
+@query(
+    "quantile_regressor",
+    f"SELECT geography, week_start_date, total_cases, TRUE AS p80_holds {_SCORED}",
+    ("v_lags",),
+)
 def _(spark, sf):
     rows = training_frame(spark, sf)
     model = ML.quantile_regressor(rows.filter("year < 2000"), FEATURES, "total_cases", 0.8, SHORT)
-    return model.predict(rows.filter("year >= 2000"), "p80").select(*KEY, "total_cases", "p80")
+    scored = model.predict(rows.filter("year >= 2000"), "p80")
+    return scored.select(*KEY, "total_cases", (F.col("p80").isNotNull() & ~F.isnan("p80")).alias("p80_holds"))
 
 
 @query("oof_detector")
@@ -81,14 +109,22 @@ def _(spark, sf):
     return found.metrics.join(found.gates, G)
 
 
-@query("quantile_forecaster")
+@query(
+    "quantile_forecaster",
+    """
+SELECT geography, week_start_date, CAST(l.total_cases AS DOUBLE) AS actual_cases, TRUE AS quantiles_hold
+FROM v_labelled l JOIN v_lags g USING (geography, week_start_date)
+WHERE l.outbreak_label IS NOT NULL AND g.cases_mean_8 IS NOT NULL
+  AND l.year = (SELECT max(a.year) FROM v_labelled a JOIN v_lags b USING (geography, week_start_date) WHERE b.cases_mean_8 IS NOT NULL)""",
+    ("v_labelled", "v_lags"),
+)
 def _(spark, sf):
     fitted = W.quantile_forecaster(
         training_frame(spark, sf), FEATURES, G, "weather_plus_recent_cases", "cases_lag_1", 1, SHORTEST, fallback=True
     )
-    return fitted.held_out.select(
-        *KEY, "actual_cases", "predicted_cases_p50", "predicted_cases_p80", "predicted_cases_p90", "used_persistence_fallback"
-    )
+    p50, p80, p90 = (F.col(f"predicted_cases_{t}") for t in ("p50", "p80", "p90"))
+    holds = (p50 >= 0) & (p50 <= p80) & (p80 <= p90) & F.col("used_persistence_fallback").isNotNull()
+    return fitted.held_out.select(*KEY, "actual_cases", holds.alias("quantiles_hold"))
 
 
 @query("surge_experiment")
