@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,7 @@ class _BlockCounts:
 
     def __init__(self):
         self.words: Counter = Counter()
-        self.keys: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.keys: dict[bool, list[np.ndarray]] = {True: [], False: []}  # of training documents, of others
         self.size = 0
 
     def add(self, words, keys, training: bool) -> None:
@@ -101,25 +101,22 @@ class _BlockCounts:
             for w in words:
                 self.words[w] += 0
         for k in keys:
-            self.keys.append(k)
-            self.weights.append(np.full(len(k), int(training)))
+            self.keys[training].append(k)
             self.size += len(k)
 
-    def rows(self, block: int) -> pa.RecordBatch:
-        words = list(self.words)
-        keys = np.concatenate([np.empty(0, np.int64), *self.keys])
-        found, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([np.empty(0), *self.weights]), minlength=len(found)).astype(np.int64)
-        n = len(words) + len(found)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, block), pa.int64()),
-                pa.array([*words, *[None] * len(found)], pa.binary()),
-                pa.array([*[None] * len(words), *found.tolist()], pa.int64()),
-                pa.array([*self.words.values(), *counts.tolist()], pa.int64()),
-            ],
-            ["block", "word", "gram", "c"],
-        )
+    def batches(self, block: int):
+        names = ["block", "word", "gram", "c"]
+        n = len(self.words)
+        words, counts = pa.array(list(self.words), pa.binary()), pa.array(list(self.words.values()), pa.int64())
+        self.words.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), words, pa.nulls(n, pa.int64()), counts], names)
+        for training, keys in self.keys.items():
+            found, counts = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
+            keys.clear()
+            n, counts = len(found), counts if training else np.zeros(len(found), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(found), pa.array(counts)], names
+            )
 
 
 def _packer():
@@ -143,7 +140,7 @@ def unpacker():
     return lambda packed: unpack(packed).lower().split()
 
 
-def _gram_counter(shortlist: list[bytes], flush: int = 6_000_000):
+def _gram_counter(shortlist: list[bytes], flush: int = 4_000_000):
     ids = {w: i + FIRST_WORD for i, w in enumerate(shortlist)}
 
     def run(batches):
@@ -155,10 +152,10 @@ def _gram_counter(shortlist: list[bytes], flush: int = 6_000_000):
                 blocks.setdefault(block, _BlockCounts()).add(words, gram_keys(sequence(words, ids)), training)
             if sum(b.size + len(b.words) for b in blocks.values()) > flush:
                 for block, found in blocks.items():
-                    yield found.rows(block)
+                    yield from found.batches(block)
                 blocks = {}
         for block, found in blocks.items():
-            yield found.rows(block)
+            yield from found.batches(block)
 
     return run
 
@@ -293,14 +290,18 @@ def _scorer(shortlist, backoff, tokens, types, discount):
     spare = discount * types / tokens / (types + 1) if tokens else 1.0
 
     def score_block(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        words, counts = rows.column("word").to_pylist(), rows.column("c").to_pylist()
-        grams = zip(*[rows.column(x).to_pylist() for x in ("gram", "lp", "fail")], strict=True)
-        machine = Automaton(len(shortlist), backoff, (g for g in grams if g[0] is not None))
+        known = rows.filter(pc.is_valid(rows.column("gram")))
+        keys, lps, fails = (known.column(x).combine_chunks() for x in ("gram", "lp", "fail"))
+        grams = zip(keys.to_pylist(), lps.to_pylist(), fails.to_pylist(), strict=True)
+        machine = Automaton(len(shortlist), backoff, grams)
+        del grams, known, keys, lps, fails
+        known = rows.filter(pc.is_valid(rows.column("word")))
         lexicon = {
             w: (ids.get(w, -1), math.log10(max(c - discount, 0) / tokens + spare), math.log10(c + 1) - floor)
-            for w, c in zip(words, counts, strict=True)
-            if w is not None and c
+            for w, c in zip(known.column("word").to_pylist(), known.column("c").to_pylist(), strict=True)
+            if c
         }
+        del known
         unknown = math.log10(spare)
         out, words_in = [], unpacker()
         for packed in docs.column("packed").to_pylist():
