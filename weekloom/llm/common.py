@@ -41,19 +41,40 @@ def partitions(spark: SparkSession) -> int:
 def arrow_map(
     make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch]], *args
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: ``make(*args)`` runs once a task and gives the function of a batch."""
+    """For mapInArrow: ``make(*args)`` runs once a task and gives the function of a batch.
+
+    Batches are handled ``ROWS_AT_ONCE`` rows at a time, which bounds what a task holds as objects.
+    """
 
     def run(batches):
         of_batch = make(*args)
         for batch in batches:
-            if batch.num_rows:
-                out = of_batch(batch)
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = of_batch(batch.slice(lo, ROWS_AT_ONCE))
                 if out.num_rows:
                     yield out
+        del of_batch
+        release_memory()
 
     return run
 
 
+ROWS_AT_ONCE = 1024
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker stays with its executor between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words_of(text: str) -> list[bytes]:
     """Words with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import arrow_map, partitions, stored, words_of
+from weekloom.llm.common import arrow_map, partitions, release_memory, stored, words_of
 
 START, END, FIRST_WORD = 1, 2, 3  # from 1, so that a key tells its order
 END_WORD = b""  # no word is empty
@@ -58,6 +58,8 @@ def _word_counter(flush: int):
                 counts = Counter()
         if counts:
             yield _counted(counts)
+        del counts
+        release_memory()
 
     return run
 
@@ -156,6 +158,8 @@ def _gram_counter(shortlist: list[bytes], flush: int = 4_000_000):
                 blocks = {}
         for block, found in blocks.items():
             yield from found.batches(block)
+        del blocks
+        release_memory()
 
     return run
 
@@ -307,6 +311,8 @@ def _scorer(shortlist, backoff, tokens, types, discount):
         for packed in docs.column("packed").to_pylist():
             found = words_in(packed)
             out.append((len(found) + 1, *machine.score(found, lexicon, unknown, -floor)))
+        del machine, lexicon
+        release_memory()
         n, known, base, score = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table(
             {
