@@ -138,6 +138,30 @@ def test_lm_scores_by_brute_force(name, request):
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+def test_lm_counts_all_words(corpus):
+    """By default every word makes histories, however small its share, and parts of a block add up."""
+    settings = lm.LmSettings(block_bytes=20_000)
+    found = lm.lm_scores(corpus, lm.crc_share("doc_id", 7, 2), settings=settings).collect()
+    want = {r[0]: r for r in brute_scores([(r.doc_id, r.text) for r in corpus.collect()], lm.LmSettings(min_share=0.0))}
+    rare = lm.lm_scores(corpus, lm.crc_share("doc_id", 7, 2), settings=lm.LmSettings(min_share=1e-2)).collect()
+    assert {r.doc_id: r.score for r in found} == pytest.approx({i: r[5] for i, r in want.items()}, rel=1e-9)
+    assert sum(r.score for r in found) > sum(r.score for r in rare)
+
+
+def test_gram_arrays():
+    import numpy as np
+
+    texts = [np.array(t) for t in ([1, 3, 4, 3, 4, 2], [1, 2], [1, 2**30, -1, 3, 4, 2])]
+    ab, third, c = lm.gram_counts(texts, [True, True, False])
+    got = {(int(x) >> lm.BITS, int(x) & lm.MASK, int(y)): int(n) for x, y, n in zip(ab, third, c, strict=True)}
+    assert got == {
+        (1, 3, 0): 1, (3, 4, 0): 2, (4, 3, 0): 1, (4, 2, 0): 1, (1, 2, 0): 1, (1, 2**30, 0): 0,
+        (1, 3, 4): 1, (3, 4, 3): 1, (4, 3, 4): 1, (3, 4, 2): 1,
+    }
+    for x, y in zip(lm.unpack_grams(lm.pack_grams(ab, third, c)), (ab, third, c), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_lm_weights_sum_to_one(corpus):
     """The model's probabilities of all next words after a history sum to one."""
     rows = [(r.doc_id, r.text) for r in corpus.collect()]

@@ -1,20 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a trigram model with absolute discounting in backoff form. Every word has a unigram
-weight. Words with a share of at least ``min_share`` of all training tokens (at most
-1 / ``min_share`` words, whatever the corpus) also make histories: their bigrams and trigrams seen
-at least ``min_count`` times are arcs, histories are states, and a failure arc with the weight left
-over by discounting leads from each state to the next shorter history. Weights sum to one in every
-state.
+weight. Bigrams and trigrams seen at least ``min_count`` times are arcs, histories are states, and
+a failure arc with the weight left over by discounting leads from each state to the next shorter
+history. Weights sum to one in every state. No word is left out of histories: a word that is seen
+less often than ``min_count`` cannot be in an n-gram that is kept.
 
 Counts come from all training documents. No machine holds the whole model: documents are dealt
 into blocks of bounded size, each block receives exactly the words and n-grams that it contains
-by joins, builds its part of the automaton and scores its documents in one traversal each.
+by joins, weighs its part of the automaton and scores its documents in one traversal each. Words
+are numbered in Spark, the frequent ones first. The n-grams of a block travel to be counted as
+compressed arrays, dealt by a hash of the whole n-gram.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,16 +26,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import arrow_map, partitions, release_memory, stored, words_of
+from weekloom.llm.common import arrow_map, partitions, release_memory, stored
 
-START, END, FIRST_WORD = 1, 2, 3  # from 1, so that a key tells its order
+START, END, FIRST_WORD = 1, 2, 3  # 0 stands for no third word
 END_WORD = b""  # no word is empty
-BITS = 20
+BITS = 31
+MASK = (1 << BITS) - 1
+BUCKET_BYTES = 4 << 20  # text whose n-grams one task counts at a time
 
 
 @dataclass(frozen=True)
 class LmSettings:
-    min_share: float = 1e-4
+    min_share: float = 0.0  # words with a smaller share of all training tokens make no histories; 0: all words do
     min_count: int = 2
     discount: float = 0.75
     block_bytes: int = 16 << 20
@@ -44,222 +48,235 @@ def crc_share(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def _word_counter(flush: int):
-    """Counts of training words, END among them, as rows of one task."""
+def _packer():
+    """Texts travel to their block compressed."""
+    import zstandard
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                counts[END_WORD] += 1
-            if len(counts) > flush:
-                yield _counted(counts)
-                counts = Counter()
-        if counts:
-            yield _counted(counts)
-        del counts
-        release_memory()
+    pack = zstandard.ZstdCompressor(level=3).compress
 
-    return run
+    def of_batch(batch):
+        texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        columns = [*[batch.column(n) for n in ("block", "doc_id", "held_out")], pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "packed"])
+
+    return of_batch
+
+
+def unpacker():
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda packed: unpack(packed).lower().split()
 
 
-def _counted(counts):
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+def _word_counter(flush: int = 500_000):
+    """Words of each block, END among them, with their training counts."""
 
+    def run(batches):
+        words_in = unpacker()
+        blocks: dict[int, Counter] = {}
+        for batch in batches:
+            for block, held_out, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                counts = blocks.setdefault(block, Counter())
+                words = [*words_in(packed), END_WORD]
+                if held_out:
+                    for w in words:
+                        counts[w] += 0
+                else:
+                    counts.update(words)
+            if sum(map(len, blocks.values())) > flush:
+                for block, counts in blocks.items():
+                    yield _counted(block, counts)
+                blocks = {}
+        for block, counts in blocks.items():
+            yield _counted(block, counts)
+        del blocks
+        release_memory()
 
-def word_counts(training: DataFrame) -> DataFrame:
-    rows = training.select("text").mapInArrow(_word_counter(500_000), "word binary, c long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"))
+    return run
 
 
-def gram_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram and trigram keys of a token sequence; -1 marks words without histories."""
-    pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
-    two = (ids[:-1] << BITS) | ids[1:]
-    three = (two[:-1] << BITS) | ids[2:] if len(ids) > 2 else two[:0]
-    return two[pair], three[pair[:-1] & pair[1:]] if len(ids) > 2 else three
+def _counted(block: int, counts: Counter) -> pa.RecordBatch:
+    columns = [np.full(len(counts), block), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["block", "word", "c"])
+
+
+def numbered(words: DataFrame, least: float) -> DataFrame:
+    """(word, c, id): numbers from FIRST_WORD by falling count for words seen ``least`` times, END its own, -1 for others."""
+    spark = words.sparkSession
+    often = words.where((F.col("c") >= least) & (F.col("word") != F.lit(END_WORD)))
+    often = often.repartitionByRange(partitions(spark), F.desc("c"), F.asc("word")).sortWithinPartitions(F.desc("c"), F.asc("word"))
+    part = F.spark_partition_id().alias("part")
+    often = stored(often.select("word", "c", part, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "numbered")
+    offsets, n = [], FIRST_WORD
+    for p, size in sorted(often.groupBy("part").count().collect()):  # one number a partition
+        offsets.append((p, n))
+        n += size
+    if n > MASK:
+        raise ValueError("too many words to number")
+    first = F.broadcast(spark.createDataFrame(offsets, "part int, first long"))
+    rare = words.where((F.col("c") < least) & (F.col("word") != F.lit(END_WORD)))
+    ends = words.where(F.col("word") == F.lit(END_WORD))
+    return (
+        often.join(first, "part").select("word", "c", (F.col("first") + F.col("k")).alias("id"))
+        .unionByName(rare.select("word", "c", F.lit(-1).cast("long").alias("id")))
+        .unionByName(ends.select("word", "c", F.lit(END).cast("long").alias("id")))
+    )
 
 
 def sequence(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a text between START and END; -1 marks words without histories."""
     out = np.empty(len(words) + 2, dtype=np.int64)
     out[0], out[-1] = START, END
     out[1:-1] = np.fromiter((ids.get(w, -1) for w in words), dtype=np.int64, count=len(words))
     return out
 
 
-class _BlockCounts:
-    """What a block contains: words, bigrams and trigrams with their training counts."""
-
-    def __init__(self):
-        self.words: Counter = Counter()
-        self.keys: dict[bool, list[np.ndarray]] = {True: [], False: []}  # of training documents, of others
-        self.size = 0
-
-    def add(self, words, keys, training: bool) -> None:
-        if training:
-            self.words.update(words)
-        else:
-            for w in words:
-                self.words[w] += 0
-        for k in keys:
-            self.keys[training].append(k)
-            self.size += len(k)
-
-    def batches(self, block: int):
-        names = ["block", "word", "gram", "c"]
-        n = len(self.words)
-        words, counts = pa.array(list(self.words), pa.binary()), pa.array(list(self.words.values()), pa.int64())
-        self.words.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), words, pa.nulls(n, pa.int64()), counts], names)
-        for training, keys in self.keys.items():
-            found, counts = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
-            keys.clear()
-            n, counts = len(found), counts if training else np.zeros(len(found), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(found), pa.array(counts)], names
-            )
+def gram_counts(texts: list[np.ndarray], training: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First two words in one number, third word or 0, and training count of all bigrams and trigrams of the texts."""
+    s = np.concatenate(texts)
+    counts = np.repeat(np.array(training, dtype=np.int64), [len(t) for t in texts])[1:]
+    ok = (s[:-1] >= 0) & (s[1:] >= 0) & (s[1:] != START)
+    two, place = np.unique((s[:-1][ok] << BITS) | s[1:][ok], return_inverse=True)
+    n2 = np.bincount(place, weights=counts[ok], minlength=len(two))
+    at = np.full(len(ok), -1)
+    at[ok] = place
+    ok3 = ok[:-1] & ok[1:]
+    three, place = np.unique((at[:-1][ok3] << BITS) | s[2:][ok3], return_inverse=True)
+    n3 = np.bincount(place, weights=counts[1:][ok3], minlength=len(three))
+    ab = np.concatenate([two, two[three >> BITS]])
+    return ab, np.concatenate([np.zeros(len(two), np.int64), three & MASK]), np.concatenate([n2, n3]).astype(np.int64)
 
 
-def _packer():
-    """Texts travel to their block compressed."""
-    import zstandard
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of the numbers, first all lowest ones: equal bytes stand together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
-    pack = zstandard.ZstdCompressor(level=3).compress
 
-    def of_batch(batch):
-        texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        columns = [*[batch.column(n) for n in ("block", "doc_id", "held_out")], pa.array(texts, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "packed"])
+def _numbers(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-    return of_batch
 
+def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 16
+    return np.cumsum(_numbers(data[: 8 * n], np.int64)), _numbers(data[8 * n : 12 * n], np.int32).astype(np.int64), _numbers(data[12 * n :], np.int32)
 
-def unpacker():
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    return lambda packed: unpack(packed).lower().split()
+def pack_grams(ab: np.ndarray, third: np.ndarray, c: np.ndarray) -> bytes:
+    return _planes(np.diff(ab, prepend=0)) + _planes(third.astype(np.int32)) + _planes(c.astype(np.int32))
+
+
+def bucket_of(ab: np.ndarray, third: np.ndarray, buckets: int) -> np.ndarray:
+    h = ab.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + third.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
 
 
-def _gram_counter(shortlist: list[bytes], flush: int = 4_000_000):
-    ids = {w: i + FIRST_WORD for i, w in enumerate(shortlist)}
+def _gram_counter(buckets: int, flush: int = 2_000_000):
+    """Rows by block, its words before its documents; n-grams leave as one array for each bucket."""
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         words_in = unpacker()
-        blocks: dict[int, _BlockCounts] = {}
+        block, ids, texts, training, size = None, {}, [], [], 0
+
+        def counted():
+            ab, third, c = gram_counts(texts, training)
+            bucket = bucket_of(ab, third, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ab, third, c, bucket = ab[order], third[order], c[order], bucket[order]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            data = [pack(pack_grams(ab[i:j], third[i:j], c[i:j])) for i, j in zip(starts, [*starts[1:], len(ab)], strict=True)]
+            columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), block)), pa.array(data, pa.binary())]
+            texts.clear()
+            training.clear()
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams"])
+
         for batch in batches:
-            for block, training, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = words_in(packed)
-                blocks.setdefault(block, _BlockCounts()).add(words, gram_keys(sequence(words, ids)), training)
-            if sum(b.size + len(b.words) for b in blocks.values()) > flush:
-                for block, found in blocks.items():
-                    yield from found.batches(block)
-                blocks = {}
-        for block, found in blocks.items():
-            yield from found.batches(block)
-        del blocks
+            for at, word, number, held_out, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != block:
+                    if texts:
+                        yield counted()
+                    block, ids, size = at, {}, 0
+                if packed is None:
+                    ids[word] = number
+                    continue
+                texts.append(sequence(words_in(packed), ids))
+                training.append(not held_out)
+                size += len(texts[-1])
+                if size > flush:
+                    yield counted()
+                    size = 0
+        if texts:
+            yield counted()
+        del ids, texts
         release_memory()
 
     return run
 
 
-@dataclass
-class Model:
-    """Tables of the whole corpus and the small facts that every task gets."""
-
-    tokens: int
-    types: int
-    shortlist: list[bytes]
-    backoff: dict[int, float]  # log10 weight of the failure arc of one-word histories
-    words: DataFrame  # word, c
-    grams: DataFrame  # gram, lp, fail (null: no arcs leave this history)
-    settings: LmSettings
+def _gram_adder(min_count: int):
+    """All arrays of one bucket to rows (block, ab, third, n, first) of the n-grams that are kept; ``first`` once for each n-gram."""
 
-    def unigram(self, c: int) -> float:
-        d = self.settings.discount
-        return math.log10(max(c - d, 0) / self.tokens + d * self.types / self.tokens / (self.types + 1)) if self.tokens else 0.0
+    def add(table: pa.Table) -> pa.Table:
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
+        found = [unpack_grams(unpack(x)) for x in table.column("grams").to_pylist()]
+        block = np.repeat(table.column("block").to_numpy(), [len(x[0]) for x in found])
+        ab, third, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        _, place = np.unique(ab, return_inverse=True)
+        _, first, place = np.unique((place << BITS) | third, return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=c).astype(np.int64)[place]
+        mark = np.zeros(len(ab), dtype=bool)
+        mark[first] = True
+        keep = total >= min_count
+        out = {"block": block[keep], "ab": ab[keep], "third": third[keep], "n": total[keep], "first": mark[keep]}
+        return pa.table({k: pa.array(v) for k, v in out.items()})
 
-def weigh(counts: DataFrame, model: Model, word_c: dict[int, int]) -> Model:
-    """Arc and failure weights from gram counts (gram, c); ``word_c``: training counts of histories."""
-    d, n, v = model.settings.discount, model.tokens, model.types
-    mask = (1 << BITS) - 1
-    kept = counts.where(F.col("c") >= model.settings.min_count)
-    spark = counts.sparkSession
-    ones = spark.createDataFrame(  # at most 1 / min_share + 2 rows
-        [(i, float(c), max(c - d, 0) / n + d * v / n / (v + 1)) for i, c in word_c.items()], "id long, c1 double, p1 double"
-    )
-    two = kept.where(F.col("gram") < (1 << 2 * BITS)).select(
-        F.col("gram").alias("ab"), F.shiftright("gram", BITS).alias("a"), F.col("gram").bitwiseAND(F.lit(mask)).alias("b"), F.col("c").alias("c2")
-    )
-    left = two.groupBy("a").agg(F.sum(F.col("c2") - d).alias("used"))
-    lam = {a: 1 - used / word_c[a] for a, used in left.collect()}  # one number a history word
-    lams = spark.createDataFrame([(a, x) for a, x in lam.items()] or [(-1, 1.0)], "id long, lam1 double")
-    two = (
-        two.join(F.broadcast(ones.select(F.col("id").alias("a"), "c1")), "a")
-        .join(F.broadcast(lams.withColumnRenamed("id", "a")), "a")
-        .join(F.broadcast(ones.select(F.col("id").alias("b"), "p1")), "b")
-        .select("ab", "c2", ((F.col("c2") - d) / F.col("c1") + F.col("lam1") * F.col("p1")).alias("p2"))
-    )
-    two = stored(two, "bigrams")
-    three = kept.where(F.col("gram") >= (1 << 2 * BITS)).select(
-        F.col("gram").alias("abc"),
-        F.shiftright("gram", BITS).alias("ab"),
-        F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("bc"),
-        F.col("c").alias("c3"),
-    )
-    three = stored(three, "trigrams")
-    spare = three.groupBy("ab").agg(F.sum(F.col("c3") - d).alias("used"))
-    pairs = two.join(spare, "ab", "left").select("ab", "c2", "p2", (1 - F.col("used") / F.col("c2")).alias("lam2"))
-    pairs = stored(pairs, "histories")
-    tri = (
-        three.join(pairs.select("ab", "c2", "lam2"), "ab")
-        .join(two.select(F.col("ab").alias("bc"), F.col("p2").alias("lower")), "bc")
-        .select(F.col("abc").alias("gram"), F.log10((F.col("c3") - d) / F.col("c2") + F.col("lam2") * F.col("lower")).alias("lp"))
-        .withColumn("fail", F.lit(None).cast("double"))
-    )
-    grams = pairs.select(F.col("ab").alias("gram"), F.log10("p2").alias("lp"), F.log10("lam2").alias("fail")).unionByName(tri)
-    model.grams = grams
-    model.backoff = {a: math.log10(x) for a, x in lam.items()}
-    return model
+    return add
 
 
 class Automaton:
-    """States: 0 the root, then one per history word, then one per bigram history."""
-
-    def __init__(self, shortlist_size: int, backoff: dict[int, float], grams):
-        """``grams``: (key, log10 weight, log10 failure weight or None)."""
-        k = self.width = shortlist_size + FIRST_WORD
-        self.fail = [0.0] + [backoff.get(i, 0.0) for i in range(k)]
-        self.down = [0] * (k + 1)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        mask = (1 << BITS) - 1
-        states, longer = {}, []
-        for key, lp, fail in grams:
-            if key >= 1 << 2 * BITS:
-                longer.append((key, lp))
-                continue
-            a, b = key >> BITS, key & mask
-            target = b + 1
-            if fail is not None:
-                target = states[key] = len(self.fail)
-                self.fail.append(fail)
-                self.down.append(b + 1)
-            self.arcs[(a + 1) * k + b] = (lp, target)
-        for key, lp in longer:
-            ab, c = key >> BITS, key & mask
-            if ab in states:
-                onward = self.arcs.get(((ab & mask) + 1) * k + c)
-                self.arcs[states[ab] * k + c] = (lp, onward[1] if onward else c + 1)
-        self.fall = [0.0] * len(self.fail)
-        for s in range(1, len(self.fail)):
-            self.fall[s] = self.fail[s] + self.fall[self.down[s]]
+    """States: 0 the root, then one per history word, then one per bigram history.
+
+    Words are places in ``ids``, the sorted numbers of the block's words with START.
+    """
+
+    def __init__(self, ids, counts, used, base, two, three, discount: float):
+        """``counts``, ``used``, ``base``: of each word as a history (NaN: no arcs leave) and its unigram weight.
+
+        ``two``: (ab, count, used or NaN), sorted; ``three``: (ab, third, count).
+        """
+        ab, n, spent = two
+        a, b = np.searchsorted(ids, ab >> BITS), np.searchsorted(ids, ab & MASK)
+        k = self.width = len(ids)
+        left = np.where(np.isnan(used), 1.0, 1 - used / np.maximum(counts, 1))
+        p2 = (n - discount) / counts[a] + left[a] * base[b]
+        history = ~np.isnan(spent)
+        left2 = np.where(history, 1 - spent / n, 1.0)
+        state = np.where(history, k + np.cumsum(history), b + 1)
+        head, third, m = three
+        up, onward = np.searchsorted(ab, head), np.searchsorted(ab, ((head & MASK) << BITS) | third)
+        p3 = (m - discount) / n[up] + left2[up] * p2[onward]
+        keys = np.concatenate([(a + 1) * k + b, state[up] * k + np.searchsorted(ids, third)])
+        self.arcs: dict[int, int] = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weights = array("d", np.log10(np.concatenate([p2, p3])).tobytes())
+        self.targets = array("q", np.concatenate([state, state[onward]]).astype(np.int64).tobytes())
+        fail = np.concatenate([[0.0], np.log10(left), np.log10(left2[history])])
+        down = np.concatenate([np.zeros(k + 1, np.int64), b[history] + 1])
+        self.fail, self.down = array("d", fail.tobytes()), array("q", down.astype(np.int64).tobytes())
+        self.fall = array("d", np.where(np.arange(len(fail)) > k, fail + fail[down], fail).tobytes())
+        self.start = int(np.searchsorted(ids, START)) + 1
 
     def score(self, words: list[bytes], lexicon: dict, unknown: float, base_unknown: float) -> tuple[int, float, float]:
         """Known tokens, base score and model score of the words and the end."""
-        k, arcs, fail, down, fall = self.width, self.arcs, self.fail, self.down, self.fall
-        known, base, lp, s = 0, 0.0, 0.0, START + 1
+        k, arcs, weights, targets, fail, down, fall = self.width, self.arcs, self.weights, self.targets, self.fail, self.down, self.fall
+        known, base, lp, s = 0, 0.0, 0.0, self.start
         for w in (*words, END_WORD):
             entry = lexicon.get(w)
             if entry is None:  # no state but the root has an arc
@@ -274,7 +291,7 @@ class Automaton:
                 lp += fall[s] + one
                 s = 0
                 continue
-            arc = arcs.get(s * k + i)
+            arc = arcs.get(s * k + i) if s else None
             while arc is None and s:
                 lp += fail[s]
                 s = down[s]
@@ -283,29 +300,38 @@ class Automaton:
                 lp += one
                 s = i + 1
             else:
-                lp += arc[0]
-                s = arc[1]
+                lp += weights[arc]
+                s = targets[arc]
         return known, base, lp
 
 
-def _scorer(shortlist, backoff, tokens, types, discount):
-    ids = {w: i + FIRST_WORD for i, w in enumerate(shortlist)} | {END_WORD: END}
+def _scorer(tokens, types, ends, start_used, discount):
     floor = math.log10(tokens + types + 1)
     spare = discount * types / tokens / (types + 1) if tokens else 1.0
 
+    def machine_of(rows: pa.Table) -> tuple[Automaton, dict]:
+        lex = rows.filter(pc.is_valid(rows.column("word")))
+        number, c, used = (lex.column(x).to_numpy() for x in ("x", "n", "used"))
+        one = np.maximum(c - discount, 0) / max(tokens, 1) + spare
+        ids, first = np.unique(np.append(number, START), return_index=True)
+        ids, first = ids[ids >= 0], first[ids >= 0]
+        values = (np.append(c, ends), np.append(used.astype(float), start_used), np.append(one, 1.0))
+        place = np.where(number >= 0, np.searchsorted(ids, number), -1)
+        entries = zip(place.tolist(), np.log10(one).tolist(), (np.log10(c + 1) - floor).tolist(), strict=True)
+        lexicon = dict(zip(lex.column("word").to_pylist(), entries, strict=True))
+        grams = rows.filter(pc.is_null(rows.column("word")))
+        ab, third, n, used = (grams.column(x).to_numpy() for x in ("x", "third", "n", "used"))
+        two = np.flatnonzero(third == 0)
+        two = two[np.unique(ab[two], return_index=True)[1]]  # a task that wrote in parts may name one twice
+        three = third != 0
+        machine = Automaton(
+            ids, *[v[first] for v in values], (ab[two], n[two], used[two].astype(float)), (ab[three], third[three], n[three]), discount
+        )
+        return machine, lexicon
+
     def score_block(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        known = rows.filter(pc.is_valid(rows.column("gram")))
-        keys, lps, fails = (known.column(x).combine_chunks() for x in ("gram", "lp", "fail"))
-        grams = zip(keys.to_pylist(), lps.to_pylist(), fails.to_pylist(), strict=True)
-        machine = Automaton(len(shortlist), backoff, grams)
-        del grams, known, keys, lps, fails
-        known = rows.filter(pc.is_valid(rows.column("word")))
-        lexicon = {
-            w: (ids.get(w, -1), math.log10(max(c - discount, 0) / tokens + spare), math.log10(c + 1) - floor)
-            for w, c in zip(known.column("word").to_pylist(), known.column("c").to_pylist(), strict=True)
-            if c
-        }
-        del known
+        machine, lexicon = machine_of(rows)
+        del rows
         unknown = math.log10(spare)
         out, words_in = [], unpacker()
         for packed in docs.column("packed").to_pylist():
@@ -341,45 +367,53 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     rows = docs.select(
         F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    words = stored(word_counts(rows.where(~F.col("held_out"))), "words")
-    tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most 1 / min_share words can reach the share; the end token has its own number.
-    top = words.where((F.col("c") >= settings.min_share * tokens) & (F.col("word") != F.lit(END_WORD))).collect()
-    shortlist = [bytes(r[0]) for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))]
-    ends = words.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    counted = {bytes(r[0]): r[1] for r in top}
-    word_c = {START: ends, END: ends} | {i + FIRST_WORD: counted[w] for i, w in enumerate(shortlist)}
-
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // settings.block_bytes))
+    parts = max(blocks, partitions(spark))
     kind = dict(rows.dtypes)["doc_id"]
     packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).mapInArrow(
         arrow_map(_packer), f"block long, doc_id {kind}, held_out boolean, packed binary"
     )
-    dealt = packed.repartition(max(blocks, partitions(spark)), "block")
-    grams = dealt.select("block", ~F.col("held_out"), "packed").mapInArrow(
-        _gram_counter(shortlist), "block long, word binary, gram long, c long"
+    dealt = packed.repartition(parts, "block")
+    # A block may name a word twice, where a task wrote its counts in parts; that does no harm.
+    block_words = stored(
+        dealt.select("block", "held_out", "packed").mapInArrow(_word_counter(), "block long, word binary, c long"), "block_words"
     )
-    grams = stored(grams, "grams")
-    model = Model(tokens, types, shortlist, {}, words, None, settings)
-    counts = grams.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("c").alias("c"))
-    model = weigh(counts, model, word_c) if tokens else model
-    schema = "block long, word binary, c long, gram long, lp double, fail double"
-    if tokens:
-        have_words = spark.range(blocks).select(F.col("id").alias("block"), F.lit(END_WORD).alias("word")).unionByName(
-            grams.where("word IS NOT NULL").select("block", "word")
-        )
-        # A block may name a word or n-gram twice, where a task wrote its counts in parts; that does no harm.
-        have_grams = grams.where("gram IS NOT NULL").select("block", "gram")
-        parts = have_words.join(words, "word").select("block", "word", "c").unionByName(
-            have_grams.join(model.grams, "gram").select("block", "gram", "lp", "fail"), allowMissingColumns=True
-        )
-    else:
-        parts = spark.createDataFrame([], schema)
-    scorer = _scorer(shortlist, model.backoff, tokens, types, settings.discount)
+    words = stored(block_words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
+    tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = words.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    least = max(settings.min_count, settings.min_share * tokens)
+    lexicon = stored(block_words.select("block", "word").join(numbered(words, least), "word"), "lexicon")
+
+    # The words of a block that have numbers come before its documents.
+    mixed = lexicon.where("id >= 0").select("block", "word", "id").unionByName(
+        packed.select("block", "held_out", "packed"), allowMissingColumns=True
+    )
+    mixed = mixed.repartition(parts, "block").sortWithinPartitions("block", F.col("packed").isNotNull())
+    arrays = mixed.mapInArrow(_gram_counter(max(1, size // BUCKET_BYTES)), "bucket long, block long, grams binary")
+    kept = stored(
+        arrays.groupBy("bucket").applyInArrow(
+            _gram_adder(settings.min_count), "block long, ab long, third long, n long, first boolean"
+        ),
+        "grams",
+    )
+    once = kept.where("first").withColumn("left", F.col("n") - settings.discount)
+    used_by_words = stored(
+        once.where("third = 0").groupBy(F.shiftright("ab", BITS).alias("x")).agg(F.sum("left").alias("used")), "used_by_words"
+    )
+    used_by_pairs = once.where("third > 0").groupBy(F.col("ab").alias("x")).agg(F.sum("left").alias("used"))
+    start_used = used_by_words.where(F.col("x") == START).agg(F.sum("used")).first()[0]
+
+    named = lexicon.select("block", "word", F.col("id").alias("x"), F.col("c").alias("n"))
+    grams = kept.select("block", F.col("ab").alias("x"), "third", "n")
+    facts = named.where("x >= 0").join(used_by_words, "x", "left")
+    for more in (named.where("x < 0"), grams.where("third = 0").join(used_by_pairs, "x", "left"), grams.where("third > 0")):
+        facts = facts.unionByName(more, allowMissingColumns=True)
+    facts = facts.select("block", "word", "x", "third", "n", "used")
+    scorer = _scorer(tokens, types, ends, math.nan if start_used is None else start_used, settings.discount)
     return (
         dealt.groupBy("block")
-        .cogroup(parts.groupBy("block"))
+        .cogroup(facts.groupBy("block"))
         .applyInArrow(
             scorer,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
