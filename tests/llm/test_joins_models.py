@@ -59,6 +59,29 @@ def test_chain_of_links(spark):
     assert {c for _, c in found.values()} == {0}
 
 
+def brute_links(rows):
+    """Links of each distinct set to other distinct sets."""
+    sets = {i: frozenset(brute_sets(t)) for i, t in rows}
+    other = set(sets.values()) - {frozenset()}
+    count = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in other if o != s) for s in other}
+    return {i: count.get(s, 0) for i, s in sets.items()}
+
+
+def test_all_links_are_counted(corpus, spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    near = [(k, " ".join([*base[: 20 * k], f"changed{k}", *base[20 * k + 1 :]])) for k in range(3)]
+    near += [(10 + k, " ".join(f"v{i}" if i != 9 * k else f"x{k}" for i in range(400))) for k in range(40)]
+    near += [(60, near[0][1]), (61, "one two three four"), (62, None)]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    want = brute_links(near)
+    assert [want[k] for k in range(3)] == [2, 2, 2]
+    assert {r.doc_id: r.n_links for r in jaccard.similarity_components(docs).collect()} == want
+    monkeypatch.setattr(jaccard, "BLOCK", 7)  # several blocks of one component
+    assert {r.doc_id: r.n_links for r in jaccard.similarity_components(docs).collect()} == want
+    found = {r.doc_id: r.n_links for r in jaccard.similarity_components(corpus).collect()}
+    assert found == brute_links([(r.doc_id, r.text) for r in corpus.collect()])
+
+
 def test_linked_sets_share_a_signature():
     import numpy as np
 

@@ -12,6 +12,9 @@ Sets that share a signature form groups. Equal sets are one class from the start
 first meet leaders only; groups that then lie in one component are done. What is left meets across
 components in blocks, where a parity sketch (a lower bound of the difference) drops pairs that
 cannot link. All pairs that pass are decided on the whole sets.
+
+That finds the components, not every link inside them. All links lie inside components, so the
+links of each class are then counted there: block by block, every pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from weekloom.llm.components import components
 SHINGLE = 5
 SKETCH_BITS = 512
 BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 20
 SLACK = 0.25
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -237,6 +241,57 @@ def _across(table: pa.Table) -> pa.Table:
     return _pairs(a, b)
 
 
+def _link_counts(table: pa.Table) -> pa.Table:
+    """(set, links) of blocks i and j of a component, or of one block with itself, decided on the whole sets."""
+    ident, block = table.column("set").to_numpy(), table.column("block").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    lists = table.column("elements").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    values, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    begin = np.cumsum(size) - size
+    left = np.flatnonzero(block == i)
+    right = np.flatnonzero(block == j)
+    right = right[np.argsort(size[right], kind="stable")]
+    n = size[right].astype(np.int64)
+    found = np.concatenate([np.empty(0, np.int64), *[place[begin[x] : begin[x] + size[x]] for x in right]])
+    start = np.concatenate([[0], np.cumsum(n)])
+    links = np.zeros(len(ident), dtype=np.int64)
+    mark = np.zeros(len(values), dtype=bool)
+    for x in left:
+        m, own = int(size[x]), place[begin[x] : begin[x] + size[x]]
+        lo, hi = np.searchsorted(5 * n, 4 * m), np.searchsorted(4 * n, 5 * m, side="right")
+        if lo >= hi:
+            continue
+        mark[own] = True
+        common = np.add.reduceat(mark[found[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
+        mark[own] = False
+        linked = (100 * common >= 80 * (m + n[lo:hi] - common)) & (ident[right[lo:hi]] != ident[x])
+        links[x] += linked.sum()
+        if i != j:
+            links[right[lo:hi]] += linked
+    return pa.table({"set": ident, "links": links})
+
+
+def link_counts(linked: DataFrame, elements: DataFrame) -> DataFrame:
+    """(set, n_links) of the linked classes (set, label, n_shingles): all links, by whole sets.
+
+    Each block of a component meets itself and every other block of it once. Counts leave a
+    block, not pairs.
+    """
+    sizes = linked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    sizes = stored(sizes, "component_sizes")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    pairs = linked.join(sizes.where("n = 2").select("label"), "label").select("set", F.lit(1).cast("long").alias("n_links"))
+    members = linked.join(sizes.where("n > 2").select("label", blocks), "label").join(elements, "set")
+    dealt = (
+        members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("label", "set", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    counts = dealt.groupBy("label", "i", "j").applyInArrow(_link_counts, "set long, links long")
+    return pairs.unionByName(counts.groupBy("set").agg(F.sum("links").alias("n_links")))
+
+
 def candidate_groups(docs: DataFrame) -> DataFrame:
     """(g, set): sets that share a signature; groups of the same members are one group."""
     signed = docs.select("text").mapInArrow(arrow_map(_signer), "sig long, set long")
@@ -262,7 +317,7 @@ def decide(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that links reach), n_links (of its class to other classes).
+    """doc_id, n_shingles, component_id (smallest id that links reach), n_links (of its class to other classes, all of them).
 
     A null or empty text, or one without words, has no shingle and links with nothing. Rows with
     equal sets are one class. A row with a null id takes the component of a named row with the same set,
@@ -314,11 +369,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         reps.withColumnRenamed("set", "b").withColumnRenamed("rep", "v"), "b"
     )
     labels = components(edges).withColumnRenamed("node", "rep")
-    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set")))
+    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set"))).distinct()
+    linked = stored(ends.join(classes, "set").join(labels, "rep").select("set", "label", "n_shingles"), "linked")
     known = (
         classes.select("set", "rep")
         .join(labels, "rep", "left")
-        .join(ends.groupBy("set").agg(F.count(F.lit(1)).alias("n_links")), "set", "left")
+        .join(link_counts(linked, elements), "set", "left")
         .select("set", F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
     return described.select("doc_id", "n_shingles", "set").join(known, "set", "left").select(
