@@ -200,6 +200,22 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+HEADS = [
+    ("<html><head><title>T</title><body><p>Hello</p>", "Hello"),
+    ("<head><title>T</title><meta charset=utf-8>\n<p>Hello", "Hello"),
+    ("<head><script>x</script> Hello <b>you</b>", "Hello you"),
+    ("<HEAD>\n<link rel=x><!-- c --><style>p{}</style>\n<BODY>Hello", "Hello"),
+    ("<head><noscript><style>p{}</style><body>Hello", "Hello"),
+    ("<head><title>T</title></head><body>Hello<head><p>you", "Hello\n\nyou"),
+    ("<head><template><p>no</p></template><title>T</title>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", HEADS)
+def test_head_ends_where_content_starts(page, text):
+    assert html_text.render(page) == text
+
+
 def test_rendering_survives_deep_pages():
     assert html_text.render("<div>" * 50_000 + "deep") == "deep"
     assert "x" in html_text.render("<ul><li>" * 3000 + "x")

@@ -48,6 +48,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr main menu nav ol p pre search section summary table ul li dd dt".split()
 )
+#: A head stays open for these only; its end tag may be left out.
+HEAD_CONTENT = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Elements nested deeper are taken as siblings, as browsers do; their text stays.
 DEPTH = 256
 _TOKEN = re.compile(
@@ -100,13 +102,17 @@ def parse(source: str) -> Node:
         m = _TOKEN.match(source, at)
         at = m.end()
         end, start, rest, text = m.groups()
+        if stack[-1].name == "head" and _ends_head(start, end, text):
+            stack.pop()
         if text is not None:
             if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr") and text.strip():
                 _cell(stack)
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         elif start is not None:
             name = start.lower()
-            if name in ("html", "body"):
+            if name == "body":
+                close(("head",), ("template",))
+            if name in ("html", "body") or name == "head" and len(stack) > 1:
                 continue
             if name in CLOSES_P:
                 close(("p",), ("table", "td", "th", "button", "caption"))
@@ -143,6 +149,15 @@ def parse(source: str) -> Node:
     return root
 
 
+def _ends_head(start: str | None, end: str | None, text: str | None) -> bool:
+    """Whether a token cannot stand in a head. Comments can."""
+    if text is not None:
+        return bool(html.unescape(text).strip(" \t\n\r\f"))
+    if start is not None:
+        return start.lower() not in HEAD_CONTENT and start.lower() not in ("html", "head")
+    return end is not None and end.lower() in ("body", "html", "br")
+
+
 def _open(stack: list[Node], node: Node) -> None:
     stack[-1].children.append(node)
     if len(stack) < DEPTH:
