@@ -216,6 +216,37 @@ def test_head_ends_where_content_starts(page, text):
     assert html_text.render(page) == text
 
 
+SHOWN = [
+    ("<table><p>note</p><tr><td>a<td>b</table>", "note |\na    | b"),
+    ("<table><tr><div>note</div><td>a</table>", "note | a"),
+    ("<table><tr><form><td>price</td></form></tr></table>", "price"),
+    ("<table><form><tr><td>price</td></tr></form></table>", "price"),
+    ("<table><tr><span><td>price</td></span></tr></table>", "price"),
+    ("<table><tr><td>a</td><input type=hidden><td>b</table>", "a | b"),
+    ("<table><thead><b>top</b><tr><td>a</table>", "top\na"),
+    ("<table><tr><td>a</td></tr><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+    ("<p aria-hidden=true>shown", "shown"),
+    ("<select><option>one<option label=two>2<optgroup label=more><option>three</select>x", "one\ntwo\nmore\nthree\nx"),
+    ('<div class="a"">one</div><p>two "three"</p>', 'one\n\ntwo "three"'),
+    ("<p title=it's>one</p><p>it's</p>", "one\n\nit's"),
+    ("<p title='a > b' hidden>no</p><p title = \"<p>\">yes", "yes"),
+    ('<p "hidden">shown', "shown"),
+    ('<p title="open', ""),
+]
+
+
+@pytest.mark.parametrize("page,text", SHOWN)
+def test_all_that_shows_is_rendered(page, text):
+    assert html_text.render(page) == text
+
+
+def test_tables_nested_deep_keep_their_text():
+    for rest in ("<table>one<tr>two<td>three", "<table><tr><td>one<td>two<p>three", "<table><p>one</p><tr><div>two</div><td>three"):
+        for depth in range(245, 260):
+            found = html_text.render("<div>" * depth + rest)
+            assert all(x in found for x in ("one", "two", "three")), (depth, rest)
+
+
 def test_rendering_survives_deep_pages():
     assert html_text.render("<div>" * 50_000 + "deep") == "deep"
     assert "x" in html_text.render("<ul><li>" * 3000 + "x")

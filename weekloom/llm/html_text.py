@@ -21,7 +21,7 @@ from weekloom.llm.common import arrow_map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "script style template noscript head title meta link base svg math iframe object audio video canvas datalist noembed noframes select".split()
+    "script style template noscript head title meta link base svg math iframe object audio video canvas datalist noembed noframes".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -44,6 +44,10 @@ CLOSES = {
 }
 BOUNDARY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 TABLE_BOUNDARY = ("table",)
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+IMPLIED = " implied"  # no attribute of a page has a space in its name
+#: What stands in a table outside its cells, or shows nothing there. Other elements get a cell.
+CELLESS = HIDDEN | frozenset("caption colgroup col tbody thead tfoot tr td th input br wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr main menu nav ol p pre search section summary table ul li dd dt".split()
@@ -52,14 +56,16 @@ CLOSES_P = frozenset(
 HEAD_CONTENT = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Elements nested deeper are taken as siblings, as browsers do; their text stays.
 DEPTH = 256
+#: An attribute. Quotes delimit a value only right behind its equals sign.
+_ONE = r"(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>]*))?"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
     r"|</([a-zA-Z][^\s/>]*)[^>]*>?"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?"
+    r"|<([a-zA-Z][^\s/>]*)((?:[\s/]|" + _ONE + r")*+)>?"
     r"|([^<]+|<)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_ATTR = re.compile(r"(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]*)))?", re.S)
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -105,7 +111,7 @@ def parse(source: str) -> Node:
         if stack[-1].name == "head" and _ends_head(start, end, text):
             stack.pop()
         if text is not None:
-            if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr") and text.strip():
+            if stack[-1].name in TABLE_PARTS and text.strip():
                 _cell(stack)
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         elif start is not None:
@@ -127,6 +133,13 @@ def parse(source: str) -> Node:
                     _open(stack, Node("tbody"))
                 _open(stack, Node("tr"))
             node = Node(name, attributes(rest) if rest.strip() else {})
+            if stack[-1].name in TABLE_PARTS:
+                if name == "form":  # shows nothing there and holds nothing
+                    continue
+                if name == "table":
+                    close(("table",), ())
+                elif name not in CELLESS:
+                    _cell(stack)
             stack[-1].children.append(node)
             if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(source, at)
@@ -165,18 +178,18 @@ def _open(stack: list[Node], node: Node) -> None:
 
 
 def _cell(stack: list[Node]) -> None:
-    """Text that stands in a table outside a cell gets one."""
+    """What stands in a table outside a cell gets one."""
     if stack[-1].name == "table":
         _open(stack, Node("tbody"))
     if stack[-1].name != "tr":
         _open(stack, Node("tr"))
-    _open(stack, Node("td"))
+    _open(stack, Node("td", {IMPLIED: ""}))
 
 
 def visible(node: Node) -> bool:
     if node.name in HIDDEN or "hidden" in node.attrs:
         return False
-    if node.name == "input" or node.attrs.get("aria-hidden", "").lower() == "true":
+    if node.name == "input":
         return False
     style = node.attrs.get("style")
     return not (style and _GONE.search(style))
@@ -244,6 +257,10 @@ def _lines(node: Node) -> list[str]:
             out.gap = True
         elif child.name == "img":
             out.text(child.attrs.get("alt", ""))
+        elif child.name == "option" and child.attrs.get("label"):  # shown in place of its content
+            out.block(False)
+            out.text(child.attrs["label"])
+            out.block(False)
         elif child.name == "textarea":
             out.text("".join(x for x in child.children if isinstance(x, str)))
         elif child.name in ("ul", "ol", "menu", "dir"):
@@ -268,6 +285,8 @@ def _lines(node: Node) -> list[str]:
         else:
             if child.name in BLOCK:
                 out.block(child.name in SPACED)
+            if child.name == "optgroup" and child.attrs.get("label"):
+                out.text(child.attrs["label"])
             todo.append(iter(child.children))
             closing.append(child.name)
     out.end()
@@ -316,6 +335,21 @@ def _span(cell: Node, name: str) -> int:
     return min(1000, max(1, int(value))) if re.fullmatch(r"[0-9]{1,4}", value) else 1
 
 
+def _cells(row: Node) -> list[Node]:
+    """Cells of a row; what stands beside them, as in elements nested too deep for a cell, counts as one if it shows."""
+    out = []
+    for c in row.children:
+        if isinstance(c, str):
+            if c.strip():
+                out.append(Node("td", {}, [c]))
+        elif visible(c):
+            if c.name in ("td", "th") and (IMPLIED not in c.attrs or any(_lines(c))):
+                out.append(c)
+            elif c.name not in ("td", "th") and any(_lines(Node("td", {}, [c]))):
+                out.append(Node("td", {}, [c]))
+    return out
+
+
 def _table(node: Node) -> list[str]:
     """Caption, then rows with columns padded to equal width and parted by bars."""
     head: list[str] = []
@@ -325,15 +359,21 @@ def _table(node: Node) -> list[str]:
     todo = [x for x in reversed(node.children)]
     while todo:
         child = todo.pop()
-        if isinstance(child, str) or not visible(child):
+        if isinstance(child, str):
+            if child.strip():
+                rows.append([_lines(Node("td", {}, [child]))])
+        elif not visible(child):
             continue
-        if child.name == "caption":
+        elif child.name == "caption":
             head += _lines(child)
-        elif child.name != "tr":
+        elif child.name in ("tbody", "thead", "tfoot", "colgroup"):
             todo += reversed(child.children)
+        elif child.name != "tr":
+            if any(lines := [x for x in _lines(child) if x]):
+                rows.append([lines])
         else:
             row: list[list[str]] = []
-            cells = [c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and visible(c)]
+            cells = _cells(child)
             for cell in cells:
                 while held.get(len(row), 0):
                     held[len(row)] -= 1
