@@ -238,6 +238,24 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_rows_of_several_segments(spark, tmp_path):
+    """Repeated ids, with equal and with other payloads, and null ids: every row comes back whole."""
+    big, other = "é<p>" * 3000, "other " * 2000
+    rows = [(1, "u", big), (1, "v", big), (1, "u", big), (1, "u", other), (2, "u", other), (2, "u", other), (0, "u", other)]
+    rows += [(None, "u", big), (None, "u", big), (None, "u", other), (None, None, "small"), (3, "u", other[:-1]), (3, "u", big[:-1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "warc"), segment_bytes=1000)
+    found = warc.read_archives(spark, str(tmp_path / "warc")).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = Counter((i, u, len(t.encode()), digest(t), 2 if t == other and i in (0, 1) else None) for i, u, t in rows)
+    assert Counter((r.record_id, r.url, r.payload_bytes, r.payload_digest, r.refers_to) for r in found) == want
+    assert all(r.intact for r in found)
+    heads = [r.headers for r in warc.read_records(spark, str(tmp_path / "warc")).select("headers").collect()]
+    names = Counter(h["WARC-Record-ID"] for h in heads)
+    assert set(names.values()) == {1}
+    assert {h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h} <= set(names)
+
+
 def test_archives_hold_raw_bytes(spark):
     payload = bytes(range(256)) * 20
     rows = spark.createDataFrame([(1, "u", bytearray(payload))], "page_id long, url string, html binary")

@@ -15,7 +15,7 @@ import base64
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import working_path
@@ -91,15 +91,28 @@ def chunk_table(records: DataFrame, chunk_bytes: int = SEGMENT_BYTES, with_data:
 
 
 def roles(digests: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """record_id, digest, bytes and, for revisits, refers_to.
+    """record_id, digest, bytes, copies, name and, for revisits, refers_to (the name of their response).
 
     Of equal payloads of at least ``min_revisit_bytes`` the record with the largest id is the
-    response. Only ids and digests move, and copies are counted before they meet.
+    response. Only ids and digests move, and copies are counted before they meet. An id on several
+    rows is named with the digest; ``copies`` are the rows that share id and digest. A null id has no name.
     """
-    holders = digests.groupBy("digest", "bytes").agg(F.max("record_id").alias("holder"))
+    many = digests.where("record_id IS NOT NULL").groupBy("record_id").count().where("count > 1")
+    many = stored(many.select("record_id", F.lit(True).alias("several")), "repeated_ids")
+    several = F.coalesce("several", F.lit(False)).alias("several")
+    digests = digests.join(many, "record_id", "left").select("record_id", "digest", "bytes", several)
+    holders = digests.groupBy("digest", "bytes").agg(F.max(F.struct("record_id", "several")).alias("holder"))
     joined = digests.join(holders, ["digest", "bytes"])
-    revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("record_id") != F.col("holder"))
-    return joined.select("record_id", "digest", "bytes", F.when(revisit, F.col("holder")).alias("refers_to"))
+    revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("record_id") != F.col("holder.record_id"))
+
+    def name(record_id: str, several: str) -> Column:
+        return F.concat(F.col(record_id).cast("string"), F.when(F.col(several), F.concat(F.lit(":"), "digest")).otherwise(""))
+
+    named = joined.select(
+        "record_id", "digest", "bytes", name("record_id", "several").alias("name"),
+        F.when(revisit, name("holder.record_id", "holder.several")).alias("refers_to"),
+    )
+    return named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -117,10 +130,8 @@ def warc_lines(segments: DataFrame, date: str) -> DataFrame:
     revisit = F.col("refers_to").isNotNull()
     first = F.col("chunk_no") == 0
     several = ~(first & F.col("last"))
-    name = F.concat(F.lit("<urn:record:"), F.coalesce(F.col("record_id").cast("string"), F.lit("null")), F.lit(">"))
-    own = F.when(first, name).otherwise(
-        F.concat(F.lit("<urn:record:"), F.coalesce(F.col("record_id").cast("string"), F.lit("null")), F.lit(":"), F.col("chunk_no") + 1, F.lit(">"))
-    )
+    name = F.concat(F.lit("<urn:record:"), F.col("name"), F.lit(">"))
+    own = F.when(first, name).otherwise(F.concat(F.lit("<urn:record:"), F.col("name"), F.lit(":"), F.col("chunk_no") + 1, F.lit(">")))
     kind = F.when(revisit, F.lit("revisit")).when(first, F.lit("response")).otherwise(F.lit("continuation"))
     block = F.col("data")
     head = F.concat(
@@ -135,7 +146,7 @@ def warc_lines(segments: DataFrame, date: str) -> DataFrame:
         _field("WARC-Segment-Number", F.when(several, F.col("chunk_no") + 1)),
         _field("WARC-Segment-Origin-ID", F.when(~first, name)),
         _field("WARC-Segment-Total-Length", F.when(several & F.col("last"), F.col("end_byte"))),
-        _field("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        _field("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("refers_to"), F.lit(">"))),
         _field("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
         _field("X-Payload-Length", F.when(first, F.col("payload_bytes"))),
         _field("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -158,8 +169,8 @@ def write_archives(
     """Write one response or revisit per row as gzipped WARC files below ``path``.
 
     A text payload is stored as UTF-8, a binary one as it is, null as empty. A row with a null id is
-    a response of its own name. Rows that repeat id and payload are all responses. Columns other
-    than the three named are not read.
+    a response of its own name. Rows that repeat id and payload are all responses, each with a record
+    id of its own. Columns other than the three named are not read.
     """
     records = pages.select(
         F.col(id_col).alias("record_id"),
@@ -168,14 +179,24 @@ def write_archives(
     )
     digests = chunk_table(records.select("record_id", "payload"), segment_bytes, with_data=False)
     digests = stored(digests.select("record_id", "digest", F.col("end_byte").alias("bytes")), "digests")
-    said = roles(digests, min_revisit_bytes).distinct()
-    said = said.select(
-        F.col("record_id").alias("_id"), F.col("digest").alias("payload_digest"), F.col("bytes").alias("payload_bytes"), "refers_to"
+    said = roles(digests, min_revisit_bytes).select(
+        F.col("record_id").alias("_id"), F.col("digest").alias("payload_digest"), F.col("bytes").alias("payload_bytes"), "name", "refers_to", "copies"
     )
-    # Payloads meet their role on the id, which no two rows share: a group of copies stays spread.
-    own = records.join(
-        said, F.col("record_id").eqNullSafe(F.col("_id")) & (base32_sha1(F.col("payload")) == F.col("payload_digest"))
-    ).drop("_id")
+    said = stored(said, "roles")
+
+    def meet(some: DataFrame) -> DataFrame:
+        same = F.col("record_id").eqNullSafe(F.col("_id")) & (base32_sha1(F.col("payload")) == F.col("payload_digest"))
+        return records.join(some, same).drop("_id", "copies")
+
+    # Payloads meet their role on the id, which few rows share: a group of copies stays spread.
+    own = meet(said.where("_id IS NULL OR copies = 1"))
+    own = own.withColumn("name", F.coalesce("name", F.concat(F.lit("null:"), F.uuid())))  # nothing refers to these
+    repeated = said.where("_id IS NOT NULL AND copies > 1")
+    if not repeated.isEmpty():  # each row has a name of its own, so segments of equal rows stay apart
+        k = F.row_number().over(Window.partitionBy("record_id", "payload_digest").orderBy("url"))
+        numbered = meet(repeated).withColumn("k", k)
+        numbered = numbered.withColumn("name", F.when(F.col("k") > 1, F.concat("name", F.lit(":row"), F.col("k"))).otherwise(F.col("name")))
+        own = own.unionByName(numbered.drop("k"))
     own = own.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))  # a revisit's block is empty
     lines = warc_lines(chunk_table(own, segment_bytes), date)
     lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
