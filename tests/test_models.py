@@ -179,3 +179,30 @@ def test_any_number_of_series(spark, series):
     frame = ML.series_features(rows, G).filter("series_level > 0")
     model = ML.point_regressor(frame, ML.SERIES_FEATURES, "total_cases", ML.TreeSettings(rounds=1, step=1.0))
     assert model.predict(frame, "p").count() == frame.count()
+
+
+def test_registered_queries_run_all_folds_and_fields(monkeypatch):
+    """No registered query asks for fewer folds, held-out years or weather fields than its operator has."""
+    from weekloom.plans import queries_models as Q
+    from weekloom.plans.tables import QUERIES
+
+    seen = {}
+
+    def caught(name):
+        def call(*args, **options):
+            seen[name] = (args, options)
+            raise StopIteration
+
+        return call
+
+    monkeypatch.setattr(Q, "history_frame", lambda *_: None)
+    monkeypatch.setattr(Q, "training_frame", lambda *_: None)
+    for name, operator in (("training_matrix", "fold_features"), ("evaluate_expanding", "evaluate_expanding"), ("surge_experiment",) * 2):
+        monkeypatch.setattr(Q.W, operator, caught(operator))
+        with pytest.raises(StopIteration):
+            QUERIES[name](None, None)
+    assert len(seen["fold_features"][0]) == 3 and not seen["fold_features"][1]
+    assert len(seen["evaluate_expanding"][0]) == 3 and "folds" not in seen["evaluate_expanding"][1]
+    assert "validation_years" not in seen["surge_experiment"][1]
+    for name in ("fold_features", "evaluate_expanding"):
+        assert len(seen[name][0][2]) == len(S.WEEKLY_WEATHER)

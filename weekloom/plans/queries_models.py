@@ -21,6 +21,8 @@ from weekloom.plans.tables import G, query
 WEEK = "week_start_date"
 KEY = [*G, WEEK]
 FEATURES = [*S.EXACT_FEATURES, *ML.SERIES_FEATURES]
+HISTORY_WEATHER = ["air_temperature", "precipitation"]
+HISTORY_WEATHER += [c for c in S.WEEKLY_WEATHER if c not in ("temperature_2m_mean", "precipitation_sum")]
 SHORT = ML.TreeSettings(rounds=3, step=0.4)
 SHORTEST = ML.TreeSettings(rounds=1, step=1.0)
 
@@ -41,6 +43,7 @@ def history_frame(spark, sf):
         .agg(
             F.avg("temperature_2m_mean").alias("air_temperature"),
             F.avg("precipitation_sum").alias("precipitation"),
+            *[F.avg(c).alias(c) for c in HISTORY_WEATHER[2:]],
         )
     )
     return V.weekly(spark, sf).join(wide, WEEK, "left")
@@ -130,22 +133,20 @@ def _(spark, sf):
 @query("surge_experiment")
 def _(spark, sf):
     periods = {"whole_series": "2001-12-31", "before_2001": "2000-12-31"}
-    found = W.surge_experiment(training_frame(spark, sf), G, periods, FEATURES, settings=SHORTEST, validation_years=1)
+    found = W.surge_experiment(training_frame(spark, sf), G, periods, FEATURES, settings=SHORTEST)
     return found.select("geography", "period", "held_out_rows", "mae", "normal_week_mae", "outbreak_week_mae", "persistence_mae")
 
 
 @query("training_matrix")
 def _(spark, sf):
     by = [*G, "validation_year"]
-    table, base = W.fold_features(history_frame(spark, sf), G, ["air_temperature", "precipitation"], 2)
+    table, base = W.fold_features(history_frame(spark, sf), G, HISTORY_WEATHER)
     return W.training_matrix(table, by, base).select(*by, WEEK, "total_cases", *base, *W.CASE_HISTORY)
 
 
 @query("evaluate_expanding")
 def _(spark, sf):
-    return W.evaluate_expanding(
-        history_frame(spark, sf), G, ["air_temperature", "precipitation"], folds=1, settings=SHORT
-    )
+    return W.evaluate_expanding(history_frame(spark, sf), G, HISTORY_WEATHER, settings=SHORT)
 
 
 @query("what_if_rows")
