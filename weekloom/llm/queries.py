@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import html_text, jaccard, langid, linededup, lm, merkle, packing, pieces, quality, warc
+from weekloom.llm import (
+    collocations, html_text, jaccard, langid, licenses, linededup, lm, merkle, packing, pieces, prefix_trie, quality, warc,
+)
+from weekloom.llm import sql_forms
 from weekloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +93,25 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_word")
+
+
+ORACLES |= {
+    "op11_prefix_trie": sql_forms.prefix_trie(),
+    "op12_license_scan": sql_forms.license_scan(licenses.template_rows(licenses.TEMPLATES, licenses.PERCENT), licenses.PHRASES),
+    "op13_collocations": sql_forms.collocations(),
+}
