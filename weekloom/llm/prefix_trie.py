@@ -61,7 +61,7 @@ def rebuilt_turns(turns: DataFrame, every: int = 100, heads: int = 6) -> tuple[D
     lent = lent.join(first, ["base", "turn_no"]).select("conv_id", "turn_no", "content", "n_chars")
     own = turns.join(plan.select("conv_id", "h", "taken"), "conv_id").where("turn_no > h")
     own = own.select("conv_id", (F.col("turn_no") - F.col("h") + F.col("taken")).alias("turn_no"), "content", "n_chars")
-    return lent.unionByName(own), plan.select("conv_id", "n_turns")
+    return stored(lent.unionByName(own), "rebuilt-turns"), plan.select("conv_id", "n_turns")
 
 
 def _print(depth, lanes: list) -> object:
@@ -144,7 +144,7 @@ def trie(turns: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     tour = places.join(weights, "i")
     entering = F.col("side") == 0
     tour = tour.select("i", "side", "position", *[F.when(entering, F.col(c)).otherwise(0).alias(c) for c in ("leaves", "saved")])
-    own = tour.select("*", F.col("leaves").alias("own_leaves"), F.col("saved").alias("own_saved"))
+    own = stored(tour.select("*", F.col("leaves").alias("own_leaves"), F.col("saved").alias("own_saved")), "tour")
     sums = running_sums(own, [], "position", ["leaves", "saved"])
     # From before the enter arc up to the exit arc.
     part = lambda c: F.sum(F.when(entering, F.col(f"own_{c}") - F.col(c)).otherwise(F.col(c)))

@@ -10,7 +10,7 @@ from weekloom.llm.common import partitions, stored
 #: Rows of a chunk of a running sum, and of a list that one task ranks.
 CHUNK, SMALL = 4096, 16_384
 #: One arc in this many begins a stretch of a list.
-STRETCH = 8
+STRETCH = 32
 _ROW = (1 << 33) - 1
 
 
@@ -49,13 +49,13 @@ def ranked(
     return rows.join(spans, [key, "_part"]).select(*[c for c in rows.columns if c not in ("_part", "_at")], place.alias(rank), size)
 
 
-def running_sums(df: DataFrame, keys: list[str], at: str, values: list[str], width: int = CHUNK) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """Each of ``values`` becomes its sum up to the row, in the order of ``at`` (whole numbers without a gap) within ``keys``.
 
-    Rows are added within chunks, the chunks' totals alike one level up, so a task holds ``width`` rows.
+    Rows are added within chunks, the chunks' totals alike one level up, so a task holds ``CHUNK`` rows.
     """
     chunk = f"_{at}_chunk"
-    rows = df.withColumn(chunk, F.expr(f"{at} div {width}"))
+    rows = df.withColumn(chunk, F.expr(f"{at} div {CHUNK}"))
     inside = Window.partitionBy(*keys, chunk).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(*[F.sum(c).over(inside).alias(c) if c in values else F.col(c) for c in rows.columns])
     totals = rows.groupBy(*keys, chunk).agg(*[F.sum(c).alias(c) for c in values])
@@ -64,8 +64,8 @@ def running_sums(df: DataFrame, keys: list[str], at: str, values: list[str], wid
         above = totals.select(*keys, chunk, *[F.sum(c).over(up).alias(f"_above_{c}") for c in values])
     else:
         totals = stored(totals, "chunk-totals")
-        if totals.count() > width:
-            sums = running_sums(totals, [], chunk, values, width)
+        if totals.count() > CHUNK:
+            sums = running_sums(totals, [], chunk, values)
             above = sums.select((F.col(chunk) + 1).alias(chunk), *[F.col(c).alias(f"_above_{c}") for c in values])
         else:
             up = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,17 +88,17 @@ def _walk(rows):
     return pd.DataFrame(found, columns=["arc", "position"], dtype="int64")
 
 
-def list_rank(arcs: DataFrame) -> DataFrame:
+def list_rank(arcs: DataFrame, level: int = 0) -> DataFrame:
     """(arc, position) of every arc of one linked list: arc, to (-1 at the end), dist (steps to it); arc 0 is first.
 
-    One arc in ``STRETCH``, drawn by a hash, and arc 0 begin stretches. Every arc doubles its pointer until that
-    meets a stretch, then the stretches alone are a list an eighth as long, ranked in the same way; arcs place
-    themselves by the stretch that they point to. A list of up to ``SMALL`` stretches is walked in one task.
+    One arc in ``STRETCH``, drawn by a hash of its own at each level, and arc 0 begin stretches. Every arc doubles
+    its pointer until that meets a stretch, then the stretches alone are a list ``STRETCH`` times shorter, ranked in the
+    same way; arcs place themselves by the stretch that they point to. A list of up to ``SMALL`` is walked in one task.
     """
     count, total = arcs.agg(F.count(F.lit(1)), F.sum("dist")).first()
     if count <= SMALL:
         return arcs.groupBy(F.lit(0).alias("_")).applyInPandas(_walk, "arc long, position long")
-    begins = lambda c: (F.col(c) <= 0) | (F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.lit(STRETCH)) == 0)
+    begins = lambda c: (F.col(c) <= 0) | (F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(STRETCH)) == 0)
     state = stored(arcs.select("arc", "to", "dist", begins("to").alias("met")), "pointers")
     while not state.where("NOT met").isEmpty():
         ahead = state.select(F.col("arc").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("met").alias("_met"))
@@ -106,7 +106,7 @@ def list_rank(arcs: DataFrame) -> DataFrame:
             "arc", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_met").alias("met")
         )
         state = stored(state.where("met").unionByName(moved), "pointers")
-    places = stored(list_rank(state.where(begins("arc")).select("arc", "to", "dist")), "stretch-places")
+    places = stored(list_rank(state.where(begins("arc")).select("arc", "to", "dist"), level + 1), "stretch-places")
     inner = state.where("to >= 0").join(places.select(F.col("arc").alias("to"), "position"), "to")
     last = state.where("to < 0").select("arc", (F.lit(total) - F.col("dist")).alias("position"))
     return inner.select("arc", (F.col("position") - F.col("dist")).alias("position")).unionByName(last)
