@@ -6,7 +6,8 @@ frequent words leave a bit table that the pass over pairs looks into, and the fr
 phrases. Bit tables let some infrequent phrases through and never stop a frequent one. The last pass goes over
 the text again: every occurrence of a frequent fingerprint is compared word by word with the first of its
 task, and counts and pointers are added up by the phrase itself, so that fingerprints which two phrases
-share cost work but change no count.
+share cost work but change no count. Tasks send sorted arrays, one to each bucket of fingerprints or phrases,
+instead of a row for each.
 
 A null text is empty, a null language is ``und``; rows that repeat count each time; ids may be null or repeat
 (they only serve as pointers); an empty table gives no rows; further columns are not read.
@@ -15,6 +16,7 @@ A null text is empty, a null language is ``und``; rows that repeat count each ti
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weekloom.llm.common import release_memory, stored
+from weekloom.llm.common import partitions, release_memory, stored
 from weekloom.llm.wordarrays import BREAK, SPACE, WordArrays, chunks
 
 UNKNOWN = "und"
 #: Bytes of text whose words are held as arrays at once (more only for one longer text), and counted fingerprints held.
-CHUNK_BYTES, HELD = 8 << 20, 4_000_000
+CHUNK_BYTES, HELD = 4 << 20, 4_000_000
 #: Bits of a bit table: 32 an entry, between these bounds; the larger one, 128 MB, bounds what is broadcast.
 LEAST_BITS, MOST_BITS = 20, 30
 SLICE = 32_768
-#: Rows of a batch that goes back to Spark.
-ROWS = 1 << 17
 
 WORD_BASE, PHRASE_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -132,17 +132,41 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new)
 
 
+PACKED = "bucket int, lang string, n long, prints binary, counts binary"
 PRINTS = "lang string, print long, n long"
 
 
-def _counter(select):
-    """For mapInArrow: counts of the fingerprints that ``select(words)`` yields, and of the words of each language."""
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, the lowest bytes of all first: Spark's shuffle compresses the empty high ones away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _bounds(buckets: int) -> np.ndarray:
+    """Fingerprints where the buckets after the first begin: equal parts of all 64-bit numbers."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
+def _counter(select, buckets: int):
+    """For mapInArrow: counted fingerprints that ``select(words)`` yields, packed by bucket, and the words of each language."""
 
     def rows(keys, counts):
-        for lo in range(0, len(keys), ROWS):
-            part = slice(lo, lo + ROWS)
-            cols = [pa.nulls(len(keys[part]), pa.string()), pa.array(keys[part].view(np.int64)), pa.array(counts[part])]
-            yield pa.record_batch(cols, ["lang", "print", "n"])
+        edges = [0, *np.searchsorted(keys, _bounds(buckets)).tolist(), len(keys)]
+        out = []
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            if hi > lo:
+                steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
+                out.append((k, None, None, _planes(steps), _planes(counts[lo:hi].astype(np.int64))))
+        return packed(out)
+
+    def packed(out):
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.record_batch(cols, ["bucket", "lang", "n", "prints", "counts"])
 
     def run(batches):
         held, size, words_of = [], 0, {}
@@ -158,22 +182,48 @@ def _counter(select):
                 held = [_added(held)]
                 size = len(held[0][0])
                 if size >= HELD // 2:
-                    yield from rows(*held[0])
+                    yield rows(*held[0])
                     held, size = [], 0
         if held:
-            yield from rows(*_added(held))
-        cols = [pa.array(list(words_of), pa.string()), pa.nulls(len(words_of), pa.int64()), pa.array(list(words_of.values()), pa.int64())]
-        yield pa.record_batch(cols, ["lang", "print", "n"])
+            yield rows(*_added(held))
+        if words_of:
+            yield packed([(-1, lang, n, None, None) for lang, n in words_of.items()])
         del held
         release_memory()
 
     return run
 
 
+def _adder(min_count: int):
+    """For applyInArrow over one bucket: its fingerprints that reach ``min_count`` in all tasks together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        langs, totals = table.column("lang").to_pylist(), table.column("n").to_pylist()
+        parts, sums = [], {}
+        for lang, n, prints, counts in zip(langs, totals, *(table.column(c).to_pylist() for c in ("prints", "counts")), strict=True):
+            if prints is None:
+                sums[lang] = sums.get(lang, 0) + n
+            else:
+                parts.append((np.cumsum(_from_planes(prints, np.uint64), dtype=np.uint64), _from_planes(counts, np.int64)))
+        keys, counts = _added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        kept = counts >= min_count
+        keys, counts = keys[kept].view(np.int64), counts[kept]
+        return pa.table({
+            "lang": pa.array([*sums, *[None] * len(keys)], pa.string()),
+            "print": pa.array([*[None] * len(sums), *keys.tolist()], pa.int64()),
+            "n": pa.array([*sums.values(), *counts.tolist()], pa.int64()),
+        })
+
+    return run
+
+
 def _counted(texts: DataFrame, select, min_count: int, name: str) -> DataFrame:
-    """Fingerprints found ``min_count`` times or more; rows without one hold the words of a language."""
-    found = texts.mapInArrow(_counter(select), PRINTS).groupBy("lang", "print").agg(F.sum("n").alias("n"))
-    return stored(found.where(F.col("print").isNull() | (F.col("n") >= min_count)), name)
+    """Fingerprints found ``min_count`` times or more; rows without one hold the words of a language.
+
+    A task sends one row of packed, sorted fingerprints to each bucket; a bucket is as large as a shuffle partition.
+    """
+    sent = texts.mapInArrow(_counter(select, partitions(texts.sparkSession)), PACKED)
+    return stored(sent.groupBy("bucket").applyInArrow(_adder(min_count), PRINTS), name)
 
 
 def _bit_table(frequent: DataFrame):
@@ -219,25 +269,28 @@ def _longer(word_bits, pair_bits, longest: int):
     return select
 
 
-PHRASES = "lang string, phrase binary, n_words int, n long, first_doc {0}, first_word long"
+FOUND = ("lang", "phrase", "n_words", "n", "first_doc", "first_word")
+
+
+def _found_types(id_type: pa.DataType) -> list[pa.DataType]:
+    return [pa.string(), pa.binary(), pa.int32(), pa.int64(), id_type, pa.int64()]
 
 
-def _verified(word_bits, pair_bits, long_bits, longest: int, id_type: pa.DataType):
-    """For mapInArrow: phrases with a frequent fingerprint, counted by their text, with the first occurrence."""
+def _verified(word_bits, pair_bits, long_bits, longest: int, id_type: pa.DataType, buckets: int):
+    """For mapInArrow: phrases with a frequent fingerprint, counted by their text, with the first occurrence; lists by bucket."""
 
     def run(batches):
         found: dict[tuple[str, bytes], list] = {}
         one, two, more = (Bits(*b.value) for b in (word_bits, pair_bits, long_bits))
 
         def rows():
-            keys = list(found)
-            made = list(found.values())
-            cols = [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
-                pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()),
-                pa.array([m[2] for m in made], id_type), pa.array([m[3] for m in made], pa.int64()),
-            ]
-            return pa.record_batch(cols, ["lang", "phrase", "n_words", "n", "first_doc", "first_word"])
+            by_bucket: list[list] = [[] for _ in range(buckets)]
+            for (lang, phrase), made in found.items():
+                by_bucket[zlib.crc32(phrase) % buckets].append((lang, phrase, *made))
+            cols = [pa.array([k for k, x in enumerate(by_bucket) if x], pa.int32())]
+            for k, kind in enumerate(_found_types(id_type)):
+                cols.append(pa.array([[r[k] for r in x] for x in by_bucket if x], pa.list_(kind)))
+            return pa.record_batch(cols, ["bucket", *FOUND])
 
         for words, ids in _chunks(batches):
             pairs = _frequent_pairs(words, one, two)
@@ -272,7 +325,7 @@ def _verified(word_bits, pair_bits, long_bits, longest: int, id_type: pa.DataTyp
                     add(place, n, count)
                 for place in at[~same].tolist():  # another phrase with the same fingerprint
                     add(place, n, 1)
-            if len(found) >= HELD // 4:
+            if len(found) >= HELD // 8:
                 yield rows()
                 found.clear()
         if found:
@@ -282,6 +335,28 @@ def _verified(word_bits, pair_bits, long_bits, longest: int, id_type: pa.DataTyp
     return run
 
 
+def _phrase_adder(min_count: int, id_type: pa.DataType):
+    """For applyInArrow over one bucket: its phrases that reach ``min_count`` in all tasks together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[tuple, list] = {}
+        place = lambda doc, word: (doc is not None, doc, word)  # noqa: E731  ids in order, none before all
+        for row in range(table.num_rows):
+            lists = [table.column(c)[row].values.to_pylist() for c in FOUND]
+            for lang, phrase, n_words, n, doc, word in zip(*lists, strict=True):
+                if (known := found.get((lang, phrase))) is None:
+                    found[lang, phrase] = [n_words, n, doc, word]
+                else:
+                    known[1] += n
+                    if place(doc, word) < place(*known[2:]):
+                        known[2:] = doc, word
+        kept = [(*key, *made) for key, made in found.items() if made[1] >= min_count]
+        cols = zip(*kept, strict=True) if kept else [[]] * len(FOUND)
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, _found_types(id_type), strict=True)], list(FOUND))
+
+    return run
+
+
 def frequent_phrases(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5
 ) -> tuple[DataFrame, DataFrame]:
@@ -297,15 +372,13 @@ def frequent_phrases(
     one = _bit_table(singles)
     two = _bit_table(_counted(texts, _pairs(one), min_count, "pairs"))
     more = _bit_table(_counted(texts, _longer(one, two, longest), min_count, "longer"))
-    id_type = texts.schema["id"].dataType
-    seen = texts.mapInArrow(_verified(one, two, more, longest, to_arrow_type(id_type)), PHRASES.format(id_type.simpleString()))
-    pointer = F.min(F.struct("first_doc", "first_word"))
-    phrases = (
-        seen.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n"), pointer.alias("first"))
-        .where(F.col("n") >= min_count)
-        .select("lang", F.col("phrase").cast("string").alias("phrase"), "n_words", "n", "first.first_doc", "first.first_word")
-    )
-    phrases = stored(phrases, "phrases")
+    kind = texts.schema["id"].dataType
+    types = dict(zip(FOUND, ("string", "binary", "int", "long", kind.simpleString(), "long"), strict=True))
+    packed = ", ".join(["bucket int", *(f"{c} array<{t}>" for c, t in types.items())])
+    arrow_id = to_arrow_type(kind)
+    seen = texts.mapInArrow(_verified(one, two, more, longest, arrow_id, partitions(texts.sparkSession)), packed)
+    phrases = seen.groupBy("bucket").applyInArrow(_phrase_adder(min_count, arrow_id), ", ".join(f"{c} {t}" for c, t in types.items()))
+    phrases = stored(phrases.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     return phrases, singles.where(F.col("print").isNull()).select("lang", F.col("n").alias("words"))
 
 
