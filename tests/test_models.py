@@ -11,6 +11,7 @@ from weekloom.config import Policy
 from weekloom.operators import folds as D
 from weekloom.operators import forecast as W
 from weekloom.operators import models as ML
+from weekloom.operators import recursion as R
 from weekloom.operators import rollup as U
 from weekloom.plans import jobs
 
@@ -68,25 +69,29 @@ def test_quantile_trees_cover_their_share(spark):
 def test_recursion_feeds_predictions_back(spark):
     rows = D.expanding_splits(weekly(spark, range(2000, 2003), ("a", "b")), G, 1)
     by = [*G, "validation_year"]
-
-    def predict(now, histories):
-        own = W._case_history_columns("_h")
-        out = now.select("*", (own["cases_mean_4"] + F.col("heat")).alias("_next__h"), own["cases_lag_52"].alias("last_year"))
-        return out.withColumn("prediction", F.col("_next__h")), ["prediction", "last_year"]
-
-    got = W.recursive_forecast(rows, by, ["heat"], predict, ["_h"], ["week_start_date", "total_cases"], lineage_every=20)
+    step = R.linear_step(["heat"], {"cases_mean_4": 1.0, "heat": 1.0, "cases_lag_52": 0.5})
+    got = R.recursive_forecast(rows, by, ["heat"], step, ["_h"], ["week_start_date", "total_cases"], {"prediction": "double"})
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     found = {(r.geography, r.week_start_date): r for r in got.collect()}
     data = sorted(weekly(spark, range(2000, 2003), ("a", "b")).collect(), key=lambda r: r.week_start_date)
     for g in ("a", "b"):
         history = [float(r.total_cases) for r in data if r.geography == g and r.year < 2002]
         for r in [r for r in data if r.geography == g and r.year == 2002]:
-            expected = float(np.mean(history[-4:])) + r.heat
+            expected = float(np.mean(history[-4:])) + r.heat + 0.5 * history[-52]
             assert found[g, r.week_start_date].prediction == pytest.approx(expected)
-            assert found[g, r.week_start_date].last_year == pytest.approx(history[-52])
             history.append(expected)
     assert len(found) == 104
 
 
+def test_recursion_from_a_short_history(spark):
+    """Weeks that do not exist count as 0 for the model; a series without training rows starts from nothing."""
+    rows = [("a", 2000, date(2000, 1, 3), 4, "train"), ("a", 2000, date(2000, 1, 10), 0, "validation"), ("b", 2000, date(2000, 1, 3), 0, "validation")]
+    df = spark.createDataFrame(rows, "geography string, validation_year int, week_start_date date, total_cases long, fold_role string")
+    step = R.linear_step([], {"cases_lag_1": 1.0, "cases_lag_2": 10.0, "cases_change_1": 100.0}, 2.0)
+    got = R.recursive_forecast(df, [*G, "validation_year"], [], step, ["_h"], ["week_start_date"], {"prediction": "double"})
+    assert {r.geography: r.prediction for r in got.collect()} == {"a": 6.0, "b": 2.0}
+
+
 def test_historical_evaluation_has_every_held_out_week(spark):
     got = W.evaluate_expanding(weekly(spark), G, ["heat"], 1, ML.TreeSettings(rounds=1, step=1.0, depth=1))
     rows = got.collect()
@@ -181,28 +186,25 @@ def test_any_number_of_series(spark, series):
     assert model.predict(frame, "p").count() == frame.count()
 
 
-def test_registered_queries_run_all_folds_and_fields(monkeypatch):
-    """No registered query asks for fewer folds, held-out years or weather fields than its operator has."""
-    from weekloom.plans import queries_models as Q
-    from weekloom.plans.tables import QUERIES
+def test_constant_fields_break_no_fold(spark):
+    """A field that never moves has no correlation; every fold and every series is still predicted."""
+    rows = weekly(spark, names=("a", "b")).withColumn("flat", F.lit(3.0)).withColumn("gone", F.lit(None).cast("double"))
+    table, base = W.fold_features(rows, G, ["heat", "flat", "gone"])
+    matrix = W.training_matrix(table, [*G, "validation_year"], base)
+    assert matrix.where(F.exists(F.array(*base), lambda v: v.isNull() | F.isnan(v))).isEmpty()
+    got = W.evaluate_expanding(rows, G, ["heat", "flat", "gone"], 4, ML.TreeSettings(rounds=2, step=0.5, depth=2))
+    assert {(r.geography, r.validation_year): r["count"] for r in got.groupBy(*G, "validation_year").count().collect()} == {
+        (g, y): 52 for g in "ab" for y in (2002, 2003, 2004, 2005)
+    }
 
-    seen = {}
 
-    def caught(name):
-        def call(*args, **options):
-            seen[name] = (args, options)
-            raise StopIteration
+def test_registered_models_use_the_published_settings():
+    """No registered query lowers the rounds, folds or held-out years of its operator."""
+    from pathlib import Path
 
-        return call
+    from weekloom.plans import queries_city, queries_models
 
-    monkeypatch.setattr(Q, "history_frame", lambda *_: None)
-    monkeypatch.setattr(Q, "training_frame", lambda *_: None)
-    for name, operator in (("training_matrix", "fold_features"), ("evaluate_expanding", "evaluate_expanding"), ("surge_experiment",) * 2):
-        monkeypatch.setattr(Q.W, operator, caught(operator))
-        with pytest.raises(StopIteration):
-            QUERIES[name](None, None)
-    assert len(seen["fold_features"][0]) == 3 and not seen["fold_features"][1]
-    assert len(seen["evaluate_expanding"][0]) == 3 and "folds" not in seen["evaluate_expanding"][1]
-    assert "validation_years" not in seen["surge_experiment"][1]
-    for name in ("fold_features", "evaluate_expanding"):
-        assert len(seen[name][0][2]) == len(S.WEEKLY_WEATHER)
+    for module in (queries_models, queries_city):
+        text = Path(module.__file__).read_text()
+        assert "rounds=" not in text and "validation_years" not in text and "folds=" not in text
+    assert ML.TreeSettings() == ML.TreeSettings(rounds=90, step=0.05, depth=4)

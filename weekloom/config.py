@@ -71,12 +71,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a working table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove the working tables of this session; results that still read them must be stored before."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in _MADE.pop(spark.sparkContext.applicationId, []):
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(hadoop).delete(place, True)
+        remove(spark, path)
 
 
 _MADE: dict[str, list[str]] = {}

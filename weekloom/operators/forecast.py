@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
 from weekloom.config import cut_lineage
 from weekloom.functions.calendar import harmonics
-from weekloom.functions.rules import ordered_quantiles, two_stage_value
+from weekloom.functions.rules import ordered_quantiles
 from weekloom.operators import features as X
 from weekloom.operators import metrics as M
 from weekloom.operators import models as ML
 from weekloom.operators import policy as P
+from weekloom.operators.boosting import Goal, grow, grow_each, score_each
 from weekloom.operators.folds import expanding_splits
 from weekloom.operators.joins import union_parts
 from weekloom.operators.quality import QualityError
+from weekloom.operators.recursion import CASE_HISTORY, COURSES, POLICY, TWO_STAGE_OUTPUTS, recursive_forecast, two_stage_step
 from weekloom.operators.thresholds import attach_thresholds, seasonal_thresholds
 
 WEEK = "week_start_date"
@@ -32,7 +32,7 @@ QUANTILES = {"p50": 0.50, "p80": 0.80, "p90": 0.90}
 class Detector:
     """Final classifier, its calibration, the gate of each series and held-out rows."""
 
-    model: object
+    model: ML.ProbabilityModel
     calibrator: ML.Calibrator
     features: list[str]
     gates: DataFrame
@@ -74,17 +74,27 @@ def oof_detector(
     years = ML.years_of(rows)
     if len(years) < 4:
         raise QualityError("at least four labelled years are needed")
-    parts = []
+    counts = {
+        r["year"]: (r["n"], r["p"])
+        for r in rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p")).collect()  # one row a year
+    }
+    held_years, weights = [], {}
     for year in years[-min(validation_years, len(years) - 2) :]:
-        train = rows.filter(F.col("year") < year)
-        size, positives = train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("int"))).first()
-        if size < settings.minimum_train_rows or positives in (0, size):
-            continue
-        held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
-        model = ML.outbreak_classifier(ML.balanced(train, label), features, label, settings, "_weight")
-        parts.append(ML.predict_probability(model, held, features, "raw_probability"))
-    if not parts:
+        size, positives = (sum(counts[y][k] for y in years if y < year) for k in (0, 1))
+        if size >= settings.minimum_train_rows and positives not in (0, size):
+            held_years.append(year)
+            weights[year] = _balance(F.col("year") < year, label, size, positives)
+    if not held_years:
         raise QualityError("no time-held-out predictions could be made")
+    size, positives = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    weights["final"] = _balance(F.lit(True), label, size, positives)
+    # All held-out years and the final model grow together.
+    goals = [Goal(str(tag), F.col(label).cast("double"), weight, None) for tag, weight in weights.items()]
+    fitted = grow(rows, features, goals, settings, F.col("year") < held_years[0])
+    parts = []
+    for year in held_years:
+        held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
+        parts.append(ML.predict_probability(fitted[str(year)], held, features, "raw_probability"))
     held_out = cut_lineage(union_parts(parts).select(*series, WEEK, "year", label, "raw_probability"))
     calibrator = ML.probability_calibrator(held_out, "raw_probability", label)
     held_out = held_out.withColumn("probability", calibrator.apply(F.col("raw_probability")))
@@ -99,8 +109,15 @@ def oof_detector(
             F.lit("finalized_historical_weather_proxy" if overrides is None else "archived_issue_time_weather"),
         )
     )
-    final = ML.outbreak_classifier(ML.balanced(rows, label), features, label, settings, "_weight")
-    return Detector(final, calibrator, features, gates, held_out, report)
+    return Detector(fitted["final"], calibrator, features, gates, held_out, report)
+
+
+def _balance(inside, label: str, size: int, positives: int):
+    """Weight of a training row: both classes weigh the same in total; 1 where one of them is absent."""
+    high = F.col(label).cast("int") == 1
+    both = 0 < positives < size
+    weight = F.when(high, F.lit(size / (2 * positives))).otherwise(F.lit(size / (2 * (size - positives)))) if both else F.lit(1.0)
+    return F.when(inside, weight).otherwise(0.0)
 
 
 # --- quantile forecaster ---------------------------------------------------------------
@@ -176,8 +193,8 @@ def quantile_forecaster(
 ) -> Forecaster:
     """Expanding P50/P80/P90 forecasts with calibrated residuals and persistence fallback.
 
-    Models for a year are always fitted on the years before it, whatever fold uses them, so
-    each year is fitted once and scales, offsets and metrics follow relationally.
+    Models for a year are always fitted on the years before it, whatever fold uses them, so each year is
+    fitted once, all in one run of the booster, and scales, offsets and metrics follow relationally.
     """
     rows = cut_lineage(X.complete_rows(frame, [*features, "total_cases"]))
     labelled = ML.years_of(rows.filter(F.col("outbreak_label").isNotNull()))
@@ -198,19 +215,23 @@ def quantile_forecaster(
             needed.setdefault(y, set()).add("p50")
         if baseline:
             needed[earlier[-1]] |= set(QUANTILES)
-    parts, usable = [], set()
-    for year in sorted(needed):
-        if sum(n for y, n in sizes.items() if y < year) < settings.minimum_train_rows:
-            continue
-        train = rows.filter(F.col("year") < year)
+    # Training sets are nested, so the models of all years and quantiles grow together, the final ones too.
+    usable = {y for y in needed if sum(n for z, n in sizes.items() if z < y) >= settings.minimum_train_rows}
+    goals = [
+        Goal(f"{year}_{tag}", F.col("_target"), (F.col("year") < year).cast("double"), q)
+        for year in sorted(usable)
+        for tag, q in QUANTILES.items()
+        if tag in needed[year]
+    ]
+    goals += [Goal(tag, F.col("_target"), F.lit(1.0), q) for tag, q in QUANTILES.items()]
+    fitted = grow(rows, features, goals, settings, F.col("year") < min(usable, default=years[-1]))
+    parts = []
+    for year in sorted(usable):
         held = _held_out_rows(rows.filter(F.col("year") == year), validation_filter, overrides, [*series, WEEK], features)
-        for tag, q in QUANTILES.items():
-            if tag in needed[year]:
-                held = ML.quantile_regressor(train, features, "_target", q, settings).predict(held, f"_raw_{tag}")
-            else:
-                held = held.withColumn(f"_raw_{tag}", F.lit(None).cast("double"))
+        for tag in QUANTILES:
+            model = fitted.get(f"{year}_{tag}")
+            held = model.predict(held, f"_raw_{tag}") if model else held.withColumn(f"_raw_{tag}", F.lit(None).cast("double"))
         parts.append(held)
-        usable.add(year)
     if not usable & set(held_years):
         raise QualityError("no time-held-out case predictions could be made")
     raw = cut_lineage(union_parts(parts))
@@ -253,15 +274,12 @@ def quantile_forecaster(
                 for c in final.columns
             ]
         )
-    models = {t: ML.quantile_regressor(rows, features, "_target", q, settings) for t, q in QUANTILES.items()}
+    models = {t: fitted[t] for t in QUANTILES}
     return Forecaster(models, features, variant, baseline, cut_lineage(final), held_out, report, series)
 
 
 # --- historical two-stage evaluation ---------------------------------------------------
 
-CASE_HISTORY = ["cases_lag_1", "cases_lag_2", "cases_lag_4", "cases_lag_52", "cases_mean_4", "cases_mean_8", "cases_change_1"]
-
-
 def fold_features(
     cases: DataFrame, series: list[str], weather: list[str], folds: int = 4, maximum_lag: int = 12, minimum_weeks: int = 50
 ) -> tuple[DataFrame, list[str]]:
@@ -270,19 +288,25 @@ def fold_features(
     Medians, lags and thresholds come from a fold's training rows only.
     """
     by = [*series, "validation_year"]
-    tagged = X.missing_flags(expanding_splits(cases, series, folds, minimum_weeks), weather)
+    shaped, names, _ = shaped_features(expanding_splits(cases, series, folds, minimum_weeks), by, weather, maximum_lag)
+    return shaped, names
+
+
+def shaped_features(rows: DataFrame, by: list[str], weather: list[str], maximum_lag: int = 12) -> tuple[DataFrame, list[str], DataFrame]:
+    """Features of rows tagged with ``fold_role``, their names, and the lag chosen for each field."""
+    tagged = X.missing_flags(rows, weather)
     train = tagged.filter("fold_role = 'train'")
     medians = train.groupBy(*by).agg(*[F.median(c).alias(c) for c in weather])
     filled = X.forward_fill(tagged, by, weather, medians)
     filled_train = filled.filter("fold_role = 'train'")
-    chosen = M.best_lag(M.lag_corr(filled_train, by, "total_cases", weather, maximum_lag), by)
+    chosen = cut_lineage(M.best_lag(M.lag_corr(filled_train, by, "total_cases", weather, maximum_lag), by))
     shaped = X.selected_lag_features(filled, by, weather, chosen, maximum_lag)
     with_season = shaped.select("*", *[c.alias(n) for n, c in harmonics("weekofyear").items()])
     thresholds = seasonal_thresholds(filled_train, by)
     names = [f"week_{fn}_{h}" for h in (1, 2) for fn in ("sin", "cos")]
     for c in weather:
         names += [f"{c}_chosen_lag", f"{c}_mean_4", f"{c}_missing"]
-    return attach_thresholds(with_season, thresholds, by), names
+    return attach_thresholds(with_season, thresholds, by), names, chosen
 
 
 def training_matrix(rows: DataFrame, by: list[str], base: list[str]) -> DataFrame:
@@ -296,162 +320,45 @@ def training_matrix(rows: DataFrame, by: list[str], base: list[str]) -> DataFram
     return joined.select(*rest, *[F.coalesce(c, f"_med_{c}", F.lit(0.0)).alias(c) for c in names])
 
 
-def _case_history_columns(history: str) -> dict[str, object]:
-    """Case features from the end of an array of past values."""
-    h = F.col(history)
-
-    def back(k: int):
-        return F.when(F.size(h) >= k, F.element_at(h, -k))
-
-    def mean(k: int):
-        tail = F.slice(h, F.greatest(F.size(h) - k + 1, F.lit(1)), F.lit(k))
-        return F.when(F.size(h) > 0, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail))
-
-    out = {f"cases_lag_{k}": back(k) for k in (1, 2, 4, 52)}
-    out |= {"cases_mean_4": mean(4), "cases_mean_8": mean(8), "cases_change_1": back(1) - back(2)}
-    return out
-
-
-def _series_states(rows: DataFrame, by: list[str], base: list[str], carry: list[str]) -> DataFrame:
-    """One row per series and fold: the last 52 training counts and the steps to predict.
-
-    Both arrays are bounded by the calendar: 52 counts and at most 53 validation weeks.
-    """
-    train = rows.filter("fold_role = 'train'").groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(WEEK, F.col("total_cases").cast("double").alias("v")))), lambda x: x["v"]
-        ).alias("_all")
-    )
-    last = train.select(*by, F.slice("_all", F.greatest(F.size("_all") - 51, F.lit(1)), F.lit(52)).alias("_history"))
-    steps = rows.filter("fold_role = 'validation'").groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(WEEK, *[c for c in [*carry, *base] if c != WEEK]))).alias("_steps")
-    )
-    return last.join(steps, by)
-
-
-def _grow(history: str, value) -> object:
-    longer = F.concat(F.col(history), F.array(value))
-    return F.slice(longer, F.greatest(F.size(longer) - 51, F.lit(1)), F.lit(52))
-
-
-def recursive_forecast(
-    rows: DataFrame,
-    by: list[str],
-    base: list[str],
-    predict,
-    histories: list[str],
-    carry: list[str],
-    lineage_every: int = 4,
-) -> DataFrame:
-    """Week by week predictions that feed back into the case features.
-
-    ``predict(df, step_features)`` adds one prediction column per name in ``histories``; it is
-    called once per horizon step for all series and folds together. The state of a series is
-    one row, so a step is a narrow transformation without a shuffle.
-    """
-    state = _series_states(rows, by, base, carry)
-    state = cut_lineage(state.select(*by, "_steps", *[F.col("_history").alias(h) for h in histories]))
-    horizon = state.agg(F.max(F.size("_steps"))).first()[0] or 0
-    # Columns carry no data, so the same ones serve every step; only the step number differs.
-    alive = F.col("_now").isNotNull()
-    fed = [F.coalesce(F.col(f"_now.{c}"), F.lit(0.0)).alias(c) for c in base]
-    known = [F.col(f"_now.{c}").alias(c) for c in carry]
-    next_history = [F.when(alive, _grow(h, F.col(f"_next_{h}"))).otherwise(F.col(h)).alias(h) for h in histories]
-    keep = [*by, "_steps", *histories]
-    made = first = later = None
-    for step in range(1, horizon + 1):
-        kept = keep if step == 1 else [*keep, "_done"]
-        now = state.select(*kept, F.try_element_at("_steps", F.lit(step)).alias("_now")).select(*kept, "_now", *fed)
-        scored, outputs = predict(now, histories)
-        if made is None:
-            made = F.array(F.struct(*known, *outputs))
-            done = F.col("_done")
-            first = F.when(alive, made).alias("_done")
-            later = F.when(alive, F.when(done.isNull(), made).otherwise(F.concat(done, made))).otherwise(done).alias("_done")
-        state = scored.select(*by, "_steps", *next_history, first if step == 1 else later)
-        if step % lineage_every == 0 or step == horizon:
-            state = cut_lineage(state)
-    return state.select(*by, F.explode("_done").alias("_d")).select(*by, "_d.*")
+def two_stage_goals() -> list[Goal]:
+    """Single stage, outbreak classifier and both specialists; near-outbreak weeks support the outbreak one."""
+    y = F.col("total_cases")
+    high, near = y >= F.col("outbreak_threshold"), y >= F.col("near_outbreak_threshold")
+    return [
+        Goal("single", y, F.lit(1.0)),
+        Goal("classifier", high.cast("double"), F.lit(1.0), None),
+        Goal("normal", y, (~high).cast("double")),
+        Goal("outbreak", y, F.when(near, F.when(high, 2.0).otherwise(1.0)).otherwise(0.0)),
+    ]
 
 
 @dataclass
 class TwoStage:
-    single: object
-    classifier: object
-    calibrator: ML.Calibrator
-    normal: object
-    outbreak: object
+    """Models of every key: a node table, and curves with the calibration and the gates (``by``, POLICY)."""
+
+    by: list[str]
     features: list[str]
-    gates: DataFrame
-    medians: DataFrame | None = None
-    thresholds: DataFrame | None = None
+    nodes: DataFrame
+    curves: DataFrame
 
 
-def two_stage_fit(
-    matrix: DataFrame, features: list[str], by: list[str], settings: ML.TreeSettings
-) -> TwoStage:
-    """Single-stage model, outbreak classifier with calibration, two specialists and gates."""
+def two_stage_fit(matrix: DataFrame, features: list[str], by: list[str], settings: ML.TreeSettings = ML.TreeSettings()) -> TwoStage:
+    """Models, calibration and gates of every key of ``by`` together: one job fits all trees, Newton steps all curves."""
     y = "total_cases"
-    rows = cut_lineage(
-        matrix.withColumn("_high", (F.col(y) >= F.col("outbreak_threshold")).cast("int")).withColumn(
-            "_near", F.col(y) >= F.col("near_outbreak_threshold")
-        )
-    )
-    single = ML.point_regressor(rows, features, y, settings)
-    classifier = ML.outbreak_classifier(rows, features, "_high", settings)
-    scored = ML.predict_probability(classifier, rows, features, "_rawp")
-    calibrator = ML.probability_calibrator(scored, "_rawp", "_high")
-    normal = ML.point_regressor(rows.filter("_high = 0"), features, y, settings)
-    support = rows.filter("_near").withColumn("_w", F.when(F.col("_high") == 1, 2.0).otherwise(1.0))
-    outbreak = ML.point_regressor(support, features, y, settings, "_w")
-    scored = scored.withColumn("_probability", calibrator.apply(F.col("_rawp")))
-    scored = ML.predict_point(normal, scored, features, "_normal", None)
-    scored = ML.predict_point(outbreak, scored, features, "_outbreak", None)
-    gates = P.policy_gates(scored, by, "_probability", "_high", y, "_outbreak", "_normal")
-    return TwoStage(single, classifier, calibrator, normal, outbreak, features, cut_lineage(gates))
-
-
-def _two_stage_predictor(fit: TwoStage, base: list[str]):
-    """One step of the three predictions; a recall alert uses the MAE history's probability.
-
-    A step scores one row per series and fold, so trees are comparisons in the plan, not Python.
-    """
-    names = ("_h_single", "_h_mae", "_h_recall")
-    seen = {h: [*base, *[f"{c}{h}" for c in CASE_HISTORY]] for h in names}
-    view = VectorAssembler(inputCols=seen["_h_mae"], outputCol="_x_h_mae")
-    past = [
-        F.coalesce(column, F.lit(0.0)).alias(f"{c}{h}") for h in names for c, column in _case_history_columns(h).items()
-    ]
-    classifier = fit.classifier.copy({fit.classifier.featuresCol: "_x_h_mae", fit.classifier.predictionCol: "_class"})
-    points = [fit.single.expression(seen["_h_single"]).alias("_single")]
-    for h in ("_h_mae", "_h_recall"):
-        points += [fit.normal.expression(seen[h]).alias(f"_n{h}"), fit.outbreak.expression(seen[h]).alias(f"_o{h}")]
-    p = F.col("outbreak_probability")
-    floored = {c: F.greatest(F.lit(0.0), F.col(c)) for c in ("_single", "_n_h_mae", "_o_h_mae", "_n_h_recall", "_o_h_recall")}
-    probability = fit.calibrator.apply(vector_to_array("_prob")[1]).alias("outbreak_probability")
-    answers = [
-        p,
-        (p >= F.col("mae_gate")).alias("mae_policy_alert"),
-        (p >= F.col("recall_gate")).alias("recall_policy_alert"),
-        floored["_single"].alias("_next__h_single"),
-        two_stage_value(p, F.col("mae_gate"), floored["_o_h_mae"], floored["_n_h_mae"]).alias("_next__h_mae"),
-        two_stage_value(p, F.col("recall_gate"), floored["_o_h_recall"], floored["_n_h_recall"]).alias("_next__h_recall"),
-    ]
-    outputs = [
-        F.col("_next__h_single").alias("single_stage_prediction"),
-        F.col("_next__h_mae").alias("two_stage_mae_prediction"),
-        F.col("_next__h_recall").alias("two_stage_recall_prediction"),
-        "outbreak_probability",
-        "mae_policy_alert",
-        "recall_policy_alert",
-    ]
-
-    def predict(now: DataFrame, histories: list[str]):
-        rows = classifier.transform(view.transform(now.select("*", *past)))
-        rows = rows.select("*", *points)
-        return rows.select("*", probability).select(*now.columns, *answers), outputs
-
-    return predict
+    rows = cut_lineage(matrix)
+    nodes = cut_lineage(grow_each(rows, by, features, two_stage_goals(), settings))
+    raw = score_each(rows, nodes, by, features, {"single": "_single", "classifier": "_odds", "normal": "_normal", "outbreak": "_outbreak"})
+    scored = raw.select(
+        *by, y, (F.col(y) >= F.col("outbreak_threshold")).cast("int").alias("_high"),
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_odds")))).alias("_raw"),
+        F.coalesce("_normal", "_single").alias("_normal"), F.coalesce("_outbreak", "_single").alias("_outbreak"),
+    )
+    scored = cut_lineage(scored)
+    curves = ML.calibration_curves(scored, by, "_raw", "_high")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("slope") * F.col("_raw") + F.col("intercept"))))
+    judged = scored.join(curves, by).withColumn("_p", F.coalesce(p, F.col("_raw")))
+    gates = P.policy_gates(judged, by, "_p", "_high", y, "_outbreak", "_normal")
+    return TwoStage(by, features, nodes, cut_lineage(curves.join(gates, by).select(*by, F.coalesce("slope", F.lit(0.0)).alias("slope"), *POLICY[1:])))
 
 
 def evaluate_expanding(
@@ -464,31 +371,16 @@ def evaluate_expanding(
 ) -> DataFrame:
     """Held-out predictions of all folds and series: single-stage and both two-stage policies.
 
-    The relational part of all folds is one plan; only the fits loop, once per year.
+    Every series and fold has models of its own, fitted on its training rows only; all are fitted together.
     """
     by = [*series, "validation_year"]
     table, base = fold_features(cases, series, weather, folds, minimum_weeks=minimum_weeks)
     table = cut_lineage(table)
-    constants = ML.series_constants(table.filter("fold_role = 'train'"), by)
-    indexed = cut_lineage(table.join(constants, by))
-    base = [*base, *ML.SERIES_FEATURES]
+    fit = two_stage_fit(training_matrix(table, by, base), [*base, *CASE_HISTORY], by, settings)
+    rows = table.join(fit.curves, by)
     carry = [WEEK, "year", "weekofyear", "total_cases", "outbreak_threshold"]
-    out = []
-    for year in ML.years_of(indexed, "validation_year"):
-        fold = indexed.filter(F.col("validation_year") == year)
-        matrix = training_matrix(fold, by, base)
-        fit = two_stage_fit(matrix, [*base, *CASE_HISTORY], by, settings)
-        rows = fold.join(fit.gates, by)
-        predicted = recursive_forecast(
-            rows,
-            by,
-            [*base, "mae_gate", "recall_gate"],
-            _two_stage_predictor(fit, base),
-            ["_h_single", "_h_mae", "_h_recall"],
-            carry,
-        )
-        out.append(predicted.join(fit.gates, by))
-    whole = union_parts(out)
+    predicted = recursive_forecast(rows, by, [*base, *POLICY], two_stage_step(len(base)), COURSES, carry, TWO_STAGE_OUTPUTS, fit.nodes)
+    whole = cut_lineage(predicted).join(fit.curves.select(*by, "mae_gate", "recall_gate"), by)
     return whole.withColumn("actual_outbreak", F.col("total_cases") >= F.col("outbreak_threshold"))
 
 

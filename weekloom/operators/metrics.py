@@ -174,14 +174,73 @@ def class_weights(df: DataFrame, keys: list[str], label: str = "outbreak_label",
     return joined.withColumn(name, weight).drop("_n", "_p")
 
 
+MOMENTS = ["n", "mean_x", "mean_y", "m2_x", "m2_y", "c_xy"]
+
+
+def co_moments(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """(keys, MOMENTS) of the rows where both values stand: count, means, and centred sums of squares and products.
+
+    Centred sums keep their digits whatever the size of the values, and merge: Spark adds them up per task.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, _c(x)), F.when(both, _c(y))
+    n = F.count(a)
+    sums = {"n": n, "mean_x": F.avg(a), "mean_y": F.avg(b), "m2_x": n * F.var_pop(a), "m2_y": n * F.var_pop(b), "c_xy": n * F.covar_pop(a, b)}
+    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
+
+
+def merged_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the union of parts, for any coarser ``keys``: of years that make up a training set, say."""
+    n = F.col("n")
+    whole = parts.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        *[F.try_divide(F.sum(n * F.col(f"mean_{v}")), F.sum("n")).alias(f"_{v}") for v in "xy"],
+    )
+    joined = parts.join(stored_small(whole), keys) if keys else parts.join(F.broadcast(stored_small(whole)))
+    dx, dy = F.col("mean_x") - F.col("_x"), F.col("mean_y") - F.col("_y")
+    return joined.groupBy(*keys).agg(
+        F.first("_n").alias("n"), F.first("_x").alias("mean_x"), F.first("_y").alias("mean_y"),
+        F.sum(F.col("m2_x") + n * dx * dx).alias("m2_x"), F.sum(F.col("m2_y") + n * dy * dy).alias("m2_y"),
+        F.sum(F.col("c_xy") + n * dx * dy).alias("c_xy"),
+    )
+
+
+#: A sum of squares below this share of n * mean^2 is rounding: the column is constant.
+FLAT = 1e-29
+
+
+def moments_corr() -> Column:
+    """Pearson correlation of a row of moments; NULL where a side is constant or fewer than two rows stand."""
+    moves = lambda v: F.col(f"m2_{v}") > F.lit(FLAT) * F.col("n") * F.col(f"mean_{v}") * F.col(f"mean_{v}")
+    ratio = F.try_divide(F.col("c_xy"), F.sqrt(F.col("m2_x")) * F.sqrt(F.col("m2_y")))
+    return F.when((F.col("n") > 1) & moves("x") & moves("y"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+
+
 def pairwise_corr(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, one pass."""
+    """Pearson correlation of every pair of columns, long form, one pass; NULL where a column is constant."""
     keys = keys or []
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.groupBy(*keys).agg(*[F.corr(_c(a), _c(b)).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot(keys, [f"{a}|{b}" for a, b in pairs], "_pair", "correlation")
-    both = F.split("_pair", r"\|")
-    return long.select(*keys, both[0].alias("left_column"), both[1].alias("right_column"), "correlation")
+    entries = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), _c(a).alias("x"), _c(b).alias("y")) for a, b in pairs])
+    long = df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
+    names = [*keys, "left_column", "right_column"]
+    return co_moments(long, names).select(*names, moments_corr().alias("correlation"))
+
+
+def lag_moments(
+    df: DataFrame, keys: list[str], target: str, columns: list[str], maximum_lag: int = 20, order: str = "week_start_date",
+    parts: list[str] | None = None,
+) -> DataFrame:
+    """Moments of (field shifted by 0..maximum_lag rows, target) per key, field and lag, from one pass over the rows.
+
+    ``parts`` are further keys, a year say, whose rows can be merged later (``merged_moments``).
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    shifted = [F.array(*[_c(c) if k == 0 else F.lag(_c(c), k).over(w) for k in range(maximum_lag + 1)]).alias(c) for c in columns]
+    kept = [*keys, *(parts or [])]
+    wide = df.select(*kept, _c(target).alias("y"), *shifted)
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("past")) for c in columns]))
+    each = wide.select(*kept, "y", fields.alias("_f")).select(*kept, "y", "_f.column_name", F.posexplode("_f.past").alias("lag_weeks", "x"))
+    return co_moments(each, [*kept, "column_name", "lag_weeks"])
 
 
 def lag_corr(
@@ -193,40 +252,14 @@ def lag_corr(
     order: str = "week_start_date",
 ) -> DataFrame:
     """Correlation of the target with each column shifted 0..maximum_lag rows, and the pair count."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    shifted = df.select(
-        *keys,
-        _c(target).alias("_t"),
-        *[
-            (_c(c) if k == 0 else F.lag(_c(c), k).over(w)).alias(f"{c}|{k}")
-            for c in columns
-            for k in range(maximum_lag + 1)
-        ],
-    )
-    names = [f"{c}|{k}" for c in columns for k in range(maximum_lag + 1)]
-    # Two aggregates per pair would be wide; packing them keeps one long unpivot.
-    wide = shifted.groupBy(*keys).agg(
-        *[
-            F.struct(
-                F.corr(F.col("_t"), F.col(f"`{n}`")).alias("correlation"),
-                F.count_if(F.col("_t").isNotNull() & F.col(f"`{n}`").isNotNull()).alias("pairs"),
-            ).alias(n)
-            for n in names
-        ]
-    )
-    long = wide.unpivot(keys, [f"`{n}`" for n in names], "_name", "_v")
-    both = F.split("_name", r"\|")
-    return long.select(
-        *keys,
-        both[0].alias("column_name"),
-        both[1].cast("int").alias("lag_weeks"),
-        F.col("_v.correlation").alias("correlation"),
-        F.col("_v.pairs").alias("pairs"),
-    )
+    found = lag_moments(df, keys, target, columns, maximum_lag, order)
+    return found.select(*keys, "column_name", "lag_weeks", moments_corr().alias("correlation"), F.col("n").alias("pairs"))
 
 
-def best_lag(correlations: DataFrame, keys: list[str], minimum_pairs: int = 6) -> DataFrame:
-    """Lag of the strongest absolute correlation; the shorter lag wins a tie."""
+def best_lag(correlations: DataFrame, keys: list[str], minimum_pairs: int = 6, maximum_lag: int | None = None) -> DataFrame:
+    """Lag of the strongest absolute correlation, up to ``maximum_lag`` where given; the shorter lag wins a tie."""
+    if maximum_lag is not None:
+        correlations = correlations.where(F.col("lag_weeks") <= maximum_lag)
     known = F.when(F.col("pairs") >= minimum_pairs, F.abs("correlation"))
     strength = F.coalesce(F.when(~F.isnan(known), known), F.lit(0.0))
     ranked = correlations.withColumn("_r", F.struct(strength.alias("s"), (-F.col("lag_weeks")).alias("l")))
@@ -278,10 +311,10 @@ def cadence_mode(cases: DataFrame, keys: list[str], week: str = "week_start_date
     tagged = cases.select(
         *keys, F.weekday(week).cast("int").alias("start_weekday"), week_offset(number, week).alias("week_offset")
     )
-    out = None
-    for name in ("start_weekday", "week_offset"):
-        counted = tagged.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
-        best = counted.groupBy(*keys).agg(F.max(F.struct(F.col("_n"), (-F.col(name)).alias("_v"))).alias("_b"))
-        part = best.select(*keys, (-F.col("_b._v")).alias(name))
-        out = part if out is None else out.join(part, keys)
-    return out
+    # One count of the pairs, at most 7 x 53 a key, serves both numbers; the windows see those.
+    names = ("start_weekday", "week_offset")
+    pairs = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    totals = [F.sum("_n").over(Window.partitionBy(*keys, c)).alias(f"_n_{c}") for c in names]
+    picks = [F.max(F.struct(F.col(f"_n_{c}"), (-F.col(c)).alias("_v"))).alias(f"_b_{c}") for c in names]
+    best = pairs.select(*keys, *names, *totals).groupBy(*keys).agg(*picks)
+    return best.select(*keys, *[(-F.col(f"_b_{c}._v")).alias(c) for c in names])

@@ -1,37 +1,31 @@
-"""Spark ML learners with the settings of the weekly programs, fitted on pooled series.
+"""Learners with the settings of the weekly programs, on pooled series.
 
-One model serves all series, told apart by numbers from their own past. Regressors are boosted
-trees whose leaves hold residual quantiles. The driver holds model parameters and year numbers
-only, never rows.
+One model serves all series, told apart by numbers from their own past. All are boosted trees of
+``operators.boosting``. The driver holds model parameters and year numbers only, never rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.config import cut_lineage
+from weekloom.config import cut_lineage, stored_small
+from weekloom.operators.boosting import Goal, grow
 from weekloom.operators.metrics import class_weights
-
-
-@dataclass(frozen=True)
-class TreeSettings:
-    """Boosting settings; 16 leaves are a depth of 4 in level-wise trees."""
-
-    rounds: int = 90
-    step: float = 0.05
-    depth: int = 4
-    bins: int = 64
-    seed: int = 42
-    minimum_train_rows: int = 100
-    lineage_every: int = 10
-
+from weekloom.operators.trees import (  # noqa: F401  the names that callers use
+    NODE_SCHEMA,
+    ProbabilityModel,
+    QuantileModel,
+    Tree,
+    TreeSettings,
+    node_rows,
+    trees_from_rows,
+)
+
+#: Newton steps of a calibration curve; the loss is convex and nearly quadratic.
+CURVE_STEPS = 8
 
 SERIES_FEATURES = ["series_level", "series_spread", "series_zero_share"]
 
@@ -51,32 +45,15 @@ def series_constants(train: DataFrame, by: list[str], value: str = "total_cases"
     return train.groupBy(*by).agg(*[F.coalesce(m, F.lit(0.0)).alias(n) for n, m in zip(SERIES_FEATURES, made, strict=True)])
 
 
-def assemble(df: DataFrame, features: list[str], name: str = "_x") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=name, handleInvalid="error").transform(df)
-
-
 def outbreak_classifier(
     train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None
-) -> GBTClassificationModel:
-    gbt = GBTClassifier(
-        featuresCol="_x",
-        labelCol=label,
-        predictionCol="_p",
-        stepSize=settings.step,
-        maxIter=settings.rounds,
-        maxDepth=settings.depth,
-        maxBins=settings.bins,
-        seed=settings.seed,
-    )
-    gbt = gbt.setProbabilityCol("_prob").setRawPredictionCol("_raw")
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return gbt.fit(assemble(train, features))
-
-
-def predict_probability(model, df: DataFrame, features: list[str], name: str) -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, vector_to_array("_prob")[1].alias(name))
+) -> ProbabilityModel:
+    goal = Goal("p", F.col(label).cast("double"), F.col(weight) if weight else F.lit(1.0), None)
+    return grow(train, features, [goal], settings)["p"]
+
+
+def predict_probability(model: ProbabilityModel, df: DataFrame, features: list[str], name: str) -> DataFrame:
+    return df.select("*", model.column(features).alias(name))
 
 
 @dataclass(frozen=True)
@@ -92,178 +69,48 @@ class Calibrator:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.slope) * raw + F.lit(self.intercept))))
 
 
-def probability_calibrator(df: DataFrame, raw: str, label: str) -> Calibrator:
-    """Platt scaling. The penalty 1/n equals an L2 penalty with C = 1 on summed losses."""
-    rows, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("int"))).first()
-    if not rows or positives in (0, rows):
-        return Calibrator()
-    fitted = LogisticRegression(
-        featuresCol="_x", labelCol="_y", regParam=1.0 / rows, elasticNetParam=0.0, standardization=False
-    ).fit(assemble(df.select(F.col(raw).alias("_r"), F.col(label).cast("double").alias("_y")), ["_r"]))
-    return Calibrator(float(fitted.coefficients[0]), float(fitted.intercept))
+def calibration_curves(df: DataFrame, keys: list[str], raw: str, label: str, steps: int = CURVE_STEPS) -> DataFrame:
+    """(keys, slope, intercept) of the Platt curves of all keys together, by Newton steps on grouped sums.
 
+    Minimizes the summed log loss and half the squared slope. A step is one aggregate over the rows; a key with one
+    class only has a null slope, which stands for the identity.
+    """
+    rows = df.select(*keys, F.col(raw).cast("double").alias("_r"), F.col(label).cast("double").alias("_y")).dropna(subset=["_r", "_y"])
+    rows = cut_lineage(rows.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_ones")))
+    whole = rows.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.sum("_ones").alias("_pos"))
+    curves = whole.select(*keys, F.when((F.col("_pos") > 0) & (F.col("_pos") < F.col("_all")), 0.0).alias("slope"), F.lit(0.0).alias("intercept"))
+    a, b, r, n = F.col("slope"), F.col("intercept"), F.col("_r"), F.col("_n")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(a * r + b)))
+    for _ in range(steps):
+        known = stored_small(curves)
+        at = (rows.join(known, keys) if keys else rows.join(F.broadcast(known))).withColumn("_p", p)
+        miss, curve = n * F.col("_p") - F.col("_ones"), n * F.col("_p") * (1 - F.col("_p"))
+        sums = at.groupBy(*keys, "slope", "intercept").agg(
+            F.sum(miss * r).alias("ga"), F.sum(miss).alias("gb"), F.sum(curve * r * r).alias("aa"), F.sum(curve * r).alias("ab"), F.sum(curve).alias("bb")
+        )
+        ga, aa = F.col("ga") + a, F.col("aa") + 1.0
+        gb, ab, bb = F.col("gb"), F.col("ab"), F.col("bb")
+        size = aa * bb - ab * ab
+        curves = sums.select(
+            *keys,
+            (a - F.try_divide(bb * ga - ab * gb, size)).alias("slope"),
+            F.when(a.isNotNull(), F.coalesce(b - F.try_divide(aa * gb - ab * ga, size), b)).otherwise(0.0).alias("intercept"),
+        )
+    return stored_small(curves)
 
-@dataclass(frozen=True)
-class Tree:
-    """Nodes in arrays: at an inner node go left where the feature is at most the threshold; leaves have no feature."""
-
-    feature: list[int]
-    threshold: list[float]
-    left: list[int]
-    right: list[int]
-    value: list[float]
-
-
-def tree_of(model: DecisionTreeRegressionModel, leaf_values: dict[int, float]) -> Tree:
-    """Node arrays of a fitted tree; leaves are numbered from left to right as the learner numbers them."""
-    tree = Tree([], [], [], [], [])
-    leaves = 0
-    todo = [(model._call_java("rootNode"), None, None)]
-    while todo:
-        node, parent, side = todo.pop()
-        at = len(tree.feature)
-        if parent is not None:
-            (tree.left if side == "left" else tree.right)[parent] = at
-        inner = node.subtreeDepth() > 0
-        tree.feature.append(node.split().featureIndex() if inner else -1)
-        tree.threshold.append(node.split().threshold() if inner else 0.0)
-        tree.left.append(-1)
-        tree.right.append(-1)
-        tree.value.append(0.0 if inner else leaf_values.get(leaves, 0.0))
-        if inner:
-            todo += [(node.rightChild(), at, "right"), (node.leftChild(), at, "left")]
-        else:
-            leaves += 1
-    return tree
-
-
-def trees_value(trees: list[Tree], columns: list[str]) -> Column:
-    """Sum of the trees' leaf values: one Arrow function, however many trees."""
-    if not trees:
-        return F.lit(0.0)
-    tables = [(t.feature, t.threshold, t.left, t.right, t.value) for t in trees]
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        own = [tuple(np.asarray(x) for x in t) for t in tables]
-        for rows in batches:
-            x = np.vstack(rows.to_numpy()) if len(rows) else np.empty((0, 1))
-            every, total = np.arange(len(x)), np.zeros(len(x))
-            for feature, threshold, left, right, value in own:
-                at = np.zeros(len(x), dtype=np.int64)
-                while (feature[at] >= 0).any():
-                    f = feature[at]
-                    onward = np.where(x[every, np.maximum(f, 0)] <= threshold[at], left[at], right[at])
-                    at = np.where(f >= 0, onward, at)
-                total += value[at]
-            yield pd.Series(total)
-
-    scorer = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return scorer(F.array(*[F.col(c).cast("double") for c in columns]))
-
-
-def tree_expression(tree: Tree, columns: list[str], node: int = 0) -> Column:
-    """One tree as comparisons of columns."""
-    if tree.feature[node] < 0:
-        return F.lit(tree.value[node])
-    goes_left = F.col(columns[tree.feature[node]]).cast("double") <= F.lit(tree.threshold[node])
-    return F.when(goes_left, tree_expression(tree, columns, tree.left[node])).otherwise(
-        tree_expression(tree, columns, tree.right[node])
-    )
-
-
-@dataclass
-class QuantileModel:
-    """Boosted trees for one quantile: a start value and trees whose leaves are already stepped."""
-
-    quantile: float
-    start: float
-    features: list[str]
-    trees: list[Tree] = field(default_factory=list)
-
-    def column(self, columns: list[str] | None = None) -> Column:
-        """The prediction over the features, or over other columns in their order."""
-        return F.lit(self.start) + trees_value(self.trees, columns or self.features)
-
-    def expression(self, columns: list[str]) -> Column:
-        """The same prediction without Python, for plans that score few rows in many steps."""
-        total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + tree_expression(tree, columns)
-        return total
-
-    def predict(self, df: DataFrame, name: str) -> DataFrame:
-        return df.select("*", self.column().alias(name))
-
-
-NODE_SCHEMA = "tag string, tree int, node int, feature int, threshold double, left int, right int, value double"
-
-
-def node_rows(models: dict[str, QuantileModel]) -> list[tuple]:
-    """Rows of NODE_SCHEMA for all trees of several models."""
-    return [
-        (tag, k, i, t.feature[i], t.threshold[i], t.left[i], t.right[i], t.value[i])
-        for tag, model in models.items()
-        for k, t in enumerate(model.trees)
-        for i in range(len(t.feature))
-    ]
-
-
-def trees_from_rows(rows) -> dict[str, list[Tree]]:
-    found: dict[str, list[Tree]] = {}
-    for r in sorted(rows, key=lambda r: (r["tag"], r["tree"], r["node"])):
-        trees = found.setdefault(r["tag"], [])
-        if r["node"] == 0:
-            trees.append(Tree([], [], [], [], []))
-        for name in ("feature", "threshold", "left", "right", "value"):
-            getattr(trees[-1], name).append(r[name])
-    return found
+
+def probability_calibrator(df: DataFrame, raw: str, label: str) -> Calibrator:
+    """Platt scaling over all rows."""
+    found = calibration_curves(df, [], raw, label).first()
+    return Calibrator(found["slope"], found["intercept"]) if found and found["slope"] is not None else Calibrator()
 
 
 def quantile_regressor(
     train: DataFrame, features: list[str], label: str, quantile: float, settings: TreeSettings, weight: str | None = None
 ) -> QuantileModel:
-    """Pinball-loss boosting: trees on the loss gradient, leaves set to the residual quantile.
-
-    Start and leaf quantiles are mergeable sketches, exact up to 10,000 distinct values and within
-    one part in 10,000 of the rank beyond, so the rows of a leaf are never gathered. ``weight`` names
-    a column of whole numbers: a row counts that often. The running prediction is stored every
-    ``lineage_every`` rounds; in between, one projection adds the trees since.
-    """
-    q = F.lit(float(quantile))
-    rows = assemble(train, features).select(
-        "_x", F.array(*[F.col(c).cast("double") for c in features]).alias("_a"), F.col(label).cast("double").alias("_y"),
-        *([F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))] if weight else []),
-    ).select("_x", "_a", "_y")
-    rows = cut_lineage(rows)
-    start = rows.agg(F.percentile_approx("_y", q, 10000)).first()[0]
-    model = QuantileModel(quantile, float(start), features)
-    rows = rows.withColumn("_f0", F.lit(model.start))
-    learner = DecisionTreeRegressor(
-        featuresCol="_x", labelCol="_g", predictionCol="_t", leafCol="_leaf", maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed
-    )
-    parts = [f"_a{i}" for i in range(len(features))]
-    fresh: list[Tree] = []
-    for turn in range(settings.rounds):
-        spread = rows.select("*", *[F.col("_a")[i].alias(n) for i, n in enumerate(parts)]) if fresh else rows
-        now = spread.withColumn("_f", F.col("_f0") + trees_value(fresh, parts)).drop(*parts)
-        graded = now.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), q).otherwise(q - 1.0))
-        tree = learner.fit(graded)
-        leaves = (
-            tree.transform(graded)
-            .groupBy("_leaf")
-            .agg(F.percentile_approx(F.col("_y") - F.col("_f"), q, 10000).alias("v"))
-            .collect()  # at most 2**depth rows
-        )
-        fresh.append(tree_of(tree, {int(r["_leaf"]): settings.step * float(r["v"]) for r in leaves}))
-        model.trees.append(fresh[-1])
-        if (turn + 1) % settings.lineage_every == 0:
-            spread = rows.select("*", *[F.col("_a")[i].alias(n) for i, n in enumerate(parts)])
-            rows = cut_lineage(spread.select("_x", "_a", "_y", (F.col("_f0") + trees_value(fresh, parts)).alias("_f0")))
-            fresh = []
-    return model
+    """Pinball-loss boosting; ``weight`` names a column of whole numbers: a row counts that often."""
+    goal = Goal("q", F.col(label), F.col(weight) if weight else F.lit(1.0), float(quantile))
+    return grow(train, features, [goal], settings)["q"]
 
 
 def point_regressor(

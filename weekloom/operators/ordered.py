@@ -12,13 +12,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.config import stored_small
 from weekloom.functions.cleaning import finite
 
-DEFAULT_RANGES = 256
+#: Distinct values that a range may hold; their number sets the number of ranges.
+RANGE_VALUES = 20_000
+LEAST_RANGES, MOST_RANGES = 8, 4096
 
 
-def range_splits(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES) -> list[float]:
-    """At most ``ranges`` cut points (a bounded driver result) of about equal depth."""
+def range_splits(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
+    """Cut points of about equal depth, one for each ``RANGE_VALUES`` rows of ``df`` (a bounded driver result)."""
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, df.count() // RANGE_VALUES))
     points = [i / ranges for i in range(1, ranges)]
     found = df.approxQuantile(value, points, 1.0 / ranges)
     return [float("-inf"), *sorted(set(found)), float("inf")]
@@ -73,6 +77,24 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFra
     return left.join(renamed, cond, "left")
 
 
+def value_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, _n): every distinct finite value with its number of rows, stored; what follows reads this, not the rows."""
+    present = df.select(*keys, finite(value).alias("_v")).filter(F.col("_v").isNotNull())
+    return stored_small(present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
+
+
+def table_moments(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """value_count, mean, std (sample), min and max of a value table; squares are centred before they are added."""
+    n, v = F.col("_n"), F.col("_v")
+    first = counted.groupBy(*keys).agg(
+        F.sum(n).alias("value_count"), (F.sum(n * v) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    joined = _null_safe_join(counted, stored_small(first.select(*keys, "mean")), keys)
+    gap = v - F.col("mean")
+    spread = joined.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(n * gap * gap), F.sum(n) - 1)).alias("std"))
+    return _null_safe_join(first, spread, keys).select(*keys, "value_count", "mean", "std", "min", "max")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -84,16 +106,14 @@ def exact_quantiles(
 
     NaN and infinities are no values.
     """
-    present = df.select(*keys, finite(value).alias("_v")).filter(F.col("_v").isNotNull())
-    counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    splits = splits or range_splits(present, "_v")
+    return table_quantiles(value_table(df, keys, value), keys, points, splits)
+
+
+def table_quantiles(counted: DataFrame, keys: list[str], points: dict[str, float], splits: list[float] | None = None) -> DataFrame:
+    """``exact_quantiles`` from a value table; ranges hold about equal numbers of distinct values."""
     placed = running_totals(counted, keys, "_v", ["_n"], splits=splits)
-    size = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    on = [F.lit(True)] if not keys else None
-    if on:
-        placed = placed.crossJoin(F.broadcast(size))  # one row
-    else:
-        placed = _null_safe_join(placed, size, keys)
+    size = stored_small(counted.groupBy(*keys).agg(F.sum("_n").alias("_size")))
+    placed = _null_safe_join(placed, size, keys) if keys else placed.join(F.broadcast(size))  # one row
     ends = F.col("cum__n")
     starts = ends - F.col("_n")
     picks = []

@@ -347,6 +347,18 @@ def promotion_decision(rules: DataFrame, series: list[str]) -> DataFrame:
     )
 
 
+def merge_slots(slots: DataFrame, candidates: DataFrame, decision: DataFrame, series: list[str]) -> DataFrame:
+    """Champion slots after a decision: each series keeps its model unless its own candidate is promoted.
+
+    ``slots`` and ``candidates`` hold one model row per series with the same columns. A series without a champion whose
+    candidate fails has no slot afterwards.
+    """
+    rest = [c for c in slots.columns if c not in series]
+    promoted = candidates.join(decision.where("promote").select(*series), series, "left_semi")
+    kept = slots.join(promoted.select(*series), series, "left_anti")
+    return kept.select(*series, *rest).unionByName(promoted.select(*series, *rest))
+
+
 def retrain_due(
     finalized: DataFrame,
     models: DataFrame,

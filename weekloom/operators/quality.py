@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import stored_small
-from weekloom.operators.ordered import exact_quantiles, unpivot
+from weekloom.operators.ordered import table_moments, table_quantiles, unpivot, value_table
 
 
 class QualityError(ValueError):
@@ -170,19 +170,19 @@ def date_ranges(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of each column."""
+    """Count, mean, sample deviation, minimum, quartiles and maximum of each column's finite values.
+
+    The rows are read once, into a table of distinct values with their counts, from which all else follows.
+    """
     keys = keys or []
-    long = unpivot(df, keys, columns, "column_name", "_value")
     by = [*keys, "column_name"]
-    moments = long.groupBy(*by).agg(
-        F.count("_value").alias("value_count"),
-        F.avg("_value").alias("mean"),
-        F.stddev_samp("_value").alias("std"),
-        F.min("_value").alias("min"),
-        F.max("_value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, by, "_value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return moments.join(quartiles, by, "left")
+    counted = value_table(unpivot(df, keys, columns, "column_name", "_value"), by, "_value")
+    quartiles = table_quantiles(counted, by, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    found = table_moments(counted, by)
+    same = F.lit(True)
+    for c in by:
+        same = same & found[c].eqNullSafe(quartiles[c])
+    return found.join(quartiles, same, "left").select(*[found[c] for c in found.columns], "p25", "p50", "p75")
 
 
 def outlier_counts(df: DataFrame, column: str, keys: list[str] | None = None, deviations: float = 2.0) -> DataFrame:

@@ -67,6 +67,32 @@ def count_case_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("case_rows"))
 
 
+def fold_names(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add the folded text of columns that repeat few names: each distinct name is folded once and joined back."""
+    for column, folded in columns.items():
+        names = stored_small(rows.select(column).distinct().withColumn(folded, fold_text(column)), "names")
+        rows = rows.join(names, column, "left")
+    return rows
+
+
+def case_rows_weekly(
+    rows: DataFrame, places: dict[str, list[str]], class_column: str, geography: str, key: str = "geography",
+    classes: tuple[str, ...] = ("C", "P"), year: str = "ano", week: str = "semana",
+) -> DataFrame:
+    """Raw case rows to weekly counts by folded ``geography``: rows are counted once, names folded once, counts added.
+
+    What ``category_filter`` keeps row by row is decided here on the names.
+    """
+    texts = list(dict.fromkeys([*places, class_column, geography]))
+    counted = stored_small(count_case_rows(rows, [*texts, year, week]), "case-rows")
+    folded = fold_names(counted, {c: f"_f_{c}" for c in texts})
+    keep = F.col(f"_f_{class_column}").isin(*classes)
+    for column, names in places.items():
+        keep = keep & F.col(f"_f_{column}").isin(*names)
+    kept = folded.where(keep & F.col(year).try_cast("double").isNotNull() & F.col(week).try_cast("double").isNotNull())
+    return case_level_weekly(kept.withColumn(key, F.col(f"_f_{geography}")), [key], year, week, "case_rows")
+
+
 def case_level_weekly(
     cases: DataFrame, keys: list[str], year: str = "ano", week: str = "semana", weight: str | None = None
 ) -> DataFrame:
@@ -176,12 +202,12 @@ def daily_to_weekly(
     weeks: DataFrame | None = None,
     day: str = "date",
     as_of: Column | None = None,
-    start_weekday: int = 0,
+    start_weekday: int | Column = 0,
 ) -> DataFrame:
     """Daily weather to weekly: all values NULL together unless all 7 days are complete.
 
     ``weeks`` (keys, week_start_date) lists the weeks wanted; weeks without weather then
-    appear with 0 days and source ``missing``. The dry spell is the longest run of days
+    appear with 0 days and source ``missing``. ``start_weekday`` may be a column of ``daily``. The dry spell is the longest run of days
     with less than 0.1 mm, found in the week's at most 7 (day, rain) pairs.
     """
     dated = daily.withColumn("_d", F.col(day).cast("date"))

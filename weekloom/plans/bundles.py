@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from weekloom import schemas as S
 from weekloom.config import Policy, cut_lineage
 from weekloom.functions.calendar import iso_week
 from weekloom.functions.rules import risk_level
+from weekloom.operators import audit as A
 from weekloom.operators import features as X
 from weekloom.operators import forecast as W
 from weekloom.operators import ledger as L
@@ -129,18 +129,23 @@ def information_audit(
     policy: Policy,
     settings: ML.TreeSettings = ML.TreeSettings(),
     validation_years: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """The same fits judged with forecast weather that existed before each week, and coverage.
-
-    Returns the metrics in long form and, per series, how many weeks the issued runs cover.
+    available_from: Column | None = None,
+    days_before: int = 1,
+    run_hour: int = 0,
+) -> tuple[DataFrame | None, DataFrame]:
+    """The same fits judged with forecast weather that existed before each week, and what that covers.
+
+    ``issued_weather`` holds runs (``issued_at_utc``, week, fields); of each week the newest run issued by the decision
+    counts. Returns the metrics in long form (None where no week of any series is covered) and ``audit_coverage``.
     """
-    overrides = cut_lineage(X.issue_time_overrides(weekly_weather, issued_weather, series))
+    runs = cut_lineage(A.newest_runs(issued_weather, series, "issued_at_utc", days_before, run_hour))
+    overrides = cut_lineage(X.issue_time_overrides(weekly_weather, runs, series))
+    first = F.lit("1900-01-01").cast("date") if available_from is None else available_from
+    labelled = expanding_outbreak_labels(finalized, series)
+    coverage = cut_lineage(A.audit_coverage(labelled, overrides, series, first, days_before, run_hour))
+    if coverage.where(F.col("status") == A.COMPLETE).isEmpty():
+        return None, coverage
     audited = train_candidate(finalized, weekly_weather, series, policy, settings, overrides=overrides, validation_years=validation_years)
-    on = [*series, WEEK]
-    covered = overrides.select(*on).withColumn("_c", F.lit(1))
-    coverage = finalized.select(*on).join(covered, on, "left").groupBy(*series).agg(
-        F.count(F.lit(1)).alias("weeks"), F.count("_c").alias("covered_weeks")
-    )
     return audited.report(), coverage
 
 
@@ -266,24 +271,23 @@ def _fill_absent(rows: DataFrame, features: set[str]) -> DataFrame:
 # --- saved models ----------------------------------------------------------------------
 
 def save_candidate(candidate: Candidate, path: str) -> None:
-    """Spark ML writers for the models, Parquet for everything that is a table."""
+    """Parquet for all that is a table, the trees' nodes included."""
     spark = candidate.metadata.sparkSession
     facts = []
     for route in candidate.detectors:
         d, f = candidate.detectors[route], candidate.forecasters[route]
-        d.model.write().overwrite().save(f"{path}/{route}/classifier")
         d.gates.write.mode("overwrite").parquet(f"{path}/{route}/gates")
         d.metrics.write.mode("overwrite").parquet(f"{path}/{route}/alert_metrics")
         d.held_out.write.mode("overwrite").parquet(f"{path}/{route}/alert_held_out")
         f.calibration.write.mode("overwrite").parquet(f"{path}/{route}/calibration")
         f.metrics.write.mode("overwrite").parquet(f"{path}/{route}/case_metrics")
         f.held_out.write.mode("overwrite").parquet(f"{path}/{route}/case_held_out")
-        nodes = spark.createDataFrame(ML.node_rows(f.models), ML.NODE_SCHEMA)  # model parameters
+        nodes = spark.createDataFrame(ML.node_rows({**f.models, "classifier": d.model}), ML.NODE_SCHEMA)  # model parameters
         nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/{route}/trees")
         quantiles = {tag: {"quantile": m.quantile, "start": m.start} for tag, m in f.models.items()}
         facts.append(
             (route, json.dumps({
-                "alert_features": d.features, "slope": d.calibrator.slope, "intercept": d.calibrator.intercept,
+                "alert_features": d.features, "alert_start": d.model.start, "slope": d.calibrator.slope, "intercept": d.calibrator.intercept,
                 "case_features": f.features, "baseline": f.baseline, "quantiles": quantiles, "series": candidate.series,
             }))
         )
@@ -306,12 +310,12 @@ def load_candidate(spark: SparkSession, path: str) -> Candidate:
         route, facts = row["route"], json.loads(row["facts"])
         series = facts["series"]
         read = lambda name, route=route: spark.read.parquet(f"{path}/{route}/{name}")
+        trees = ML.trees_from_rows(read("trees").collect())
         detectors[route] = W.Detector(
-            GBTClassificationModel.load(f"{path}/{route}/classifier"),
+            ML.ProbabilityModel(0.5, facts["alert_start"], facts["alert_features"], trees.get("classifier", [])),
             ML.Calibrator(facts["slope"], facts["intercept"]),
             facts["alert_features"], read("gates"), read("alert_held_out"), read("alert_metrics"),
         )
-        trees = ML.trees_from_rows(read("trees").collect())
         models = {
             tag: ML.QuantileModel(q["quantile"], q["start"], facts["case_features"], trees.get(tag, []))
             for tag, q in facts["quantiles"].items()
@@ -323,14 +327,15 @@ def load_candidate(spark: SparkSession, path: str) -> Candidate:
     return Candidate(detectors, forecasters, spark.read.parquet(f"{path}/thresholds"), metadata, series)
 
 
-def decide(candidate: Candidate, champion: Candidate | None, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    """Promotion rules and the decision per series."""
+def decide(candidate: Candidate, champions: list[tuple[Candidate, DataFrame]], policy: Policy) -> tuple[DataFrame, DataFrame]:
+    """Promotion rules and the decision per series, each against the champion in its own slot."""
+    series = candidate.series
     report = candidate.report()
-    old = champion.report() if champion else report.filter(F.lit(False))
-    old_models = champion.metadata if champion else candidate.metadata.filter(F.lit(False))
+    old, old_models = report.filter(F.lit(False)), candidate.metadata.filter(F.lit(False))
+    if champions:
+        old = union_parts([c.report().join(slots.select(*series), series, "left_semi") for c, slots in champions])
+        old_models = union_parts([c.metadata.join(slots.select(*series), series, "left_semi") for c, slots in champions])
     rules = cut_lineage(
-        P.promotion_rules(
-            report, old, candidate.metadata, old_models, candidate.series, policy.guardrails, policy.minimum_new_finalized_weeks
-        )
+        P.promotion_rules(report, old, candidate.metadata, old_models, series, policy.guardrails, policy.minimum_new_finalized_weeks)
     )
-    return rules, P.promotion_decision(rules, candidate.series)
+    return rules, P.promotion_decision(rules, series)

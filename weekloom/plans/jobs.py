@@ -70,13 +70,16 @@ def model_history(spark: SparkSession, store: Store) -> DataFrame:
     return read_if_present(spark, store.at("model_history"), empty)
 
 
-def champion_path(spark: SparkSession, store: Store) -> str | None:
-    """Folder of the newest promoted, compatible bundle."""
-    usable = model_history(spark, store).filter(
-        (F.col("model_schema_version") == S.MODEL_SCHEMA_VERSION)
-        & (F.col("case_forecast_schema_version") == S.CASE_FORECAST_SCHEMA_VERSION)
-    )
-    return usable.agg(F.max_by("bundle", "promoted_at_utc")).first()[0]
+def champion_slots(spark: SparkSession, store: Store) -> DataFrame:
+    """The newest promoted, compatible model of each series and the bundle that holds it."""
+    return P.current_models(model_history(spark, store), SERIES, S.MODEL_SCHEMA_VERSION, S.CASE_FORECAST_SCHEMA_VERSION)
+
+
+def champions(spark: SparkSession, store: Store) -> list[tuple[B.Candidate, DataFrame]]:
+    """Every bundle that a slot names, with the series it serves; as many as there are promotions still in use."""
+    slots = cut_lineage(champion_slots(spark, store))
+    found = [r["bundle"] for r in slots.select("bundle").distinct().orderBy("bundle").collect()]
+    return [(B.load_candidate(spark, path), slots.where(F.col("bundle") == path)) for path in found]
 
 
 def train_and_guard(
@@ -91,8 +94,8 @@ def train_and_guard(
 ) -> DataFrame:
     """Train only where enough new weeks are final, then promote under the guardrails.
 
-    One bundle serves all series, so it is trained when any series is due and promoted when
-    every series passes. Returns the decision per series.
+    A bundle is trained when any series is due. Each series is promoted alone: the history gets a row, and with it the
+    slot the new bundle, only where its own rules pass. Returns the decision per series.
     """
     stable = cut_lineage(P.finalized(load_cases(spark, store), as_of, policy.label_stabilization_weeks))
     current = P.current_models(model_history(spark, store), SERIES, S.MODEL_SCHEMA_VERSION, S.CASE_FORECAST_SCHEMA_VERSION)
@@ -107,19 +110,23 @@ def train_and_guard(
             ).alias("reasons"),
         )
     candidate = B.train_candidate(stable, weekly_weather, SERIES, policy, settings, stamp, validation_years=validation_years)
-    path = champion_path(spark, store)
-    champion = B.load_candidate(spark, path) if path else None
-    rules, decision = B.decide(candidate, champion, policy)
+    rules, decision = B.decide(candidate, champions(spark, store), policy)
+    decision = cut_lineage(decision)
     sinks.append_log(rules.withColumn("evaluated_at_utc", F.lit(stamp)), store.at("promotion_reports"))
-    if decision.filter("NOT promote").isEmpty():
+    promoted = decision.filter("promote").select(*SERIES)
+    if not promoted.isEmpty():
         bundle = store.at("models/" + stamp.replace(":", "").replace("-", ""))
         B.save_candidate(candidate, bundle)
         parts = [f.held_out.drop(*_features(f)) for f in candidate.forecasters.values()]
         keep = ["week_start_date", "year", "weekofyear", "forecast_variant", "actual_cases", "outbreak_threshold",
                 "actual_outbreak", "predicted_cases_p50", "predicted_cases_p80", "predicted_cases_p90"]
-        sinks.write_validation_rows([p.select(*SERIES, *keep) for p in parts], store.at("validation_rows"))
-        # The history row is the promotion: it is written after everything it points to.
-        sinks.append_log(candidate.metadata.withColumn("bundle", F.lit(bundle)), store.at("model_history"))
+        rows = [p.select(*SERIES, *keep).join(promoted, SERIES, "left_semi") for p in parts]
+        known = read_if_present(spark, store.at("validation_rows"), rows[0].schema)
+        kept = cut_lineage(known.join(promoted, SERIES, "left_anti"))  # of series that keep their champion
+        sinks.write_validation_rows([*rows, kept], store.at("validation_rows"))
+        # The history rows are the promotion: they are written after everything they point to.
+        history = candidate.metadata.join(promoted, SERIES, "left_semi").withColumn("bundle", F.lit(bundle))
+        sinks.append_log(history, store.at("model_history"))
     return decision.withColumn("candidate_trained", F.lit(True)).drop("rule_count", "failed_rules")
 
 
@@ -137,19 +144,20 @@ def predict_and_monitor(
 ) -> DataFrame:
     """Score this week and the next of every series, append idempotently, reconcile old rows."""
     cases = cut_lineage(load_cases(spark, store))
-    path = champion_path(spark, store)
-    if path is None:
+    serving = champions(spark, store)
+    if not serving:
         raise ValueError("no champion exists; run guarded training first")
-    candidate = B.load_candidate(spark, path)
     day = F.lit(as_of).cast("date")
     leads = F.array(*[F.lit(k).cast("bigint") for k in range(policy.prediction_weeks_ahead + 1)])
-    targets = candidate.metadata.select(*SERIES, F.explode(leads).alias("lead_weeks")).withColumn(
-        WEEK, F.date_add(week_floor(day), (F.col("lead_weeks") * 7).cast("int"))
-    )
-    features = cut_lineage(X.weather_features(weekly_weather, SERIES))
-    scored = cut_lineage(B.score_weeks(candidate, features.drop("weekofyear"), cases, targets, policy, day, stamp))
-    sinks.write_vintages(B.input_rows(scored, candidate), store.at("input_vintages"), "input_vintage_id")
-    sinks.upsert_ledger(B.ledger_rows(scored), store.at("ledger"))
+    features = cut_lineage(X.weather_features(weekly_weather, SERIES).drop("weekofyear"))
+    vintages = sinks.current_vintages(cases, SERIES)
+    for candidate, slots in serving:
+        targets = slots.select(*SERIES, F.explode(leads).alias("lead_weeks")).withColumn(
+            WEEK, F.date_add(week_floor(day), (F.col("lead_weeks") * 7).cast("int"))
+        )
+        scored = cut_lineage(B.score_weeks(candidate, features, cases, targets, policy, day, stamp, vintages))
+        sinks.write_vintages(B.input_rows(scored, candidate), store.at("input_vintages"), "input_vintage_id")
+        sinks.upsert_ledger(B.ledger_rows(scored), store.at("ledger"))
     return monitor(spark, store, day, stamp, policy)
 
 
@@ -186,7 +194,7 @@ def publish(spark: SparkSession, store: Store, history_weeks: int | None = None)
 def weekly(spark, store, daily, weekly_weather, as_of, stamp, source_file_id, publication_date, policy=Policy(), settings=TreeSettings(), validation_years=4):
     """Ingest, train where nothing compatible exists yet, score, reconcile, publish."""
     ingest(daily, store, stamp, source_file_id, publication_date)
-    if champion_path(spark, store) is None:
+    if champion_slots(spark, store).isEmpty():
         train_and_guard(spark, store, weekly_weather, F.lit(as_of).cast("date"), stamp, policy, settings, validation_years)
     predict_and_monitor(spark, store, weekly_weather, as_of, stamp, policy)
     return publish(spark, store)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
+from weekloom.config import cut_lineage
 from weekloom.functions import calendar as C
 from weekloom.functions import rules as R
 from weekloom.operators import features as X
@@ -272,7 +273,7 @@ def _(spark, sf):
 
 # --- windows and features --------------------------------------------------------------
 
-_feat = ["rain_sum", "wet_day_count", "longest_dry_spell_days", "temperature_2m_mean", "temperature_2m_max", "max_daily_rainfall"]
+_feat = list(S.WEEKLY_WEATHER)
 _W = "PARTITION BY geography ORDER BY week_start_date"
 
 
@@ -487,19 +488,16 @@ def _(spark, sf):
     )
 
 
-_fill = ["soil_moisture_0_to_7cm_mean", "temperature_2m_mean", "rain_sum"]
+_fill = list(S.WEEKLY_WEATHER)
 
 
 @query(
     "ffill_median",
-    """
+    f"""
 WITH r AS (SELECT *, CAST(isoyear(week_start_date) AS INTEGER) AS year FROM v_weather),
- m AS (SELECT geography, median(soil_moisture_0_to_7cm_mean) AS s, median(temperature_2m_mean) AS t, median(rain_sum) AS n
-   FROM r WHERE year < 2000 GROUP BY ALL)
+ m AS (SELECT geography, {', '.join(f'median({c}) AS m_{c}' for c in _fill)} FROM r WHERE year < 2000 GROUP BY ALL)
 SELECT r.geography, r.week_start_date,
- round(coalesce(last_value(soil_moisture_0_to_7cm_mean IGNORE NULLS) OVER w, m.s), 6) AS soil_moisture_0_to_7cm_mean,
- round(coalesce(last_value(temperature_2m_mean IGNORE NULLS) OVER w, m.t), 6) AS temperature_2m_mean,
- round(coalesce(last_value(rain_sum IGNORE NULLS) OVER w, m.n), 6) AS rain_sum
+ {', '.join(f'round(coalesce(last_value({c} IGNORE NULLS) OVER w, m_{c}), 6) AS {c}' for c in _fill)}
 FROM r JOIN m USING (geography)
 WINDOW w AS (PARTITION BY r.geography ORDER BY week_start_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     ("v_weather",),
@@ -522,7 +520,9 @@ def _(spark, sf):
     return doubles(M.column_medians(li, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
-_LAGCOLS = ["temperature_2m_mean", "rain_sum", "et0_fao_evapotranspiration"]
+_LAGCOLS = list(S.WEEKLY_WEATHER)
+#: Lag ranges that the programs search, all answered by one table of moments.
+_LAG_RANGES = (8, 12, 20)
 
 
 def _series_with_weather(spark, sf):
@@ -532,48 +532,55 @@ def _series_with_weather(spark, sf):
     return cases.join(w, WEEK)
 
 
-_LAGVIEW = """
- j AS (SELECT w.*, c.total_cases FROM v_weather w
+_LAGVIEW = f"""
+ j AS (SELECT w.*, c.total_cases, row_number() OVER (PARTITION BY w.geography ORDER BY w.week_start_date) AS ord FROM v_weather w
        JOIN (SELECT week_start_date, sum(total_cases) AS total_cases FROM v_weekly GROUP BY ALL) c USING (week_start_date)),
- q AS (""" + "\nUNION ALL\n".join(
-    f"SELECT geography, '{c}' AS column_name, {k} AS lag_weeks, round(corr(total_cases, x), 6) AS correlation,"
-    f" count(x) AS pairs FROM (SELECT geography, total_cases, lag({c}, {k}) OVER ({_W}) AS x FROM j) GROUP BY geography"
-    for c in _LAGCOLS
-    for k in range(13)
-) + ")"
+ fields AS (""" + " UNION ALL ".join(f"SELECT geography, ord, total_cases, '{c}' AS column_name, CAST({c} AS DOUBLE) AS x FROM j" for c in _LAGCOLS) + f"""),
+ q AS (SELECT a.geography, a.column_name, CAST(k AS INTEGER) AS lag_weeks,
+    round(CASE WHEN var_pop(b.x) > 1e-20 AND NOT isnan(corr(a.total_cases, b.x)) THEN corr(a.total_cases, b.x) END, 6) AS correlation,
+    count(b.x) AS pairs
+   FROM fields a, (SELECT unnest(range({max(_LAG_RANGES) + 1})) AS k)
+   LEFT JOIN fields b ON b.geography = a.geography AND b.column_name = a.column_name AND b.ord = a.ord - k GROUP BY ALL),
+ ranges AS (SELECT unnest({list(_LAG_RANGES)}) AS maximum_lag),
+ b AS (SELECT CAST(maximum_lag AS INTEGER) AS maximum_lag, geography, column_name, lag_weeks AS best_lag, coalesce(abs(correlation), 0) AS best_abs_correlation
+   FROM ranges JOIN q ON lag_weeks <= maximum_lag
+   QUALIFY row_number() OVER (PARTITION BY maximum_lag, geography, column_name ORDER BY coalesce(abs(correlation), 0) DESC, lag_weeks) = 1)"""
+
+
+def _lag_table(spark, sf):
+    rows = _series_with_weather(spark, sf)
+    return rows, cut_lineage(doubles(M.lag_corr(rows, G, "total_cases", _LAGCOLS, max(_LAG_RANGES))))
 
 
 @query("lag_corr", f"WITH {_LAGVIEW} SELECT geography, column_name, lag_weeks, correlation, pairs FROM q", ("v_weather", "v_weekly"))
 def _(spark, sf):
-    return doubles(M.lag_corr(_series_with_weather(spark, sf), G, "total_cases", _LAGCOLS))
+    return _lag_table(spark, sf)[1]
 
 
 @query(
     "best_lag",
-    f"""WITH {_LAGVIEW} SELECT geography, column_name, lag_weeks AS best_lag, coalesce(abs(correlation), 0) AS best_abs_correlation
-FROM (SELECT *, row_number() OVER (PARTITION BY geography, column_name ORDER BY coalesce(abs(correlation), 0) DESC, lag_weeks) AS r FROM q)
-WHERE r = 1""",
+    f"WITH {_LAGVIEW} SELECT maximum_lag, geography, column_name, best_lag, best_abs_correlation FROM b",
     ("v_weather", "v_weekly"),
 )
 def _(spark, sf):
-    found = doubles(M.lag_corr(_series_with_weather(spark, sf), G, "total_cases", _LAGCOLS))
-    return M.best_lag(found, G)
+    """The best lag of each search range, all from one table of moments."""
+    _, found = _lag_table(spark, sf)
+    return J.union_parts([M.best_lag(found, G, maximum_lag=k).withColumn("maximum_lag", F.lit(k)) for k in _LAG_RANGES])
 
 
 @query(
     "selected_lag_features",
-    f"""WITH {_LAGVIEW}, b AS (SELECT geography, column_name, lag_weeks AS best_lag
-FROM (SELECT *, row_number() OVER (PARTITION BY geography, column_name ORDER BY coalesce(abs(correlation), 0) DESC, lag_weeks) AS r FROM q)
-WHERE r = 1), o AS (SELECT *, row_number() OVER ({_W}) AS ord FROM j)
+    f"""WITH {_LAGVIEW}, c AS (SELECT geography, column_name, best_lag FROM b WHERE maximum_lag = 12),
+ p AS (SELECT f.geography, f.ord + c.best_lag AS ord, column_name, f.x, avg(f.x) OVER (PARTITION BY f.geography, column_name ORDER BY f.ord
+   ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM fields f JOIN c USING (geography, column_name))
 SELECT t.geography, t.week_start_date,
- {', '.join(f"round((SELECT p.{c} FROM o p JOIN b ON b.geography = p.geography AND b.column_name = '{c}' WHERE p.geography = t.geography AND p.ord = t.ord - b.best_lag), 6) AS {c}_chosen_lag, round((SELECT avg(p.{c}) FROM o p JOIN b ON b.geography = p.geography AND b.column_name = '{c}' WHERE p.geography = t.geography AND p.ord BETWEEN t.ord - b.best_lag - 3 AND t.ord - b.best_lag), 6) AS {c}_mean_4" for c in _LAGCOLS)}
-FROM o t""",
+ {', '.join(f"round(max(CASE WHEN column_name = '{c}' THEN p.x END), 6) AS {c}_chosen_lag, round(max(CASE WHEN column_name = '{c}' THEN p.m END), 6) AS {c}_mean_4" for c in _LAGCOLS)}
+FROM j t LEFT JOIN p ON p.geography = t.geography AND p.ord = t.ord GROUP BY ALL""",
     ("v_weather", "v_weekly"),
 )
 def _(spark, sf):
-    rows = _series_with_weather(spark, sf)
-    chosen = M.best_lag(doubles(M.lag_corr(rows, G, "total_cases", _LAGCOLS)), G)
-    out = X.selected_lag_features(rows.select(*KEY, *_LAGCOLS), G, _LAGCOLS, chosen)
+    rows, found = _lag_table(spark, sf)
+    out = X.selected_lag_features(rows.select(*KEY, *_LAGCOLS), G, _LAGCOLS, M.best_lag(found, G, maximum_lag=12))
     return doubles(out.select(*KEY, *[f"{c}_{s}" for c in _LAGCOLS for s in ("chosen_lag", "mean_4")]))
 
 
@@ -590,7 +597,7 @@ def _(spark, sf):
     return doubles(M.pairwise_corr(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"]))
 
 
-_issue = ["rain_sum", "longest_dry_spell_days", "temperature_2m_mean"]
+_issue = list(S.WEEKLY_WEATHER)
 
 
 def _override_sql(c):

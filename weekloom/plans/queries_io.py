@@ -241,6 +241,26 @@ def _(spark, sf):
     return doubles(sinks.read_ledger(spark, path).select(*LEDGER_ROW, "predicted_cases_p50"))
 
 
+@query(
+    "sink_vintage",
+    """
+SELECT geography, count(*) AS row_count, CAST(sum(total_cases) AS BIGINT) AS total_cases, TRUE AS named_by_content FROM v_old GROUP BY geography
+UNION ALL SELECT geography, count(*), CAST(sum(total_cases) AS BIGINT), TRUE FROM v_weekly GROUP BY geography""",
+    ("v_weekly", "v_old"),
+)
+def _(spark, sf):
+    """Two contents written three times are two vintages; ``named_by_content``: the identity is that of the rows read back."""
+    path = working_path(spark, "vintages")
+    old, new = cut_lineage(_case_table(spark, sf, V.old_weekly(spark, sf))), cut_lineage(_case_table(spark, sf))
+    for table in (old, new, new):
+        sinks.write_case_vintage(table, path)
+    stored = spark.read.parquet(path)
+    found = stored.groupBy(*G, "vintage_id").agg(F.count(F.lit(1)).alias("row_count"), F.sum("total_cases").alias("total_cases"))
+    named = sinks.current_vintages(old, G).unionByName(sinks.current_vintages(new, G)).withColumn("_named", F.lit(True))
+    both = found.join(named, [*G, "vintage_id"], "left")
+    return both.select(*G, "row_count", "total_cases", F.coalesce("_named", F.lit(False)).alias("named_by_content"))
+
+
 @query(
     "sink_validation_rows",
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.config import cut_lineage
+from weekloom.functions import calendar as C
 from weekloom.operators import ledger as L
 from weekloom.operators import metrics as M
 from weekloom.operators import policy as P
@@ -315,7 +316,8 @@ WITH n AS ({_route_sql('year >= 2000')}), o AS ({_route_sql("year < 2000 AND geo
  WHERE a.route <> 'weather_only' AND a.geography IN (SELECT geography FROM om))"""
 
 
-def _promotion(spark, sf):
+def _contest(spark, sf):
+    """Candidate models, champion slots and the rules between them."""
     late, early = F.col("year") >= 2000, (F.col("year") < 2000) & (F.col("geography") != "5-LOW")
     f = cut_lineage(V.forecasts(spark, sf))  # read by both reports and both model lists
     model = lambda rows: rows.groupBy(*G).agg(
@@ -323,9 +325,12 @@ def _promotion(spark, sf):
         F.lit(5).alias("model_schema_version"),
         F.lit(6).alias("case_forecast_schema_version"),
     )
-    return P.promotion_rules(
-        route_metrics(f, late), route_metrics(f, early), model(f), model(f.filter(early)), G
-    )
+    candidates, slots = cut_lineage(model(f)), cut_lineage(model(f.filter(early)))
+    return candidates, slots, P.promotion_rules(route_metrics(f, late), route_metrics(f, early), candidates, slots, G)
+
+
+def _promotion(spark, sf):
+    return _contest(spark, sf)[2]
 
 
 @query("promotion_rules", f"{_RULES} SELECT * FROM rules", ("v_forecast",))
@@ -343,6 +348,23 @@ def _(spark, sf):
     return P.promotion_decision(_promotion(spark, sf), G).drop("reasons")
 
 
+@query(
+    "train_candidate",
+    f"""{_RULES}, d AS (SELECT geography, bool_and(passed) AS promote FROM rules GROUP BY ALL)
+SELECT d.geography, d.promote, CASE WHEN d.promote THEN nm.c ELSE om.c END AS training_data_cutoff,
+ CASE WHEN d.promote THEN 'm' || CAST(isoyear(nm.c) AS VARCHAR) ELSE 'm' || CAST(isoyear(om.c) AS VARCHAR) END AS model_version
+FROM d LEFT JOIN nm USING (geography) LEFT JOIN om USING (geography) WHERE d.promote OR om.c IS NOT NULL""",
+    ("v_forecast",),
+)
+def _(spark, sf):
+    """The slots after a candidate of all series met the champions: each series is promoted, or keeps its model, alone."""
+    candidates, slots, rules = _contest(spark, sf)
+    decision = cut_lineage(P.promotion_decision(rules, G))
+    merged = P.merge_slots(slots, candidates, decision, G)
+    version = F.concat(F.lit("m"), C.iso_year("training_data_cutoff").cast("string")).alias("model_version")
+    return merged.select(*G, "training_data_cutoff", version).join(decision.select(*G, "promote"), G)
+
+
 def model_history(spark, sf):
     """One model version per series and year, older ones under an older schema."""
     return (
@@ -461,7 +483,7 @@ def _canonical_sql(columns):
 
 
 @query(
-    "sink_vintage",
+    "vintage_hash",
     f"""
 SELECT geography, n AS row_count, 'case-' || substr(sha256(CAST(n AS VARCHAR) || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3), 1, 16) AS vintage_id
 FROM (SELECT geography, count(*) AS n, """

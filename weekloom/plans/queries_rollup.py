@@ -169,15 +169,14 @@ def _(spark, sf):
 
 @query(
     "missing_flags",
-    """
-SELECT geography, weather_point, date, CAST(soil_moisture_0_to_7cm_mean IS NULL AS INTEGER) AS soil_moisture_0_to_7cm_mean_missing,
- CAST(rain_sum IS NULL AS INTEGER) AS rain_sum_missing FROM v_point""",
+    "SELECT geography, weather_point, date, "
+    + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in S.DAILY_WEATHER)
+    + " FROM v_point",
     ("v_point",),
 )
 def _(spark, sf):
-    cols = ["soil_moisture_0_to_7cm_mean", "rain_sum"]
-    flagged = X.missing_flags(V.points(spark, sf), cols)
-    return flagged.select(*G, "weather_point", "date", *[f"{c}_missing" for c in cols])
+    flagged = X.missing_flags(V.points(spark, sf), S.DAILY_WEATHER)
+    return flagged.select(*G, "weather_point", "date", *[f"{c}_missing" for c in S.DAILY_WEATHER])
 
 
 @query(
@@ -235,10 +234,8 @@ LEFT JOIN {_CASES} c ON c.geography = b.geography AND c.week_start_date = b.week
 GROUP BY ALL""",
 )
 def _(spark, sf):
-    counted = U.count_case_rows(case_rows(spark, sf), ["departamento", "distrito", "tipo_dx", "ano", "semana"])
-    kept = U.category_filter(counted, PLACES, "tipo_dx")
-    rows = kept.select(K.fold_text("distrito").alias("geography"), "ano", "semana", "case_rows")
-    return U.case_level_weekly(rows, G, weight="case_rows").select(*G, WEEK, "total_cases", "complete_week")
+    found = U.case_rows_weekly(case_rows(spark, sf), PLACES, "tipo_dx", "distrito")
+    return found.select(*G, WEEK, "total_cases", "complete_week")
 
 
 @query(

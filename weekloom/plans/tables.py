@@ -346,6 +346,7 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
         return sql.strip()
     body = sql.strip()
     head = ",\n".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n]})" for n in order)
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"

@@ -100,12 +100,16 @@ def write_vintages(rows: DataFrame, path: str, identity: str = "vintage_id") ->
     rows.join(known, identity, "left_anti").write.mode("append").parquet(path)
 
 
+def current_vintages(cases: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vintage_id): the content identity of each series' table as it is; the retrieval time is no content."""
+    hashed = [c for c in S.CASE_COLUMNS if c != "retrieved_at_utc"]
+    return L.content_hash(conform(cases, S.CASE_TABLE), keys, hashed).select(*keys, "vintage_id")
+
+
 def write_case_vintage(cases: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """Store each series' table under its content identity, once."""
     keys = keys or ["geography"]
-    hashed = [c for c in S.CASE_COLUMNS if c != "retrieved_at_utc"]
-    identity = L.content_hash(conform(cases, S.CASE_TABLE), keys, hashed)
-    write_vintages(conform(cases, S.CASE_TABLE).join(identity.select(*keys, "vintage_id"), keys), path)
+    write_vintages(conform(cases, S.CASE_TABLE).join(current_vintages(cases, keys), keys), path)
 
 
 def write_validation_rows(parts: list[DataFrame], path: str) -> None:
