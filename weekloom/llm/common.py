@@ -39,18 +39,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def arrow_map(
-    make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch]], *args
+    make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch]], *args, rows_at_once: int | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: ``make(*args)`` runs once a task and gives the function of a batch.
 
-    Batches are handled ``ROWS_AT_ONCE`` rows at a time, which bounds what a task holds as objects.
+    Batches are handled ``rows_at_once`` (``ROWS_AT_ONCE``) rows at a time, which bounds what a task holds as objects.
     """
+    step = rows_at_once or ROWS_AT_ONCE
 
     def run(batches):
         of_batch = make(*args)
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
-                out = of_batch(batch.slice(lo, ROWS_AT_ONCE))
+            for lo in range(0, batch.num_rows, step):
+                out = of_batch(batch.slice(lo, step))
                 if out.num_rows:
                     yield out
         del of_batch

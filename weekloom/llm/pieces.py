@@ -8,8 +8,8 @@ tree over the chunks, which fixes the states at all cuts; every chunk is then tr
 
 For unigram vocabularies weights are the pieces' scores. For BPE vocabularies a sequence of pieces
 is the encoding exactly if every two neighbours are the encoding of their joined text, so paths
-weigh nothing and neighbours that are not are no path. Documents up to ``CHUNK`` characters go
-through the library as a whole.
+weigh nothing and neighbours that are not are no path. Between clean cuts, where a mark follows a letter, units are encoded by
+themselves, each distinct one once; documents up to ``CHUNK`` characters are units throughout.
 
 The vocabularies in use leave texts as they are but for a space mark before the text and in place
 of each space (identity normalization), and no piece goes on with a mark after a letter.
@@ -20,26 +20,30 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import arrow_map, id_text, partitions, stored
 
 MARK = "▁"
-CHUNK = 32768
+CHUNK = 16384
 FAN = 64
 CLEAN = (0, "")  # a cut between words: nothing reaches over it, and neighbours do not matter
 CACHE_ENTRIES = 200_000
+ROWS = 4096  # texts whose distinct units are encoded together; each of up to CHUNK characters
 
 
 class Lattice:
     """Pieces with weights, and which pieces may be neighbours."""
 
-    def __init__(self, weights: dict[str, float], joined: Callable[[str, str], bool]):
+    def __init__(self, weights: dict[str, float], joined: Callable[[str, str], bool], free: bool = False):
         self.weights, self.joined = weights, joined
+        self.free = free  # paths weigh nothing
         self.width = max(map(len, weights), default=1)
         self.words: dict[str, tuple[float, list[str]]] = {}
 
@@ -136,7 +140,7 @@ class Chunk:
                 out += [(state, above, w) for above, (w, _, _) in self._exits(ends).items()]
             return out
         first, last = self.cuts[0], self.cuts[-1]
-        between = sum(lat.word(word)[0] for word in self.middle())
+        between = 0.0 if lat.free else sum(lat.word(word)[0] for word in self.middle())
         tail = self._exits(lat.forward(self.text, last, "", self.hi))
         for state in self.entries():
             ends = lat.forward(self.text[:first], self.lo + state[0], state[1], first)
@@ -147,20 +151,22 @@ class Chunk:
 
     def trace(self, below: tuple[int, str], above: tuple[int, str]) -> list[str]:
         """Pieces that start in this chunk on the best path between two states."""
+        head, _, tail = self.ends_of(below, above)
+        return head + [p for word in self.middle() for p in self.lattice.word(word)[1]] + tail
+
+    def ends_of(self, below: tuple[int, str], above: tuple[int, str]) -> tuple[list[str], tuple[int, int], list[str]]:
+        """The best path between two states: pieces up to the first clean cut, where whole units stand, pieces behind them."""
         lat, start = self.lattice, self.lo + below[0]
         if not self.cuts:
             ends = lat.forward(self.text, start, below[1], self.hi)
             _, at, piece = self._exits(ends)[above]
-            return lat.back(ends, at, start, piece)
+            return lat.back(ends, at, start, piece), (0, 0), []
         first, last = self.cuts[0], self.cuts[-1]
         head = lat.forward(self.text[:first], start, below[1], first)
         best = max(head[first], key=lambda p: (head[first][p][0], p))
-        out = lat.back(head, first, start, best)
-        for word in self.middle():
-            out += lat.word(word)[1]
         tail = lat.forward(self.text, last, "", self.hi)
         _, at, piece = self._exits(tail)[above]
-        return out + lat.back(tail, at, last, piece)
+        return lat.back(head, first, start, best), (first, last), lat.back(tail, at, last, piece)
 
 
 def combine(matrices: list[list[tuple]]) -> list[tuple]:
@@ -216,7 +222,7 @@ def bpe_lattice(rank: dict[str, float]) -> Lattice:
             known[a, b] = bpe(a + b, rank) == ([a, b] if a else [b])
         return known[a, b]
 
-    return Lattice(dict.fromkeys(rank, 0.0), joined)
+    return Lattice(dict.fromkeys(rank, 0.0), joined, True)
 
 
 def unigram_lattice(scores: dict[str, float]) -> Lattice:
@@ -224,7 +230,11 @@ def unigram_lattice(scores: dict[str, float]) -> Lattice:
 
 
 class Vocabulary:
-    """Ids and pieces of a model file, which lies at the same place on every machine."""
+    """Ids and pieces of a model file, which lies at the same place on every machine.
+
+    No piece goes on with a mark after a letter, so texts are encoded unit by unit: marks and the letters up to the next
+    mark.
+    """
 
     def __init__(self, path: str, kind: str):
         import sentencepiece
@@ -234,26 +244,73 @@ class Vocabulary:
         plain = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) or self.model.is_byte(i))]
         self.ids = {self.model.id_to_piece(i): i for i in plain}
         self.byte_ids = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte_ids.items()}
-        self.texts = {i: p for p, i in self.ids.items()}
+        raw = {i: bytes([b]) for b, i in self.byte_ids.items()} | {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()}
+        self.raw = pa.array([raw.get(i, b"") for i in range(n)], pa.large_binary())
         scores = {p: self.model.get_score(i) for p, i in self.ids.items()}
         self.lattice = bpe_lattice(scores) if kind == "bpe" else unigram_lattice(scores)
 
     def numbers(self, pieces: list[str]) -> list[int]:
+        """Ids of pieces; a character that is no piece becomes its bytes, or unknown where the vocabulary has no bytes."""
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
-            if i is None:
-                out += [self.byte_ids[b] for b in p.encode()]
-            else:
+            if i is not None:
                 out.append(i)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.model.unk_id())
         return out
 
-    def decode(self, ids: list[int], first: bool) -> str:
-        """Text of a chunk's ids; ``first``: the mark before the text goes."""
-        raw = b"".join(bytes([self.bytes[i]]) if i in self.bytes else self.texts.get(i, "").encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if first and text[:1] == " " else text
+    def encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units (spaces for marks), one after the other, and how many each has."""
+        # The library puts a mark before the text; a unit of marks alone it would take for an empty text.
+        found = self.model.encode(pc.utf8_slice_codeunits(units, 1).to_pylist(), num_threads=1)
+        for i in np.flatnonzero(pc.equal(pc.utf8_ltrim(units, " "), "").to_numpy(zero_copy_only=False)):
+            found[i] = self.numbers(self.lattice.word(MARK * len(units[int(i)].as_py()))[1])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def encode(self, texts: list[bytes]) -> pa.ListArray:
+        """Ids of every text. Distinct units are looked up once a call; their ids are laid out by place."""
+        marked = [b" " + t.replace(MARK.encode(), b" ") if t else t for t in texts]
+        raw = np.frombuffer(b"".join(marked), np.uint8)
+        ends = np.cumsum([len(t) for t in marked], dtype=np.int64)
+        space = raw == ord(" ")
+        head = np.zeros(len(raw) + 1, bool)
+        head[0], head[ends] = True, True
+        before = np.concatenate((np.zeros(1, bool), space))[:-1]
+        starts = np.flatnonzero(head[:-1] | (space & ~before))
+        offsets = pa.array(np.append(starts, len(raw)), pa.int64())
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(raw)]).dictionary_encode()
+        flat, sizes = self.encoded(coded.dictionary.cast(pa.large_string()))
+        unit = coded.indices.to_numpy()
+        width = sizes[unit] if len(unit) else np.zeros(0, np.int64)
+        first = np.cumsum(sizes) - sizes
+        after = np.cumsum(width)
+        at = np.arange(int(after[-1]) if len(after) else 0) + np.repeat((first[unit] if len(unit) else unit) - (after - width), width)
+        per_text = np.zeros(len(texts), np.int64)
+        np.add.at(per_text, np.searchsorted(ends, starts, "right"), width)
+        bounds = np.concatenate(([0], np.cumsum(per_text)))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[at], pa.int32()))
+
+    def decode(self, ids: pa.ListArray, first: list[bool]) -> pa.Array:
+        """Texts of lists of ids; where ``first``, the mark before the text goes."""
+        values = ids.flatten()
+        raw = self.raw.take(values)
+        _, at, data = raw.buffers()
+        at = np.frombuffer(at, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        data = memoryview(data if data is not None else b"")
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        texts = []
+        for lo, hi, is_first in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), first, strict=True):
+            text = bytes(data[lo:hi])
+            texts.append(text[1:] if is_first and text[:1] == b" " else text)
+        made = pa.array(texts, pa.binary())
+        try:
+            return made.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that are not of one text
+            return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
 
 
 def _slicer(width: int, chunk: int):
@@ -348,19 +405,26 @@ def _tracer(path: str, kind: str):
         ids = []
         for before, body, after, ends in zip(*[batch.column(c).to_pylist() for c in ("before", "body", "after", "ends")], strict=True):
             below, above = json.loads(ends)
-            ids.append(words.numbers(Chunk(words.lattice, before, body, after).trace(tuple(below), tuple(above))))
+            chunk = Chunk(words.lattice, before, body, after)
+            head, (lo, hi), tail = chunk.ends_of(tuple(below), tuple(above))
+            # The units start with a mark, which the vocabulary puts there itself.
+            middle = words.encode([chunk.text[lo + 1 : hi].replace(MARK, " ").encode("utf-8", "surrogatepass")]) if hi > lo + 1 else None
+            if hi == lo + 1:
+                head += [MARK]
+            own = [np.array(words.numbers(head), np.int32), np.array(words.numbers(tail), np.int32)]
+            ids.append(np.concatenate([own[0], middle.flatten().to_numpy(), own[1]]) if middle is not None else np.concatenate(own))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "chunk", "ids"])
 
     return of_batch
 
 
 def _whole(path: str, kind: str):
-    model = Vocabulary(path, kind).model
+    words = Vocabulary(path, kind)
 
     def of_batch(batch):
-        ids = model.encode(batch.column(1).to_pylist(), num_threads=1)
+        ids = words.encode([t.as_buffer().to_pybytes() for t in batch.column(1)])
         zero = pa.array(np.zeros(batch.num_rows), pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0), zero, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "chunk", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), zero, ids], ["doc_id", "chunk", "ids"])
 
     return of_batch
 
@@ -378,7 +442,7 @@ def encode(
     rows = id_text(docs, id_col, text_col)
     id_kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {id_kind}, chunk int, ids array<int>"
-    short = rows.where(F.length("text") <= chunk).mapInArrow(arrow_map(_whole, path, kind), schema)
+    short = rows.where(F.length("text") <= chunk).mapInArrow(arrow_map(_whole, path, kind, rows_at_once=ROWS), schema)
     giant = rows.where(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id())
     slices = giant.mapInArrow(_slicer(width, chunk), f"doc_id {id_kind}, key long, chunk int, before string, body string, after string")
     slices = stored(slices.repartition(partitions(spark), "key", "chunk"), "slices")
@@ -395,13 +459,14 @@ def _decoder(path: str, kind: str):
     words = Vocabulary(path, kind)
 
     def of_batch(batch):
-        chunks, ids = batch.column("chunk").to_pylist(), batch.column("ids").to_pylist()
-        texts = [words.decode(i, c == 0) for c, i in zip(chunks, ids, strict=True)]
-        crc = [zlib.crc32(np.array(i, dtype="<u4").tobytes()) for i in ids]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("chunk"), pa.array(list(map(len, ids)), pa.int64()), pa.array(crc, pa.int64()), pa.array(texts, pa.string())],
-            ["doc_id", "chunk", "n_tokens", "ids_crc32", "text"],
-        )
+        ids = batch.column("ids")
+        texts = words.decode(ids, [c == 0 for c in batch.column("chunk").to_pylist()])
+        data = ids.flatten().to_numpy().astype("<u4", copy=False)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
+        crc = [zlib.crc32(data[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        columns = [batch.column("doc_id"), batch.column("chunk"), pa.array(sizes), pa.array(crc, pa.int64()), texts]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "n_tokens", "ids_crc32", "text"])
 
     return of_batch
 
