@@ -48,9 +48,11 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest id stays."""
     docs = docs.select(*COLUMNS)
-    found = jaccard.similarity_components(docs)
+    found = jaccard.similarity_components(docs, links=False)
     gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    # Rows without an id are no one's copies; they would all meet in one task of the join.
+    named = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,28 +11,32 @@ puts on signatures, one shared signature always stays. No link is lost.
 Sets that share a signature form groups. Equal sets are one class from the start. In a group, sets
 first meet leaders only; groups that then lie in one component are done. What is left meets across
 components in blocks, where a parity sketch (a lower bound of the difference) drops pairs that
-cannot link. All pairs that pass are decided on the whole sets.
+cannot link; a pair that stands in several groups comes out of the smallest of them only. All pairs
+that pass are decided on the whole sets.
 
-That finds the components, not every link inside them. All links lie inside components, so the
-links of each class are then counted there: block by block, every pair on the whole sets.
+That finds the components, not every link inside them. All links lie inside components; where they
+are asked for, those of each class are counted there: block by block, every pair on the whole sets.
 """
 
 from __future__ import annotations
 
-import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import arrow_map, id_text, stored, words_of
+from weekloom.llm.collocations import Polynomials
+from weekloom.llm.common import SPACES, arrow_map, id_text, stored
 from weekloom.llm.components import components
+from weekloom.llm.wordarrays import SPACE, WordArrays
 
 SHINGLE = 5
 SKETCH_BITS = 512
 BLOCK = 1024
 BLOCK_ELEMENTS = 1 << 20
+BEFORE = 8  # groups of a set before one in which its pairs are looked for
 SLACK = 0.25
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -45,26 +49,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 300_000:
-            self[word] = h
-        return h
+#: A-Z becomes a-z; the bytes that separate words become spaces.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[0x41:0x5B] += 32
+_BYTES[list(SPACES)] = SPACE
 
 
-def shingles(text: str, hashes: dict) -> np.ndarray:
-    """Distinct 64-bit shingles in order; a text of fewer than five words is one shingle, without words none."""
-    words = words_of(text)
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
-    width = min(n, SHINGLE)
-    key = np.full(n - width + 1, width, dtype=np.uint64)
-    for i in range(width):  # a polynomial of well-mixed word hashes, mixed once at the end
-        key = (key + h[i : n - width + 1 + i]) * _P
-    return np.unique(mix(key))
+_of_word = Polynomials(0x9E3779B97F4A7C15 | 1)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Distinct 64-bit shingles of every text in order; a text of fewer than five words is one shingle, without words none."""
+    words = WordArrays(texts, _BYTES, None)
+    h = np.zeros(0, np.uint64)
+    if len(words.dictionary):
+        _, at, data = words.dictionary.buffers()
+        at = np.frombuffer(at, np.int32)[: len(words.dictionary) + 1]
+        total, inverse = _of_word.prefix(np.frombuffer(data, np.uint8)[: at[-1]].astype(np.uint64) + np.uint64(1))
+        h = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))[words.ids]
+
+    def keys(h: np.ndarray, width: int) -> np.ndarray:
+        key = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for i in range(width):  # a polynomial of well-mixed word hashes, mixed once at the end
+            key = (key + h[i : i + len(key)]) * _P
+        return mix(key)
+
+    whole = keys(h, SHINGLE)
+    out = []
+    for lo, n in zip(words.first.tolist(), words.size.tolist(), strict=True):
+        out.append(np.unique(whole[lo : lo + n - SHINGLE + 1] if n >= SHINGLE else keys(h[lo : lo + n], n)) if n else np.empty(0, np.uint64))
+    return out
+
+
+def _bytes_of(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() for t in column]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -142,10 +160,8 @@ def _partitioned(s: np.ndarray, r: int, top: int, k: int) -> np.ndarray:
 
 
 def _describer():
-    hashes = _WordHashes()
-
     def of_batch(batch):
-        sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+        sets = shingle_sets(_bytes_of(batch.column(1)))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -161,13 +177,11 @@ def _describer():
 
 def _signer():
     """Signatures of the sets that this task has not met yet."""
-    hashes = _WordHashes()
     seen: set[int] = set()
 
     def of_batch(batch):
         found, owners, counts = [], [], []
-        for text in batch.column(0).to_pylist():
-            s = shingles(text, hashes)
+        for s in shingle_sets(_bytes_of(batch.column(0))):
             if len(s) < SHINGLE - 1 or (ident := set_id(s)) in seen:
                 continue
             if len(seen) < 2_000_000:
@@ -185,11 +199,12 @@ def _signer():
 
 
 def _shingler():
-    hashes = _WordHashes()
-
     def of_batch(batch):
-        sets = [shingles(t, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["set", "elements"])
+        sets = shingle_sets(_bytes_of(batch.column(1)))
+        # Rows that share an id may differ in text: only the text of the class counts.
+        own = [i for i, (s, ident) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if set_id(s) == ident]
+        kept = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), kept], ["set", "elements"])
 
     return of_batch
 
@@ -226,16 +241,30 @@ def _leaders(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of different components that may link; blocks i and j of a group, or one block with itself."""
+    """Pairs of different components that may link; blocks i and j of a group, or one block with itself.
+
+    A pair that also shares one of the last groups ``before`` this one is left to those: of all groups that hold a pair, the
+    first always brings it out.
+    """
     ident, n, bits = _sketches(table)
     label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
+    lists = table.column("before").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    before = -1 - np.arange(len(ident) * BEFORE).reshape(-1, BEFORE)  # in no other row
+    owner = np.repeat(np.arange(len(ident)), size)
+    before[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
     j = table.column("j")[0].as_py()
     left, right = np.flatnonzero(block != j), np.flatnonzero(block == j)
-    if not len(left):
+    itself = not len(left)
+    if itself:
         left = right
     a, b = [], []
     for x in left:
         ok = right[(label[right] != label[x]) & may_link(n[right], bits[right], n[x], bits[x])]
+        if itself:
+            ok = ok[ok > x]
+        if len(ok):
+            ok = ok[~(before[ok][:, :, None] == before[x]).any((1, 2))]
         a.append(np.full(len(ok), ident[x]))
         b.append(ident[ok])
     return _pairs(a, b)
@@ -316,13 +345,39 @@ def decide(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return common.where(100 * F.col("c") >= 80 * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that links reach), n_links (of its class to other classes, all of them).
+@dataclass
+class Joined:
+    """Tables of a similarity join: every row with its set, classes of equal sets, their links' components, whole sets."""
+
+    rows: DataFrame  # doc_id, n_shingles, set
+    classes: DataFrame  # set, rep, n_shingles
+    labels: DataFrame  # rep, label
+    linked: DataFrame  # set, label, n_shingles of classes with a link
+    elements: DataFrame  # set, elements
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id that links reach); with ``links`` also n_links.
 
     A null or empty text, or one without words, has no shingle and links with nothing. Rows with
-    equal sets are one class. A row with a null id takes the component of a named row with the same set,
-    or none, and is no one's partner. Columns other than the two named are not read.
+    equal sets are one class. Rows that repeat an id with different texts are classes of their own, each with its links. A
+    row with a null id takes the component of a named row with the same set, or none, and is no one's partner. Columns
+    other than the two named are not read. n_links: how many classes of other texts the row's class links with, all of
+    them; every pair inside a component is decided for that, so that work grows with the square of a component.
     """
+    found = similarity_join(docs, id_col, text_col)
+    known = found.classes.select("set", "rep").join(found.labels, "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
+    both = found.rows.join(known, "set", "left")
+    own = F.col("n_shingles") > 0
+    columns = ["doc_id", "n_shingles", F.when(own, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        both = both.join(link_counts(found.linked, found.elements), "set", "left")
+        columns.append(F.coalesce(F.when(own, F.col("n_links")), F.lit(0).cast("long")).alias("n_links"))
+    return both.select(*columns)
+
+
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Joined:
+    """The links between classes of equal sets, as components."""
     rows = id_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
     described = stored(rows.mapInArrow(arrow_map(_describer), f"doc_id {kind}, n_shingles long, set long, sketch binary"), "sets")
@@ -333,7 +388,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # Sketches and whole sets of the classes that are in any group, from one document of each.
     met = stored(groups.select("set").distinct().join(classes, "set"), "met")
-    sketches = named.select("doc_id", "sketch").join(met.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["set"])
+    sketches = named.select("doc_id", "set", "sketch").join(met.withColumnRenamed("rep", "doc_id"), ["doc_id", "set"]).dropDuplicates(["set"])
     sketches = stored(sketches.select("set", "n_shingles", "sketch"), "sketches")
     # Texts meet their classes in one exchange, however few there are.
     texts = rows.join(met.select(F.col("rep").alias("doc_id"), "set").hint("merge"), "doc_id").select("set", "text")
@@ -354,9 +409,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     placed = stored(placed, "placed")
     mixed = placed.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
+    earlier = Window.partitionBy("set").orderBy("g").rowsBetween(-BEFORE, -1)
     # Each block meets itself and every other block of its group once.
     dealt = (
         placed.join(mixed, "g")
+        .withColumn("before", F.transform(F.collect_list("g").over(earlier), lambda x: F.shiftrightunsigned(x, 1)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
@@ -371,15 +428,4 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = components(edges).withColumnRenamed("node", "rep")
     ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set"))).distinct()
     linked = stored(ends.join(classes, "set").join(labels, "rep").select("set", "label", "n_shingles"), "linked")
-    known = (
-        classes.select("set", "rep")
-        .join(labels, "rep", "left")
-        .join(link_counts(linked, elements), "set", "left")
-        .select("set", F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    )
-    return described.select("doc_id", "n_shingles", "set").join(known, "set", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_links")), F.lit(0).cast("long")).alias("n_links"),
-    )
+    return Joined(described.select("doc_id", "n_shingles", "set"), classes, labels, linked, elements)

@@ -63,7 +63,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), links=False)
 
 
 @query

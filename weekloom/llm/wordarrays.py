@@ -11,14 +11,15 @@ SPACE, BREAK = ord(" "), ord(".")
 class WordArrays:
     """Words of some texts, numbered in ``dictionary``.
 
-    ``table`` maps every byte: to ``SPACE`` where it separates words, to ``BREAK`` where it also ends a piece.
-    ``text`` and ``piece`` tell where each word stands (pieces end with texts), ``first`` the first word of a text.
+    ``table`` maps every byte: to ``SPACE`` where it separates words, to ``ends_piece`` where it also ends a piece (None:
+    pieces are texts). ``text`` and ``piece`` tell where each word stands (pieces end with texts), ``first`` the first word of a text.
     """
 
-    def __init__(self, texts: list[bytes], table: np.ndarray):
+    def __init__(self, texts: list[bytes], table: np.ndarray, ends_piece: int | None = BREAK):
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         raw = table[np.frombuffer(b"".join(texts), np.uint8)]
-        inside = (raw != SPACE) & (raw != BREAK)
+        gap = np.zeros(len(raw), bool) if ends_piece is None else raw == ends_piece
+        inside = (raw != SPACE) & ~gap
         head = np.zeros(len(raw) + 1, bool)
         head[0], head[ends] = True, True
         edge = np.zeros(1, bool)
@@ -30,7 +31,7 @@ class WordArrays:
         coded = pa.Array.from_buffers(pa.binary(), len(start), packed).dictionary_encode()
         self.ids, self.dictionary = coded.indices.to_numpy(), coded.dictionary
         self.text = np.searchsorted(ends, start, "right")
-        self.piece = np.cumsum(raw == BREAK)[start] + self.text
+        self.piece = np.cumsum(gap)[start] + self.text
         self.first = np.searchsorted(self.text, np.arange(len(texts)))
         self.size = np.bincount(self.text, minlength=len(texts))
 
