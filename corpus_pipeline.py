@@ -57,7 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 tokens."""
-    return packing.best_fit_packing(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
+    added = packing.added_tokens(vocabulary("byte_bpe_50k.json"))
+    return packing.best_fit_packing(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern(), added=added)
 
 
 STAGES = [

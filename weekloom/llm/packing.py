@@ -11,6 +11,7 @@ length that a third of all pieces share is ranked by many tasks.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
@@ -45,8 +46,17 @@ class Ids(dict):
         return packed
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Text to packed token ids. The ranks are the byte-level vocabulary of the tokenizer's own file."""
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings that a tokenizer's file names as tokens of their own, with their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:  # of the installed tokenizers, on every machine
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """Text to packed token ids. The ranks are the byte-level vocabulary of the tokenizer's own file.
+
+    ``added`` strings are cut out first, the longest where several begin, and stand for one id each.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:  # a file of the installed tokenizers, on every machine
@@ -54,12 +64,22 @@ def encoder(ranks_path: str, pattern: str):
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     ids = Ids(own.encode_ordinary)
 
-    def encode(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if _UNSURE.search(text):
             found = own.encode_ordinary(text)
             return struct.pack(f"<{len(found)}I", *found)
         return b"".join(map(ids.__getitem__, _SPLIT.findall(text)))
 
+    if not added:
+        return plain
+    apart = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> bytes:
+        parts = apart.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return b"".join(struct.pack("<I", added[x]) if i % 2 else plain(x) for i, x in enumerate(parts))
+
     return encode
 
 
@@ -72,8 +92,8 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
-def _cutter(ranks_path: str, pattern: str, end_id: int, size: int):
-    encode = encoder(ranks_path, pattern)
+def _cutter(ranks_path: str, pattern: str, end_id: int, size: int, added: dict[str, int] | None):
+    encode = encoder(ranks_path, pattern, added)
     end = struct.pack("<I", end_id)
 
     def of_batch(batch):
@@ -94,12 +114,13 @@ def _cutter(ranks_path: str, pattern: str, end_id: int, size: int):
 
 
 def token_pieces(
-    docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    added: dict[str, int] | None = None,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids with ``end_id`` behind them."""
     rows = id_text(docs, id_col, text_col)
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(arrow_map(_cutter, ranks_path, pattern, end_id, size), schema)
+    return rows.mapInArrow(arrow_map(_cutter, ranks_path, pattern, end_id, size, added), schema)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -179,7 +200,7 @@ def slots(spark, planned) -> DataFrame:
 def rank_within_length(pieces: DataFrame, total: int, rows_per_bucket: int = 20_000, least: int = 64) -> DataFrame:
     """Add ``rank``: 0, 1, ... within each length, by salted buckets."""
     buckets = max(least, -(-total // rows_per_bucket))
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -204,7 +225,8 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
 
 
 def best_fit_packing(
-    docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    added: dict[str, int] | None = None,
+) -> DataFrame:
     """Tokenize every document, cut what is longer than ``size``, pack all pieces. A null text is empty."""
-    return pack(stored(token_pieces(docs, ranks_path, pattern, end_id, size, id_col, text_col), "pieces"), size)
+    return pack(stored(token_pieces(docs, ranks_path, pattern, end_id, size, id_col, text_col, added), "pieces"), size)

@@ -37,7 +37,9 @@ def split_pattern() -> str:
 
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
+    return packing.best_fit_packing(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern(), added=packing.added_tokens(vocabulary("byte_bpe_50k.json"))
+    )
 
 
 @query
