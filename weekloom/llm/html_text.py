@@ -335,18 +335,19 @@ def _span(cell: Node, name: str) -> int:
     return min(1000, max(1, int(value))) if re.fullmatch(r"[0-9]{1,4}", value) else 1
 
 
-def _cells(row: Node) -> list[Node]:
-    """Cells of a row; what stands beside them, as in elements nested too deep for a cell, counts as one if it shows."""
+def _cells(row: Node) -> list[tuple[Node, list[str]]]:
+    """Cells of a row with their lines, each rendered once; what stands beside cells counts as one if it shows."""
     out = []
     for c in row.children:
         if isinstance(c, str):
             if c.strip():
-                out.append(Node("td", {}, [c]))
+                cell = Node("td", {}, [c])
+                out.append((cell, _lines(cell)))
         elif visible(c):
-            if c.name in ("td", "th") and (IMPLIED not in c.attrs or any(_lines(c))):
-                out.append(c)
-            elif c.name not in ("td", "th") and any(_lines(Node("td", {}, [c]))):
-                out.append(Node("td", {}, [c]))
+            cell = c if c.name in ("td", "th") else Node("td", {}, [c])
+            lines = _lines(cell)
+            if any(lines) or cell is c and IMPLIED not in c.attrs:
+                out.append((cell, lines))
     return out
 
 
@@ -374,7 +375,7 @@ def _table(node: Node) -> list[str]:
         else:
             row: list[list[str]] = []
             cells = _cells(child)
-            for cell in cells:
+            for cell, lines in cells:
                 while held.get(len(row), 0):
                     held[len(row)] -= 1
                     row.append([])
@@ -382,9 +383,9 @@ def _table(node: Node) -> list[str]:
                 if (down := _span(cell, "rowspan") - 1) > 0:
                     for c in range(len(row), len(row) + span):
                         held[c] = down
-                row.append([x for x in _lines(cell) if x])
+                row.append([x for x in lines if x])
                 row += [[]] * (span - 1)
-            if cells and not rows and all(c.name == "th" for c in cells):
+            if cells and not rows and all(c.name == "th" for c, _ in cells):
                 heading = 0
             if any(row):
                 rows.append(row)
