@@ -90,6 +90,15 @@ def chunk_table(records: DataFrame, chunk_bytes: int = SEGMENT_BYTES, with_data:
     return records.select("record_id", "payload", *more).mapInArrow(_chunker(chunk_bytes, with_data), schema)
 
 
+#: Stands for a null id; ids have it percent-encoded.
+NO_ID = "~"
+
+
+def encoded_id(record_id: Column) -> Column:
+    """An id of any type as it stands in a record's name: no colon, bracket or blank in it."""
+    return F.url_encode(record_id.cast("string"))
+
+
 def roles(digests: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """record_id, digest, bytes, copies, name and, for revisits, refers_to (the name of their response).
 
@@ -106,7 +115,7 @@ def roles(digests: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("record_id") != F.col("holder.record_id"))
 
     def name(record_id: str, several: str) -> Column:
-        return F.concat(F.col(record_id).cast("string"), F.when(F.col(several), F.concat(F.lit(":"), "digest")).otherwise(""))
+        return F.concat(encoded_id(F.col(record_id)), F.when(F.col(several), F.concat(F.lit(":"), "digest")).otherwise(""))
 
     named = joined.select(
         "record_id", "digest", "bytes", name("record_id", "several").alias("name"),
@@ -190,7 +199,7 @@ def write_archives(
 
     # Payloads meet their role on the id, which few rows share: a group of copies stays spread.
     own = meet(said.where("_id IS NULL OR copies = 1"))
-    own = own.withColumn("name", F.coalesce("name", F.concat(F.lit("null:"), F.uuid())))  # nothing refers to these
+    own = own.withColumn("name", F.coalesce("name", F.concat(F.lit(f"{NO_ID}:"), F.uuid())))  # nothing refers to these
     repeated = said.where("_id IS NOT NULL AND copies > 1")
     if not repeated.isEmpty():  # each row has a name of its own, so segments of equal rows stay apart
         k = F.row_number().over(Window.partitionBy("record_id", "payload_digest").orderBy("url"))
@@ -267,7 +276,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
     number = head["WARC-Segment-Number"].cast("int")
 
     def ident(name: Column) -> Column:
-        return F.regexp_extract(name, r"^<urn:record:([^:>]*)", 1).try_cast(id_type)
+        found = F.regexp_extract(name, r"^<urn:record:([^:>]*)", 1)
+        return F.when(found != NO_ID, F.url_decode(found)).try_cast(id_type)
 
     def digest(name: Column) -> Column:
         return F.substring(name, 6, 32)
