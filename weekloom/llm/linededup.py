@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.config import remove, working_path
 from weekloom.llm.common import arrow_map, id_text, partitions, stored
 
 SALTS = 16
@@ -50,12 +51,13 @@ def _hasher(min_chars: int):
 
 
 class LineRuns:
-    """Runs of (h, n_docs, holder) in bucketed tables of the warehouse, by level."""
+    """Runs of (h, n_docs, holder) in bucketed tables by level; their files lie in the shared folder, not in the warehouse."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.buckets = partitions(spark)
         self.levels: dict[int, list[str]] = {}
+        self.paths: dict[str, str] = {}
 
     def runs(self) -> list[str]:
         return [name for names in self.levels.values() for name in names]
@@ -72,7 +74,9 @@ class LineRuns:
 
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        path = working_path(self.spark, name)
+        rows.repartition(self.buckets, "h").write.option("path", path).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.paths[name] = path
         self.levels.setdefault(level, []).append(name)
         full = self.levels[level]
         if len(full) >= self.fanout:
@@ -90,13 +94,24 @@ class LineRuns:
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
     def close(self) -> None:
         self._drop(self.runs())
         self.levels = {}
 
 
+SAMPLE = 1000
+
+
+def _cuts(lines: DataFrame, batches: int) -> list:
+    """Ids, of any type that has an order, that part the documents into about equal batches: from ``SAMPLE`` rows by hash."""
+    drawn = lines.select("doc_id").orderBy(F.xxhash64("h", "doc_id")).limit(SAMPLE).collect()
+    ids = sorted(r[0] for r in drawn)
+    return sorted({ids[len(ids) * i // batches] for i in range(1, batches)}) if ids else []
+
+
 def shared_line_hashes(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """One row per document that loses lines: doc_id and the hashes of the lines that go."""
     spark = docs.sparkSession
@@ -104,9 +119,7 @@ def shared_line_hashes(docs: DataFrame, min_chars: int, min_docs: int, batches:
     lines = docs.where("doc_id IS NOT NULL").mapInArrow(arrow_map(_hasher, min_chars), f"h binary, doc_id {kind}")
     lines = stored(lines.distinct(), "lines")
     # Cut points only set the size of the batches, not the result.
-    points = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(lines.approxQuantile("doc_id", points, 0.02))) if points else []
-    bounds = [None, *cuts, None]
+    bounds = [None, *_cuts(lines, batches), None]
     runs = LineRuns(spark, fanout)
     try:
         for low, high in reversed(list(zip(bounds, bounds[1:], strict=False))):
@@ -126,6 +139,13 @@ def shared_line_hashes(docs: DataFrame, min_chars: int, min_docs: int, batches:
         runs.close()
 
 
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows with the hashes of the lines that they lose. Rows without an id lose none and stay out of the join."""
+    # Texts always meet their lines in one exchange, however few documents lose any.
+    named = rows.where("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left")
+    return named.unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True).select(*rows.columns, "gone")
+
+
 def kept_lines(text: str, gone, min_chars: int) -> str:
     if not gone:
         return text
@@ -172,8 +192,7 @@ def line_dedup(
     rows = id_text(docs, id_col, text_col)
     gone = shared_line_hashes(rows, min_chars, min_docs, batches, fanout)
     kind = dict(rows.dtypes)["doc_id"]
-    # Texts always meet their lines in one exchange, however few documents lose any.
-    return rows.join(gone.hint("merge"), "doc_id", "left").mapInArrow(
+    return _with_gone(rows, gone).mapInArrow(
         arrow_map(_cutter, min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string"
     )
 
@@ -196,5 +215,5 @@ def deduplicated_documents(
 ) -> DataFrame:
     """The documents, all columns as they are, with the lines that go cut out of ``text``."""
     gone = shared_line_hashes(id_text(docs), min_chars, min_docs, batches, fanout)
-    joined = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, "gone")
+    joined = _with_gone(docs, gone).select(*docs.columns, "gone")
     return joined.mapInArrow(arrow_map(_text_cutter, min_chars), docs.schema)
