@@ -16,7 +16,9 @@ from weekloom.llm.common import id_text, partitions, stored
 LEAF_CHARS = 64
 #: A leaf ends behind a sentence mark and a space, or LEAF_CHARS characters behind the last cut.
 LEAF_CUT = rf"(?s)(?<=[.!?]\s)|(?<=\G.{{{LEAF_CHARS}}})"
-EMPTY_LEAF = "d41d8cd9"  # first digits of the MD5 of no bytes
+#: Digits of a leaf's MD5 that stand in a fingerprint: 48 bits; paragraphs, sections and roots use whole digests.
+LEAF_DIGITS = 12
+EMPTY_LEAF = "d41d8cd98f00"  # first digits of the MD5 of no bytes
 
 
 def leaf_tree(text: Column) -> Column:
@@ -35,16 +37,25 @@ def digest(parts: Column) -> Column:
 
 
 def with_tree(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
-    """Add root, section digests, paragraph digests by section, and the short digests of all leaves."""
+    """Add root, section digests, paragraph digests by section, the short digests of all leaves, and these as branches."""
     tree, paragraphs, sections = f"_{prefix}tree", f"{prefix}paragraphs", f"{prefix}sections"
+    short = lambda leaves: F.filter(F.transform(leaves, lambda x: F.substring(x, 1, LEAF_DIGITS)), lambda x: x != EMPTY_LEAF)
+    branch = lambda p, j, i: F.struct(p.alias("digest"), short(F.get(F.get(tree, i), j)).alias("leaves"))
     return (
         df.withColumn(tree, leaf_tree(text))
         .withColumn(paragraphs, F.transform(tree, lambda s: F.transform(s, digest)))
         .withColumn(sections, F.transform(paragraphs, digest))
         .withColumn(f"{prefix}root", F.sha2(F.concat_ws("", sections).cast("binary"), 256))
+        .withColumn(
+            f"{prefix}branches",
+            F.transform(
+                sections,
+                lambda s, i: F.struct(s.alias("digest"), F.transform(F.get(paragraphs, i), lambda p, j: branch(p, j, i)).alias("branches")),
+            ),
+        )
         .withColumn(
             f"{prefix}leaves",
-            F.filter(F.transform(F.flatten(F.flatten(tree)), lambda x: F.substring(x, 1, 8)), lambda x: x != EMPTY_LEAF),
+            F.flatten(F.flatten(F.transform(f"{prefix}branches", lambda s: F.transform(s["branches"], lambda p: p["leaves"])))),
         )
         .drop(tree)
     )
@@ -55,15 +66,32 @@ def fingerprint(prefix: str = "") -> Column:
     return F.concat_ws(":", F.col(f"{prefix}root"), F.concat_ws("", f"{prefix}leaves"))
 
 
-def likeness(root: Column, leaves: Column, other_root: Column, other_leaves: Column) -> Column:
-    """1 for equal roots, else the share of leaves that both trees have."""
-    common = F.size(F.array_intersect(leaves, other_leaves))
-    total = F.size(F.array_distinct(leaves)) + F.size(F.array_distinct(other_leaves))
-    return (
-        F.when(root == other_root, F.lit(1.0))
-        .when(total > 0, F.least(F.lit(1.0), F.lit(2.0) * common / total))
-        .otherwise(F.lit(0.0))
-    )
+def _differing(branches: Column, other: Column) -> Column:
+    """Branches whose digest the other tree does not have at this level."""
+    digests = F.transform(other, lambda x: x["digest"])
+    return F.filter(branches, lambda x: ~F.array_contains(digests, x["digest"]))
+
+
+def _below(branches: Column, name: str) -> Column:
+    return F.flatten(F.transform(branches, lambda x: x[name]))
+
+
+def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
+    """1 for equal roots, else the share of leaves not lost where the trees differ.
+
+    Only sections that the other tree lacks are opened, in these only the paragraphs that its open sections lack; leaves
+    are compared below those alone. ``one`` and ``other`` are prefixes of ``with_tree``; the other tree may be absent.
+    """
+    b1, b2 = F.col(f"{one}branches"), F.col(f"{other}branches")
+    df = df.withColumn("_s1", _differing(b1, b2)).withColumn("_s2", _differing(b2, b1))
+    df = df.withColumn("_p1", _below(F.col("_s1"), "branches")).withColumn("_p2", _below(F.col("_s2"), "branches"))
+    df = df.withColumn("_l1", _below(_differing(F.col("_p1"), F.col("_p2")), "leaves"))
+    df = df.withColumn("_l2", _below(_differing(F.col("_p2"), F.col("_p1")), "leaves"))
+    lost = F.size(F.array_except("_l1", "_l2")) + F.size(F.array_except("_l2", "_l1"))
+    total = F.size(F.array_distinct(f"{one}leaves")) + F.size(F.array_distinct(f"{other}leaves"))
+    share = F.when(total > 0, F.greatest(F.lit(0.0), 1 - lost / total)).otherwise(F.lit(0.0))
+    value = F.when(F.col(f"{one}root") == F.col(f"{other}root"), F.lit(1.0)).when(F.col(f"{other}root").isNotNull(), share).otherwise(F.lit(0.0))
+    return df.withColumn(name, value).drop("_s1", "_s2", "_p1", "_p2", "_l1", "_l2")
 
 
 def differing_paragraphs(one: Column, other: Column) -> Column:
@@ -106,13 +134,16 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the tree's digests: root, sections, paragraphs, leaves."""
+    """doc_id and the tree's digests: root, sections, paragraphs, leaves, and the leaves by branch."""
     rows = id_text(docs, id_col, text_col)
     return with_tree(rows, F.col("text")).drop("text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document.
+    """Every document's fingerprint beside that of its edited text and of the next document, and where the edit begins.
+
+    ``edited_section`` and ``edited_paragraph`` number the first paragraph of the edited text that the document does not
+    have in that place; null where the texts are equal.
 
     The edit puts the first characters of the next document (ascending id, the first after the
     last) in place of the last quarter. A null text is empty. Ids are unique; where an id repeats,
@@ -124,7 +155,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = rows.where("doc_id IS NOT NULL")
     placed = named.hint("merge").join(neighbours(rows).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
     heads = with_tree(placed, F.col("text"), "next_").select(
-        F.col("previous_id").alias("_id"), F.expr("substring(text, 1, take)").alias("head"), "next_root", "next_leaves"
+        F.col("previous_id").alias("_id"), F.expr("substring(text, 1, take)").alias("head"), "next_root", "next_leaves", "next_branches"
     )
     both = named.hint("merge").join(heads, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     both = both.unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True)
@@ -134,14 +165,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "edited", F.expr("concat(substring(text, 1, n_chars - cut), substring(coalesce(head, ''), 1, cut))")
     )
     both = with_tree(with_tree(both, F.col("text")), F.col("edited"), "edited_")
+    both = with_likeness(with_likeness(both, "", "edited_", "near_edited"), "", "next_", "near_next")
+    place = F.get(differing_paragraphs(F.col("edited_paragraphs"), F.col("paragraphs")), F.lit(0))
     return both.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint().alias("fingerprint"),
         fingerprint("edited_").alias("edited_fingerprint"),
-        likeness(F.col("root"), F.col("leaves"), F.col("edited_root"), F.col("edited_leaves")).alias("near_edited"),
-        F.coalesce(
-            likeness(F.col("root"), F.col("leaves"), F.col("next_root"), F.col("next_leaves")), F.lit(0.0)
-        ).alias("near_next"),
+        "near_edited",
+        "near_next",
+        place["section"].alias("edited_section"),
+        place["paragraph"].alias("edited_paragraph"),
     )
