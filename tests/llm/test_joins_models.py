@@ -262,3 +262,22 @@ def test_archives_hold_raw_bytes(spark):
     r = warc.round_trip(rows, segment_bytes=700).first()
     assert r.intact and r.payload_bytes == len(payload)
     assert r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text is a class of its own: document 3 links with the second text of id 1."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for k in range(2):
+        found = sorted((r.doc_id, r.component_id) for r in jaccard.similarity_components(docs, links=bool(k)).collect())
+        assert found == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_text_ids_come_back_from_archives(spark):
+    ids = ["http://a/1", "http://a/2", "x y>z", "", "~", None, "100%"]
+    rows = [(i, "http://u", "same" if k < 2 else f"page {k}" * 20000 if k == 2 else f"page {k}") for k, i in enumerate(ids)]
+    found = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(found) == set(ids)
+    assert found["http://a/1"].record_type == "revisit" and found["http://a/1"].refers_to == "http://a/2"
+    assert found["x y>z"].payload_bytes == len("page 2" * 20000) and all(r.intact is not False for r in found.values())

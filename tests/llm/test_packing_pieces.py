@@ -142,3 +142,20 @@ def test_encode_and_decode_whole_texts(name, request):
 
 def test_encoding_of_nothing(nothing):
     assert pieces.decode(pieces.encode(nothing, MODEL), MODEL).count() == 0
+
+
+def test_the_added_token_is_one_id(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext| y", "  <|endoftext|>  ", "plain", ""]
+    added = packing.added_tokens(vocabulary("byte_bpe_50k.json"))
+    own, real = packing.encoder(RANKS, split_pattern(), added), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for text in texts:
+        ids = list(struct.unpack(f"<{len(own(text)) // 4}I", own(text)))
+        assert ids == real.encode(text, add_special_tokens=False).ids, text
+
+
+def test_unknown_characters_without_byte_pieces():
+    words = pieces.Vocabulary(MODEL, "bpe")
+    words.byte_ids = {}
+    assert words.numbers(["\U0010fffe", "\U0010ffff"]) == [words.model.unk_id()] * 2

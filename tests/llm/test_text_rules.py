@@ -98,6 +98,60 @@ def test_fingerprints_by_brute_force(corpus):
     assert len({v for s in prints.values() for v in s}) == len(prints)
 
 
+def brute_tree(text):
+    """Sections of paragraphs of leaf digests, and the digests above them."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+
+    def leaves(paragraph):
+        out, last = [], 0
+        for at in range(1, len(paragraph) + 1):
+            if at > 1 and paragraph[at - 2] in ".!?" and paragraph[at - 1] in " \t\x0b\f\r" or at - last == merkle.LEAF_CHARS:
+                out.append(paragraph[last:at])
+                last = at
+        return [*out, paragraph[last:]]
+
+    tree = [[[md5(x) for x in leaves(p)] for p in s.split("\n")] for s in text.split("\n\n")]
+    paragraphs = [[md5("".join(p)) for p in s] for s in tree]
+    sections = [md5("".join(s)) for s in paragraphs]
+    return tree, paragraphs, sections, hashlib.sha256("".join(sections).encode()).hexdigest()
+
+
+def brute_likeness(one, other):
+    (t1, p1, s1, r1), (t2, p2, s2, r2) = brute_tree(one), brute_tree(other)
+    if r1 == r2:
+        return 1.0
+    empty = hashlib.md5(b"").hexdigest()
+
+    def open_leaves(t, p, s, other_p, other_s):
+        mine = [(d, x) for ps, ts, sd in zip(p, t, s, strict=True) if sd not in other_s for d, x in zip(ps, ts, strict=True)]
+        theirs = {d for ps, sd in zip(other_p, other_s, strict=True) if sd not in s for d in ps}
+        return {x for d, xs in mine if d not in theirs for x in xs if x != empty}
+
+    a, b = open_leaves(t1, p1, s1, p2, s2), open_leaves(t2, p2, s2, p1, s1)
+    total = sum(len({x for s in t for p in s for x in p if x != empty}) for t in (t1, t2))
+    return max(0.0, 1 - (len(a - b) + len(b - a)) / total) if total else 0.0
+
+
+def test_tree_and_likeness_by_brute_force(spark):
+    rng = random.Random(9)
+    words = ["Some words.", "more! ", "and then", "x" * 70, "é?", "", "tail"]
+    texts = ["".join(rng.choice(words) + rng.choice((" ", "\n", "\n\n", " ")) for _ in range(rng.randrange(1, 25))) for _ in range(40)]
+    texts += ["", "same\n\nsame", "same\n\nsame"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in merkle.edited_fingerprints(docs).collect()}
+    roots = {r.doc_id: r.root for r in merkle.fingerprints(docs).select("doc_id", "root").collect()}
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        assert roots[i] == brute_tree(text)[3]
+        assert found[i].near_edited == pytest.approx(brute_likeness(text, edited))
+        assert found[i].near_next == pytest.approx(brute_likeness(text, after))
+        new, old = brute_tree(edited)[1], brute_tree(text)[1]
+        place = next(((a, b) for a, s in enumerate(new) for b, p in enumerate(s) if a >= len(old) or b >= len(old[a]) or old[a][b] != p), (None, None))
+        assert (found[i].edited_section, found[i].edited_paragraph) == place
+
+
 def test_fingerprint_plan_has_no_python(corpus):
     plan = merkle.edited_fingerprints(corpus)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -259,3 +313,20 @@ def test_page_texts(spark):
     found = sorted((r.page_id or 0, r.text) for r in html_text.page_texts(pages).collect())
     assert found == [(0, "x"), (1, ""), (2, ""), (3, "x"), (3, "x")]
     assert html_text.page_texts(pages.limit(0)).count() == 0
+
+
+def test_lines_of_documents_with_text_ids(spark):
+    line = "A line of more than forty characters that many documents share."
+    rows = [(f"d{i}", f"{line}\nown {i}") for i in range(7)] + [(None, line)]
+    found = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {f"d{i}": (2, int(i < 6)) for i in range(7)} | {None: (1, 0)}
+
+
+def test_deeply_nested_cells_render_at_once():
+    import time
+
+
+    began = time.time()
+    for cell in ("<table><tr>", "<table><tr><td>", "<table><tr><div>"):
+        assert "deep" in html_text.render(cell * 200 + "deep")
+    assert time.time() - began < 5
