@@ -181,7 +181,8 @@ def containment_join(blocks: DataFrame, templates: DataFrame, order: DataFrame)
         return each.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("w")).select(*keys, F.col("w.word").alias("words"))
 
     least = templates.groupBy("band").agg(F.min("needed").alias("least"))
-    left = ordered(blocks.join(least, "band").where(F.size("words") >= F.col("least")), ["row", "band", "block", "least"])
+    # One row a band: the powers of two up to the longest template.
+    left = ordered(blocks.join(F.broadcast(least), "band").where(F.size("words") >= F.col("least")), ["row", "band", "block", "least"])
     left = left.select("row", "band", "block", F.col("words").alias("own"), F.posexplode(F.expr("slice(words, 1, size(words) - least + 1)")).alias("at", "word"))
     right = ordered(templates, ["template", "label", "band", "needed"])
     right = right.select(
