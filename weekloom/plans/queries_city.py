@@ -132,13 +132,14 @@ def _issued(spark, sf):
 @query(
     "issued_runs",
     f"""WITH {_RUNS}
-SELECT geography, week_start_date, issued_at_utc, round(rain_sum, 6) AS rain_sum FROM runs
+SELECT geography, week_start_date, strftime(issued_at_utc, '%Y-%m-%d %H:%M:%S') AS issued_at_utc, round(rain_sum, 6) AS rain_sum FROM runs
 WHERE issued_at_utc <= CAST(week_start_date - 1 AS TIMESTAMP)
 QUALIFY row_number() OVER (PARTITION BY geography, week_start_date ORDER BY issued_at_utc DESC) = 1""",
     ("v_weather",),
 )
 def _(spark, sf):
-    return doubles(A.newest_runs(_issued(spark, sf), G))
+    found = A.newest_runs(_issued(spark, sf), G)
+    return doubles(found.withColumn("issued_at_utc", F.date_format("issued_at_utc", "yyyy-MM-dd HH:mm:ss")))
 
 
 @query(

@@ -392,19 +392,24 @@ def _(spark, sf):
 @query(
     "delayed_features_calendar",
     """
-SELECT t.geography, t.week_start_date, CAST(d.k AS DOUBLE) AS report_age_weeks,
- CAST(a.total_cases AS DOUBLE) AS delayed_cases_latest, CAST(a.hospitalized_cases AS DOUBLE) AS delayed_hospitalized_latest,
- (SELECT CASE WHEN count(*) = 8 THEN round(avg(p.total_cases), 6) END FROM v_sparse p WHERE p.geography = t.geography
-   AND p.week_start_date BETWEEN a.week_start_date - 49 AND a.week_start_date) AS delayed_cases_mean_8
-FROM v_sparse t CROSS JOIN generate_series(4, 12) AS d(k)
-LEFT JOIN v_sparse a ON a.geography = t.geography AND a.week_start_date = t.week_start_date - CAST(7 * d.k AS INTEGER)""",
+WITH x AS (SELECT t.geography, t.week_start_date, d.k, g.j, h.total_cases AS c, h.hospitalized_cases AS p
+  FROM v_sparse t CROSS JOIN generate_series(4, 12) AS d(k) CROSS JOIN generate_series(0, 7) AS g(j)
+  LEFT JOIN v_sparse h ON h.geography = t.geography AND h.week_start_date = t.week_start_date - CAST(7 * (d.k + g.j) AS INTEGER)),
+ y AS (SELECT geography, week_start_date, k, max(c) FILTER (WHERE j = 0) AS c0, max(c) FILTER (WHERE j = 1) AS c1, max(c) FILTER (WHERE j = 2) AS c2,
+  max(c) FILTER (WHERE j = 4) AS c4, count(c) FILTER (WHERE j < 4) AS n4, count(c) AS n8, sum(c) FILTER (WHERE j < 4) AS s4, sum(c) AS s8,
+  max(p) FILTER (WHERE j = 0) AS p0, sum(p) FILTER (WHERE j < 4) AS h4 FROM x GROUP BY ALL)
+SELECT geography, week_start_date, CAST(k AS DOUBLE) AS report_age_weeks, CAST(c0 AS DOUBLE) AS delayed_cases_latest,
+ CASE WHEN c0 IS NOT NULL THEN CAST(c1 AS DOUBLE) END AS delayed_cases_lag_1, CASE WHEN c0 IS NOT NULL THEN CAST(c2 AS DOUBLE) END AS delayed_cases_lag_2,
+ CASE WHEN c0 IS NOT NULL THEN CAST(c4 AS DOUBLE) END AS delayed_cases_lag_4, CASE WHEN n4 = 4 THEN round(s4 / 4.0::DOUBLE, 6) END AS delayed_cases_mean_4,
+ CASE WHEN n8 = 8 THEN round(s8 / 8.0::DOUBLE, 6) END AS delayed_cases_mean_8, CAST(c0 - c1 AS DOUBLE) AS delayed_cases_change_1,
+ CAST(p0 AS DOUBLE) AS delayed_hospitalized_latest, CASE WHEN n4 = 4 THEN round(h4 / 4.0::DOUBLE, 6) END AS delayed_hospitalized_mean_4,
+ CASE WHEN n4 = 4 THEN CASE WHEN s4 <> 0 THEN round(h4 / CAST(s4 AS DOUBLE), 6) WHEN h4 = 0 THEN 0 END END AS delayed_hospitalization_rate_mean_4
+FROM y""",
     ("v_sparse",),
 )
 def _(spark, sf):
     f = X.delayed_features(V.sparse(spark, sf), G, calendar=True)
-    return doubles(
-        f.select(*KEY, "report_age_weeks", "delayed_cases_latest", "delayed_hospitalized_latest", "delayed_cases_mean_8")
-    )
+    return doubles(f.select(*KEY, *S.DELAYED_FEATURES))
 
 
 @query(

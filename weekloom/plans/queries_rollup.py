@@ -244,29 +244,35 @@ def _(spark, sf):
 SELECT event_id, source, CASE WHEN isfinite(n) THEN n END AS number_value,
   CAST(round_even(CASE WHEN isfinite(n) THEN n END, 0) AS BIGINT) AS integer_value,
   CASE WHEN lower(trim(t)) IN ('true', '1', 'yes') THEN TRUE WHEN lower(trim(t)) IN ('false', '0', 'no') THEN FALSE END
-    AS boolean_value
+    AS boolean_value,
+  CASE WHEN source = 'time' THEN CAST(epoch(TRY_CAST(t AS TIMESTAMP)) AS BIGINT) END AS timestamp_seconds
 FROM (SELECT event_id, source, t, TRY_CAST(t AS DOUBLE) AS n FROM (
   SELECT event_id, 'k' AS source, json_extract_string(props, '$.k') AS t FROM events
   UNION ALL SELECT event_id, 'type' AS source, event_type AS t FROM events
   UNION ALL SELECT event_id, 'value' AS source, ' ' || CAST(value AS VARCHAR) || ' ' AS t FROM events
+  UNION ALL SELECT event_id, 'time' AS source, CASE WHEN value > 50 THEN 'no time' WHEN value > 20 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS t FROM events
   UNION ALL SELECT event_id, 'flag' AS source, CASE WHEN value > 50 THEN ' True' WHEN value > 20 THEN 'NO ' ELSE 'NaN' END AS t FROM events))""",
 )
 def _(spark, sf):
     e = V.table(spark, sf, "events")
     flag = F.when(F.col("value") > 50, " True").when(F.col("value") > 20, "NO ").otherwise("NaN")
+    day, second = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(F.col("value") > 50, "no time").when(F.col("value") > 20, second).otherwise(day)
     long = e.select(
         "event_id",
         F.get_json_object("props", "$.k").alias("k"),
         F.col("event_type").alias("type"),
         F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("value"),
+        time.alias("time"),
         flag.alias("flag"),
-    ).unpivot(["event_id"], ["k", "type", "value", "flag"], "source", "t")
+    ).unpivot(["event_id"], ["k", "type", "value", "time", "flag"], "source", "t")
     return long.select(
         "event_id",
         "source",
         K.parse_number("t").alias("number_value"),
         K.parse_integer("t").alias("integer_value"),
         K.parse_boolean("t").alias("boolean_value"),
+        F.when(F.col("source") == "time", F.unix_timestamp(K.parse_timestamp("t"))).alias("timestamp_seconds"),
     )
 
 
