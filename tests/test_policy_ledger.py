@@ -242,6 +242,9 @@ def test_reconciliation_and_prospective_rows(spark):
     assert m["all_versioned_predictions"].evaluated_rows == 2 and m["all_versioned_predictions"].mae == 1.5
     assert m[S.PERSISTED_BASIS].evaluated_rows == 1 and m[S.PERSISTED_BASIS].pr_auc is None and m[S.PERSISTED_BASIS].recall == 1
     assert L.reconcile_metrics(known.filter("false"), G).count() == 0
+    open_rows = known.withColumn("actual_outbreak", F.lit(None).cast("bigint"))
+    report = {r.evaluation_basis: r for r in L.reconcile_report(open_rows, G).collect()}
+    assert {b: (r.evaluated_rows, r.message) for b, r in report.items()} == {b: (0, t) for b, t in L.NOTHING_FINAL.items()}
 
 
 def test_latest_complete_issue_skips_a_half_written_one(spark):

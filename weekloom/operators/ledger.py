@@ -170,6 +170,23 @@ def prediction_metrics(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     return counted.join(pr, keys).join(middle, keys, "left")
 
 
+ALL_PREDICTIONS = "all_versioned_predictions"
+NOTHING_FINAL = {
+    ALL_PREDICTIONS: "no prediction has a finalized outcome yet",
+    S.PERSISTED_BASIS: "no prediction with persisted inputs has a finalized outcome yet",
+}
+
+
+def reconcile_report(reconciled: DataFrame, keys: list[str]) -> DataFrame:
+    """``reconcile_metrics`` with a row for every series and basis: where nothing is final, 0 rows and a message say so."""
+    bases = F.explode(F.array(*[F.lit(b) for b in NOTHING_FINAL])).alias("evaluation_basis")
+    wanted = reconciled.select(*keys).distinct().select(*keys, bases)
+    found = wanted.join(reconcile_metrics(reconciled, keys), [*keys, "evaluation_basis"], "left")
+    said = F.coalesce(*[F.when(F.col("evaluation_basis") == b, m) for b, m in NOTHING_FINAL.items()])
+    none = F.col("evaluated_rows").isNull()
+    return found.withColumn("message", F.when(none, said)).withColumn("evaluated_rows", F.coalesce("evaluated_rows", F.lit(0).cast("bigint")))
+
+
 def reconcile_metrics(reconciled: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of all versioned predictions and of those with persisted inputs."""
     rows = reconciled.select(
@@ -177,8 +194,8 @@ def reconcile_metrics(reconciled: DataFrame, keys: list[str]) -> DataFrame:
         F.explode(
             F.when(
                 F.col("input_vintage_basis") == S.PERSISTED_BASIS,
-                F.array(F.lit("all_versioned_predictions"), F.lit(S.PERSISTED_BASIS)),
-            ).otherwise(F.array(F.lit("all_versioned_predictions")))
+                F.array(F.lit(ALL_PREDICTIONS), F.lit(S.PERSISTED_BASIS)),
+            ).otherwise(F.array(F.lit(ALL_PREDICTIONS)))
         ).alias("evaluation_basis"),
     )
     needed = ["outbreak_alert", "outbreak_probability", "actual_outbreak", "actual_cases"]

@@ -558,6 +558,28 @@ def _(spark, sf):
     return doubles(L.reconcile_metrics(_reconciled(spark, sf), G))
 
 
+@query(
+    "reconcile_report",
+    f"""WITH {_RECONCILED}, k AS (SELECT * FROM r WHERE geography <> '5-LOW' AND (geography <> '1-URGENT' OR lead_weeks = 1)),
+ b AS (SELECT 'all_versioned_predictions' AS evaluation_basis, * FROM k WHERE actual_outbreak IS NOT NULL
+  UNION ALL SELECT 'prospective_persisted_issue_time_inputs', * FROM k WHERE actual_outbreak IS NOT NULL
+  AND input_vintage_basis = 'prospective_persisted_issue_time_inputs'),
+ n AS (SELECT geography, evaluation_basis, count(*) AS n, avg(absolute_case_error) AS mae FROM b GROUP BY ALL),
+ w AS (SELECT DISTINCT r.geography, t.evaluation_basis, t.message FROM r, (VALUES
+  ('all_versioned_predictions', '{L.NOTHING_FINAL[L.ALL_PREDICTIONS]}'),
+  ('prospective_persisted_issue_time_inputs', '{L.NOTHING_FINAL["prospective_persisted_issue_time_inputs"]}')) AS t(evaluation_basis, message))
+SELECT w.geography, w.evaluation_basis, coalesce(n.n, 0) AS evaluated_rows, round(n.mae, 6) AS mae, CASE WHEN n.n IS NULL THEN w.message END AS message
+FROM w LEFT JOIN n USING (geography, evaluation_basis)""",
+    ("v_ledger",),
+)
+def _(spark, sf):
+    """One series has no outcome yet, another only for rows without persisted inputs."""
+    rows = _reconciled(spark, sf)
+    late = (F.col("geography") == "5-LOW") | ((F.col("geography") == "1-URGENT") & (F.col("lead_weeks") == 0))
+    open_ = rows.withColumns({c: F.when(~late, F.col(c)) for c in ("actual_cases", "actual_outbreak")})
+    return doubles(L.reconcile_report(open_, G).select(*G, "evaluation_basis", "evaluated_rows", "mae", "message"))
+
+
 # --- serving ---------------------------------------------------------------------------
 
 @query(
