@@ -16,9 +16,11 @@ from weekloom.llm.common import id_text, partitions, stored
 LEAF_CHARS = 64
 #: A leaf ends behind a sentence mark and a space, or LEAF_CHARS characters behind the last cut.
 LEAF_CUT = rf"(?s)(?<=[.!?]\s)|(?<=\G.{{{LEAF_CHARS}}})"
-#: Digits of a leaf's MD5 that stand in a fingerprint: 48 bits; paragraphs, sections and roots use whole digests.
-LEAF_DIGITS = 12
-EMPTY_LEAF = "d41d8cd98f00"  # first digits of the MD5 of no bytes
+#: Digits of a leaf's MD5 that stand in a fingerprint: 40 bits; paragraphs, sections and roots use whole digests.
+LEAF_DIGITS = 10
+EMPTY_LEAF = "d41d8cd98f"  # first digits of the MD5 of no bytes
+#: Digits of the paragraph and section digests that trees are compared by.
+BRANCH_DIGITS = 16
 
 
 def leaf_tree(text: Column) -> Column:
@@ -40,7 +42,8 @@ def with_tree(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     """Add root, section digests, paragraph digests by section, the short digests of all leaves, and these as branches."""
     tree, paragraphs, sections = f"_{prefix}tree", f"{prefix}paragraphs", f"{prefix}sections"
     short = lambda leaves: F.filter(F.transform(leaves, lambda x: F.substring(x, 1, LEAF_DIGITS)), lambda x: x != EMPTY_LEAF)
-    branch = lambda p, j, i: F.struct(p.alias("digest"), short(F.get(F.get(tree, i), j)).alias("leaves"))
+    cut = lambda d: F.substring(d, 1, BRANCH_DIGITS).alias("digest")
+    branch = lambda p, j, i: F.struct(cut(p), short(F.get(F.get(tree, i), j)).alias("leaves"))
     return (
         df.withColumn(tree, leaf_tree(text))
         .withColumn(paragraphs, F.transform(tree, lambda s: F.transform(s, digest)))
@@ -50,17 +53,18 @@ def with_tree(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
             f"{prefix}branches",
             F.transform(
                 sections,
-                lambda s, i: F.struct(s.alias("digest"), F.transform(F.get(paragraphs, i), lambda p, j: branch(p, j, i)).alias("branches")),
+                lambda s, i: F.struct(cut(s), F.transform(F.get(paragraphs, i), lambda p, j: branch(p, j, i)).alias("branches")),
             ),
         )
-        .withColumn(
-            f"{prefix}leaves",
-            F.flatten(F.flatten(F.transform(f"{prefix}branches", lambda s: F.transform(s["branches"], lambda p: p["leaves"])))),
-        )
+        .withColumn(f"{prefix}leaves", leaves_below(f"{prefix}branches"))
         .drop(tree)
     )
 
 
+def leaves_below(branches: str) -> Column:
+    return F.flatten(F.flatten(F.transform(branches, lambda s: F.transform(s["branches"], lambda p: p["leaves"]))))
+
+
 def fingerprint(prefix: str = "") -> Column:
     """Root, then the leaves in order."""
     return F.concat_ws(":", F.col(f"{prefix}root"), F.concat_ws("", f"{prefix}leaves"))
@@ -155,11 +159,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = rows.where("doc_id IS NOT NULL")
     placed = named.hint("merge").join(neighbours(rows).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
     heads = with_tree(placed, F.col("text"), "next_").select(
-        F.col("previous_id").alias("_id"), F.expr("substring(text, 1, take)").alias("head"), "next_root", "next_leaves", "next_branches"
+        F.col("previous_id").alias("_id"), F.expr("substring(text, 1, take)").alias("head"), "next_root", "next_branches"
     )
     both = named.hint("merge").join(heads, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     both = both.unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True)
-    both = both.withColumn("n_chars", F.length("text"))
+    both = both.withColumn("n_chars", F.length("text")).withColumn("next_leaves", leaves_below("next_branches"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     both = both.withColumn("cut", cut).withColumn(
         "edited", F.expr("concat(substring(text, 1, n_chars - cut), substring(coalesce(head, ''), 1, cut))")
