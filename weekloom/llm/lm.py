@@ -10,13 +10,14 @@ Counts come from all training documents. No machine holds the whole model: docum
 into blocks of bounded size, each block receives exactly the words and n-grams that it contains
 by joins, weighs its part of the automaton and scores its documents in one traversal each. Words
 are numbered in Spark, the frequent ones first. The n-grams of a block travel to be counted as
-compressed arrays, dealt by a hash of the whole n-gram.
+compressed arrays, dealt by a hash of the whole n-gram. What comes back to a block are the totals alone,
+in the order in which the block had sent its n-grams, which it finds again in its texts; sums over the
+n-grams of a history are added up where the history is counted.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ class LmSettings:
     min_share: float = 0.0  # words with a smaller share of all training tokens make no histories; 0: all words do
     min_count: int = 2
     discount: float = 0.75
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 def crc_share(id_col: str, parts: int, part: int) -> Column:
@@ -173,43 +174,48 @@ def bucket_of(ab: np.ndarray, third: np.ndarray, buckets: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
 
 
-def _gram_counter(buckets: int, flush: int = 2_000_000):
-    """Rows by block, its words before its documents; n-grams leave as one array for each bucket."""
+def laid_out(ab: np.ndarray, third: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's n-grams by bucket, bigrams before trigrams in each, and where (bucket, is trigram) changes."""
+    place = 2 * bucket_of(ab, third, buckets) + (third > 0)
+    order = np.argsort(place, kind="stable")
+    return order, place[order]
+
+
+def _gram_counter(buckets: int):
+    """Rows by block, its words before its documents; n-grams leave as one array for each bucket and length.
+
+    What a block holds decides its arrays, not the order of its documents: the answers need no keys to be matched.
+    """
 
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         words_in = unpacker()
-        block, ids, texts, training, size = None, {}, [], [], 0
+        block, ids, texts, training = None, {}, [], []
 
         def counted():
             ab, third, c = gram_counts(texts, training)
-            bucket = bucket_of(ab, third, buckets)
-            order = np.argsort(bucket, kind="stable")
-            ab, third, c, bucket = ab[order], third[order], c[order], bucket[order]
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            order, place = laid_out(ab, third, buckets)
+            ab, third, c = ab[order], third[order], c[order]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
             data = [pack(pack_grams(ab[i:j], third[i:j], c[i:j])) for i, j in zip(starts, [*starts[1:], len(ab)], strict=True)]
-            columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), block)), pa.array(data, pa.binary())]
+            columns = [pa.array(place[starts] // 2), pa.array(np.full(len(starts), block)), pa.array(place[starts] % 2 == 1), pa.array(data, pa.binary())]
             texts.clear()
             training.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams"])
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "three", "grams"])
 
         for batch in batches:
             for at, word, number, held_out, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if at != block:
                     if texts:
                         yield counted()
-                    block, ids, size = at, {}, 0
+                    block, ids = at, {}
                 if packed is None:
                     ids[word] = number
                     continue
                 texts.append(sequence(words_in(packed), ids))
                 training.append(not held_out)
-                size += len(texts[-1])
-                if size > flush:
-                    yield counted()
-                    size = 0
         if texts:
             yield counted()
         del ids, texts
@@ -218,29 +224,107 @@ def _gram_counter(buckets: int, flush: int = 2_000_000):
     return run
 
 
-def _gram_adder(min_count: int):
-    """All arrays of one bucket to rows (block, ab, third, n, first) of the n-grams that are kept; ``first`` once for each n-gram."""
+def _codec():
+    import zstandard
 
-    def add(table: pa.Table) -> pa.Table:
-        import zstandard
+    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple:
+    """Distinct keys in order with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        found = [unpack_grams(unpack(x)) for x in table.column("grams").to_pylist()]
-        block = np.repeat(table.column("block").to_numpy(), [len(x[0]) for x in found])
-        ab, third, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        del found
-        _, place = np.unique(ab, return_inverse=True)
-        _, first, place = np.unique((place << BITS) | third, return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=c).astype(np.int64)[place]
-        mark = np.zeros(len(ab), dtype=bool)
-        mark[first] = True
-        keep = total >= min_count
-        out = {"block": block[keep], "ab": ab[keep], "third": third[keep], "n": total[keep], "first": mark[keep]}
-        return pa.table({k: pa.array(v) for k, v in out.items()})
+
+ADDED = "kind string, bucket long, block long, keys binary, n binary, types binary"
+
+
+def _row(pack, kind: str, bucket: int, block, keys=None, n=None, types=None) -> tuple:
+    """A row of ADDED: sorted keys as steps, numbers by their bytes."""
+    parts = (None if keys is None else np.diff(keys, prepend=0), n, types)
+    return kind, bucket, block, *(None if x is None else pack(_planes(x.astype(np.int64))) for x in parts)
+
+
+def _rows_of(found: list[tuple]) -> pa.Table:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["kind", "bucket", "block", "keys", "n", "types"]
+    return pa.table({x: pa.array([r[i] for r in found], k) for i, (x, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _gram_adder(min_count: int, buckets: int):
+    """All arrays of one bucket: to each block the totals of its n-grams in its own order, and what histories have used.
+
+    Kinds: ``two`` and ``three`` (to a block: totals; the kept bigrams by key), ``pairs`` (to the bucket of a history of two
+    words: total and number of its kept trigrams), ``words`` (the same for histories of one word).
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        pack, unpack = _codec()
+        bucket, out, heads = table.column("bucket")[0].as_py(), [], None
+        is_three = table.column("three").to_numpy(zero_copy_only=False)
+        for three in (True, False):
+            part = table.filter(pa.array(is_three == three))
+            if not part.num_rows:
+                continue
+            found = [unpack_grams(unpack(x)) for x in part.column("grams").to_pylist()]
+            ab, third, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            distinct, place = np.unique(ab, return_inverse=True)
+            both, first, place = np.unique((place << BITS) | third, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=c).astype(np.int64)
+            kept = total >= min_count
+            totals = np.where(total[place] >= min_count, total[place], 0)
+            at = np.cumsum([0, *(len(x[0]) for x in found)])
+            for block, lo, hi in zip(part.column("block").to_pylist(), at, at[1:], strict=False):
+                mine = totals[lo:hi]
+                out.append(_row(pack, "three" if three else "two", bucket, block, None if three else ab[lo:hi][mine > 0], mine))
+            heads = ab[first][kept] if three else ab[first][kept] >> BITS
+            keys, n, types = _summed(heads, total[kept], np.ones(int(kept.sum()), np.int64))
+            if not three:
+                out.append(_row(pack, "words", bucket, None, keys, n, types))
+                continue
+            to = bucket_of(keys, np.zeros(len(keys), np.int64), buckets)
+            order = np.argsort(to, kind="stable")
+            starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(to)], strict=True):
+                own = order[i:j]
+                out.append(_row(pack, "pairs", int(to[own[0]]), None, keys[own], n[own], types[own]))
+        return _rows_of(out)
 
     return add
 
 
+def _pair_adder(table: pa.Table) -> pa.Table:
+    """One bucket of bigrams: to each block, in the order of its kept bigrams, what they have used as histories."""
+    pack, unpack = _codec()
+    read = lambda x: _numbers(unpack(x), np.int64)
+    kinds = table.column("kind").to_pylist()
+    rows = list(zip(kinds, *(table.column(c).to_pylist() for c in ("bucket", "block", "keys", "n", "types")), strict=True))
+    pairs = [(np.cumsum(read(k)), read(n), read(t)) for kind, _, _, k, n, t in rows if kind == "pairs"]
+    none = np.zeros(0, np.int64)
+    keys, n, types = _summed(*(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (none, none, none)
+    out = []
+    for kind, bucket, block, k, _, _ in rows:
+        if kind == "two":
+            own = np.cumsum(read(k))
+            at = np.searchsorted(keys, own)
+            hit = (at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == own) if len(keys) else np.zeros(len(own), bool)
+            used, many = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            used[hit], many[hit] = n[at[hit]], types[at[hit]]
+            out.append(_row(pack, "used", bucket, block, None, used, many))
+    return _rows_of(out)
+
+
+def _word_sums(batches):
+    """For mapInArrow: rows of kind ``words`` to one row for each word of a bucket."""
+    _, unpack = _codec()
+    for batch in batches:
+        for keys, n, types in zip(*(batch.column(c).to_pylist() for c in ("keys", "n", "types")), strict=True):
+            cols = np.cumsum(_numbers(unpack(keys), np.int64)), *(_numbers(unpack(x), np.int64) for x in (n, types))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "n", "types"])
+
+
 class Automaton:
     """States: 0 the root, then one per history word, then one per bigram history.
 
@@ -263,90 +347,127 @@ class Automaton:
         head, third, m = three
         up, onward = np.searchsorted(ab, head), np.searchsorted(ab, ((head & MASK) << BITS) | third)
         p3 = (m - discount) / n[up] + left2[up] * p2[onward]
-        keys = np.concatenate([(a + 1) * k + b, state[up] * k + np.searchsorted(ids, third)])
-        self.arcs: dict[int, int] = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weights = array("d", np.log10(np.concatenate([p2, p3])).tobytes())
-        self.targets = array("q", np.concatenate([state, state[onward]]).astype(np.int64).tobytes())
-        fail = np.concatenate([[0.0], np.log10(left), np.log10(left2[history])])
-        down = np.concatenate([np.zeros(k + 1, np.int64), b[history] + 1])
-        self.fail, self.down = array("d", fail.tobytes()), array("q", down.astype(np.int64).tobytes())
-        self.fall = array("d", np.where(np.arange(len(fail)) > k, fail + fail[down], fail).tobytes())
-        self.start = int(np.searchsorted(ids, START)) + 1
-
-    def score(self, words: list[bytes], lexicon: dict, unknown: float, base_unknown: float) -> tuple[int, float, float]:
-        """Known tokens, base score and model score of the words and the end."""
-        k, arcs, weights, targets, fail, down, fall = self.width, self.arcs, self.weights, self.targets, self.fail, self.down, self.fall
-        known, base, lp, s = 0, 0.0, 0.0, self.start
-        for w in (*words, END_WORD):
-            entry = lexicon.get(w)
-            if entry is None:  # no state but the root has an arc
-                base += base_unknown
-                lp += fall[s] + unknown
-                s = 0
-                continue
-            i, one, plain = entry
-            known += 1
-            base += plain
-            if i < 0:
-                lp += fall[s] + one
-                s = 0
-                continue
-            arc = arcs.get(s * k + i) if s else None
-            while arc is None and s:
-                lp += fail[s]
-                s = down[s]
-                arc = arcs.get(s * k + i) if s else None
-            if arc is None:
-                lp += one
-                s = i + 1
-            else:
-                lp += weights[arc]
-                s = targets[arc]
-        return known, base, lp
+        self.two, self.three = a * k + b, state[up] * k + np.searchsorted(ids, third)
+        order = np.argsort(self.three)
+        self.three, self.weights = self.three[order], (np.log10(p2), np.log10(p3)[order])
+        self.state = state
+        self.fail = np.concatenate([[0.0], np.log10(left), np.log10(left2[history])])
+        self.down = np.concatenate([np.zeros(k + 1, np.int64), b[history] + 1])
+        self.fall = np.where(np.arange(len(self.fail)) > k, self.fail + self.fail[self.down], self.fail)
+        self.start = int(np.searchsorted(ids, START))
+
+    def walk(self, x: np.ndarray, first: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """log10 weight of each token on the walks of some texts, one after the other.
+
+        ``x``: places of the tokens, -1 for words without histories; ``first``: where a text begins; ``one``: unigram weights.
+        The state behind a word is the longest history that is kept, whatever arcs led to it, so all walks are followed
+        at once: from each state an arc, or the failure arc to the next shorter history and on from there.
+        """
+        k = self.width
+        before_word = np.concatenate(([self.start], x[:-1]))
+        before_word[first] = self.start
+        two = _found(self.two, before_word * k + x, (before_word >= 0) & (x >= 0))
+        after = np.where(two >= 0, self.state[two] if len(self.state) else 0, x + 1)
+        state = np.concatenate(([0], after[:-1]))
+        state[first] = self.start + 1
+        out = np.where(x < 0, self.fall[state], 0.0) + one
+        known = x >= 0
+        three = _found(self.three, state * k + x, known & (state > k))
+        arc = three >= 0
+        out[arc] = self.weights[1][three[arc]]
+        rest = np.flatnonzero(known & ~arc)
+        at = state[rest]
+        longer = at > k
+        out[rest[longer]] += self.fail[at[longer]]
+        at = np.where(longer, self.down[at], at)
+        arc = two[rest] >= 0
+        out[rest[arc]] += self.weights[0][two[rest[arc]]] - one[rest[arc]]
+        out[rest[~arc]] += self.fail[at[~arc]]
+        return out
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Places of the wanted keys in sorted ``keys``, -1 where absent or not asked for."""
+    out = np.full(len(wanted), -1)
+    if len(keys):
+        asked = np.flatnonzero(where)
+        at = np.minimum(np.searchsorted(keys, wanted[asked]), len(keys) - 1)
+        hit = keys[at] == wanted[asked]
+        out[asked[hit]] = at[hit]
+    return out
 
 
-def _scorer(tokens, types, ends, start_used, discount):
+def _scorer(tokens, types, ends, start_used, discount, buckets):
     floor = math.log10(tokens + types + 1)
     spare = discount * types / tokens / (types + 1) if tokens else 1.0
 
-    def machine_of(rows: pa.Table) -> tuple[Automaton, dict]:
+    def scores_of(rows: pa.Table, packed: list[bytes], training: list[bool]) -> tuple:
+        """Tokens, known tokens, base score and score of every text of the block."""
         lex = rows.filter(pc.is_valid(rows.column("word")))
         number, c, used = (lex.column(x).to_numpy() for x in ("x", "n", "used"))
         one = np.maximum(c - discount, 0) / max(tokens, 1) + spare
         ids, first = np.unique(np.append(number, START), return_index=True)
         ids, first = ids[ids >= 0], first[ids >= 0]
         values = (np.append(c, ends), np.append(used.astype(float), start_used), np.append(one, 1.0))
-        place = np.where(number >= 0, np.searchsorted(ids, number), -1)
-        entries = zip(place.tolist(), np.log10(one).tolist(), (np.log10(c + 1) - floor).tolist(), strict=True)
-        lexicon = dict(zip(lex.column("word").to_pylist(), entries, strict=True))
-        grams = rows.filter(pc.is_null(rows.column("word")))
-        ab, third, n, used = (grams.column(x).to_numpy() for x in ("x", "third", "n", "used"))
-        two = np.flatnonzero(third == 0)
-        two = two[np.unique(ab[two], return_index=True)[1]]  # a task that wrote in parts may name one twice
-        three = third != 0
-        machine = Automaton(
-            ids, *[v[first] for v in values], (ab[two], n[two], used[two].astype(float)), (ab[three], third[three], n[three]), discount
-        )
-        return machine, lexicon
+        # Behind the last word of the lexicon stand the words that it does not have.
+        place = np.append(np.where(number >= 0, np.searchsorted(ids, number), -1), -1)
+        number, one = np.append(number, -1), np.log10(np.append(one, spare))
+        plain = np.append(np.log10(c + 1), 0.0) - floor
+        row_of = dict(zip(lex.column("word").to_pylist(), range(len(c)), strict=True))
+        words_in, texts = unpacker(), []
+        for t in packed:
+            found = [row_of.get(w, len(c)) for w in words_in(t)]
+            texts.append(np.array([*found, row_of.get(END_WORD, len(c))], np.int64))
+        edge = (np.array([START]), np.array([END]))
+        sequences = [np.concatenate((edge[0], number[t[:-1]], edge[1])) for t in texts]
+        two, three = kept_grams(rows.filter(pc.is_null(rows.column("word"))), sequences, training)
+        del sequences
+        machine = Automaton(ids, *[v[first] for v in values], two, three, discount)
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes) - sizes
+        x = np.concatenate(texts)
+        weights = machine.walk(place[x], first, one[x])
+        known = np.add.reduceat((x < len(c)).astype(np.int64), first)
+        return sizes, known, np.add.reduceat(plain[x], first), np.add.reduceat(weights, first)
+
+    def kept_grams(rows: pa.Table, texts: list[np.ndarray], training: list[bool]) -> tuple:
+        """The block's kept n-grams, told by totals that came in the order in which the block had sent its own."""
+        _, unpack = _codec()
+        ab, third, _ = gram_counts(texts, training)
+        order, place = laid_out(ab, third, buckets)
+        ab, third = ab[order], third[order]
+        total, used = np.zeros(len(ab), np.int64), np.full(len(ab), np.nan)
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        at = dict(zip(place[starts].tolist(), starts.tolist(), strict=True))
+        found = zip(rows.column("kind").to_pylist(), rows.column("bucket").to_pylist(), range(rows.num_rows), strict=True)
+        found = sorted(found, key=lambda r: r[0] == "used")
+        data = {c: rows.column(c) for c in ("totals", "types")}
+        for kind, bucket, i in found:  # totals first
+            lo = at[2 * bucket + (kind == "three")]
+            n = _numbers(unpack(data["totals"][i].as_py()), np.int64)
+            if kind == "used":
+                many = _numbers(unpack(data["types"][i].as_py()), np.int64)
+                hi = int(np.searchsorted(place, 2 * bucket, "right"))
+                mine = lo + np.flatnonzero(total[lo:hi] > 0)
+                used[mine] = np.where(many > 0, n - discount * many, np.nan)
+            else:
+                total[lo : lo + len(n)] = n
+        kept = total > 0
+        two, three = np.flatnonzero(kept & (third == 0)), np.flatnonzero(kept & (third > 0))
+        two = two[np.argsort(ab[two])]
+        return (ab[two], total[two], used[two]), (ab[three], third[three], total[three])
 
     def score_block(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        machine, lexicon = machine_of(rows)
-        del rows
-        unknown = math.log10(spare)
-        out, words_in = [], unpacker()
-        for packed in docs.column("packed").to_pylist():
-            found = words_in(packed)
-            out.append((len(found) + 1, *machine.score(found, lexicon, unknown, -floor)))
-        del machine, lexicon
+        packed = docs.column("packed").to_pylist()
+        n, known, base, score = scores_of(rows, packed, [not h for h in docs.column("held_out").to_pylist()]) if packed else ((),) * 4
         release_memory()
-        n, known, base, score = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array([tokens] * len(out), pa.int64()),
+                "train_tokens": pa.array([tokens] * len(packed), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(score, pa.float64()),
             }
@@ -371,7 +492,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     blocks = max(1, -(-size // settings.block_bytes))
     parts = max(blocks, partitions(spark))
     kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).mapInArrow(
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(
         arrow_map(_packer), f"block long, doc_id {kind}, held_out boolean, packed binary"
     )
     dealt = packed.repartition(parts, "block")
@@ -390,27 +511,21 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         packed.select("block", "held_out", "packed"), allowMissingColumns=True
     )
     mixed = mixed.repartition(parts, "block").sortWithinPartitions("block", F.col("packed").isNotNull())
-    arrays = mixed.mapInArrow(_gram_counter(max(1, size // BUCKET_BYTES)), "bucket long, block long, grams binary")
-    kept = stored(
-        arrays.groupBy("bucket").applyInArrow(
-            _gram_adder(settings.min_count), "block long, ab long, third long, n long, first boolean"
-        ),
-        "grams",
-    )
-    once = kept.where("first").withColumn("left", F.col("n") - settings.discount)
-    used_by_words = stored(
-        once.where("third = 0").groupBy(F.shiftright("ab", BITS).alias("x")).agg(F.sum("left").alias("used")), "used_by_words"
-    )
-    used_by_pairs = once.where("third > 0").groupBy(F.col("ab").alias("x")).agg(F.sum("left").alias("used"))
+    buckets = max(1, size // BUCKET_BYTES)
+    arrays = mixed.mapInArrow(_gram_counter(buckets), "bucket long, block long, three boolean, grams binary")
+    added = stored(arrays.groupBy("bucket").applyInArrow(_gram_adder(settings.min_count, buckets), ADDED), "grams")
+    used = added.where("kind IN ('two', 'pairs')").groupBy("bucket").applyInArrow(_pair_adder, ADDED)
+    sums = added.where("kind = 'words'").select("keys", "n", "types").mapInArrow(_word_sums, "x long, n long, types long")
+    spent = F.sum("n") - settings.discount * F.sum("types")
+    used_by_words = stored(sums.groupBy("x").agg(spent.alias("used")), "used_by_words")
     start_used = used_by_words.where(F.col("x") == START).agg(F.sum("used")).first()[0]
 
     named = lexicon.select("block", "word", F.col("id").alias("x"), F.col("c").alias("n"))
-    grams = kept.select("block", F.col("ab").alias("x"), "third", "n")
-    facts = named.where("x >= 0").join(used_by_words, "x", "left")
-    for more in (named.where("x < 0"), grams.where("third = 0").join(used_by_pairs, "x", "left"), grams.where("third > 0")):
-        facts = facts.unionByName(more, allowMissingColumns=True)
-    facts = facts.select("block", "word", "x", "third", "n", "used")
-    scorer = _scorer(tokens, types, ends, math.nan if start_used is None else start_used, settings.discount)
+    facts = named.where("x >= 0").join(used_by_words, "x", "left").unionByName(named.where("x < 0"), allowMissingColumns=True)
+    totals = added.where("kind IN ('two', 'three')").unionByName(used)
+    facts = facts.unionByName(totals.select("kind", "bucket", "block", F.col("n").alias("totals"), "types"), allowMissingColumns=True)
+    facts = facts.select("block", "word", "x", "n", "used", "kind", "bucket", "totals", "types")
+    scorer = _scorer(tokens, types, ends, math.nan if start_used is None else start_used, settings.discount, buckets)
     return (
         dealt.groupBy("block")
         .cogroup(facts.groupBy("block"))
