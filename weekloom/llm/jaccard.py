@@ -11,8 +11,8 @@ puts on signatures, one shared signature always stays. No link is lost.
 Sets that share a signature form groups. Equal sets are one class from the start. In a group, sets
 first meet leaders only; groups that then lie in one component are done. What is left meets across
 components in blocks, where a parity sketch (a lower bound of the difference) drops pairs that
-cannot link; a pair that stands in several groups comes out of the smallest of them only. All pairs
-that pass are decided on the whole sets.
+cannot link; a pair that stands in several groups is left to the earlier ones where they are seen. All
+pairs that pass are decided on the whole sets.
 
 That finds the components, not every link inside them. All links lie inside components; where they
 are asked for, those of each class are counted there: block by block, every pair on the whole sets.
