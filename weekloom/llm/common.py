@@ -76,6 +76,17 @@ def release_memory() -> None:
         pass
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage on the driver: shuffle and checkpoint files of frames that nothing refers to are deleted then.
+
+    Jobs of many rounds ask for it, as the driver alone would keep the files of all rounds until its heap fills.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: str) -> list[bytes]:
     """Words with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import cut_lineage
+from weekloom.llm.common import let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,3 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         if jumped.where(F.col("old") != F.col("label")).isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
+        del near, lower, onward, jumped
+        let_go(edges.sparkSession)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.collocations import Polynomials
-from weekloom.llm.common import SPACES, arrow_map, id_text, stored
+from weekloom.llm.common import SPACES, arrow_map, id_text, let_go, stored
 from weekloom.llm.components import components
 from weekloom.llm.wordarrays import SPACE, WordArrays
 
@@ -403,6 +403,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = members.groupBy("g", "block").applyInArrow(_leaders, "a long, b long")
     links = stored(decide(pairs.unionByName(leaders), elements), "links")
 
+    let_go(links.sparkSession)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
         "label", F.coalesce("label", "set")
@@ -420,6 +421,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     more = decide(dealt.groupBy("g", "i", "j").applyInArrow(_across, "a long, b long"), elements)
     links = stored(links.unionByName(more).distinct(), "all_links")
+    del more, dealt, labels
+    let_go(links.sparkSession)
 
     reps = classes.select("set", "rep")
     edges = links.join(reps.withColumnRenamed("set", "a").withColumnRenamed("rep", "u"), "a").join(
