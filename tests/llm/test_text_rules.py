@@ -75,6 +75,16 @@ def test_line_dedup_by_brute_force(name, request):
     assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_runs_hold_a_hash_once_however_they_are_merged(spark):
+    """A line of four documents in several batches and levels counts four, one of five counts five."""
+    four = [f"line {k} of more than forty characters that four documents share" for k in range(150)]
+    five = [f"line {k} of more than forty characters that five documents share" for k in range(150)]
+    rows = [(i, "\n".join([*(four if i % 50 == 7 and i < 200 else []), *(five if i % 50 == 9 else []), f"own line {i} " * 5])) for i in range(250)]
+    for batches, fanout in ((4, 3), (6, 2)):
+        found = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches, fanout=fanout)
+        assert {r.doc_id: r.n_dropped for r in found.where("n_dropped > 0").collect()} == {i: 150 for i in (9, 59, 109, 159)}
+
+
 def test_line_dedup_of_nothing(nothing):
     assert linededup.line_dedup(nothing).count() == 0
 
