@@ -162,3 +162,18 @@ def test_forward_fill_uses_training_values_only(spark):
     medians = spark.createDataFrame([("a", 3.0)], "geography string, t double")
     got = [r.t for r in X.forward_fill(df, G, ["t"], medians).orderBy("week_start_date").collect()]
     assert got == [3.0, 2.0, 4.0, 4.0, 4.0, 9.0]
+
+
+def test_folding_takes_no_longer_for_characters_of_several_letters(spark):
+    import time
+
+    from weekloom.functions.cleaning import fold_text
+
+    text = "\U0001f600 Stra\u00dfe \ufb01n \u00bd \uac00 \u00e9 \U0001d400 " * 100
+    rows = spark.createDataFrame([(i, f"{text}{i}") for i in range(600)], "i long, t string").repartition(4)
+    want = " ".join(["\U0001f600 STRASSE FIN 1\u20442 \u1100\u1161 E A"] * 100)
+    fold = lambda n: rows.limit(n).select("i", fold_text("t").alias("f")).collect()
+    fold(1)
+    began = time.time()
+    assert {(r.i, r.f) for r in fold(600)} == {(i, f"{want} {i}") for i in range(600)}
+    assert time.time() - began < 10

@@ -83,37 +83,53 @@ def _mark_class() -> str:
     return _char_class([p for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))]) + "+"
 
 
+_PAGE = 64
+
+
 @lru_cache(maxsize=1)
-def _unfolded() -> str:
-    """Entries ``character, its letters`` for all characters that unfold to several, from the Unicode rule."""
-    entries = []
+def _unfolded() -> tuple[str, str]:
+    """Letters of all characters that unfold to several, by code point, from the Unicode rule.
+
+    Pages of 64 code points that have such a character stand one after the other, each character with its letters or
+    itself. The first list has, for every page, its number among them, or nothing.
+    """
+    found: dict[int, str] = {}
     for point in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
         ch = chr(point)
         letters = unicodedata.normalize("NFKD", ch)
         if letters != ch and (point > 0xFFFF or len(letters) > 1):
             bare = "".join(c for c in letters if not unicodedata.combining(c)).upper()
             if point > 0xFFFF or len(bare) > 1:
-                entries.append(f"{ch}\x02{bare}")
-    return "\x01".join(entries)
+                found[point] = bare
+    used = sorted({point // _PAGE for point in found})
+    places = {page: str(i) for i, page in enumerate(used)}
+    letters = [found.get(point, chr(point)) for page in used for point in range(page * _PAGE, (page + 1) * _PAGE)]
+    return "\x01".join(places.get(page, "") for page in range(used[-1] + 1)), "\x01".join(letters)
+
+
+def _decompose(text: Column, several: str) -> Column:
+    """Characters of the class ``several`` spelled out: each is looked up by its code point, the stretches between stay whole."""
+    pages, letters = (F.split(F.lit(x), "\x01") for x in _unfolded())
+    parts = F.regexp_extract_all(text, F.lit(f"{several}|[^{several[1:]}+"), F.lit(0))
 
+    def spelled(part: Column) -> Column:
+        point = F.ascii(part)
+        page = F.get(pages, F.shiftright(point, 6)).try_cast("int")
+        return F.when(F.char_length(part) == 1, F.coalesce(F.get(letters, page * _PAGE + point % _PAGE), part)).otherwise(part)
 
-def _decompose(text: Column) -> Column:
-    """Characters that unfold to several, spelled out; the table is a constant of the plan."""
-    letters = F.str_to_map(F.lit(_unfolded()), F.lit("\x01"), F.lit("\x02"))
-    several = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
-    return F.concat_ws("", F.transform(several, lambda c: F.coalesce(F.element_at(letters, c), c)))
+    return F.concat_ws("", F.transform(parts, spelled))
 
 
 def fold_text(text: Column | str) -> Column:
     """Upper case, no accents, single blanks; compatibility characters are spelled out.
 
     Expressions do all of it. Only texts with a character that unfolds to several (a ligature,
-    an ellipsis) are taken apart and looked up character by character.
+    an ellipsis) are taken apart, and only such characters are looked up.
     """
     one_from, one_to, several = _folding_tables()
     raw = _c(text)
     ascii_only = ~raw.rlike(r"[^\x00-\x7F]")
-    whole = F.when(~ascii_only & raw.rlike(several), _decompose(raw)).otherwise(raw)
+    whole = F.when(~ascii_only & raw.rlike(several), _decompose(raw, several)).otherwise(raw)
     plain = F.translate(F.upper(whole), one_from, one_to)
     unmarked = F.when(ascii_only, F.upper(raw)).otherwise(F.regexp_replace(plain, _mark_class(), ""))
     return F.trim(F.regexp_replace(unmarked, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}]+", " "))
