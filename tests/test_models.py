@@ -208,3 +208,24 @@ def test_registered_models_use_the_published_settings():
         text = Path(module.__file__).read_text()
         assert "rounds=" not in text and "validation_years" not in text and "folds=" not in text
     assert ML.TreeSettings() == ML.TreeSettings(rounds=90, step=0.05, depth=4)
+
+
+def test_outbreak_classifier_returns_every_held_out_row(spark, monkeypatch):
+    import datetime as dt
+
+    from weekloom.plans import queries_models as Q
+    from weekloom.plans import tables as V
+
+    start, rows = dt.date(1997, 1, 6), []
+    for i in range(230):
+        week = start + dt.timedelta(weeks=i)
+        for s in ("a", "b"):
+            rows.append((s, week, week.year, int(i % 3 == 0), *[float((i * (k + 1)) % 7 + 5 * (i % 3 == 0)) for k in range(len(Q.FEATURES))]))
+    frame = spark.createDataFrame(rows, "geography string, week_start_date date, year int, outbreak_label int, " + ", ".join(f"{c} double" for c in Q.FEATURES))
+    monkeypatch.setattr(Q, "training_frame", lambda *_: frame)
+    settings = ML.TreeSettings(rounds=2)
+    monkeypatch.setattr(Q.ML, "TreeSettings", lambda: settings)
+    found = V.QUERIES["outbreak_classifier"](spark, "")
+    want = {(r[0], r[1], r[3], True, True) for r in rows if r[2] >= 2000}
+    assert found.columns == ["geography", "week_start_date", "outbreak_label", "outbreaks_score_higher", "probability_holds"]
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)

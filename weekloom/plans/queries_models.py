@@ -77,24 +77,22 @@ def _(spark, sf):
 @query(
     "outbreak_classifier",
     """
-SELECT CAST(count(*) AS BIGINT) AS scored_rows, CAST(sum(l.outbreak_label) AS BIGINT) AS outbreak_rows, TRUE AS outbreaks_score_higher,
- TRUE AS between_0_and_1
+SELECT geography, week_start_date, l.outbreak_label, TRUE AS outbreaks_score_higher, TRUE AS probability_holds
 FROM v_labelled l JOIN v_lags g USING (geography, week_start_date)
 WHERE l.outbreak_label IS NOT NULL AND g.cases_mean_8 IS NOT NULL AND l.year >= 2000""",
     ("v_labelled", "v_lags"),
 )
 def _(spark, sf):
-    """Held-out rows; ``outbreaks_score_higher``: training outbreak weeks got a higher mean probability than the others."""
+    """Every held-out row; ``outbreaks_score_higher``: training outbreak weeks got a higher mean probability than the others."""
     rows = cut_lineage(training_frame(spark, sf).filter("outbreak_label IS NOT NULL"))
     train = ML.balanced(rows.filter("year < 2000"), "outbreak_label")
     model = ML.outbreak_classifier(train, FEATURES, "outbreak_label", ML.TreeSettings(), "_weight")
-    p = ML.predict_probability(model, rows, FEATURES, "probability").withColumn("held", F.col("year") >= 2000)
+    p = cut_lineage(ML.predict_probability(model, rows, FEATURES, "probability"))
     high = F.col("outbreak_label") == 1
-    seen = lambda c: F.avg(F.when(~F.col("held") & c, F.col("probability")))
-    return p.agg(
-        F.count_if("held").alias("scored_rows"), F.count_if(F.col("held") & high).alias("outbreak_rows"),
-        (seen(high) > seen(~high)).alias("outbreaks_score_higher"), F.bool_and(F.col("probability").between(0.0, 1.0)).alias("between_0_and_1"),
-    )
+    mean = lambda c: F.avg(F.when(c, F.col("probability")))
+    seen = p.filter("year < 2000").agg((mean(high) > mean(~high)).alias("outbreaks_score_higher"))
+    scored = p.filter("year >= 2000").select(*KEY, "outbreak_label", F.col("probability").between(0.0, 1.0).alias("probability_holds"))
+    return scored.crossJoin(F.broadcast(seen)).select(*KEY, "outbreak_label", "outbreaks_score_higher", "probability_holds")
 
 
 @query(
