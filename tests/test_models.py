@@ -229,3 +229,19 @@ def test_outbreak_classifier_returns_every_held_out_row(spark, monkeypatch):
     want = {(r[0], r[1], r[3], True, True) for r in rows if r[2] >= 2000}
     assert found.columns == ["geography", "week_start_date", "outbreak_label", "outbreaks_score_higher", "probability_holds"]
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_periods_of_the_surge_experiment_are_fitted_at_once(spark, monkeypatch):
+    import threading
+    from types import SimpleNamespace
+
+    both = threading.Barrier(2, timeout=30)
+
+    def fitted(rows, features, series, label, *_, **__):
+        both.wait()
+        return SimpleNamespace(metrics=rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+
+    monkeypatch.setattr(W, "quantile_forecaster", fitted)
+    frame = spark.createDataFrame([("a", date(2000, 1, 3) + timedelta(weeks=i)) for i in range(10)], "s string, week_start_date date")
+    found = W.surge_experiment(frame, ["s"], {"all": "2001-01-01", "early": "2000-01-16"}, ["x"])
+    assert [tuple(r) for r in found.select("s", "period", "n").collect()] == [("a", "all", 10), ("a", "early", 2)]

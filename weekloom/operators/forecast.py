@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom import schemas as S
-from weekloom.config import cut_lineage
+from weekloom.config import cut_lineage, shared_folder
 from weekloom.functions.calendar import harmonics
 from weekloom.functions.rules import ordered_quantiles
 from weekloom.operators import features as X
@@ -414,17 +416,24 @@ def surge_experiment(
     settings: ML.TreeSettings = ML.TreeSettings(),
     validation_years: int = 4,
 ) -> DataFrame:
-    """The recent-case forecaster on several periods, each up to its last week, side by side."""
+    """The recent-case forecaster on several periods, each up to its last week, side by side.
+
+    No period needs another's models and a boosting step keeps few cores busy, so all periods are fitted at once.
+    """
     features = features or S.EXACT_FEATURES
-    reports = []
-    for label, last in periods.items():
-        rows = frame.filter(F.col(WEEK) <= F.lit(last).cast("date"))
+
+    def report(label: str) -> DataFrame:
+        rows = frame.filter(F.col(WEEK) <= F.lit(periods[label]).cast("date"))
         fitted = quantile_forecaster(
             rows, features, series, label, "cases_lag_1", validation_years, settings, fallback=True,
             minimum_labelled_years=3,
         )
-        reports.append(fitted.metrics.withColumn("period", F.lit(label)))
-    return union_parts(reports)
+        return fitted.metrics.withColumn("period", F.lit(label))
+
+    shared_folder(frame.sparkSession)  # named before the threads ask for it
+    with ThreadPoolExecutor(max(1, len(periods))) as pool:
+        fits = [pool.submit(inheritable_thread_target(frame.sparkSession)(report), label) for label in periods]
+        return union_parts([fit.result() for fit in fits])
 
 
 def what_if_rows(
