@@ -197,6 +197,43 @@ def test_lm_weights_sum_to_one(corpus):
     assert total == pytest.approx(1)
 
 
+def test_lm_arrays_only(corpus, monkeypatch):
+    """Between blocks and buckets travel arrays, not a row for each word; many buckets and small blocks change no score."""
+    rows, words = [], set()
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(lm, "stored", lambda df, name, put=lm.stored: rows.append((found := put(df, name)).count()) or found)
+    settings = lm.LmSettings(block_bytes=30_000)
+    found = lm.lm_scores(corpus, lm.crc_share("doc_id", 7, 2), settings=settings).collect()
+    texts = [(r.doc_id, r.text) for r in corpus.collect()]
+    for _, text in texts:
+        words.update((text or "").lower().split())
+    assert sum(rows) < len(words)
+    want = {r[0]: r for r in brute_scores(texts, settings)}
+    assert {r.doc_id: r.n_known for r in found} == {i: r[2] for i, r in want.items()}
+    assert {r.doc_id: r.base_score for r in found} == pytest.approx({i: r[4] for i, r in want.items()}, rel=1e-9)
+    assert {r.doc_id: r.score for r in found} == pytest.approx({i: r[5] for i, r in want.items()}, rel=1e-9)
+
+
+def test_trigrams_of_kept_bigrams_travel():
+    import numpy as np
+
+    s = np.array([3, 4, 5, 6, 3, 4, 5, 7])
+    two = lm.Grams.of_words(np.append(lm.START, s[:-1]), s, np.ones(len(s), int))
+    kept = two.n >= 2  # 3 4 and 4 5
+    three = two.longer(np.where(kept, np.cumsum(kept) - 1, -1), kept, s, np.array([0]), np.ones(len(s), int))
+    assert [(int(h), int(w), int(n)) for h, w, n in zip(three.heads, three.last, three.n, strict=True)] == [(0, 5, 2)]
+    assert three.place.tolist() == [-1, -1, 0, -1, -1, -1, 0, -1]
+
+
+def test_blocks_are_cut_in_order():
+    import pyarrow as pa
+
+    texts = ["abc", "", "d" * 9, "ef", "", "ghij"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in (texts[:2], [], texts[2:])]
+    for size, want in ((4, [["abc", "", "d" * 9], ["ef", "", "ghij"]]), (1, [["abc"], ["", "d" * 9], ["ef"], ["", "ghij"]]), (99, [texts])):
+        assert [t.column("text").to_pylist() for t in lm._chunks(batches, size)] == want
+
+
 def test_lm_without_training_rows(corpus, nothing):
     held = lm.lm_scores(corpus, F.lit(True)).collect()
     assert len(held) == corpus.count() and all(r.n_known == 0 and r.train_tokens == 0 for r in held)

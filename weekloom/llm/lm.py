@@ -6,34 +6,39 @@ a failure arc with the weight left over by discounting leads from each state to
 history. Weights sum to one in every state. No word is left out of histories: a word that is seen
 less often than ``min_count`` cannot be in an n-gram that is kept.
 
-Counts come from all training documents. No machine holds the whole model: documents are dealt
-into blocks of bounded size, each block receives exactly the words and n-grams that it contains
-by joins, weighs its part of the automaton and scores its documents in one traversal each. Words
-are numbered in Spark, the frequent ones first. The n-grams of a block travel to be counted as
-compressed arrays, dealt by a hash of the whole n-gram. What comes back to a block are the totals alone,
-in the order in which the block had sent its n-grams, which it finds again in its texts; sums over the
-n-grams of a history are added up where the history is counted.
+Counts come from all training documents. No machine holds the whole model: each task cuts its
+documents into blocks of bounded size and stores every block once, as places in the block's own
+word list. From then on only arrays travel. Words, then bigrams, then those trigrams whose two
+bigrams are kept go to buckets dealt by a hash of the whole n-gram, are added up and numbered
+there, and answers come back in the order in which the block had sent its own, so they need no
+keys. Sums over the n-grams of a history are added up where the history is counted. At last each
+block weighs its part of the automaton and scores its documents in one traversal.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import arrow_map, partitions, release_memory, stored
+from weekloom.llm.common import SPACES, let_go, partitions, release_memory, stored
+from weekloom.llm.wordarrays import SPACE, WordArrays
 
 START, END, FIRST_WORD = 1, 2, 3  # 0 stands for no third word
-END_WORD = b""  # no word is empty
 BITS = 31
 MASK = (1 << BITS) - 1
-BUCKET_BYTES = 4 << 20  # text whose n-grams one task counts at a time
+BUCKET_BYTES = 16 << 20  # text whose n-grams of one length one task counts at a time
+
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[ord("A") : ord("Z") + 1] += 32
+_BYTES[list(SPACES)] = SPACE
 
 
 @dataclass(frozen=True)
@@ -49,104 +54,19 @@ def crc_share(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def _packer():
-    """Texts travel to their block compressed."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-
-    def of_batch(batch):
-        texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        columns = [*[batch.column(n) for n in ("block", "doc_id", "held_out")], pa.array(texts, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "packed"])
-
-    return of_batch
+#: What blocks and buckets send each other: kind, bucket, block and up to three packed arrays.
+#: ``word`` (to a bucket: the words' lengths, their bytes, training counts; back: numbers, totals), ``two`` and ``three``
+#: (to a bucket: n-grams with counts; back: totals, and of kept bigrams their ranks), ``word_used`` and ``two_used`` (to the
+#: bucket of a history: ranks, total and number of its kept n-grams; back: the same two in a block's order),
+#: ``start_used`` (the same of START, for all blocks).
+ARRAYS = "kind string, bucket long, block long, a binary, b binary, c binary"
+NAMES = ("kind", "bucket", "block", "a", "b", "c")
 
 
-def unpacker():
+def _codec():
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    return lambda packed: unpack(packed).lower().split()
-
-
-def _word_counter(flush: int = 500_000):
-    """Words of each block, END among them, with their training counts."""
-
-    def run(batches):
-        words_in = unpacker()
-        blocks: dict[int, Counter] = {}
-        for batch in batches:
-            for block, held_out, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                counts = blocks.setdefault(block, Counter())
-                words = [*words_in(packed), END_WORD]
-                if held_out:
-                    for w in words:
-                        counts[w] += 0
-                else:
-                    counts.update(words)
-            if sum(map(len, blocks.values())) > flush:
-                for block, counts in blocks.items():
-                    yield _counted(block, counts)
-                blocks = {}
-        for block, counts in blocks.items():
-            yield _counted(block, counts)
-        del blocks
-        release_memory()
-
-    return run
-
-
-def _counted(block: int, counts: Counter) -> pa.RecordBatch:
-    columns = [np.full(len(counts), block), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["block", "word", "c"])
-
-
-def numbered(words: DataFrame, least: float) -> DataFrame:
-    """(word, c, id): numbers from FIRST_WORD by falling count for words seen ``least`` times, END its own, -1 for others."""
-    spark = words.sparkSession
-    often = words.where((F.col("c") >= least) & (F.col("word") != F.lit(END_WORD)))
-    often = often.repartitionByRange(partitions(spark), F.desc("c"), F.asc("word")).sortWithinPartitions(F.desc("c"), F.asc("word"))
-    part = F.spark_partition_id().alias("part")
-    often = stored(often.select("word", "c", part, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "numbered")
-    offsets, n = [], FIRST_WORD
-    for p, size in sorted(often.groupBy("part").count().collect()):  # one number a partition
-        offsets.append((p, n))
-        n += size
-    if n > MASK:
-        raise ValueError("too many words to number")
-    first = F.broadcast(spark.createDataFrame(offsets, "part int, first long"))
-    rare = words.where((F.col("c") < least) & (F.col("word") != F.lit(END_WORD)))
-    ends = words.where(F.col("word") == F.lit(END_WORD))
-    return (
-        often.join(first, "part").select("word", "c", (F.col("first") + F.col("k")).alias("id"))
-        .unionByName(rare.select("word", "c", F.lit(-1).cast("long").alias("id")))
-        .unionByName(ends.select("word", "c", F.lit(END).cast("long").alias("id")))
-    )
-
-
-def sequence(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """Numbers of a text between START and END; -1 marks words without histories."""
-    out = np.empty(len(words) + 2, dtype=np.int64)
-    out[0], out[-1] = START, END
-    out[1:-1] = np.fromiter((ids.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-    return out
-
-
-def gram_counts(texts: list[np.ndarray], training: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First two words in one number, third word or 0, and training count of all bigrams and trigrams of the texts."""
-    s = np.concatenate(texts)
-    counts = np.repeat(np.array(training, dtype=np.int64), [len(t) for t in texts])[1:]
-    ok = (s[:-1] >= 0) & (s[1:] >= 0) & (s[1:] != START)
-    two, place = np.unique((s[:-1][ok] << BITS) | s[1:][ok], return_inverse=True)
-    n2 = np.bincount(place, weights=counts[ok], minlength=len(two))
-    at = np.full(len(ok), -1)
-    at[ok] = place
-    ok3 = ok[:-1] & ok[1:]
-    three, place = np.unique((at[:-1][ok3] << BITS) | s[2:][ok3], return_inverse=True)
-    n3 = np.bincount(place, weights=counts[1:][ok3], minlength=len(three))
-    ab = np.concatenate([two, two[three >> BITS]])
-    return ab, np.concatenate([np.zeros(len(two), np.int64), three & MASK]), np.concatenate([n2, n3]).astype(np.int64)
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -174,210 +94,397 @@ def bucket_of(ab: np.ndarray, third: np.ndarray, buckets: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
 
 
-def laid_out(ab: np.ndarray, third: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of a block's n-grams by bucket, bigrams before trigrams in each, and where (bucket, is trigram) changes."""
-    place = 2 * bucket_of(ab, third, buckets) + (third > 0)
-    order = np.argsort(place, kind="stable")
-    return order, place[order]
+def _packed_rows(rows: list[tuple], pack) -> pa.Table:
+    """Rows of ARRAYS; arrays of numbers are packed, bytes are taken as they are."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    rows = [(*r, None, None, None)[: len(NAMES)] for r in rows]
+    columns = [[r[i] for r in rows] for i in range(len(NAMES))]
+    flat = lambda x: _planes(x) if isinstance(x, np.ndarray) else x
+    columns[3:] = [[None if x is None else pack(flat(x)) for x in c] for c in columns[3:]]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(NAMES, columns, kinds, strict=True)})
+
+
+def _rows(table: pa.Table, *names: str) -> list[tuple]:
+    return list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
+
 
+def _narrow(x: np.ndarray, kind=np.int32) -> np.ndarray:
+    """Numbers of a column that always has this width."""
+    return x.astype(kind)
 
-def _gram_counter(buckets: int):
-    """Rows by block, its words before its documents; n-grams leave as one array for each bucket and length.
 
-    What a block holds decides its arrays, not the order of its documents: the answers need no keys to be matched.
+def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by bucket, and where each bucket begins in it (and the last one ends)."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+
+
+def gram_counts(texts: list[np.ndarray], training: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First two words in one number, third word or 0, and training count of all bigrams and trigrams of the texts.
+
+    Texts are numbers between START and END, -1 for words without histories.
+    """
+    s = np.concatenate(texts)
+    sizes = np.array([len(t) for t in texts])
+    inner = np.ones(len(s), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    first = (np.cumsum(sizes) - sizes) - np.arange(len(texts))
+    two = Grams.of_words(s[:-1][inner[1:]], s[inner], np.repeat(training, sizes - 1))
+    three = two.longer(two.keys, np.ones(len(two.keys), bool), s[inner], first, np.repeat(training, sizes - 1))
+    zeros = np.zeros(len(two.keys), np.int64)
+    ab = np.concatenate([two.keys, three.heads])
+    return ab, np.concatenate([zeros, three.last]), np.concatenate([two.n, three.n])
+
+
+class Grams:
+    """Distinct n-grams of one length in a block: a number for all but the last word (``heads``), ``last``, training count ``n``.
+
+    ``place``: of each token, that of the n-gram that ends there, -1 if it has none; ``token``: one where each ends.
+    """
+
+    def __init__(self, heads: np.ndarray, last: np.ndarray, ok: np.ndarray, training: np.ndarray):
+        at = np.flatnonzero(ok)
+        keys, place = _distinct(heads[at], last[at])
+        self.place = np.full(len(ok), -1)
+        self.place[at] = place
+        self.token = np.empty(len(keys), np.int64)
+        self.token[place] = at
+        self.heads, self.last = heads[self.token], last[self.token]
+        self.n = np.bincount(place, weights=training[at], minlength=len(keys)).astype(np.int64)
+
+    @classmethod
+    def of_words(cls, before: np.ndarray, words: np.ndarray, training: np.ndarray) -> Grams:
+        found = cls(before, words, (before >= 0) & (words >= 0), training)
+        found.keys = (found.heads << BITS) | found.last
+        return found
+
+    def longer(self, numbers: np.ndarray, kept: np.ndarray, words: np.ndarray, first: np.ndarray, training: np.ndarray) -> Grams:
+        """Of bigrams: the trigrams whose two bigrams are kept; heads are the numbers of their first ones."""
+        ok = np.append(kept, False)[self.place]
+        before = np.concatenate(([-1], self.place[:-1]))
+        both = ok & np.concatenate(([False], ok[:-1]))
+        both[first] = False
+        heads = np.append(numbers, -1)[before]
+        return Grams(heads, words, both, training)
+
+    def buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order in which a block sends its n-grams, and where the buckets begin in it."""
+        return by_bucket(bucket_of(self.heads, self.last, buckets), buckets)
+
+    def messages(self, kind: str, block: int, buckets: int) -> list[tuple]:
+        order, starts = self.buckets(buckets)
+        return [
+            (kind, b, block, pack_grams(self.heads[own], self.last[own], self.n[own]))
+            for b, own in ((b, order[starts[b] : starts[b + 1]]) for b in range(buckets))
+            if len(own)
+        ]
+
+
+def _distinct(heads: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, as one number if they fit, and the place of each pair among them."""
+    if len(heads) and heads.max() > MASK:
+        heads = np.unique(heads, return_inverse=True)[1]
+    return np.unique((heads << BITS) | last, return_inverse=True)
+
+
+def _chunks(batches, held_bytes: int):
+    """Tables of about ``held_bytes`` of text each, out of record batches with a column ``text``."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = done = 0
+        while lo < batch.num_rows:
+            hi = min(batch.num_rows, int(np.searchsorted(ends, done + held_bytes - size)) + 1)
+            held.append(batch.slice(lo, hi - lo))
+            size += int(ends[hi - 1]) - done
+            lo, done = hi, int(ends[hi - 1])
+            if size >= held_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_maker(block_bytes: int, buckets: int):
+    """Documents to blocks: a row with the texts as places in the block's words, and the words themselves, dealt to buckets.
+
+    Words go by falling frequency in the block; END, the word without letters, is one of them and ends each text.
     """
 
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        words_in = unpacker()
-        block, ids, texts, training = None, {}, [], []
-
-        def counted():
-            ab, third, c = gram_counts(texts, training)
-            order, place = laid_out(ab, third, buckets)
-            ab, third, c = ab[order], third[order], c[order]
-            starts = np.flatnonzero(np.diff(place, prepend=-1))
-            data = [pack(pack_grams(ab[i:j], third[i:j], c[i:j])) for i, j in zip(starts, [*starts[1:], len(ab)], strict=True)]
-            columns = [pa.array(place[starts] // 2), pa.array(np.full(len(starts), block)), pa.array(place[starts] % 2 == 1), pa.array(data, pa.binary())]
-            texts.clear()
-            training.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "three", "grams"])
-
-        for batch in batches:
-            for at, word, number, held_out, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != block:
-                    if texts:
-                        yield counted()
-                    block, ids = at, {}
-                if packed is None:
-                    ids[word] = number
-                    continue
-                texts.append(sequence(words_in(packed), ids))
-                training.append(not held_out)
-        if texts:
-            yield counted()
-        del ids, texts
-        release_memory()
+        pack, _ = _codec()
+        for i, docs in enumerate(_chunks(batches, block_bytes)):
+            yield from block_rows((TaskContext.get().partitionId() << 32) + i, docs, pack)
+            del docs
+            release_memory()
+
+    def block_rows(block: int, docs: pa.Table, pack):
+        held = docs.column("held_out").to_pylist()
+        words = WordArrays(docs.column("text").cast(pa.large_binary()).to_pylist(), _BYTES, None)
+        sizes = words.size + 1
+        x = np.full(int(sizes.sum()), len(words.dictionary))
+        x[np.arange(len(words.ids)) + words.text] = words.ids
+        often = np.argsort(-np.bincount(x, minlength=len(words.dictionary) + 1), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        codes = rank[x]
+        training = np.repeat([not h for h in held], sizes)
+        counts = np.bincount(codes, weights=training, minlength=len(often)).astype(np.int64)
+        names = pa.concat_arrays([words.dictionary, pa.array([b""], pa.binary())])
+        dealt = (np.fromiter(map(zlib.crc32, names.to_pylist()), np.int64, len(names)) % buckets)[often]
+        order, starts = by_bucket(dealt, buckets)
+        offsets, data = _bytes_of(names.take(pa.array(often[order])))
+        lengths, sent = _narrow(np.diff(offsets)), counts[order]
+        rows = []
+        for b in range(buckets):
+            lo, hi = starts[b], starts[b + 1]
+            if lo < hi:
+                rows.append(("word", b, block, lengths[lo:hi], data[offsets[lo] : offsets[hi]], sent[lo:hi]))
+        table = _packed_rows(rows, pack)
+        tokens = pa.array(np.array([training.sum()], np.int64))
+        own = [pa.array([pack(_planes(_narrow(v)))], pa.binary()) for v in (codes, dealt, 2 * sizes + np.array([bool(h) for h in held]))]
+        lists = [pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column(c).combine_chunks()) for c in ("doc_id", "held_out")]
+        extra = dict(zip(BLOCK_NAMES, [tokens, *own, *lists], strict=True))
+        first = pa.table({"kind": pa.array(["texts"]), "block": pa.array([block], pa.int64()), **extra})
+        return pa.concat_tables([first, table], promote_options="default").select([*NAMES, *BLOCK_NAMES]).to_batches()
 
     return run
 
 
-def _codec():
-    import zstandard
+BLOCK_NAMES = ("tokens", "codes", "dealt", "sizes", "ids", "held")
 
-    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of an array of binaries that is not a slice."""
+    _, offsets, data = words.buffers()
+    return np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64), memoryview(data or b"")
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple:
-    """Distinct keys in order with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
+def _word_adder(least: float, buckets: int):
+    """All words of one bucket: numbers and totals to each block, and how many words there are in training.
 
-ADDED = "kind string, bucket long, block long, keys binary, n binary, types binary"
+    A number is the word's rank by falling count, dealt between the buckets; -1 for words seen less than ``least`` times.
+    """
 
+    def add(table: pa.Table) -> pa.Table:
+        pack, unpack = _codec()
+        bucket = table.column("bucket")[0].as_py()
+        blocks, lengths, data, n = zip(*_rows(table, "block", "a", "b", "c"), strict=True)
+        lengths = [_numbers(unpack(x), np.int32) for x in lengths]
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64)))
+        n = np.concatenate([_numbers(unpack(x), np.int64) for x in n])
+        data = b"".join(map(unpack, data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        place, size = coded.indices.to_numpy(), len(coded.dictionary)
+        total = np.bincount(place, weights=n, minlength=size).astype(np.int64)
+        is_end = pc.binary_length(coded.dictionary).to_numpy() == 0
+        often = np.flatnonzero((total >= least) & ~is_end)
+        often = often[np.argsort(-total[often], kind="stable")]
+        number = np.full(size, -1)
+        number[often] = FIRST_WORD + np.arange(len(often)) * buckets + bucket
+        number[is_end] = END
+        if size and number.max() > MASK:
+            raise ValueError("too many words to number")
+        at = np.concatenate(([0], np.cumsum([len(x) for x in lengths])))
+        rows = [
+            ("word", bucket, block, _narrow(number[place[lo:hi]]), total[place[lo:hi]])
+            for block, lo, hi in zip(blocks, at, at[1:], strict=False)
+        ]
+        found = np.array([np.count_nonzero(total), total[is_end].sum()], np.int64)
+        table = _packed_rows([*rows, ("types", bucket, None)], pack)
+        none = [None] * len(rows)
+        return table.append_column("types", pa.array([*none, found[0]], pa.int64())).append_column("ends", pa.array([*none, found[1]], pa.int64()))
 
-def _row(pack, kind: str, bucket: int, block, keys=None, n=None, types=None) -> tuple:
-    """A row of ADDED: sorted keys as steps, numbers by their bytes."""
-    parts = (None if keys is None else np.diff(keys, prepend=0), n, types)
-    return kind, bucket, block, *(None if x is None else pack(_planes(x.astype(np.int64))) for x in parts)
+    return add
 
 
-def _rows_of(found: list[tuple]) -> pa.Table:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["kind", "bucket", "block", "keys", "n", "types"]
-    return pa.table({x: pa.array([r[i] for r in found], k) for i, (x, k) in enumerate(zip(names, kinds, strict=True))})
+def _sums(kind: str, heads: np.ndarray, first: int, total: np.ndarray, buckets: int) -> list[tuple]:
+    """What histories have used, dealt to the buckets that have numbered them: ranks, totals, numbers of n-grams."""
+    heads, place = np.unique(heads, return_inverse=True)
+    n, types = (np.bincount(place, weights=w, minlength=len(heads)).astype(np.int64) for w in (total, None))
+    order, starts = by_bucket((heads - first) % buckets, buckets)
+    return [
+        (kind, b, None, np.diff((heads[own] - first) // buckets, prepend=0), n[own], types[own])
+        for b, own in ((b, order[starts[b] : starts[b + 1]]) for b in range(buckets))
+        if len(own)
+    ]
 
 
-def _gram_adder(min_count: int, buckets: int):
-    """All arrays of one bucket: to each block the totals of its n-grams in its own order, and what histories have used.
+def _gram_adder(kind: str, min_count: int, buckets: int):
+    """All n-grams of one bucket: totals to each block (0: not kept), and what their histories have used.
 
-    Kinds: ``two`` and ``three`` (to a block: totals; the kept bigrams by key), ``pairs`` (to the bucket of a history of two
-    words: total and number of its kept trigrams), ``words`` (the same for histories of one word).
+    Kept bigrams are numbered like words, and each block learns the ranks of its own.
     """
 
     def add(table: pa.Table) -> pa.Table:
         pack, unpack = _codec()
-        bucket, out, heads = table.column("bucket")[0].as_py(), [], None
-        is_three = table.column("three").to_numpy(zero_copy_only=False)
-        for three in (True, False):
-            part = table.filter(pa.array(is_three == three))
-            if not part.num_rows:
-                continue
-            found = [unpack_grams(unpack(x)) for x in part.column("grams").to_pylist()]
-            ab, third, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            distinct, place = np.unique(ab, return_inverse=True)
-            both, first, place = np.unique((place << BITS) | third, return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=c).astype(np.int64)
-            kept = total >= min_count
-            totals = np.where(total[place] >= min_count, total[place], 0)
-            at = np.cumsum([0, *(len(x[0]) for x in found)])
-            for block, lo, hi in zip(part.column("block").to_pylist(), at, at[1:], strict=False):
-                mine = totals[lo:hi]
-                out.append(_row(pack, "three" if three else "two", bucket, block, None if three else ab[lo:hi][mine > 0], mine))
-            heads = ab[first][kept] if three else ab[first][kept] >> BITS
-            keys, n, types = _summed(heads, total[kept], np.ones(int(kept.sum()), np.int64))
-            if not three:
-                out.append(_row(pack, "words", bucket, None, keys, n, types))
-                continue
-            to = bucket_of(keys, np.zeros(len(keys), np.int64), buckets)
-            order = np.argsort(to, kind="stable")
-            starts = np.flatnonzero(np.diff(to[order], prepend=-1))
-            for i, j in zip(starts, [*starts[1:], len(to)], strict=True):
-                own = order[i:j]
-                out.append(_row(pack, "pairs", int(to[own[0]]), None, keys[own], n[own], types[own]))
-        return _rows_of(out)
+        bucket = table.column("bucket")[0].as_py()
+        blocks, data = zip(*_rows(table, "block", "a"), strict=True)
+        found = [unpack_grams(unpack(x)) for x in data]
+        at = np.concatenate(([0], np.cumsum([len(x[0]) for x in found])))
+        heads, last, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys, place = np.unique((heads << BITS) | last, return_inverse=True)
+        total = np.bincount(place, weights=n).astype(np.int64)
+        kept = total >= max(1, min_count)
+        total[~kept] = 0
+        rank = np.where(kept, np.cumsum(kept) - 1, -1)
+        if kept.sum() * buckets > MASK and kind == "two":
+            raise ValueError("too many bigrams to number")
+        rows = []
+        for block, lo, hi in zip(blocks, at, at[1:], strict=False):
+            mine = rank[place[lo:hi]]
+            rows.append((kind, bucket, block, total[place[lo:hi]], *([np.diff(mine[mine >= 0], prepend=0)] if kind == "two" else [])))
+        heads, total = keys[kept] >> BITS, total[kept]
+        if kind == "three":
+            return _packed_rows(rows + _sums("two_used", heads, 0, total, buckets), pack)
+        start = heads == START
+        rows += _sums("word_used", heads[~start], FIRST_WORD, total[~start], buckets)
+        table = _packed_rows([*rows, ("start_used", bucket, None)], pack)
+        used = [None] * len(rows)
+        return table.append_column("used", pa.array([*used, total[start].sum()], pa.int64())).append_column(
+            "types", pa.array([*used, start.sum()], pa.int64())
+        )
 
     return add
 
 
-def _pair_adder(table: pa.Table) -> pa.Table:
-    """One bucket of bigrams: to each block, in the order of its kept bigrams, what they have used as histories."""
-    pack, unpack = _codec()
-    read = lambda x: _numbers(unpack(x), np.int64)
-    kinds = table.column("kind").to_pylist()
-    rows = list(zip(kinds, *(table.column(c).to_pylist() for c in ("bucket", "block", "keys", "n", "types")), strict=True))
-    pairs = [(np.cumsum(read(k)), read(n), read(t)) for kind, _, _, k, n, t in rows if kind == "pairs"]
-    none = np.zeros(0, np.int64)
-    keys, n, types = _summed(*(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (none, none, none)
-    out = []
-    for kind, bucket, block, k, _, _ in rows:
-        if kind == "two":
-            own = np.cumsum(read(k))
-            at = np.searchsorted(keys, own)
-            hit = (at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == own) if len(keys) else np.zeros(len(own), bool)
-            used, many = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-            used[hit], many[hit] = n[at[hit]], types[at[hit]]
-            out.append(_row(pack, "used", bucket, block, None, used, many))
-    return _rows_of(out)
-
-
-def _word_sums(batches):
-    """For mapInArrow: rows of kind ``words`` to one row for each word of a bucket."""
-    _, unpack = _codec()
-    for batch in batches:
-        for keys, n, types in zip(*(batch.column(c).to_pylist() for c in ("keys", "n", "types")), strict=True):
-            cols = np.cumsum(_numbers(unpack(keys), np.int64)), *(_numbers(unpack(x), np.int64) for x in (n, types))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "n", "types"])
+def _history_adder(buckets: int):
+    """Histories of one kind and bucket: to each block, in the order of its own, what they have used."""
 
+    def add(table: pa.Table) -> pa.Table:
+        pack, unpack = _codec()
+        read = lambda x, kind=np.int64: _numbers(unpack(x), kind)
+        rows = _rows(table, "kind", "bucket", "block", "a", "b", "c")
+        asked = []
+        for kind, bucket, block, a, b, _ in rows:
+            if kind == "two":
+                asked.append(("two_used", bucket, block, np.cumsum(read(b))))
+            elif kind == "word":
+                number = read(a, np.int32).astype(np.int64)
+                asked.append(("word_used", bucket, block, np.where(number >= FIRST_WORD, (number - FIRST_WORD) // buckets, -1)))
+        size = 1 + max((int(r[3].max()) for r in asked if len(r[3])), default=-1)
+        sums = [(np.cumsum(read(a)), read(b), read(c)) for kind, _, _, a, b, c in rows if kind.endswith("_used")]
+        none = np.zeros(size + 1, np.int64)  # the last one for words without histories
+        if sums:
+            at, n, types = (np.concatenate(x) for x in zip(*sums, strict=True))
+            size = max(size, int(at.max()) + 1)
+            n, types = (np.append(np.bincount(at, weights=w, minlength=size), 0).astype(np.int64) for w in (n, types))
+        else:
+            n = types = none
+        return _packed_rows([(kind, bucket, block, n[own], types[own]) for kind, bucket, block, own in asked], pack)
 
-class Automaton:
-    """States: 0 the root, then one per history word, then one per bigram history.
+    return add
 
-    Words are places in ``ids``, the sorted numbers of the block's words with START.
+
+class Block:
+    """A block's texts and what the buckets have answered.
+
+    ``codes``: the block's words at each token; ``x``: their numbers; ``first``: where a text begins.
     """
 
-    def __init__(self, ids, counts, used, base, two, three, discount: float):
-        """``counts``, ``used``, ``base``: of each word as a history (NaN: no arcs leave) and its unigram weight.
+    def __init__(self, rows: pa.Table, buckets: int):
+        _, self.unpack = _codec()
+        self.buckets, self.block = buckets, rows.column("block")[0].as_py()
+        texts = rows.filter(pc.is_valid(rows.column("codes")))
+        self.codes, self.dealt, sizes = (_numbers(self.unpack(texts.column(c)[0].as_py()), np.int32) for c in ("codes", "dealt", "sizes"))
+        self.sizes, held = sizes >> 1, sizes & 1
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.training = np.repeat(1 - held, self.sizes)
+        self.rows = sorted(_rows(rows, "kind", "bucket", "a", "b"), key=lambda r: r[1] or 0)
+        self.order = by_bucket(self.dealt, buckets)[0]
+        self.number = self.of_words("word", 2, np.int32).astype(np.int64)
+        self.x = self.number[self.codes]
+        before = np.concatenate(([START], self.x[:-1]))
+        before[self.first] = START
+        self.two = Grams.of_words(before, self.x, self.training)
+
+    def answers(self, kind: str, column: int, width=np.int64) -> np.ndarray:
+        """Array of all answers of a kind, bucket by bucket."""
+        found = [_numbers(self.unpack(r[column]), width) for r in self.rows if r[0] == kind]
+        return np.concatenate(found) if found else np.zeros(0, width)
+
+    def of_words(self, kind: str, column: int, width=np.int64) -> np.ndarray:
+        out = np.empty(len(self.dealt), width)
+        out[self.order] = self.answers(kind, column, width)
+        return out
+
+    def find_bigrams(self) -> np.ndarray:
+        """Sets ``total2`` and finds the trigrams that can be kept; the kept bigrams in the order in which they were sent."""
+        order, _ = self.two.buckets(self.buckets)
+        self.total2 = np.zeros(len(order), np.int64)
+        self.total2[order] = self.answers("two", 2)
+        kept = order[self.total2[order] > 0]
+        number = np.full(len(order), -1)
+        ranks = [(np.cumsum(_numbers(self.unpack(r[3]), np.int64)), r[1]) for r in self.rows if r[0] == "two"]
+        number[kept] = np.concatenate([r * self.buckets + b for r, b in ranks]) if ranks else 0
+        self.three = self.two.longer(number, self.total2 > 0, self.x, self.first, self.training)
+        return kept
+
+
+def _bigram_sender(buckets: int):
+    def send(rows: pa.Table) -> pa.Table:
+        own = Block(rows, buckets)
+        return _sent(own.two.messages("two", own.block, buckets))
+
+    return send
+
+
+def _trigram_sender(buckets: int):
+    def send(rows: pa.Table) -> pa.Table:
+        own = Block(rows, buckets)
+        own.find_bigrams()
+        return _sent(own.three.messages("three", own.block, buckets))
+
+    return send
 
-        ``two``: (ab, count, used or NaN), sorted; ``three``: (ab, third, count).
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    out = _packed_rows(rows, _codec()[0])
+    release_memory()
+    return out
+
+
+class Automaton:
+    """States: 0 the root, then one per word of the block and START, then one per bigram history."""
+
+    def __init__(self, counts, used, base, two, three, discount: float):
+        """``counts``, ``used``, ``base``: of each word as a history (NaN: no arcs leave) and its unigram weight, START last.
+
+        ``two``: (first word, second, count, used or NaN); ``three``: (place of the first bigram, of the second, count).
         """
-        ab, n, spent = two
-        a, b = np.searchsorted(ids, ab >> BITS), np.searchsorted(ids, ab & MASK)
-        k = self.width = len(ids)
+        a, b, n, spent = two
+        k = len(counts)
         left = np.where(np.isnan(used), 1.0, 1 - used / np.maximum(counts, 1))
         p2 = (n - discount) / counts[a] + left[a] * base[b]
         history = ~np.isnan(spent)
         left2 = np.where(history, 1 - spent / n, 1.0)
-        state = np.where(history, k + np.cumsum(history), b + 1)
-        head, third, m = three
-        up, onward = np.searchsorted(ab, head), np.searchsorted(ab, ((head & MASK) << BITS) | third)
+        up, onward, m = three
         p3 = (m - discount) / n[up] + left2[up] * p2[onward]
-        self.two, self.three = a * k + b, state[up] * k + np.searchsorted(ids, third)
-        order = np.argsort(self.three)
-        self.three, self.weights = self.three[order], (np.log10(p2), np.log10(p3)[order])
-        self.state = state
+        self.weights = np.log10(p2), np.log10(p3)
+        self.state = np.where(history, k + np.cumsum(history), b + 1)
         self.fail = np.concatenate([[0.0], np.log10(left), np.log10(left2[history])])
         self.down = np.concatenate([np.zeros(k + 1, np.int64), b[history] + 1])
         self.fall = np.where(np.arange(len(self.fail)) > k, self.fail + self.fail[self.down], self.fail)
-        self.start = int(np.searchsorted(ids, START))
+        self.width = k
 
-    def walk(self, x: np.ndarray, first: np.ndarray, one: np.ndarray) -> np.ndarray:
+    def walk(self, x: np.ndarray, first: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
         """log10 weight of each token on the walks of some texts, one after the other.
 
-        ``x``: places of the tokens, -1 for words without histories; ``first``: where a text begins; ``one``: unigram weights.
+        ``x``: words of the tokens, -1 for those without histories; ``first``: where a text begins; ``one``: unigram weights;
+        ``two``, ``three``: arcs that end at each token, -1 for none.
         The state behind a word is the longest history that is kept, whatever arcs led to it, so all walks are followed
         at once: from each state an arc, or the failure arc to the next shorter history and on from there.
         """
-        k = self.width
-        before_word = np.concatenate(([self.start], x[:-1]))
-        before_word[first] = self.start
-        two = _found(self.two, before_word * k + x, (before_word >= 0) & (x >= 0))
-        after = np.where(two >= 0, self.state[two] if len(self.state) else 0, x + 1)
+        after = np.where(two >= 0, np.append(self.state, 0)[two], x + 1)
         state = np.concatenate(([0], after[:-1]))
-        state[first] = self.start + 1
+        state[first] = self.width  # START is the last word
         out = np.where(x < 0, self.fall[state], 0.0) + one
-        known = x >= 0
-        three = _found(self.three, state * k + x, known & (state > k))
         arc = three >= 0
         out[arc] = self.weights[1][three[arc]]
-        rest = np.flatnonzero(known & ~arc)
+        rest = np.flatnonzero((x >= 0) & ~arc)
         at = state[rest]
-        longer = at > k
+        longer = at > self.width
         out[rest[longer]] += self.fail[at[longer]]
         at = np.where(longer, self.down[at], at)
         arc = two[rest] >= 0
@@ -386,96 +493,65 @@ class Automaton:
         return out
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Places of the wanted keys in sorted ``keys``, -1 where absent or not asked for."""
-    out = np.full(len(wanted), -1)
-    if len(keys):
-        asked = np.flatnonzero(where)
-        at = np.minimum(np.searchsorted(keys, wanted[asked]), len(keys) - 1)
-        hit = keys[at] == wanted[asked]
-        out[asked[hit]] = at[hit]
-    return out
+def _places(kept: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Numbers among the kept of places in all, -1 for those not kept and for -1."""
+    return np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[of]
 
 
 def _scorer(tokens, types, ends, start_used, discount, buckets):
     floor = math.log10(tokens + types + 1)
     spare = discount * types / tokens / (types + 1) if tokens else 1.0
 
-    def scores_of(rows: pa.Table, packed: list[bytes], training: list[bool]) -> tuple:
+    def arcs(own: Block) -> tuple:
+        """The block's kept bigrams and trigrams as arcs, and which of them end at each token."""
+        sent = own.find_bigrams()
+        n, many = own.answers("two_used", 2), own.answers("two_used", 3)
+        used = np.full(len(own.total2), np.nan)
+        used[sent] = np.where(many > 0, n - discount * many, np.nan)
+        kept = own.total2 > 0
+        token = own.two.token[kept]
+        before = np.concatenate(([0], own.codes[:-1]))
+        before[own.first] = len(own.dealt)
+        two = before[token], own.codes[token], own.total2[kept], used[kept]
+        two_at = _places(kept, own.two.place)
+        total3 = np.zeros(len(own.three.n), np.int64)
+        total3[own.three.buckets(buckets)[0]] = own.answers("three", 2)
+        kept = total3 > 0
+        token = own.three.token[kept]
+        return two, (two_at[token - 1], two_at[token], total3[kept]), two_at, _places(kept, own.three.place)
+
+    def score_block(rows: pa.Table) -> pa.Table:
         """Tokens, known tokens, base score and score of every text of the block."""
-        lex = rows.filter(pc.is_valid(rows.column("word")))
-        number, c, used = (lex.column(x).to_numpy() for x in ("x", "n", "used"))
+        own = Block(rows, buckets)
+        c = own.of_words("word", 3)
         one = np.maximum(c - discount, 0) / max(tokens, 1) + spare
-        ids, first = np.unique(np.append(number, START), return_index=True)
-        ids, first = ids[ids >= 0], first[ids >= 0]
-        values = (np.append(c, ends), np.append(used.astype(float), start_used), np.append(one, 1.0))
-        # Behind the last word of the lexicon stand the words that it does not have.
-        place = np.append(np.where(number >= 0, np.searchsorted(ids, number), -1), -1)
-        number, one = np.append(number, -1), np.log10(np.append(one, spare))
-        plain = np.append(np.log10(c + 1), 0.0) - floor
-        row_of = dict(zip(lex.column("word").to_pylist(), range(len(c)), strict=True))
-        words_in, texts = unpacker(), []
-        for t in packed:
-            found = [row_of.get(w, len(c)) for w in words_in(t)]
-            texts.append(np.array([*found, row_of.get(END_WORD, len(c))], np.int64))
-        edge = (np.array([START]), np.array([END]))
-        sequences = [np.concatenate((edge[0], number[t[:-1]], edge[1])) for t in texts]
-        two, three = kept_grams(rows.filter(pc.is_null(rows.column("word"))), sequences, training)
-        del sequences
-        machine = Automaton(ids, *[v[first] for v in values], two, three, discount)
-        sizes = np.array([len(t) for t in texts])
-        first = np.cumsum(sizes) - sizes
-        x = np.concatenate(texts)
-        weights = machine.walk(place[x], first, one[x])
-        known = np.add.reduceat((x < len(c)).astype(np.int64), first)
-        return sizes, known, np.add.reduceat(plain[x], first), np.add.reduceat(weights, first)
-
-    def kept_grams(rows: pa.Table, texts: list[np.ndarray], training: list[bool]) -> tuple:
-        """The block's kept n-grams, told by totals that came in the order in which the block had sent its own."""
-        _, unpack = _codec()
-        ab, third, _ = gram_counts(texts, training)
-        order, place = laid_out(ab, third, buckets)
-        ab, third = ab[order], third[order]
-        total, used = np.zeros(len(ab), np.int64), np.full(len(ab), np.nan)
-        starts = np.flatnonzero(np.diff(place, prepend=-1))
-        at = dict(zip(place[starts].tolist(), starts.tolist(), strict=True))
-        found = zip(rows.column("kind").to_pylist(), rows.column("bucket").to_pylist(), range(rows.num_rows), strict=True)
-        found = sorted(found, key=lambda r: r[0] == "used")
-        data = {c: rows.column(c) for c in ("totals", "types")}
-        for kind, bucket, i in found:  # totals first
-            lo = at[2 * bucket + (kind == "three")]
-            n = _numbers(unpack(data["totals"][i].as_py()), np.int64)
-            if kind == "used":
-                many = _numbers(unpack(data["types"][i].as_py()), np.int64)
-                hi = int(np.searchsorted(place, 2 * bucket, "right"))
-                mine = lo + np.flatnonzero(total[lo:hi] > 0)
-                used[mine] = np.where(many > 0, n - discount * many, np.nan)
-            else:
-                total[lo : lo + len(n)] = n
-        kept = total > 0
-        two, three = np.flatnonzero(kept & (third == 0)), np.flatnonzero(kept & (third > 0))
-        two = two[np.argsort(ab[two])]
-        return (ab[two], total[two], used[two]), (ab[three], third[three], total[three])
-
-    def score_block(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        packed = docs.column("packed").to_pylist()
-        n, known, base, score = scores_of(rows, packed, [not h for h in docs.column("held_out").to_pylist()]) if packed else ((),) * 4
-        release_memory()
-        return pa.table(
+        n, many = own.of_words("word_used", 2), own.of_words("word_used", 3)
+        used = np.where(many > 0, n - discount * many, np.nan)
+        two, three, two_at, three_at = arcs(own)
+        machine = Automaton(np.append(c, ends), np.append(used, start_used), np.append(one, 1.0), two, three, discount)
+        weights = machine.walk(np.where(own.x >= 0, own.codes, -1), own.first, np.log10(one)[own.codes], two_at, three_at)
+        texts = rows.filter(pc.is_valid(rows.column("codes")))
+        out = pa.table(
             {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array([tokens] * len(packed), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
+                "doc_id": _listed(texts, "ids"),
+                "held_out": _listed(texts, "held"),
+                "n_tokens": pa.array(own.sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64)[own.codes], own.first)),
+                "train_tokens": pa.array(np.full(len(own.sizes), tokens)),
+                "base_score": pa.array(np.add.reduceat((np.log10(c + 1) - floor)[own.codes], own.first)),
+                "score": pa.array(np.add.reduceat(weights, own.first)),
             }
         )
+        release_memory()
+        return out
 
     return score_block
 
 
+def _listed(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name).combine_chunks().flatten()
+
+
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", settings: LmSettings = LmSettings()) -> DataFrame:
     """Fit on the rows that are not ``held_out`` and score all rows.
 
@@ -489,48 +565,52 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // settings.block_bytes))
-    parts = max(blocks, partitions(spark))
-    kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(
-        arrow_map(_packer), f"block long, doc_id {kind}, held_out boolean, packed binary"
-    )
-    dealt = packed.repartition(parts, "block")
-    # A block may name a word twice, where a task wrote its counts in parts; that does no harm.
-    block_words = stored(
-        dealt.select("block", "held_out", "packed").mapInArrow(_word_counter(), "block long, word binary, c long"), "block_words"
-    )
-    words = stored(block_words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
-    tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = words.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(settings.min_count, settings.min_share * tokens)
-    lexicon = stored(block_words.select("block", "word").join(numbered(words, least), "word"), "lexicon")
-
-    # The words of a block that have numbers come before its documents.
-    mixed = lexicon.where("id >= 0").select("block", "word", "id").unionByName(
-        packed.select("block", "held_out", "packed"), allowMissingColumns=True
-    )
-    mixed = mixed.repartition(parts, "block").sortWithinPartitions("block", F.col("packed").isNotNull())
+    parts = max(1, -(-size // settings.block_bytes), partitions(spark))
     buckets = max(1, size // BUCKET_BYTES)
-    arrays = mixed.mapInArrow(_gram_counter(buckets), "bucket long, block long, three boolean, grams binary")
-    added = stored(arrays.groupBy("bucket").applyInArrow(_gram_adder(settings.min_count, buckets), ADDED), "grams")
-    used = added.where("kind IN ('two', 'pairs')").groupBy("bucket").applyInArrow(_pair_adder, ADDED)
-    sums = added.where("kind = 'words'").select("keys", "n", "types").mapInArrow(_word_sums, "x long, n long, types long")
-    spent = F.sum("n") - settings.discount * F.sum("types")
-    used_by_words = stored(sums.groupBy("x").agg(spent.alias("used")), "used_by_words")
-    start_used = used_by_words.where(F.col("x") == START).agg(F.sum("used")).first()[0]
-
-    named = lexicon.select("block", "word", F.col("id").alias("x"), F.col("c").alias("n"))
-    facts = named.where("x >= 0").join(used_by_words, "x", "left").unionByName(named.where("x < 0"), allowMissingColumns=True)
-    totals = added.where("kind IN ('two', 'three')").unionByName(used)
-    facts = facts.unionByName(totals.select("kind", "bucket", "block", F.col("n").alias("totals"), "types"), allowMissingColumns=True)
-    facts = facts.select("block", "word", "x", "n", "used", "kind", "bucket", "totals", "types")
-    scorer = _scorer(tokens, types, ends, math.nan if start_used is None else start_used, settings.discount, buckets)
-    return (
-        dealt.groupBy("block")
-        .cogroup(facts.groupBy("block"))
-        .applyInArrow(
-            scorer,
-            f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
+    kind = dict(rows.dtypes)["doc_id"]
+    own = f"tokens long, codes binary, dealt binary, sizes binary, ids array<{kind}>, held array<boolean>"
+    blocks = stored(rows.coalesce(parts).mapInArrow(_block_maker(settings.block_bytes, buckets), f"{ARRAYS}, {own}"), "lm_blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+
+    least = max(1, settings.min_count, settings.min_share * tokens)
+    words = blocks.where("kind = 'word'").select(*NAMES).groupBy("bucket")
+    words = stored(words.applyInArrow(_word_adder(least, buckets), f"{ARRAYS}, types long, ends long"), "lm_words")
+    let_go(spark)
+    types, ends = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+
+    texts = blocks.where("kind = 'texts'").select("kind", "block", "codes", "dealt", "sizes")
+    of_words = words.where("kind = 'word'").select(*NAMES)
+    sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), parts=parts)
+    bigrams = sender.applyInArrow(_bigram_sender(buckets), ARRAYS).groupBy("bucket")
+    bigrams = stored(bigrams.applyInArrow(_gram_adder("two", settings.min_count, buckets), f"{ARRAYS}, used long, types long"), "lm_bigrams")
+    let_go(spark)
+    starts = bigrams.where("kind = 'start_used'").agg(F.sum("used"), F.sum("types")).first()
+    start_used = starts[0] - settings.discount * starts[1] if starts[1] else math.nan
+
+    of_bigrams = bigrams.where("kind = 'two'").select(*NAMES)
+    sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), of_bigrams, parts=parts)
+    trigrams = sender.applyInArrow(_trigram_sender(buckets), ARRAYS).groupBy("bucket")
+    trigrams = stored(trigrams.applyInArrow(_gram_adder("three", settings.min_count, buckets), ARRAYS), "lm_trigrams")
+    let_go(spark)
+
+    asked = of_words.select("kind", "bucket", "block", "a").unionByName(of_bigrams.select("kind", "bucket", "block", "b"), allowMissingColumns=True)
+    sums = bigrams.where("kind = 'word_used'").select(*NAMES).unionByName(trigrams.where("kind = 'two_used'"))
+    histories = asked.unionByName(sums, allowMissingColumns=True).select(*NAMES)
+    histories = histories.groupBy(F.substring_index("kind", "_", 1), "bucket")
+    used = stored(histories.applyInArrow(_history_adder(buckets), ARRAYS), "lm_histories")
+    let_go(spark)
+
+    texts = blocks.where("kind = 'texts'").select("kind", "block", "codes", "dealt", "sizes", "ids", "held")
+    scorer = _scorer(tokens, types, ends, start_used, settings.discount, buckets)
+    return _dealt(texts, of_words, of_bigrams, trigrams.where("kind = 'three'"), used, parts=parts).applyInArrow(
+        scorer,
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+
+
+def _dealt(texts: DataFrame, *answers: DataFrame, parts: int):
+    """Blocks with their texts and answers."""
+    for found in answers:
+        texts = texts.unionByName(found, allowMissingColumns=True)
+    wanted = [c for c in texts.columns if c != "c"]
+    return texts.select(*(wanted if "b" in wanted else [*wanted, F.lit(None).cast("binary").alias("b")])).repartition(parts, "block").groupBy("block")
