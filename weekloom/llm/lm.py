@@ -34,7 +34,7 @@ from weekloom.llm.wordarrays import SPACE, WordArrays
 START, END, FIRST_WORD = 1, 2, 3  # 0 stands for no third word
 BITS = 31
 MASK = (1 << BITS) - 1
-BUCKET_BYTES = 16 << 20  # text whose n-grams of one length one task counts at a time
+BUCKET_BYTES = 32 << 20  # text whose n-grams of one length one task counts at a time; blocks times buckets are the arrays sent
 
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[ord("A") : ord("Z") + 1] += 32
@@ -70,22 +70,28 @@ def _codec():
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of the numbers, first all lowest ones: equal bytes stand together."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """How many bytes a number needs, then these bytes, first all lowest ones: equal bytes stand together."""
+    width = x.itemsize if not len(x) or x.min() < 0 else max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
 
 
 def _numbers(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(kind).ravel()
 
 
 def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data) // 16
-    return np.cumsum(_numbers(data[: 8 * n], np.int64)), _numbers(data[8 * n : 12 * n], np.int32).astype(np.int64), _numbers(data[12 * n :], np.int32)
+    ends = 12 + np.cumsum(np.frombuffer(data, np.int32, 3))
+    heads, last, c = (data[i:j] for i, j in zip((12, *ends), ends, strict=False))
+    return np.cumsum(_numbers(heads, np.int64)), _numbers(last, np.int32).astype(np.int64), _numbers(c, np.int32)
 
 
 def pack_grams(ab: np.ndarray, third: np.ndarray, c: np.ndarray) -> bytes:
-    return _planes(np.diff(ab, prepend=0)) + _planes(third.astype(np.int32)) + _planes(c.astype(np.int32))
+    parts = _planes(np.diff(ab, prepend=0)), _planes(third.astype(np.int32)), _planes(c.astype(np.int32))
+    return np.array([len(x) for x in parts], np.int32).tobytes() + b"".join(parts)
 
 
 def bucket_of(ab: np.ndarray, third: np.ndarray, buckets: int) -> np.ndarray:
@@ -575,17 +581,17 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     least = max(1, settings.min_count, settings.min_share * tokens)
     words = blocks.where("kind = 'word'").select(*NAMES).groupBy("bucket")
     words = stored(words.applyInArrow(_word_adder(least, buckets), f"{ARRAYS}, types long, ends long"), "lm_words")
-    let_go(spark)
     types, ends = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+    let_go(spark)
 
     texts = blocks.where("kind = 'texts'").select("kind", "block", "codes", "dealt", "sizes")
     of_words = words.where("kind = 'word'").select(*NAMES)
     sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), parts=parts)
     bigrams = sender.applyInArrow(_bigram_sender(buckets), ARRAYS).groupBy("bucket")
     bigrams = stored(bigrams.applyInArrow(_gram_adder("two", settings.min_count, buckets), f"{ARRAYS}, used long, types long"), "lm_bigrams")
-    let_go(spark)
     starts = bigrams.where("kind = 'start_used'").agg(F.sum("used"), F.sum("types")).first()
     start_used = starts[0] - settings.discount * starts[1] if starts[1] else math.nan
+    let_go(spark)
 
     of_bigrams = bigrams.where("kind = 'two'").select(*NAMES)
     sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), of_bigrams, parts=parts)
