@@ -61,6 +61,9 @@ def crc_share(id_col: str, parts: int, part: int) -> Column:
 #: ``start_used`` (the same of START, for all blocks).
 ARRAYS = "kind string, bucket long, block long, a binary, b binary, c binary"
 NAMES = ("kind", "bucket", "block", "a", "b", "c")
+#: A block's row of kind ``texts``: training tokens; words of the tokens, buckets of the words, twice the tokens of each text
+#: and 1 if it is held out; the rows' ids and marks.
+BLOCK_NAMES = ("tokens", "codes", "dealt", "sizes", "ids", "held")
 
 
 def _codec():
@@ -114,11 +117,6 @@ def _rows(table: pa.Table, *names: str) -> list[tuple]:
     return list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
 
 
-def _narrow(x: np.ndarray, kind=np.int32) -> np.ndarray:
-    """Numbers of a column that always has this width."""
-    return x.astype(kind)
-
-
 def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Stable order by bucket, and where each bucket begins in it (and the last one ends)."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
@@ -132,14 +130,15 @@ def gram_counts(texts: list[np.ndarray], training: list[bool]) -> tuple[np.ndarr
     """
     s = np.concatenate(texts)
     sizes = np.array([len(t) for t in texts])
+    start = np.cumsum(sizes) - sizes
     inner = np.ones(len(s), bool)
-    inner[np.cumsum(sizes) - sizes] = False
-    first = (np.cumsum(sizes) - sizes) - np.arange(len(texts))
-    two = Grams.of_words(s[:-1][inner[1:]], s[inner], np.repeat(training, sizes - 1))
-    three = two.longer(two.keys, np.ones(len(two.keys), bool), s[inner], first, np.repeat(training, sizes - 1))
-    zeros = np.zeros(len(two.keys), np.int64)
-    ab = np.concatenate([two.keys, three.heads])
-    return ab, np.concatenate([zeros, three.last]), np.concatenate([two.n, three.n])
+    inner[start] = False
+    before, words, counts = s[:-1][inner[1:]], s[inner], np.repeat(training, sizes - 1)
+    two = Grams.of_words(before, words, counts)
+    ab = (two.heads << BITS) | two.last
+    three = two.longer(ab, np.ones(len(ab), bool), words, start - np.arange(len(texts)), counts)
+    third = np.concatenate([np.zeros(len(ab), np.int64), three.last])
+    return np.concatenate([ab, three.heads]), third, np.concatenate([two.n, three.n])
 
 
 class Grams:
@@ -160,9 +159,7 @@ class Grams:
 
     @classmethod
     def of_words(cls, before: np.ndarray, words: np.ndarray, training: np.ndarray) -> Grams:
-        found = cls(before, words, (before >= 0) & (words >= 0), training)
-        found.keys = (found.heads << BITS) | found.last
-        return found
+        return cls(before, words, (before >= 0) & (words >= 0), training)
 
     def longer(self, numbers: np.ndarray, kept: np.ndarray, words: np.ndarray, first: np.ndarray, training: np.ndarray) -> Grams:
         """Of bigrams: the trigrams whose two bigrams are kept; heads are the numbers of their first ones."""
@@ -240,16 +237,18 @@ def _block_maker(block_bytes: int, buckets: int):
         dealt = (np.fromiter(map(zlib.crc32, names.to_pylist()), np.int64, len(names)) % buckets)[often]
         order, starts = by_bucket(dealt, buckets)
         offsets, data = _bytes_of(names.take(pa.array(often[order])))
-        lengths, sent = _narrow(np.diff(offsets)), counts[order]
+        lengths, sent = np.diff(offsets).astype(np.int32), counts[order]
         rows = []
         for b in range(buckets):
             lo, hi = starts[b], starts[b + 1]
             if lo < hi:
                 rows.append(("word", b, block, lengths[lo:hi], data[offsets[lo] : offsets[hi]], sent[lo:hi]))
         table = _packed_rows(rows, pack)
-        tokens = pa.array(np.array([training.sum()], np.int64))
-        own = [pa.array([pack(_planes(_narrow(v)))], pa.binary()) for v in (codes, dealt, 2 * sizes + np.array([bool(h) for h in held]))]
-        lists = [pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column(c).combine_chunks()) for c in ("doc_id", "held_out")]
+        tokens = pa.array([int(training.sum())], pa.int64())
+        marked = 2 * sizes + np.array([bool(h) for h in held])
+        own = [pa.array([pack(_planes(v.astype(np.int32)))], pa.binary()) for v in (codes, dealt, marked)]
+        ends = pa.array([0, docs.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, docs.column(c).combine_chunks()) for c in ("doc_id", "held_out")]
         extra = dict(zip(BLOCK_NAMES, [tokens, *own, *lists], strict=True))
         first = pa.table({"kind": pa.array(["texts"]), "block": pa.array([block], pa.int64()), **extra})
         return pa.concat_tables([first, table], promote_options="default").select([*NAMES, *BLOCK_NAMES]).to_batches()
@@ -257,9 +256,6 @@ def _block_maker(block_bytes: int, buckets: int):
     return run
 
 
-BLOCK_NAMES = ("tokens", "codes", "dealt", "sizes", "ids", "held")
-
-
 def _bytes_of(words: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Offsets and bytes of an array of binaries that is not a slice."""
     _, offsets, data = words.buffers()
@@ -294,7 +290,7 @@ def _word_adder(least: float, buckets: int):
             raise ValueError("too many words to number")
         at = np.concatenate(([0], np.cumsum([len(x) for x in lengths])))
         rows = [
-            ("word", bucket, block, _narrow(number[place[lo:hi]]), total[place[lo:hi]])
+            ("word", bucket, block, number[place[lo:hi]].astype(np.int32), total[place[lo:hi]])
             for block, lo, hi in zip(blocks, at, at[1:], strict=False)
         ]
         found = np.array([np.count_nonzero(total), total[is_end].sum()], np.int64)
@@ -369,15 +365,11 @@ def _history_adder(buckets: int):
             elif kind == "word":
                 number = read(a, np.int32).astype(np.int64)
                 asked.append(("word_used", bucket, block, np.where(number >= FIRST_WORD, (number - FIRST_WORD) // buckets, -1)))
-        size = 1 + max((int(r[3].max()) for r in asked if len(r[3])), default=-1)
         sums = [(np.cumsum(read(a)), read(b), read(c)) for kind, _, _, a, b, c in rows if kind.endswith("_used")]
-        none = np.zeros(size + 1, np.int64)  # the last one for words without histories
-        if sums:
-            at, n, types = (np.concatenate(x) for x in zip(*sums, strict=True))
-            size = max(size, int(at.max()) + 1)
-            n, types = (np.append(np.bincount(at, weights=w, minlength=size), 0).astype(np.int64) for w in (n, types))
-        else:
-            n = types = none
+        at, n, types = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in sums)]) for i in range(3))
+        size = 1 + max((int(x.max()) for x in (at, *(r[3] for r in asked)) if len(x)), default=-1)
+        # The last place is for words without histories.
+        n, types = (np.append(np.bincount(at, weights=w, minlength=size), 0).astype(np.int64) for w in (n, types))
         return _packed_rows([(kind, bucket, block, n[own], types[own]) for kind, bucket, block, own in asked], pack)
 
     return add
@@ -586,7 +578,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     texts = blocks.where("kind = 'texts'").select("kind", "block", "codes", "dealt", "sizes")
     of_words = words.where("kind = 'word'").select(*NAMES)
-    sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), parts=parts)
+    numbers = of_words.withColumn("b", F.lit(None).cast("binary"))  # without the totals
+    sender = _dealt(texts, numbers, parts=parts)
     bigrams = sender.applyInArrow(_bigram_sender(buckets), ARRAYS).groupBy("bucket")
     bigrams = stored(bigrams.applyInArrow(_gram_adder("two", settings.min_count, buckets), f"{ARRAYS}, used long, types long"), "lm_bigrams")
     starts = bigrams.where("kind = 'start_used'").agg(F.sum("used"), F.sum("types")).first()
@@ -594,15 +587,14 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     let_go(spark)
 
     of_bigrams = bigrams.where("kind = 'two'").select(*NAMES)
-    sender = _dealt(texts, of_words.select("kind", "bucket", "block", "a"), of_bigrams, parts=parts)
+    sender = _dealt(texts, numbers, of_bigrams, parts=parts)
     trigrams = sender.applyInArrow(_trigram_sender(buckets), ARRAYS).groupBy("bucket")
     trigrams = stored(trigrams.applyInArrow(_gram_adder("three", settings.min_count, buckets), ARRAYS), "lm_trigrams")
     let_go(spark)
 
-    asked = of_words.select("kind", "bucket", "block", "a").unionByName(of_bigrams.select("kind", "bucket", "block", "b"), allowMissingColumns=True)
+    asked = numbers.unionByName(of_bigrams.withColumn("a", F.lit(None).cast("binary")))
     sums = bigrams.where("kind = 'word_used'").select(*NAMES).unionByName(trigrams.where("kind = 'two_used'"))
-    histories = asked.unionByName(sums, allowMissingColumns=True).select(*NAMES)
-    histories = histories.groupBy(F.substring_index("kind", "_", 1), "bucket")
+    histories = asked.unionByName(sums).groupBy(F.substring_index("kind", "_", 1), "bucket")
     used = stored(histories.applyInArrow(_history_adder(buckets), ARRAYS), "lm_histories")
     let_go(spark)
 
@@ -618,5 +610,4 @@ def _dealt(texts: DataFrame, *answers: DataFrame, parts: int):
     """Blocks with their texts and answers."""
     for found in answers:
         texts = texts.unionByName(found, allowMissingColumns=True)
-    wanted = [c for c in texts.columns if c != "c"]
-    return texts.select(*(wanted if "b" in wanted else [*wanted, F.lit(None).cast("binary").alias("b")])).repartition(parts, "block").groupBy("block")
+    return texts.drop("c").repartition(parts, "block").groupBy("block")
